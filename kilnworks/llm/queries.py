@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _common, ann, jaccard, licenses, lines, mixing, packing, topk, warc
+from . import _common, ann, jaccard, licenses, lines, mixing, packing, substrings, topk, warc
 from ._common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "epoch", "mix_block", "mix_tokens")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(table(spark, sf_dir, "documents")).drop("version")
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -55,7 +59,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_topk, op2_mixing, op4_ann, op5_jaccard_join, op6_packing, op7_warc, op8_line_dedup, op9_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_topk, op2_mixing, op3_substring_dedup, op4_ann, op5_jaccard_join, op6_packing, op7_warc, op8_line_dedup, op9_licenses)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_topk": """
