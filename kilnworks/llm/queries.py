@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _common, ann, jaccard, licenses, lines, mixing, packing, substrings, topk, warc
+from . import _common, ann, jaccard, licenses, lines, mixing, packing, substrings, topk, toxicity, warc
 from ._common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -59,7 +59,12 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_topk, op2_mixing, op3_substring_dedup, op4_ann, op5_jaccard_join, op6_packing, op7_warc, op8_line_dedup, op9_licenses)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_topk, op2_mixing, op3_substring_dedup, op4_ann, op5_jaccard_join, op6_packing, op7_warc, op8_line_dedup, op9_licenses, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_topk": """
