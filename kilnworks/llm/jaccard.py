@@ -82,6 +82,16 @@ def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def prefix_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The set's first tokens in hash order, so many that linked sets share at least one of them."""
+    return mix(tokens[: len(tokens) - -(-len(tokens) * percent // 100) + 1])
+
+
+def keys_of(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Parts hold about six tokens or more where sets differ by a tenth; below that single tokens are fewer and as good."""
+    return block_keys(tokens, percent) if percent >= 88 else prefix_keys(tokens, percent)
+
+
 class SignatureTree:
     """Sets in nodes of `fan` children: each node has the OR of its sets' token bitmaps, their size range and how many tokens a bitmap can hide."""
 
@@ -165,7 +175,7 @@ def _signatures(words: int, percent: int):
                 sizes.append(len(tokens))
                 first.append(int(mix(tokens + U(1)).sum(dtype=np.uint64).view(np.int64)))
                 second.append(int(mix(tokens ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                keys.append(block_keys(tokens, percent).view(np.int64) if len(tokens) and known[i] else np.zeros(0, np.int64))
+                keys.append(keys_of(tokens, percent).view(np.int64) if len(tokens) and known[i] else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], names=["doc_id", "n", "d1", "d2", "keys"])
 
@@ -177,7 +187,7 @@ def _sets(words: int):
         for batch in batches:
             sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), lists], names=["node", "family", "part", "grouped", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "tokens"])
 
     return run
 
@@ -226,13 +236,40 @@ def _cross(percent: int):
     return run
 
 
+def _families(keyed: DataFrame) -> DataFrame:
+    """node and family of the nodes that share keys: each key hangs its nodes on the smallest, by a map-side aggregate."""
+    shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub")
+    edges = keyed.join(shared, "key").select(F.col("node").alias("u"), F.col("hub").alias("v")).filter("u <> v").distinct()
+    return components(edges, "jaccard-families").withColumnRenamed("component", "family")
+
+
+def _sized(families: DataFrame) -> DataFrame:
+    """node, family, size of the families with two nodes or more."""
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return families.join(sizes, "family").select("node", "family", "size")
+
+
+def _by_rare_tokens(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node and key: each set's first tokens in the order of how many sets of the family have them, as many as linked sets must share one of.
+
+    Tokens that no other set of the family has come first of all and give no key; a passage that the family has in
+    common comes last, and gives none unless nearly all of a set is common.
+    """
+    tokens = large.select("node", "family").join(sets, "node").select("node", "family", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    spread = tokens.groupBy("family", "token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    common = tokens.join(spread, ["family", "token"]).groupBy("node", "family", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("common"))
+    first = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("common"))
+    return common.withColumn("first", F.greatest(F.lit(0), first).cast("int")).select("node", "family", F.explode(F.expr("slice(common, 1, first)")).alias("c")).select("node", F.xxhash64("family", "c.token").alias("key"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, part_sets: int = 1024, hubs: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id and n_texts (distinct sets in the component) of each row of docs.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets. Equal sets are one node. Blocking
-    loses no link: sets are dealt by size band and into so many token parts that linked ones agree in one of them
-    (block_keys); what shares keys, directly or through others, is a family. A family is joined with itself by
-    signature trees (tree_join). One of more than part_sets sets is dealt into parts: each is joined with itself and
+    loses no link: linked sets share a key (keys_of), and what shares keys, directly or through others, is a family.
+    Families of more than part_sets sets, such as those round a passage that many share, are blocked again by their
+    own rarest tokens (_by_rare_tokens). A family is joined with itself by signature trees (tree_join). One that still
+    has more than part_sets sets is dealt into parts: each is joined with itself and
     with the family's first `hubs` sets; then the strays, all sets outside the family's largest group, are joined in
     chunks with every part. A pair left out has both sets in that group already, so components are exact and no task
     holds more than two parts.
@@ -246,24 +283,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = materialize(rows.mapInArrow(_signatures(words, percent), "doc_id long, n long, d1 long, d2 long, keys array<long>"), "jaccard-keys")
     known = signed.filter("doc_id is not null and n > 0")
     reps = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"))
-    keyed = known.select("doc_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub <> last").select("key", "hub")
-    edges = keyed.join(shared, "key").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).filter("u <> v").distinct()
-    families = components(edges, "jaccard-families")
-    members = reps.select("node").distinct().join(families, "node").select("node", F.col("component").alias("family"))
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / part_sets)))
+    families = _families(known.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")))
+    members = _sized(reps.select("node").distinct().join(families, "node"))
     members = materialize(members, "jaccard-members")
-    sets_of = rows.join(members.select(F.col("node").alias("doc_id"), "family", "part", F.lit(0).cast("long").alias("grouped"), "size"), "doc_id").select("doc_id", "text", "family", "part", "grouped")
-    sets = materialize(sets_of.mapInArrow(_sets(words), "node long, family long, part long, grouped long, tokens array<long>"), "jaccard-sets")
+    sets_of = rows.join(members.select(F.col("node").alias("doc_id"), "family"), "doc_id").select("doc_id", "text")
+    sets = materialize(sets_of.mapInArrow(_sets(words), "node long, tokens array<long>"), "jaccard-sets")
+    large = members.filter(F.col("size") > part_sets)
+    if not large.isEmpty():
+        again = _sized(_families(_by_rare_tokens(large, sets, percent)))
+        members = materialize(members.filter(F.col("size") <= part_sets).unionByName(again), "jaccard-members")
+    members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / part_sets)))
     total = members.agg(F.count(F.lit(1))).first()[0]
     cells = max(1, total // part_sets)
     parted = members.filter(F.col("size") > part_sets)
     first = parted.select("family", "node", "part").groupBy("family").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("part") < 1, F.col("node")))), 1, hubs).alias("nodes"), F.max("part").alias("parts"))
     lead = first.select("family", F.explode("nodes").alias("node"), "parts")
-    lead = lead.join(sets.select("node", "family", "tokens"), ["node", "family"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "parts")))
+    lead = lead.join(sets, "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "parts")))
     cell = F.when(F.col("size") > part_sets, F.xxhash64("family", "part")).otherwise(F.pmod(F.xxhash64("family"), F.lit(cells)))
-    dealt = sets.join(members.select("node", "family", "size"), ["node", "family"]).select(cell.alias("cell"), "node", "family", "part", "grouped", "tokens")
+    dealt = sets.join(members, "node").select(cell.alias("cell"), "node", "family", "part", F.lit(0).cast("long").alias("grouped"), "tokens")
     dealt = dealt.unionByName(lead.select(F.xxhash64("family", "part").alias("cell"), "node", "family", F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("grouped"), "tokens"))
     links = materialize(dealt.groupBy("cell").applyInArrow(_cell(percent), "u long, v long"), "jaccard-links")
     grouped = components(links, "jaccard-groups")
@@ -285,9 +322,21 @@ def _strays(parted: DataFrame, sets: DataFrame, grouped: DataFrame, percent: int
     groups = now.groupBy("family", "grouped").agg(F.count(F.lit(1)).alias("size"))
     main = groups.groupBy("family").agg(F.max(F.struct("size", "grouped")).getField("grouped").alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
     main = main.withColumn("chunks", F.ceil((F.col("all") - F.col("most")) / part_sets)).filter("chunks > 0")
-    now = now.join(main.select("family", "main", "chunks"), "family").join(sets.select("node", "family", "tokens"), ["node", "family"])
+    now = now.join(main.select("family", "main", "chunks"), "family").join(sets, "node")
     parts = parted.groupBy("family").agg(F.max("part").alias("parts"))
     stray = now.filter("grouped <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))).join(parts, "family")
     stray = stray.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), "parts"))).select(F.xxhash64("family", "to", "chunk").alias("cell"), "node", "family", F.lit(-1).cast("long").alias("part"), "grouped", "tokens")
     rest = now.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(F.xxhash64("family", "part", "chunk").alias("cell"), "node", "family", "part", "grouped", "tokens")
     return materialize(stray.unionByName(rest).groupBy("cell").applyInArrow(_cross(percent), "u long, v long"), "jaccard-strays")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without those linked, directly or through others, to a smaller id: one document of each group stays.
+
+    Of rows that share an id one stays. Rows with a null id, and texts without words, stay.
+    """
+    found = jaccard_components(docs, id_col, text_col, words, percent)
+    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
+    ident = docs[id_col].cast("long")
+    kept = docs.withColumn("_head", ident).join(heads, "_head", "left_semi").dropDuplicates(["_head"]).drop("_head")
+    return kept.unionByName(docs.filter(ident.isNull()))
