@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import U, span_hashes, text_slices
@@ -20,6 +20,7 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 #: Fields of a chunk's place: start, then its length, its words and whether the document has had the same chunk before.
 LENGTH_BITS, WORD_BITS = 13, 13
 MOST = (1 << LENGTH_BITS) - 1
+LEAST = 12
 
 
 def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -36,9 +37,16 @@ def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def chunk_spans(data: np.ndarray, offsets: np.ndarray, average: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, stops, rows) of the chunks: a chunk ends where the hash falls below a threshold, at its row's end, and after MOST bytes."""
+    """(starts, stops, rows) of the chunks: a chunk ends where the hash falls below a threshold, at its row's end, and after MOST bytes.
+
+    A place within LEAST bytes of such a place before it ends none, whether that one does or not: this too depends on
+    the bytes just before alone, and leaves no chunks of a syllable, which repeat everywhere.
+    """
     low = gear_hashes(data, offsets) & np.uint32(0xFFFF) if len(data) else np.zeros(0, np.uint32)
-    ends = np.unique(np.concatenate([np.flatnonzero(low < 65536 // average) + 1, offsets[1:][np.diff(offsets) > 0]])).astype(np.int64)
+    ends = np.flatnonzero(low < 65536 // average) + 1
+    row = np.searchsorted(offsets, ends - 1, "right")
+    ends = ends[(np.diff(ends, prepend=-LEAST) >= LEAST) | (np.diff(row, prepend=-1) > 0)]
+    ends = np.unique(np.concatenate([ends, offsets[1:][np.diff(offsets) > 0]])).astype(np.int64)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
     long = np.flatnonzero(ends - starts > MOST)
     if len(long):
@@ -70,7 +78,12 @@ def _chunks(average: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = 24, min_words: int = 15) -> DataFrame:
+def version_of(text: Column) -> Column:
+    """Tells texts of one id apart; 16 bits, since it goes with every chunk."""
+    return F.crc32(text.cast("binary")).bitwiseAND(0xFFFF)
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = 16, min_words: int = 12) -> DataFrame:
     """doc_id, version, n_spans, dup_words, dup_bytes and spans of every document with passages that stand elsewhere before.
 
     Texts are cut into chunks where a gear rolling hash of the last 16 bytes is small, so equal passages fall into equal
@@ -79,16 +92,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents' chunks of that digest, and a document's own repeats, are repeats; runs of repeats that follow each other
     and have min_words words or more make a span: start and length in bytes of the UTF-8 text, words, and first_ids, the
     ids of the documents that keep its chunks. Up to two chunks at a passage's ends stay out of its span, so passages of
-    50 words are found at a threshold of 15.
+    50 words are found at a threshold of 12.
 
     A null text has no chunks. Rows with a null id neither keep nor lose anything. Rows that share an id keep the same
     chunks; their spans are told apart by version, a hash of the text, and rows with equal ids and texts give one row.
     Clean documents give no row. Other columns are not read; empty tables give no rows.
     """
     text = docs[text_col].cast("string")
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).filter("doc_id is not null and text is not null")
-    chunks = materialize(rows.mapInArrow(_chunks(average), "doc_id long, version long, digest long, place long"), "chunks")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), version_of(text).alias("version"), text.alias("text")).filter("doc_id is not null and text is not null")
+    # made twice rather than kept: the chunks of a text take more room than the text
+    chunks = rows.mapInArrow(_chunks(average), "doc_id long, version long, digest long, place long")
     kept = chunks.filter("place & 1 = 0").groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper <> last").select("digest", "keeper")
+    kept = materialize(kept, "chunk-keepers")
     other = chunks.filter("place & 1 = 0").join(kept, "digest").filter("doc_id <> keeper").select("doc_id", "version", "place", "keeper")
     repeats = other.unionByName(chunks.filter("place & 1 = 1").select("doc_id", "version", "place", F.col("doc_id").alias("keeper"))).distinct()
     repeats = repeats.select("doc_id", "version", "keeper", F.expr(f"place >> {LENGTH_BITS + WORD_BITS + 1}").alias("start"), F.expr(f"(place >> {WORD_BITS + 1}) & {MOST}").alias("length"), F.expr(f"(place >> 1) & {(1 << WORD_BITS) - 1}").alias("words"))
@@ -103,7 +118,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the spans of repeated_spans() cut from their texts; other columns and rows stay as they are."""
     text = docs[text_col].cast("string")
-    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_id"), F.xxhash64(text).alias("_version"))
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_id"), version_of(text).alias("_version"))
     joined = keyed.join(spans.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("spans").alias("_spans")), ["_id", "_version"], "left")
     joined = joined.withColumn("_bytes", F.col("_row").getField(text_col).cast("string").cast("binary"))
     # what stands between the spans: from the end of one to the start of the next
