@@ -6,7 +6,6 @@ import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,7 +56,13 @@ class KMeansTree:
                 self.children[node].append(child)
                 heapq.heappush(heap, (-len(part), child, rows[part]))
             count += len(parts) - 1
-        self.leaves = [i for i, c in enumerate(self.children) if not c]
+        # leaves are numbered from left to right, so neighbours in number are neighbours in the tree
+        self.leaves, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            todo += reversed(self.children[node])
+            if not self.children[node]:
+                self.leaves.append(node)
         self.leaf = [-1] * len(self.children)
         for n, node in enumerate(self.leaves):
             self.leaf[node] = n
@@ -132,14 +137,15 @@ def _exact_leaves(tree: KMeansTree, ids: np.ndarray, queries: np.ndarray, k: int
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = 0.97, sample_rows: int = 20_000, leaf_rows: int = 200, max_leaves: int = 1024, branching: int = 8, calibration: int = 200, bucket_rows: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = 0.95, sample_rows: int = 20_000, leaf_rows: int = 200, max_leaves: int = 1024, branching: int = 8, calibration: int = 200, bucket_rows: int = 4096, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found, by largest inner product.
 
     The tree is fitted on at most sample_rows rows, those with the smallest seeded hashes; every row is then assigned
     to a leaf. `calibration` queries are answered exactly in one pass over all rows; the number of leaves a query visits
-    is widened until they reach the stated recall. Queries meet their leaves' rows by a cogroup on leaf and bucket: a
-    leaf of many rows, such as one of a hot vector's copies, is dealt into buckets of about bucket_rows rows and its
-    queries go to each, so nothing is capped. A task returns k rows for each query and bucket at most.
+    is widened until they reach the stated recall. Neighbouring leaves share a shelf of about bucket_rows
+    rows, and queries meet the rows of the leaves they visit by a cogroup on the shelf: a leaf of more rows, such as
+    one of a hot vector's copies, is dealt into several buckets and its queries go to each, so nothing is capped. A
+    shelf returns k rows for each query at most.
 
     Ties go to smaller ids; rows with a query's own id are no candidates; fewer than k are all returned only as far as
     the visited leaves hold them, except where a query's leaves hold too few: it then visits all. Rows whose id or
@@ -166,39 +172,74 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, block in vector_blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.FixedSizeListArray.from_arrays(pa.array(block.ravel()), length).cast(pa.list_(pa.float64())), pa.array(tree.assign(block))], names=["vec_id", "vec", "leaf"])
+            yield pa.RecordBatch.from_arrays([pa.array(names), _lists(block), pa.array(tree.assign(block))], names=["vec_id", "vec", "leaf"])
+
+    placed = materialize(rows.mapInArrow(deal, "vec_id long, vec array<double>, leaf long"), "ann-leaves")
+    counts = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_leaves rows
+    shelf, buckets, filled = {}, {}, 0
+    for leaf in range(len(tree.leaves)):
+        n = counts.get(leaf, 0)
+        if not buckets or filled + n > bucket_rows:
+            buckets[len(buckets)] = -(-n // bucket_rows) or 1
+            filled = 0
+        filled += n
+        shelf[leaf] = len(buckets) - 1
+    shelves = F.broadcast(spark.createDataFrame([(leaf, s, buckets[s]) for leaf, s in shelf.items()], "leaf long, shelf long, buckets long"))  # max_leaves rows
+    bucketed = placed.join(shelves, "leaf").withColumn("bucket", F.pmod(F.xxhash64("vec_id", "vec"), F.col("buckets"))).drop("buckets")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, block in vector_blocks(batches):
-            leaves = [tree.visits(q, visits) for q in block]
-            at = np.repeat(np.arange(len(names)), [len(x) for x in leaves])
-            yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.FixedSizeListArray.from_arrays(pa.array(block[at].ravel()), length).cast(pa.list_(pa.float64())), pa.array(np.concatenate(leaves))], names=["query_id", "vec", "leaf"])
+            at, where, leaves = [], [], []
+            for i, query in enumerate(block):
+                seen: dict[int, list[int]] = {}
+                for leaf in tree.visits(query, visits):
+                    seen.setdefault(shelf[leaf], []).append(leaf)
+                for s, own in seen.items():
+                    for b in range(buckets[s]):
+                        at.append(i)
+                        where.append((s, b))
+                        leaves.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(names[at]), _lists(block[at]), pa.array([s for s, _ in where], pa.int64()), pa.array([b for _, b in where], pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "vec", "shelf", "bucket", "leaves"])
 
-    placed = materialize(rows.mapInArrow(deal, "vec_id long, vec array<double>, leaf long"), "ann-leaves")
-    # max_leaves rows at most
-    sizes = F.broadcast(placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).alias("buckets")))
-    bucketed = placed.join(sizes, "leaf").withColumn("bucket", F.pmod(F.xxhash64("vec_id", "vec"), F.col("buckets"))).drop("buckets")
-    wanted = asked.mapInArrow(ask, "query_id long, vec array<double>, leaf long").join(sizes, "leaf").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1))).drop("buckets")
-
-    def meet(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(found):
-            ids, block = found["vec_id"].to_numpy(), np.stack(found["vec"].to_numpy())
-            for at in range(0, len(queries), 256):
-                part = queries.iloc[at : at + 256]
-                names = part["query_id"].to_numpy()
-                scores = inner_products(np.stack(part["vec"].to_numpy()), block)
-                scores[names[:, None] == ids[None, :]] = -np.inf
-                for q, name in enumerate(names):
-                    places = best(scores[q], ids, k)
-                    out.append(pd.DataFrame({"query_id": name, "vec_id": ids[places], "score": scores[q, places]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    pairs = wanted.groupBy("leaf", "bucket").cogroup(bucketed.groupBy("leaf", "bucket")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    def meet(queries: pa.Table, found: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if queries.num_rows and found.num_rows:
+            asks, block = _matrix(queries, length), _matrix(found, length)
+            names, ids, leaf = (t.column(c).to_numpy() for t, c in ((queries, "query_id"), (found, "vec_id"), (found, "leaf")))
+            visited = queries.column("leaves").to_pylist()
+            order = np.argsort(leaf, kind="stable")
+            block, ids, leaf = block[order], ids[order], leaf[order]
+            # rough scores pick who may be among the k best; those are scored again, component by component
+            slack = 1e-12 * np.sqrt((block**2).sum(axis=1).max()) * np.sqrt((asks**2).sum(axis=1)) * length
+            for start in range(0, len(names), 512):
+                rough = asks[start : start + 512] @ block.T
+                for q in range(len(rough)):
+                    allowed = np.isin(leaf, visited[start + q]) & (ids != names[start + q])
+                    places = np.flatnonzero(allowed)
+                    scores = rough[q, places]
+                    if len(places) > k:
+                        floor = np.partition(scores, len(places) - k)[len(places) - k]
+                        places = places[scores >= floor - slack[start + q]]
+                    exact = inner_products(asks[start + q : start + q + 1], block[places])[0]
+                    chosen = best(exact, ids[places], k)
+                    out.append((np.full(len(chosen), names[start + q]), ids[places[chosen]], exact[chosen]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
+
+    wanted = asked.mapInArrow(ask, "query_id long, vec array<double>, shelf long, bucket long, leaves array<long>")
+    pairs = wanted.groupBy("shelf", "bucket").cogroup(bucketed.groupBy("shelf", "bucket")).applyInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _lists(block: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1) * block.shape[1], pa.int32()), pa.array(block.ravel()))
+
+
+def _matrix(rows: pa.Table, length: int) -> np.ndarray:
+    return rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+
+
 def calibrate(rows: DataFrame, tree: KMeansTree, trial: list, k: int, recall: float) -> int:
     """The least number of leaves to visit at which the trial queries' mean recall reaches the wanted one, and at which each of them finds k rows if there are as many."""
     ids = np.array([r["vec_id"] for r in trial], np.int64)
