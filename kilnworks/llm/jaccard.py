@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import U, mix, span_hashes, text_slices, word_spans
@@ -18,6 +18,8 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: From this percentage on, linked sets agree in parts of about six tokens; below it single rare tokens tell more.
+TIGHT = 88
 #: Band b holds sizes from BAND**b to below BAND**(b + 1).
 BAND = 1.5
 
@@ -82,16 +84,6 @@ def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def prefix_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The set's first tokens in hash order, so many that linked sets share at least one of them."""
-    return mix(tokens[: len(tokens) - -(-len(tokens) * percent // 100) + 1])
-
-
-def keys_of(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Parts hold about six tokens or more where sets differ by a tenth; below that single tokens are fewer and as good."""
-    return block_keys(tokens, percent) if percent >= 88 else prefix_keys(tokens, percent)
-
-
 class SignatureTree:
     """Sets in nodes of `fan` children: each node has the OR of its sets' token bitmaps, their size range and how many tokens a bitmap can hide."""
 
@@ -175,7 +167,7 @@ def _signatures(words: int, percent: int):
                 sizes.append(len(tokens))
                 first.append(int(mix(tokens + U(1)).sum(dtype=np.uint64).view(np.int64)))
                 second.append(int(mix(tokens ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                keys.append(keys_of(tokens, percent).view(np.int64) if len(tokens) and known[i] else np.zeros(0, np.int64))
+                keys.append(block_keys(tokens, percent).view(np.int64) if percent >= TIGHT and len(tokens) and known[i] else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], names=["doc_id", "n", "d1", "d2", "keys"])
 
@@ -202,11 +194,14 @@ def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def _cell(percent: int):
-    """Within a cell: each family part with itself, and with the family's hubs that came along (part -1)."""
+    """Within a cell: each family part with itself, and with the family's hubs that came along (part -1).
+
+    Of every node that links, the smallest of its group in the cell; parted: whether the family goes on elsewhere.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         node, family, part, _, sets = _read(table)
-        out: list[tuple[int, int]] = []
+        u, v, parted = [], [], []
         order = np.lexsort((node, part, family))
         at = 0
         while at < len(order):
@@ -216,9 +211,17 @@ def _cell(percent: int):
             own = order[at:stop]
             # similar sets become neighbours in the tree: by their least token, then by size
             own = own[np.lexsort(([len(sets[i]) for i in own], [int(sets[i][0]) for i in own]))]
-            out += [(node[own[i]], node[own[j]]) for i, j in tree_join([sets[i] for i in own], None, np.arange(len(own)), percent)]
+            group = np.arange(len(own))
+            if tree_join([sets[i] for i in own], None, group, percent):
+                names = node[own]
+                least = np.full(len(own), np.iinfo(np.int64).max)
+                np.minimum.at(least, group, names)
+                linked = np.bincount(group, minlength=len(own))[group] > 1
+                u.append(names[linked])
+                v.append(least[group][linked])
+                parted.append(np.full(int(linked.sum()), bool((part[own] == -1).any())))
             at = stop
-        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+        return pa.table({"u": pa.array(np.concatenate(u or [np.zeros(0, np.int64)])), "v": pa.array(np.concatenate(v or [np.zeros(0, np.int64)])), "parted": pa.array(np.concatenate(parted or [np.zeros(0, bool)]))})
 
     return run
 
@@ -249,27 +252,31 @@ def _sized(families: DataFrame) -> DataFrame:
     return families.join(sizes, "family").select("node", "family", "size")
 
 
-def _by_rare_tokens(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node and key: each set's first tokens in the order of how many sets of the family have them, as many as linked sets must share one of.
+def _by_rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """node and key: each set's first tokens in the order of how many sets have them, as many as linked sets must share one of.
 
-    Tokens that no other set of the family has come first of all and give no key; a passage that the family has in
-    common comes last, and gives none unless nearly all of a set is common.
+    Tokens that no other set has come first of all and give no key, so a set gives none unless nearly all of it is
+    found elsewhere: passages that many sets share do not tie them together. Tokens are shuffled once, to be counted.
     """
-    tokens = large.select("node", "family").join(sets, "node").select("node", "family", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    spread = tokens.groupBy("family", "token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    common = tokens.join(spread, ["family", "token"]).groupBy("node", "family", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("common"))
+    tokens = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    spread = tokens.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("sets > 1")
+    common = spread.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("common"))
     first = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("common"))
-    return common.withColumn("first", F.greatest(F.lit(0), first).cast("int")).select("node", "family", F.explode(F.expr("slice(common, 1, first)")).alias("c")).select("node", F.xxhash64("family", "c.token").alias("key"))
+    return common.withColumn("first", F.greatest(F.lit(0), first).cast("int")).select("node", F.explode(F.expr("slice(common, 1, first)")).alias("c")).select("node", F.col("c.token").alias("key"))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if it has at most that many rows; else the other side is shuffled to it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, part_sets: int = 1024, hubs: int = 8) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, part_sets: int = 1024, hubs: int = 8, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id and n_texts (distinct sets in the component) of each row of docs.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets. Equal sets are one node. Blocking
-    loses no link: linked sets share a key (keys_of), and what shares keys, directly or through others, is a family.
-    Families of more than part_sets sets, such as those round a passage that many share, are blocked again by their
-    own rarest tokens (_by_rare_tokens). A family is joined with itself by signature trees (tree_join). One that still
-    has more than part_sets sets is dealt into parts: each is joined with itself and
+    loses no link: linked sets share a key (block_keys, or _by_rare_tokens where a link allows more difference), and
+    what shares keys, directly or through others, is a family. A family is joined with itself by signature trees
+    (tree_join). One of more than part_sets sets is dealt into parts: each is joined with itself and
     with the family's first `hubs` sets; then the strays, all sets outside the family's largest group, are joined in
     chunks with every part. A pair left out has both sets in that group already, so components are exact and no task
     holds more than two parts.
@@ -283,31 +290,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = materialize(rows.mapInArrow(_signatures(words, percent), "doc_id long, n long, d1 long, d2 long, keys array<long>"), "jaccard-keys")
     known = signed.filter("doc_id is not null and n > 0")
     reps = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"))
-    families = _families(known.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")))
-    members = _sized(reps.select("node").distinct().join(families, "node"))
+    set_of = lambda ids: rows.join(_small(ids.select(F.col("node").alias("doc_id")), broadcast_rows), "doc_id").select("doc_id", "text").mapInArrow(_sets(words), "node long, tokens array<long>")
+    nodes = reps.select("node").distinct()
+    if percent >= TIGHT:
+        keyed = known.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    else:
+        keyed = materialize(_by_rare_tokens(set_of(materialize(nodes, "jaccard-nodes")), percent), "jaccard-keys")
+    members = _sized(nodes.join(_families(keyed), "node")).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / part_sets)))
     members = materialize(members, "jaccard-members")
-    sets_of = rows.join(members.select(F.col("node").alias("doc_id"), "family"), "doc_id").select("doc_id", "text")
-    sets = materialize(sets_of.mapInArrow(_sets(words), "node long, tokens array<long>"), "jaccard-sets")
-    large = members.filter(F.col("size") > part_sets)
-    if not large.isEmpty():
-        again = _sized(_families(_by_rare_tokens(large, sets, percent)))
-        members = materialize(members.filter(F.col("size") <= part_sets).unionByName(again), "jaccard-members")
-    members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / part_sets)))
+    sets = materialize(set_of(members), "jaccard-sets")
     total = members.agg(F.count(F.lit(1))).first()[0]
     cells = max(1, total // part_sets)
     parted = members.filter(F.col("size") > part_sets)
     first = parted.select("family", "node", "part").groupBy("family").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("part") < 1, F.col("node")))), 1, hubs).alias("nodes"), F.max("part").alias("parts"))
     lead = first.select("family", F.explode("nodes").alias("node"), "parts")
-    lead = lead.join(sets, "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "parts")))
+    lead = sets.join(_small(lead, broadcast_rows), "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "parts")))
     cell = F.when(F.col("size") > part_sets, F.xxhash64("family", "part")).otherwise(F.pmod(F.xxhash64("family"), F.lit(cells)))
-    dealt = sets.join(members, "node").select(cell.alias("cell"), "node", "family", "part", F.lit(0).cast("long").alias("grouped"), "tokens")
+    dealt = sets.join(_small(members, broadcast_rows), "node").select(cell.alias("cell"), "node", "family", "part", F.lit(0).cast("long").alias("grouped"), "tokens")
     dealt = dealt.unionByName(lead.select(F.xxhash64("family", "part").alias("cell"), "node", "family", F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("grouped"), "tokens"))
-    links = materialize(dealt.groupBy("cell").applyInArrow(_cell(percent), "u long, v long"), "jaccard-links")
-    grouped = components(links, "jaccard-groups")
+    links = materialize(dealt.groupBy("cell").applyInArrow(_cell(percent), "u long, v long, parted boolean"), "jaccard-links")
+    # a family that was in one cell is done
+    grouped = links.filter("not parted").select(F.col("u").alias("node"), F.col("v").alias("component"))
     if not parted.isEmpty():
-        links = links.unionByName(_strays(parted, sets, grouped, percent, part_sets))
-        grouped = components(links, "jaccard-groups")
-    grouped = grouped.select("node", "component")
+        wide = links.filter("parted").select("u", "v")
+        merged = components(wide, "jaccard-groups")
+        more = _strays(parted, sets, merged, percent, part_sets, broadcast_rows)
+        if more is not None:
+            merged = components(wide.unionByName(more), "jaccard-groups")
+        grouped = grouped.unionByName(merged)
     named = reps.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     texts = named.groupBy("component").agg(F.count(F.lit(1)).alias("n_texts"))
     named = named.join(texts, "component").select("d1", "d2", "n", "component", "n_texts")
@@ -316,13 +326,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_texts", F.lit(1))).alias("n_texts"))
 
 
-def _strays(parted: DataFrame, sets: DataFrame, grouped: DataFrame, percent: int, part_sets: int) -> DataFrame:
-    """Links between the sets outside a large family's largest group and all of its sets."""
+def _strays(parted: DataFrame, sets: DataFrame, grouped: DataFrame, percent: int, part_sets: int, broadcast_rows: int) -> DataFrame | None:
+    """Links between the sets outside a large family's largest group and all of its sets; None where there are no such sets."""
     now = parted.select("node", "family", "part").join(grouped, "node", "left").withColumn("grouped", F.coalesce("component", "node")).select("node", "family", "part", "grouped")
     groups = now.groupBy("family", "grouped").agg(F.count(F.lit(1)).alias("size"))
     main = groups.groupBy("family").agg(F.max(F.struct("size", "grouped")).getField("grouped").alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
     main = main.withColumn("chunks", F.ceil((F.col("all") - F.col("most")) / part_sets)).filter("chunks > 0")
-    now = now.join(main.select("family", "main", "chunks"), "family").join(sets, "node")
+    main = materialize(main.select("family", "main", "chunks"), "jaccard-main")
+    if main.isEmpty():
+        return None
+    now = materialize(now.join(main, "family"), "jaccard-strays")
+    now = sets.join(_small(now, broadcast_rows), "node")
     parts = parted.groupBy("family").agg(F.max("part").alias("parts"))
     stray = now.filter("grouped <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))).join(parts, "family")
     stray = stray.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), "parts"))).select(F.xxhash64("family", "to", "chunk").alias("cell"), "node", "family", F.lit(-1).cast("long").alias("part"), "grouped", "tokens")
