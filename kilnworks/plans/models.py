@@ -28,24 +28,30 @@ def lag_frame(s: SparkSession, d: str) -> DataFrame:
 @query("q_ols2", f"WITH {LAGS} SELECT round(regr_intercept(y, y1), 6) AS intercept, round(regr_slope(y, y1), 6) AS slope FROM W")
 def ols2(s: SparkSession, d: str) -> DataFrame:
     c = ident.solve(*ident.gram(lag_frame(s, d).dropna(), ["y1"], "y"))
-    return s.createDataFrame([(round(float(c[0]), 6), round(float(c[1]), 6))], "intercept double, slope double")
+    return fit_row(s, c, ["intercept", "slope"])
 
 
 @query("q_ridge1", f"WITH {LAGS}, a AS (SELECT count(*) AS n, avg(y1) AS mx, avg(y) AS my, covar_pop(y1, y) AS c, var_pop(y1) AS v FROM W), b AS (SELECT *, (c / sqrt(v) * n) / (n + 10) / sqrt(v) AS slope FROM a) SELECT round(my - slope * mx, 6) AS intercept, round(slope, 6) AS slope FROM b")
 def ridge1(s: SparkSession, d: str) -> DataFrame:
     c = ident.solve(*ident.gram(lag_frame(s, d).dropna(), ["y1"], "y"), alpha=10)
-    return s.createDataFrame([(round(float(c[0]), 6), round(float(c[1]), 6))], "intercept double, slope double")
+    return fit_row(s, c, ["intercept", "slope"])
 
 
 @query("q_arx1", f"WITH {LAGS}, a AS (SELECT avg(y) AS my, avg(y1) AS m1, avg(u2) AS m2, var_pop(y1) AS v1, var_pop(u2) AS v2, covar_pop(y1, u2) AS c12, covar_pop(y, y1) AS c1, covar_pop(y, u2) AS c2 FROM W), b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS a1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM a) SELECT round(my - a1 * m1 - b2 * m2, 6) AS intercept, round(a1, 6) AS a1, round(b2, 6) AS b2 FROM b")
 def arx1(s: SparkSession, d: str) -> DataFrame:
     c = ident.solve(*ident.gram(lag_frame(s, d).dropna(), ["y1", "u2"], "y"))
-    return s.createDataFrame([tuple(round(float(x), 6) for x in c)], "intercept double, a1 double, b2 double")
+    return fit_row(s, c, ["intercept", "a1", "b2"])
 
 
 MODEL = [20.0, 0.6, 0.2]
 
 
+def fit_row(s: SparkSession, fit, names: list[str]) -> DataFrame:
+    """The fit's numbers as one row, rounded; nulls where there were too few rows to fit."""
+    values = [None] * len(names) if fit is None else [round(float(x), 6) for x in fit]
+    return s.createDataFrame([tuple(values)], ", ".join(f"{n} double" for n in names))
+
+
 @query("q_predict", f"WITH {LAGS} SELECT h, round(20 + .6 * y1 + .2 * u2, 6) AS predicted, round(y - (20 + .6 * y1 + .2 * u2), 6) AS residual FROM W")
 def predict(s: SparkSession, d: str) -> DataFrame:
     p = ident.prediction(MODEL, ["y1", "u2"])
@@ -90,7 +96,7 @@ def firx_eval(s: SparkSession, d: str) -> DataFrame:
 @query("q_pole1", f"WITH {LAGS} SELECT round(regr_slope(y, y1), 6) AS pole, abs(regr_slope(y, y1)) < 1 AS stable FROM W")
 def pole1(s: SparkSession, d: str) -> DataFrame:
     c = ident.solve(*ident.gram(lag_frame(s, d).dropna(), ["y1"], "y"))
-    return s.createDataFrame([(round(float(c[1]), 6), ident.is_stable(c[1:]))], "pole double, stable boolean")
+    return s.createDataFrame([(None, None) if c is None else (round(float(c[1]), 6), ident.is_stable(c[1:]))], "pole double, stable boolean")
 
 
 @query("q_structure_search")
@@ -110,7 +116,7 @@ def mimo_bank(s: SparkSession, d: str) -> DataFrame:
         features = ident.lag_names(1, {c: 1 for c in INPUTS}, output)
         names = [n for n, _, _ in features]
         c = ident.solve(*ident.gram(ident.feature_frame(df, features, "h"), names, output), alpha=1.0)
-        rows += [(output, n, round(float(x), 6)) for n, x in zip(["intercept", *names], c)]
+        rows += [(output, n, round(float(x), 6)) for n, x in zip(["intercept", *names], () if c is None else c)]
     return s.createDataFrame(rows, "output string, term string, coefficient double")
 
 

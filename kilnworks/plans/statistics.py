@@ -304,24 +304,25 @@ def rounds(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select(F.col("o_custkey").alias("study"), F.row_number().over(w).cast("long").alias("round"), F.col("o_totalprice").alias("score"), "o_orderkey")
 
 
-BY_ROUND = Window.partitionBy("study").orderBy("round")
+def by_round():
+    return Window.partitionBy("study").orderBy("round")
 
 
 @query("q_round_delta", f"WITH {RUNS} SELECT study, round, round(score - lag(score) OVER (PARTITION BY study ORDER BY round), 4) AS delta FROM r")
 def round_delta(s: SparkSession, d: str) -> DataFrame:
-    return rounds(s, d).select("study", "round", F.round(F.col("score") - F.lag("score").over(BY_ROUND), 4).alias("delta"))
+    return rounds(s, d).select("study", "round", F.round(F.col("score") - F.lag("score").over(by_round()), 4).alias("delta"))
 
 
 @query("q_best_so_far", f"WITH {RUNS} SELECT study, round, max(score) OVER (PARTITION BY study ORDER BY round) AS best FROM r")
 def best_so_far(s: SparkSession, d: str) -> DataFrame:
-    return rounds(s, d).select("study", "round", F.max("score").over(BY_ROUND).alias("best"))
+    return rounds(s, d).select("study", "round", F.max("score").over(by_round()).alias("best"))
 
 
 @query("q_streak", f"WITH {RUNS}, b AS (SELECT study, round, score > coalesce(max(score) OVER (PARTITION BY study ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS better FROM r), g AS (SELECT *, sum(CASE WHEN better THEN 1 ELSE 0 END) OVER (PARTITION BY study ORDER BY round) AS island FROM b) SELECT study, round, row_number() OVER (PARTITION BY study, island ORDER BY round) - 1 AS streak FROM g")
 def streak(s: SparkSession, d: str) -> DataFrame:
-    before = F.max("score").over(BY_ROUND.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("score").over(by_round().rowsBetween(Window.unboundedPreceding, -1))
     b = rounds(s, d).withColumn("better", (F.col("score") > F.coalesce(before, F.lit(-1.0))).cast("int"))
-    g = b.withColumn("island", F.sum("better").over(BY_ROUND.rowsBetween(Window.unboundedPreceding, 0)))
+    g = b.withColumn("island", F.sum("better").over(by_round().rowsBetween(Window.unboundedPreceding, 0)))
     return g.select("study", "round", (F.row_number().over(Window.partitionBy("study", "island").orderBy("round")) - 1).cast("long").alias("streak"))
 
 
@@ -330,7 +331,7 @@ def streak(s: SparkSession, d: str) -> DataFrame:
 def study_decisions(s: SparkSession, d: str) -> DataFrame:
     """A candidate whose signature was tried before is equivalent; one that breaks a constraint infeasible; else it is compared with the best before."""
     signature = F.floor(F.col("score") / 1000).cast("long")
-    b = rounds(s, d).withColumn("signature", signature).withColumn("best", F.max("score").over(BY_ROUND.rowsBetween(Window.unboundedPreceding, -1)))
+    b = rounds(s, d).withColumn("signature", signature).withColumn("best", F.max("score").over(by_round().rowsBetween(Window.unboundedPreceding, -1)))
     b = b.withColumn("seen", F.row_number().over(Window.partitionBy("study", "signature").orderBy("round")) > 1)
     return b.select("study", "round", F.when(F.col("seen"), "equivalent").when(F.col("score") < 20000, "infeasible").when(F.col("best").isNull() | (F.col("score") > F.col("best")), "new_best").otherwise("not_improved").alias("decision"))
 

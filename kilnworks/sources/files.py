@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +25,35 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    """All columns as strings, in the first encoding that reads the header without a replaced character; types are coerced later.
+    """All columns as strings, in the first encoding that reads the header and the first row without a replaced character; types are coerced later.
 
-    columns, if given, are all that is read; a byte order mark is dropped.
+    columns, if given, are all that is kept; a byte order mark is dropped.
     """
     for encoding in encodings:
-        df = spark.read.option("header", True).option("encoding", encoding).option("multiLine", encoding == "UTF-16").csv(path)
+        df = _decoded_csv(spark, path, encoding) if encoding not in ("UTF-8", "UTF-16") else spark.read.option("header", True).option("encoding", encoding).option("multiLine", encoding == "UTF-16").csv(path)
         head = "".join(df.columns) + "".join(str(x) for x in (df.first() or ()))
-        if "�" not in head and "\x00" not in head:
-            named = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+        if "\ufffd" not in head and "\x00" not in head:
+            named = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
             return named.select(*columns) if columns else named
     raise ValueError(f"none of {', '.join(encodings)} reads {path}")
 
 
+def _decoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """For encodings that Spark's reader doesn't know but whose line breaks are bytes of their own: lines are decoded in Arrow batches."""
+
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([None if v is None else v.decode(encoding, "replace").rstrip("\r") for v in batch.column(0).to_pylist()], pa.string())], names=["line"])
+
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("value")).mapInArrow(decode, "line string")
+    first = lines.first()
+    if first is None:
+        return spark.createDataFrame([], "_c0 string")
+    names = next(csv.reader([first["line"]]))
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return lines.filter(F.col("line") != first["line"]).select(F.from_csv("line", schema).alias("row")).select("row.*")
+
+
 def read_whitespace(spark: SparkSession, path: str, columns: Sequence[str], skip: int = 0) -> DataFrame:
     """Lines of numbers without a header; the names are documented, never guessed, and lines of another width are left out."""
     lines = spark.read.text(path).withColumn("_parts", F.split(F.trim("value"), r"\s+"))

@@ -10,7 +10,7 @@ import pytest
 
 from kilnworks.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
