@@ -130,8 +130,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     words = docs.select(docs[id_col].alias("doc_id"), normalise(docs[text_col].cast("string")).alias("words"))
     gate = f" (?:{'|'.join(sorted({r[3] for r in rules()}))}) "
-    words = words.withColumn("key", F.when(F.col("words").rlike(gate), F.struct(F.xxhash64("words").alias("hash"), F.length("words").alias("length"))))
-    left = surviving(detections(words.filter("key is not null").dropDuplicates(["key"]).select("key", "words")))
+    # every row has a key, so rows without a detection are dealt out evenly too
+    words = words.withColumn("key", F.struct(F.xxhash64("words").alias("hash"), F.length("words").alias("length")))
+    left = surviving(detections(words.filter(F.col("words").rlike(gate)).dropDuplicates(["key"]).select("key", "words")))
     base = F.col("priority") == 100
     join = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.flatten(labels))), ",")
     per_text = left.groupBy("key").agg(
