@@ -48,3 +48,8 @@ def stream_dedup(s: SparkSession, d: str) -> DataFrame:
 def stream_enrich(s: SparkSession, d: str) -> DataFrame:
     n = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
     return run_to_end(s, d, lambda e: process.enrich(e.withColumn("k", F.col("user_id") % 25), n, "k").select("event_id", "n_name"), "append")
+
+
+@query("stream_causal_fill", "WITH x AS (SELECT user_id, event_id, ts, CASE WHEN value BETWEEN 10 AND 400 THEN value END AS v FROM events) SELECT user_id, event_id, round(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS value FROM x")
+def stream_causal_fill(s: SparkSession, d: str) -> DataFrame:
+    return run_to_end(s, d, process.causal_fill, "append").select("user_id", "event_id", *r6("value"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kilnworks.operators.series import EVENT_TYPES
 
@@ -33,3 +35,28 @@ def first_seen(events: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
 def enrich(events: DataFrame, static: DataFrame, on: str) -> DataFrame:
     """A stream joined with a table that does not change."""
     return events.join(static, on, "left")
+
+
+def causal_fill(events: DataFrame, limit: int = 6, ts: str = "ts") -> DataFrame:
+    """Each user's readings with values out of 10 to 400 replaced by the last good one of at most `limit` readings before.
+
+    State is a user's last good value and how many readings ago it was: bounded, and never looks ahead. Readings must
+    come in order for each user, as from a log; within a batch they are sorted.
+    """
+
+    def clean(key, frames, state: GroupState):
+        good, age = state.get if state.exists else (None, 0)
+        for rows in frames:
+            rows = rows.sort_values(["us", "event_id"])
+            out = []
+            for value in rows["value"]:
+                if value is not None and 10 <= value <= 400:
+                    good, age = float(value), 0
+                else:
+                    age += 1
+                out.append(good if good is not None and age <= limit else None)
+            yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "value": pd.array(out, dtype="Float64")})
+        state.update((good, age))
+
+    rows = events.select("user_id", "event_id", F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), "value")
+    return rows.groupBy("user_id").applyInPandasWithState(clean, "user_id long, event_id long, value double", "good double, age long", "append", GroupStateTimeout.NoTimeout)
