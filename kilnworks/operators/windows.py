@@ -36,7 +36,18 @@ def smoothness(change: Column, x: Column) -> Column:
 
 
 def snr(df: DataFrame, column: str, groups: Sequence[str], order: str = "rn", least: int = 15) -> DataFrame:
-    """groups, variable, snr_db, signal_power, noise_power, valid_samples: white noise is told from second differences by their median deviation."""
+    """groups, variable, snr_db, signal_power, noise_power, valid_samples of one column."""
+    return _snr(df, column, groups, order, least).withColumn("variable", F.lit(column))
+
+
+def snr_of_all(df: DataFrame, columns: Sequence[str], groups: Sequence[str], order: str = "rn", least: int = 15) -> DataFrame:
+    """The same of several columns, in one pass over a row for each of them."""
+    tall = df.unpivot([*groups, order], list(columns), "variable", "_value")
+    return _snr(tall, "_value", [*groups, "variable"], order, least)
+
+
+def _snr(df: DataFrame, column: str, groups: Sequence[str], order: str, least: int) -> DataFrame:
+    """White noise is told from second differences by their median deviation."""
     w = Window.partitionBy(*groups).orderBy(order)
     x = F.col(column)
     second = x - 2 * F.lag(x, 1).over(w) + F.lag(x, 2).over(w)
@@ -47,7 +58,7 @@ def snr(df: DataFrame, column: str, groups: Sequence[str], order: str = "rn", le
     ok = (F.col("valid_samples") >= max(15, least)) & (F.col("_n2") >= max(12, max(15, least) - 3)) & (F.col("_total") > 1e-12) & (F.col("_sigma") > 1e-12)
     noise = F.col("_sigma") * F.col("_sigma")
     signal = F.greatest(F.col("_total") - noise, F.lit(1e-12))
-    return stats.select(*groups, F.lit(column).alias("variable"), F.when(ok, 10 * F.log10(signal / noise)).alias("snr_db"), F.when(ok, signal).alias("signal_power"), F.when(ok, noise).alias("noise_power"), F.col("valid_samples").cast("long").alias("valid_samples"))
+    return stats.select(*groups, F.when(ok, 10 * F.log10(signal / noise)).alias("snr_db"), F.when(ok, signal).alias("signal_power"), F.when(ok, noise).alias("noise_power"), F.col("valid_samples").cast("long").alias("valid_samples"))
 
 
 def window_snr(snrs: DataFrame, inputs: Sequence[str], outputs: Sequence[str], groups: Sequence[str] = ("window_id",)) -> DataFrame:
@@ -73,10 +84,7 @@ def score_windows(df: DataFrame, inputs: Sequence[str], output: str, columns: Se
         F.min(order).alias("start_rn"), F.max(order).alias("end_rn"), mean([relative_range(F.col(c), INPUT_SCALE) for c in inputs]).alias("input_change"), relative_range(F.col(output), OUTPUT_SCALE).alias("output_response"),
         (100 * (1 - missing)).alias("completeness"), (100 * (1 - bad)).alias("anomaly"), mean([smoothness(F.col(f"_d_{c}"), F.col(c)) for c in columns]).alias("smoothness"), F.count(output).alias("output_observations"),
     )
-    snrs = None
-    for c in [*inputs, output]:
-        one = snr(rows, c, groups, order)
-        snrs = one if snrs is None else snrs.unionByName(one)
+    snrs = snr_of_all(rows, [*inputs, output], groups, order)
     scores = scores.join(window_snr(snrs, inputs, [output], groups), groups)
     scores = scores.withColumn("score", sum((F.col(name) * share for name, share in WEIGHTS.items()), F.lit(0.0)))
     return scores.withColumn("level", level(F.col("score"), F.col("snr_db")))

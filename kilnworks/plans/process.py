@@ -219,11 +219,7 @@ def snr(s: SparkSession, d: str) -> DataFrame:
 @query("q_window_snr", f"WITH {SCORES} SELECT window_id, round(snr_db, 6) AS snr_db FROM L")
 def window_snr(s: SparkSession, d: str) -> DataFrame:
     rows = windows.explode_windows(repaired(s, d))
-    parts = [windows.snr(rows, c, ["window_id"]) for c in [*INPUTS, OUTPUT]]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return windows.window_snr(union, INPUTS, [OUTPUT]).select("window_id", *r6("snr_db"))
+    return windows.window_snr(windows.snr_of_all(rows, [*INPUTS, OUTPUT], ["window_id"]), INPUTS, [OUTPUT]).select("window_id", *r6("snr_db"))
 
 
 @query("q_segment_rank", f"WITH {SCORES} SELECT window_id, round(score, 2) AS score, row_number() OVER (ORDER BY round(score, 2) DESC, start_rn) AS place FROM L")
