@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import U, mix, span_hashes, text_slices, word_spans
+from ._bytes import U, mix, small, span_hashes, text_slices, word_spans
 from ._common import materialize
 from .components import components
 
@@ -160,7 +160,7 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, group: np.
 
 def _signatures(words: int, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sizes, first, second, keys = [], [], [], []
             known = batch.column(0).is_valid().to_pylist()
             for i, tokens in enumerate(shingle_sets(batch.column(1), words)):
@@ -176,7 +176,7 @@ def _signatures(words: int, percent: int):
 
 def _sets(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "tokens"])
