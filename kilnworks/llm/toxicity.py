@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,9 +25,12 @@ SUBSTITUTED, REPEATED, SPACED = 1.0, 0.5, 0.5
 DROPPED_SIGN, DROPPED_END = 9.0, 0.1
 #: The share of toxic texts among those with a feature that marks toxicity, and how many features do.
 PURITY, PRIOR = 0.995, 1e-8
-#: Words longer than this are not decoded: nobody writes them so.
+#: Longer words and runs are decoded in pieces of twice this length, each starting this far after the one before.
 LONGEST = 64
 
+#: How much dearer than the cheapest cut of a run into words one may be for its words to count.
+SLACK = 6.0
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LETTER = np.zeros(256, bool)
@@ -39,6 +43,51 @@ _LEET[[ord(c) for c in LEET]] = True
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _SYMBOL[128:] = 27
+_MARKS = re.compile(f"[^a-z\x80-\xff{re.escape(''.join(LEET))}]+")
+#: By code point, what folded() makes of a character: 0 leaves it, _GONE takes it away, any other byte takes its place.
+_UNKNOWN, _GONE = 255, 254
+_FOLD = np.full(0x110000, _UNKNOWN, np.uint8)
+
+
+def _fold(code: int) -> int:
+    c = chr(code)
+    kind = unicodedata.category(c)
+    if kind == "Cf":
+        return _GONE  # soft hyphens, joiners and marks of direction have no width
+    if kind[0] == "Z" or kind == "Cc":
+        return ord(" ")
+    if kind[0] in "PS":
+        plain = "!" if c == "\u00a1" else unicodedata.normalize("NFKC", c)
+        return ord(plain) if len(plain) == 1 and "!" <= plain <= "~" and not plain.isalnum() else ord("'")
+    return 0
+
+
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with blanks, marks and signs beyond ASCII as single bytes of ASCII, and without characters of no width; letters stay."""
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return data, offsets
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    code = data[lead].astype(np.int64) & (0x7F >> size)
+    whole = np.ones(len(lead), bool)
+    for i in (1, 2, 3):
+        tail = padded[lead + i].astype(np.int64)
+        code = np.where(i < size, code << 6 | tail & 0x3F, code)
+        whole &= (i >= size) | (tail & 0xC0 == 0x80)
+    lead, size, code = (x[whole & (code < len(_FOLD))] for x in (lead, size, code))
+    new = np.unique(code[_FOLD[code] == _UNKNOWN])
+    _FOLD[new] = [_fold(int(c)) for c in new]
+    to = _FOLD[code]
+    lead, size, to = (x[to > 0] for x in (lead, size, to))
+    if not len(lead):
+        return data, offsets
+    data, keep = data.copy(), np.ones(len(data), bool)
+    data[lead] = to
+    keep[lead[to == _GONE]] = False
+    for i in (1, 2, 3):
+        keep[lead[i < size] + i] = False
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
 class CharacterModel:
@@ -53,44 +102,95 @@ class CharacterModel:
         three = three + 20 * two[None, :, :]
         self.cost = -np.log(three / three.sum(axis=2, keepdims=True))
         self.table: list[list[list[float]]] = self.cost.tolist()
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, bool], str] = {}
+        self.read: dict[tuple[bytes, bool], list[bytes]] = {}
 
-    def decode(self, word: str) -> str:
+    def decode(self, word: str, edges: bool = False) -> str:
         """The likeliest letters for a disguised word: a Viterbi search over the lattice of what each character may stand for.
 
         States are the last two letters. A letter stands for itself or, after the same one, for a repetition; a sign for
-        the letters it replaces; any other mark, and a sign too, for nothing where letters stand on both sides.
+        the letters it replaces; any other mark, and a sign too, for nothing where letters stand on both sides. Bytes
+        beyond ASCII, one character each, stand for themselves. With edges a word may end before any character.
         """
-        if word in self.known:
-            return self.known[word]
+        if (word, edges) in self.known:
+            return self.known[word, edges]
         # state: (letter before last, last letter) -> (cost, letters)
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         runs = [len(m.group()) for m in re.finditer(r"(.)\1*", word, re.S) for _ in m.group()]
         for i, c in enumerate(word):
             after: dict[tuple[int, int], tuple[float, str]] = {}
+            if edges and i:
+                ended = min(((cost + self.table[a][b][0], text) for (a, b), (cost, text) in states.items() if b), default=None)
+                if ended and ((0, 0) not in states or ended < states[0, 0]):
+                    states[0, 0] = ended
 
             def offer(key: tuple[int, int], cost: float, text: str) -> None:
                 if key not in after or (cost, text) < after[key]:
                     after[key] = (cost, text)
 
             plain = "a" <= c <= "z"
-            options = [(c, 0.0)] if plain else [(x, SUBSTITUTED + (0.0 if len(LEET[c]) < 3 else 1.5)) for x in LEET.get(c, "")]
+            options = [(c, 0.0)] if plain or c >= "\x80" else [(x, SUBSTITUTED + (0.0 if len(LEET[c]) < 3 else 1.5)) for x in LEET.get(c, "")]
             for (a, b), (cost, text) in states.items():
                 for letter, paid in options:
-                    s = ord(letter) - 96
+                    s = ord(letter) - 96 if letter < "\x80" else 27
                     offer((b, s), cost + paid + self.table[a][b][s], text + letter)
                 if i and b and runs[i] > 2 and ((plain and text[-1:] == c) or (not plain and (c in LEET and text[-1:] in LEET[c]))):
                     offer((a, b), cost + REPEATED, text)  # written again; twice is meant
-                if not plain:
+                if not plain and c < "\x80":
                     inner = 0 < i < len(word) - 1
                     offer((a, b), cost + (SPACED if inner and c not in LEET else DROPPED_SIGN if inner or c.isdigit() or c in "@$" else DROPPED_END), text)
             states = after
         best = min(((cost + self.table[a][b][0], text) for (a, b), (cost, text) in states.items()), default=(0.0, ""))[1]
         if len(self.known) > 200_000:
             self.known.clear()
-        self.known[word] = best
+        self.known[word, edges] = best
         return best
 
+    def words_in(self, letters: str) -> list[tuple[int, int]]:
+        """(start, stop) of the words of all ways to cut the letters that cost at most SLACK more than the cheapest."""
+        s = np.array([ord(c) - 96 if c < "\x80" else 27 for c in letters])
+        n, cost = len(s), self.cost
+        if n < 2:
+            return [(0, n)]
+        inner = np.concatenate([[0, 0, 0], np.cumsum(cost[s[:-2], s[1:-1], s[2:]])])  # of the letters that follow two, up to each place
+        word = np.full((n + 1, n + 1), np.inf)
+        word[: n - 1, 2:] = np.where(np.arange(2, n + 1)[None, :] >= np.arange(2, n + 1)[:, None], (cost[0, 0, s[:-1]] + cost[0, s[:-1], s[1:]] - inner[2:])[:, None] + (inner[2:] + cost[s[:-1], s[1:], 0])[None, :], np.inf)
+        word[np.arange(n), np.arange(1, n + 1)] = cost[0, 0, s] + cost[0, s, 0]
+        to, after = np.zeros(n + 1), np.zeros(n + 1)
+        for j in range(1, n + 1):
+            to[j] = (to[:j] + word[:j, j]).min()
+        for i in range(n - 1, -1, -1):
+            after[i] = (after[i + 1 :] + word[i, i + 1 :]).min()
+        return [(int(i), int(j)) for i, j in np.argwhere(to[:, None] + word + after[None, :] <= to[n] + SLACK)]
+
+    def readings(self, word: bytes, edges: bool) -> list[bytes]:
+        """A disguised word as one word and, with edges, the likely words in it; of a long one only those, from overlapping pieces.
+
+        A character written more than four times in a long one counts four times. Words that a piece's ends cut are
+        left to its neighbours.
+        """
+        text = word.decode("latin-1")
+        if len(text) > LONGEST:
+            text = re.sub(r"(.)\1{4,}", r"\1\1\1\1", text, flags=re.S)
+        long = len(text) > LONGEST
+        if (word, edges) in self.read:
+            return self.read[word, edges]
+        found = [] if long else [self.decode(text.replace(" ", ""))]
+        for start in range(0, max(1, len(text) - LONGEST), LONGEST) if edges or long else ():
+            stop = start + 2 * LONGEST
+            parts = [self.decode(part, True) for part in text[start:stop].split(" ")]
+            for at, letters in enumerate(parts):
+                cut = (start > 0 and at == 0, stop < len(text) and at == len(parts) - 1)
+                found += [letters[i:j] for i, j in self.words_in(letters) if not (cut[0] and i == 0 or cut[1] and j == len(letters))]
+        if edges:  # marks may part words too
+            found += [self.decode(w) for w in _MARKS.split(text) if 3 <= len(w) <= LONGEST and w != text and any(c in LEET for c in w)]
+        if len(self.read) > 50_000:
+            self.read.clear()
+        out = [w.encode("latin-1") for w in dict.fromkeys(found) if w]
+        if not long:
+            self.read[word, edges] = out
+        return out
+
 
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of all symbol trigrams within the words of all texts; SYMBOLS**3 numbers come to the driver."""
@@ -99,6 +199,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in small(batches):
             for _, data, offsets in text_slices(batch.column(0)):
+                data, offsets = folded(data, offsets)
                 # two edges stand between rows, so no trigram reaches over one
                 s = np.zeros(len(data) + 2 * len(offsets), np.int64)
                 s[np.arange(len(data)) + 2 * np.repeat(np.arange(1, len(offsets)), np.diff(offsets))] = _SYMBOL[_LOWER[data]]
@@ -116,47 +217,52 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return counts
 
 
-def suspicious(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, rows: np.ndarray) -> list[tuple[int, bytes]]:
-    """(row, disguised word) for blank-separated words that mix letters with signs or marks or repeat letters, and for runs of single characters, joined."""
+def suspicious(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, rows: np.ndarray) -> list[tuple[int, bytes, bool]]:
+    """(row, disguised word, whether it may be several) for blank-separated words that mix letters with signs or marks or repeat letters, and for runs of single characters, joined.
+
+    A run keeps a blank where its characters stand further apart than elsewhere in it.
+    """
     if not len(starts):
         return []
-    letters = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 128))])
-    signs = np.concatenate([[0], np.cumsum(_LEET[data])])
-    wide = np.concatenate([[0], np.cumsum(data >= 128)])
+    upto = lambda marked: np.concatenate([[0], np.cumsum(marked)])
+    letters, signs, wide, leads = upto(_LETTER[data] & (data < 128)), upto(_LEET[data]), upto(data >= 128), upto(data >= 0xC0)
     same = np.zeros(len(data) + 1, np.int64)
     triple = np.zeros(len(data), bool)
     triple[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTER[data[2:]]
     same[1:] = np.cumsum(triple)
     n = stops - starts
-    has, odd = letters[stops] - letters[starts], signs[stops] - signs[starts]
-    ascii_only = wide[stops] == wide[starts]
+    plain, odd, broad = letters[stops] - letters[starts], signs[stops] - signs[starts], wide[stops] - wide[starts]
+    has = plain + leads[stops] - leads[starts]  # letters beyond ASCII count once
     inner = np.minimum(starts + 2, stops)
     thrice = same[stops] - same[inner] > 0
     last = (stops - 1).clip(0)
     trimmed = has + odd + ~_LETTER[data[last]]  # closing punctuation is no disguise
-    marks = n - has - odd
-    word = ascii_only & (n <= LONGEST) & (((has >= 1) & (odd >= 1) & (has + odd >= 3)) | ((has >= 3) & thrice) | ((has + odd >= 3) & (marks >= 2) & (marks >= has + odd - 2) & (trimmed > 0)))
-    out = [(int(rows[i]), data[starts[i] : stops[i]].tobytes()) for i in np.flatnonzero(word)]
-    single = ascii_only & (n == 1) & (has + odd == 1)
+    marks = n - plain - odd - broad
+    word = (plain >= 1) & (((odd >= 1) & (has + odd >= 3)) | ((has >= 3) & thrice) | ((has + odd >= 3) & (marks >= 2) & (marks >= has + odd - 2) & (trimmed > 0)))
+    # marks that only close a word part nothing
+    out = [(int(rows[i]), data[starts[i] : stops[i]].tobytes(), bool(marks[i] > (not (_LETTER | _LEET)[data[last[i]]]))) for i in np.flatnonzero(word)]
+    single = (has + odd == 1) & (marks == 0) & (n == plain + odd + broad)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
     for a, b in zip(edge[::2], edge[1::2]):
         cuts = np.flatnonzero(np.diff(rows[a:b])) + a + 1
         for x, y in zip([a, *cuts], [*cuts, b]):
-            if 3 <= y - x <= LONGEST:
-                out.append((int(rows[x]), data[starts[x:y]].tobytes()))
+            if y - x >= 3:
+                gaps = starts[x + 1 : y] - stops[x : y - 1]
+                apart = np.concatenate([[False], gaps > gaps.min()])
+                out.append((int(rows[x]), b"".join(b" " * int(w) + data[i:j].tobytes() for i, j, w in zip(starts[x:y], stops[x:y], apart)), True))
     return out
 
 
 def features(column: pa.Array, model: CharacterModel, kinds: tuple[int, ...] = (0, 4, 5, 6), explained: Lookup | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, rows, feature hashes): every word of the restored text, and its first 4, 5 and 6 bytes.
 
-    Words are runs of letters and of bytes beyond ASCII. A disguised word gives the features of its restored letters
-    besides those of its own parts. kinds picks whole words (0) and beginnings; explained words give no beginnings.
+    Words are runs of letters, also of those beyond ASCII. A disguised word gives the features of its restored letters
+    besides those of its own parts, and one that may be several words those of its likeliest words too. kinds picks whole words (0) and beginnings; explained words give no beginnings.
     """
     for first, data, offsets in text_slices(column):
-        data = _LOWER[data]
+        data, offsets = folded(_LOWER[data], offsets)
         starts, stops, rows = word_spans(data, offsets, _BLANK)
-        more = [(row, text.encode()) for row, word in suspicious(data, starts, stops, rows) if (text := model.decode(word.decode("ascii")))]
+        more = [(row, text) for row, word, edges in suspicious(data, starts, stops, rows) for text in model.readings(word, edges)]
         parts = [(data, *word_spans(data, offsets, ~_LETTER))]
         if more:
             joined = np.frombuffer(b"".join(w for _, w in more), np.uint8)
@@ -317,6 +423,10 @@ def feature_weights(positive: np.ndarray, negative: np.ndarray, rate: float) ->
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of docs; only the text makes the score.
 
+    Disguises are restored at any length: long words and runs of single characters in overlapping pieces, with word
+    edges where the character model puts them, so that a run may be cut wrongly. Blanks, marks and signs beyond ASCII
+    count as those of ASCII; letters beyond ASCII stand for themselves, so look-alikes of a-z are not restored.
+
     Null and empty texts get the score of no features. A null id has a null held_out. Repeated rows give repeated
     results; other columns are not read; empty tables give no rows.
     """
