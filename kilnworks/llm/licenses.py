@@ -84,17 +84,23 @@ def detections(texts: DataFrame) -> DataFrame:
     """key, rule, label, priority, confidence, start and stop (in words, stop excluded) of all matches of the rules.
 
     texts: key and words, as normalise() gives them, one row for each key. Only pairs of a text and a rule whose gating
-    word the text holds meet the rule's regular expression.
+    word the text holds meet the rule's regular expression, once for the first such word of the rule.
     """
-    table = texts.sparkSession.createDataFrame(rules(), "rule string, label string, pattern string, gate string, priority int, confidence double")
+    earlier: dict[tuple[str, str, str], list[str]] = {}
+    made = []
+    for r in rules():
+        before = earlier.setdefault(r[:3], [])
+        made.append((list(earlier).index(r[:3]), *r, list(before)))
+        before.append(r[3])
+    table = texts.sparkSession.createDataFrame(made, "number int, rule string, label string, pattern string, gate string, priority int, confidence double, earlier array<string>")
     gates = sorted({r[3] for r in rules()})
-    held = texts.withColumn("gate", F.explode(F.array_intersect(F.split("words", " "), F.array(*map(F.lit, gates)))))
+    held = texts.withColumn("gates", F.array_intersect(F.split("words", " "), F.array(*map(F.lit, gates)))).withColumn("gate", F.explode("gates"))
     # the rules are a constant of this module
-    tried = held.join(F.broadcast(table), "gate").withColumn("regex", F.expr("concat(' (?:', pattern, ')(?= )')")).filter("words rlike regex")
+    tried = held.join(F.broadcast(table), "gate").filter(~F.arrays_overlap("earlier", "gates")).withColumn("regex", F.expr("concat(' (?:', pattern, ')(?= )')")).filter("words rlike regex")
     # the blanks before a match are the words before it: those of all gaps up to it and of all matches before it
-    matches = tried.select("key", "rule", "label", "priority", "confidence", F.expr(f"posexplode(arrays_zip({_blanks('split(words, regex, -1)')}, {_blanks('regexp_extract_all(words, regex, 0)')}))").alias("at", "both"))
-    matches = matches.select("key", "rule", "label", "priority", "confidence", "at", F.col("both").getField("0").alias("gap"), F.col("both").getField("1").alias("size")).filter("size is not null")
-    upto = Window.partitionBy("key", "rule", "label").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    matches = tried.select("key", "number", "rule", "label", "priority", "confidence", F.expr(f"posexplode(arrays_zip({_blanks('split(words, regex, -1)')}, {_blanks('regexp_extract_all(words, regex, 0)')}))").alias("at", "both"))
+    matches = matches.select("key", "number", "rule", "label", "priority", "confidence", "at", F.col("both").getField("0").alias("gap"), F.col("both").getField("1").alias("size")).filter("size is not null")
+    upto = Window.partitionBy("key", "number").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.col("size")).over(upto)
     return matches.withColumn("stop", stop).select("key", "rule", "label", "priority", "confidence", (F.col("stop") - F.col("size")).cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 

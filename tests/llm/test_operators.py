@@ -304,6 +304,17 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_licenses_with_several_gating_words(spark):
+    text = "a General Public License 2 license b gpl 2 licence c d GPLv2 license e gpl 2 license f lesser general public license 3 license lgpl 3 license mozilla public license 2 license mpl 2 license"
+    rows = spark.createDataFrame([(1, text)], "key long, text string").select("key", licenses.normalise(F.col("text")).alias("words"))
+    plain = " " + text.lower() + " "
+    want = []
+    for rule, label, pattern in dict.fromkeys(r[:3] for r in licenses.rules()):
+        if any(f" {r[3]} " in plain for r in licenses.rules() if r[:3] == (rule, label, pattern)):
+            want += [(rule, label, plain[: m.start()].count(" "), plain[: m.end()].count(" ")) for m in re.finditer(f" (?:{pattern})(?= )", plain)]
+    assert sorted((r["rule"], r["label"], r["start"], r["stop"]) for r in licenses.detections(rows).collect()) == sorted(want)
+
+
 BAD = ["idiot", "moron", "stupid", "worthless"]
 
 
