@@ -98,17 +98,21 @@ class KMeansTree:
             todo += [(kid, own[near == i]) for i, kid in enumerate(kids) if (near == i).any()]
         return out
 
-    def visits(self, query: np.ndarray, limit: int) -> list[int]:
-        """The first leaves that best-bin-first traversal reaches: a queue of nodes, highest inner product with the centroid first."""
+    def visits(self, query: np.ndarray, limit: int, counts: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first leaves that best-bin-first traversal reaches: a queue of nodes, highest inner product with the centroid first.
+
+        With counts of the leaves' rows, it goes on beyond the limit until the leaves hold at least `least` rows.
+        """
         scores = self.matrix @ query
-        queue, out = [(-scores[0], 0)], []
-        while queue and len(out) < limit:
+        queue, out, held = [(-scores[0], 0)], [], 0
+        while queue and (len(out) < limit or counts is not None and held < least):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 for kid in self.children[node]:
                     heapq.heappush(queue, (-scores[kid], kid))
             else:
                 out.append(self.leaf[node])
+                held += counts.get(self.leaf[node], 0) if counts is not None else 0
         return out
 
 
@@ -147,8 +151,9 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     one of a hot vector's copies, is dealt into several buckets and its queries go to each, so nothing is capped. A
     shelf returns k rows for each query at most.
 
-    Ties go to smaller ids; rows with a query's own id are no candidates; fewer than k are all returned only as far as
-    the visited leaves hold them, except where a query's leaves hold too few: it then visits all. Rows whose id or
+    Ties go to smaller ids; rows with a query's own id are no candidates. A query whose leaves hold fewer than k rows
+    besides all those of its own id visits further ones until they do, so fewer than k are returned only where there
+    are no more candidates. Rows whose id or
     vector is null, whose vector is zero or holds null or non-finite values, or whose length differs from that of the
     vector with the smallest id, take no part. Repeated rows are candidates each; of rows that share a query's id the
     smallest vector is the query. Empty tables give no rows; other columns are not read.
@@ -165,6 +170,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     sample = picked.column(0).combine_chunks().flatten().to_numpy().reshape(-1, length)
     tree = KMeansTree(sample, max(1, min(max_leaves, total // leaf_rows, len(sample) // 4 or 1)), branching, seed)
     asked = _usable(vectors.filter(is_query), id_col, vec_col).filter(F.size("vec") == length).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    asked = asked.join(rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")), "vec_id")  # rows of its own id, wherever they are
     trial = asked.orderBy(F.xxhash64("vec_id", F.lit(seed + 1))).limit(calibration).collect()  # `calibration` rows
     if not trial:
         return spark.createDataFrame([], schema)
@@ -188,17 +194,22 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     bucketed = placed.join(shelves, "leaf").withColumn("bucket", F.pmod(F.xxhash64("vec_id", "vec"), F.col("buckets"))).drop("buckets")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, block in vector_blocks(batches):
+        for batch in batches:
+            own = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
+            yield from visit(vector_blocks([batch]), own)
+
+    def visit(blocks: Iterable[tuple[np.ndarray, np.ndarray]], own: dict[int, int]) -> Iterator[pa.RecordBatch]:
+        for names, block in blocks:
             at, where, leaves = [], [], []
             for i, query in enumerate(block):
                 seen: dict[int, list[int]] = {}
-                for leaf in tree.visits(query, visits):
+                for leaf in tree.visits(query, visits, counts, k + own[int(names[i])]):
                     seen.setdefault(shelf[leaf], []).append(leaf)
-                for s, own in seen.items():
+                for s, found in seen.items():
                     for b in range(buckets[s]):
                         at.append(i)
                         where.append((s, b))
-                        leaves.append(own)
+                        leaves.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(names[at]), _lists(block[at]), pa.array([s for s, _ in where], pa.int64()), pa.array([b for _, b in where], pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "vec", "shelf", "bucket", "leaves"])
 
     def meet(queries: pa.Table, found: pa.Table) -> pa.Table:
@@ -241,7 +252,7 @@ def _matrix(rows: pa.Table, length: int) -> np.ndarray:
 
 
 def calibrate(rows: DataFrame, tree: KMeansTree, trial: list, k: int, recall: float) -> int:
-    """The least number of leaves to visit at which the trial queries' mean recall reaches the wanted one, and at which each of them finds k rows if there are as many."""
+    """The least number of leaves to visit at which the trial queries' mean recall reaches the wanted one; single ones may find fewer than k rows there."""
     ids = np.array([r["vec_id"] for r in trial], np.int64)
     queries = np.array([r["vec"] for r in trial], np.float64)
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")

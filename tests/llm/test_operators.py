@@ -147,6 +147,19 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_fills_up_in_thin_leaves(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(40, 16)) * 3
+    # clusters of very different sizes; at a low mean recall a query visits one leaf or few
+    rows = [(i, (centers[int(40 * (i / 2000) ** 3)] + rng.normal(size=16) * 0.1).tolist()) for i in range(2000)]
+    rows += [(5000 + i, centers[39].tolist()) for i in range(5)] + [(5020, (centers[38] * 2).tolist())] * 30  # rows of a query's own id are no candidates
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=20, recall=0.2, leaf_rows=10).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {i: 20 for i, _ in rows if i % 20 == 0}
+    few = ann.nearest(df.filter("vec_id between 5000 and 5004"), F.col("vec_id") % 20 == 0, k=20).collect()
+    assert [r["query_id"] for r in few] == [5000] * 4
+
+
 def test_packing_round_trip(spark, corpus):
     from tokenizers import Tokenizer
 
