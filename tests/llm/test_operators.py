@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -160,6 +161,10 @@ def test_nearest_fills_up_in_thin_leaves(spark):
     assert [r["query_id"] for r in few] == [5000] * 4
 
 
+def test_nearest_asks_for_the_stated_recall():
+    assert inspect.signature(ann.nearest).parameters["recall"].default == 0.97
+
+
 def test_packing_round_trip(spark, corpus):
     from tokenizers import Tokenizer
 
