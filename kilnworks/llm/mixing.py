@@ -101,7 +101,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.greatest(epochs, F.lit(1)))))
     order = Window.partitionBy("_source", "epoch").orderBy(F.xxhash64("mix_block", "epoch", F.lit(seed)), "mix_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(order), F.lit(0)) + (F.col("epoch") - 1) * F.col("_all"))
-    blocks = materialize(blocks.withColumn("_left", F.col("_budget") - F.col("_before")).filter("_left > 0 or _all = 0").select("_source", "mix_block", "epoch", "_left", (F.col("_left") < F.col("_sum")).alias("_cut")), "mix-blocks")
+    blocks = materialize(blocks.withColumn("_left", F.col("_budget") - F.col("_before")).filter("_left > 0 or _all = 0" + (" or epoch = 1" if budget is None else "")).select("_source", "mix_block", "epoch", "_left", (F.col("_left") < F.col("_sum")).alias("_cut")), "mix-blocks")
     dealt = rows.join(sources, "_source").withColumn("mix_block", block("_hash")).select("_source", "mix_block", "_row", "_hash", word_count(F.col("_text")).alias("mix_tokens"))
     taken = dealt.join(F.broadcast(blocks.filter("not _cut")), ["_source", "mix_block"]).select("_row", "epoch", "mix_block", "mix_tokens")
     inner = Window.partitionBy("_source", "mix_block", "epoch").orderBy("_hash", F.xxhash64("_row"), "_row").rowsBetween(Window.unboundedPreceding, -1)

@@ -301,6 +301,12 @@ def test_mixing_meets_weights(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_keeps_rows_without_tokens(spark):
+    rows = [(i, words(random.Random(i), 9) if i < 60 else (None, "", "  ")[i % 3], "one") for i in range(400)]
+    got = mixing.mix_sources(docs_of(spark, rows)).select("doc_id").collect()
+    assert {r["doc_id"] for r in got} == set(range(400))
+
+
 def test_licenses(spark):
     texts = {
         1: "Released under the MIT License.", 2: "Licensed under the Apache License, Version 2.0.", 3: "This work is licensed under the GNU General Public License, version 3.", 4: "mit license mit-license, MIT\tLicense ümit license", 5: "Licensed under CC BY-NC 4.0.",
