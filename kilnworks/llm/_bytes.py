@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Odd multipliers of the hashes, and a random value for each byte.
+#: The odd multiplier of the hashes, and a random value for each byte.
 _R = 0x9E3779B97F4A7C15 | 1
-_R2 = 0xC2B2AE3D27D4EB4F | 1
 _rng = np.random.Generator(np.random.PCG64(20240101))
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -62,15 +61,26 @@ def powers(n: int, r: int = _R) -> tuple[np.ndarray, np.ndarray]:
     return _powers[r]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, r: int = _R) -> np.ndarray:
-    """A 64-bit hash of each span of the bytes, the same for equal spans wherever they stand."""
-    up, down = powers(len(data), r)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, r: int = _R, block: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each span of the bytes, the same for equal spans wherever they stand.
 
-
-SECOND = _R2
+    Spans come in order of their starts. They are taken in groups that start within `block` bytes, so a text of any
+    length needs no more room than a block and the longest span.
+    """
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        end = int(np.searchsorted(starts, low + block))
+        own, high = slice(at, end), int(stops[at:end].max())
+        part = data[low:high]
+        up, down = powers(len(part), r)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[part] * up[: len(part)], out=sums[1:])
+        a, b = starts[own] - low, stops[own] - low
+        out[own] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        at = end
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

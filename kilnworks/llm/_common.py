@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -28,9 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+#: Folders made by scratch_path() that are still there.
+_FOLDERS: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/kilnworks-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is left there is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/kilnworks-{name}-{uuid.uuid4().hex}"
+    _FOLDERS[path] = spark
+    return path
+
+
+def remove_path(path: str) -> None:
+    """Remove a folder of scratch_path(), through the file system it lies in."""
+    spark = _FOLDERS.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -38,7 +53,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._kilnworks_path = path
+    return found
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Remove what materialize() wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        path = getattr(df, "_kilnworks_path", None)
+        if path:
+            remove_path(path)
+
+
+@atexit.register
+def _sweep() -> None:
+    for path in list(_FOLDERS):
+        try:
+            remove_path(path)
+        except Exception:  # the session may have ended before
+            return
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if it has at most that many rows; else the other side is shuffled to it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataFrame, salts: int) -> DataFrame:
+    """Inner join on key, where the left rows of the keys in `hot` (key alone, a stated number of rows) are dealt into `salts` parts by the hash of column `by`.
+
+    The right rows of those keys are repeated for each part, so no task gets all rows of a hot key. Each side is read once.
+    """
+    marked = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    dealt = left.join(marked, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    repeated = right.join(marked, key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return dealt.join(repeated, [key, "_salt"]).drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._bytes import small
 from ._common import materialize
 from .topk import vector_blocks
 
@@ -32,9 +33,13 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class KMeansTree:
-    """Nodes with a centroid each; a node without children is a leaf."""
+    """Nodes with a centroid each; a node without children is a leaf.
+
+    Equal rows of the sample count once, so a hot vector takes one place and does not keep the others from being split.
+    """
 
     def __init__(self, sample: np.ndarray, leaves: int, branching: int, seed: int) -> None:
+        sample = np.unique(sample, axis=0)
         self.centroids: list[np.ndarray] = [sample.mean(axis=0)]
         self.children: list[list[int]] = [[]]
         self.leaf: list[int] = [0]
@@ -67,6 +72,19 @@ class KMeansTree:
         for n, node in enumerate(self.leaves):
             self.leaf[node] = n
         self.matrix = np.stack(self.centroids)
+        self.spread = np.zeros(len(self.centroids))
+
+    def measure(self, counts: dict[int, int], squares: dict[int, float]) -> None:
+        """Sets each node's spread: the root mean square distance of its rows to its centroid, from the leaves' counts and sums of squares."""
+        rows, total = np.zeros(len(self.centroids)), np.zeros(len(self.centroids))
+        for node in reversed(range(len(self.centroids))):  # children have higher numbers
+            if self.children[node]:
+                kids = self.children[node]
+                apart = ((self.matrix[kids] - self.matrix[node]) ** 2).sum(axis=1)
+                rows[node], total[node] = rows[kids].sum(), (total[kids] + rows[kids] * apart).sum()
+            else:
+                rows[node], total[node] = counts.get(self.leaf[node], 0), squares.get(self.leaf[node], 0.0)
+        self.spread = np.sqrt(total / np.maximum(rows, 1))
 
     @staticmethod
     def _split(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -98,12 +116,14 @@ class KMeansTree:
             todo += [(kid, own[near == i]) for i, kid in enumerate(kids) if (near == i).any()]
         return out
 
-    def visits(self, query: np.ndarray, limit: int, counts: dict[int, int] | None = None, least: int = 0) -> list[int]:
-        """The first leaves that best-bin-first traversal reaches: a queue of nodes, highest inner product with the centroid first.
+    def visits(self, query: np.ndarray, limit: int, counts: dict[int, int] | None = None, least: int = 0, reach: float = 0.0) -> list[int]:
+        """The first leaves that best-bin-first traversal reaches: a queue of nodes, highest first.
 
-        With counts of the leaves' rows, it goes on beyond the limit until the leaves hold at least `least` rows.
+        A node's place is the inner product with its centroid and `reach` times its spread times the query's length:
+        what rows that far from the centroid may score. With counts of the leaves' rows, it goes on beyond the limit
+        until the leaves hold at least `least` rows.
         """
-        scores = self.matrix @ query
+        scores = self.matrix @ query + reach * self.spread * np.sqrt(query @ query)
         queue, out, held = [(-scores[0], 0)], [], 0
         while queue and (len(out) < limit or counts is not None and held < least):
             _, node = heapq.heappop(queue)
@@ -123,16 +143,14 @@ def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows
 
 
-def _exact_leaves(tree: KMeansTree, ids: np.ndarray, queries: np.ndarray, k: int):
-    """A pass over all rows that gives each calibration query's k nearest of every block, with their leaves."""
+def _exact_leaves(ids: np.ndarray, queries: np.ndarray, k: int):
+    """A pass over all placed rows that gives each calibration query's k nearest of every block, with their leaves."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, rows in vector_blocks(batches):
-            if rows.shape[1] != queries.shape[1]:
-                continue
+        for batch in small(batches):
+            names, leaves, rows = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _matrix(pa.table(batch), queries.shape[1])
             scores = inner_products(queries, rows)
             scores[ids[:, None] == names[None, :]] = -np.inf
-            leaves = tree.assign(rows)
             for q in range(len(ids)):
                 places = best(scores[q], names, k)
                 if len(places):
@@ -141,47 +159,58 @@ def _exact_leaves(tree: KMeansTree, ids: np.ndarray, queries: np.ndarray, k: int
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = 0.97, sample_rows: int = 20_000, leaf_rows: int = 200, max_leaves: int = 1024, branching: int = 8, calibration: int = 200, bucket_rows: int = 4096, seed: int = 7) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k nearest found, by largest inner product.
+def nearest(
+    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = 0.97,
+    sample_rows: int = 20_000, leaf_rows: int = 200, max_leaves: int = 5_000, branching: int = 8, calibration: int = 200, bucket_rows: int = 4096, seed: int = 7,
+) -> DataFrame:
+    """query_id, rank, vec_id, score, recall: each query's k nearest found, by largest inner product.
 
-    The tree is fitted on at most sample_rows rows, those with the smallest seeded hashes; every row is then assigned
-    to a leaf. `calibration` queries are answered exactly in one pass over all rows; the number of leaves a query visits
-    is widened until they reach the stated recall. Neighbouring leaves share a shelf of about bucket_rows
-    rows, and queries meet the rows of the leaves they visit by a cogroup on the shelf: a leaf of more rows, such as
-    one of a hot vector's copies, is dealt into several buckets and its queries go to each, so nothing is capped. A
-    shelf returns k rows for each query at most.
+    The tree is fitted on about sample_rows distinct vectors, those with the smallest seeded hashes, and has a leaf for
+    leaf_rows distinct vectors, but no more than max_leaves or a quarter of the sample; every row is then assigned to
+    a leaf. `calibration` queries are answered exactly in one pass over all rows; the leaves a query visits are widened
+    until they reach the stated recall. As many further queries are answered too, and the share of their nearest in the
+    leaves they visit is the column recall: measured on queries that chose nothing (on the same ones, where there are
+    too few). Neighbouring leaves share a shelf of about bucket_rows rows, and queries meet the rows of the leaves they
+    visit by a cogroup on the shelf: a leaf of more rows, such as one of a hot vector's copies, is dealt into several
+    buckets and its queries go to each, so nothing is capped. A shelf returns k rows for each query at most.
 
     Ties go to smaller ids; rows with a query's own id are no candidates. A query whose leaves hold fewer than k rows
     besides all those of its own id visits further ones until they do, so fewer than k are returned only where there
-    are no more candidates. Rows whose id or
-    vector is null, whose vector is zero or holds null or non-finite values, or whose length differs from that of the
-    vector with the smallest id, take no part. Repeated rows are candidates each; of rows that share a query's id the
-    smallest vector is the query. Empty tables give no rows; other columns are not read.
+    are no more candidates. Rows whose id or vector is null, whose vector is zero or holds null or non-finite values,
+    or whose length differs from that of the vector with the smallest id, take no part. Repeated rows are candidates
+    each; of rows that share a query's id the smallest vector is the query. Empty tables give no rows; other columns
+    are not read.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, recall double"
     rows = _usable(vectors, id_col, vec_col)
-    first = rows.agg(F.min(F.struct("vec_id", F.size("vec").alias("length"))).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    first = rows.agg(F.min(F.struct("vec_id", F.size("vec").alias("length"))).alias("m"), F.approx_count_distinct(F.xxhash64("vec"), 0.02).alias("n")).first()
     if not first["n"]:
         return spark.createDataFrame([], schema)
-    length, total = first["m"]["length"], first["n"]
+    length, distinct = first["m"]["length"], first["n"]
     rows = rows.filter(F.size("vec") == length)
-    picked = rows.orderBy(F.xxhash64("vec_id", "vec", F.lit(seed)), "vec_id").limit(sample_rows).select("vec").toArrow()  # sample_rows at most
+    # equal vectors have equal hashes, and become one row before they are shuffled
+    share = F.pmod(F.xxhash64("vec", F.lit(seed)), F.lit(1 << 40)) < int(min(1.0, 1.2 * sample_rows / distinct) * (1 << 40))
+    picked = rows.filter(share).groupBy("vec").agg(F.min("vec_id")).orderBy(F.xxhash64("vec", F.lit(seed)), "vec").limit(sample_rows).select("vec").toArrow()  # sample_rows at most
     sample = picked.column(0).combine_chunks().flatten().to_numpy().reshape(-1, length)
-    tree = KMeansTree(sample, max(1, min(max_leaves, total // leaf_rows, len(sample) // 4 or 1)), branching, seed)
-    asked = _usable(vectors.filter(is_query), id_col, vec_col).filter(F.size("vec") == length).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    asked = asked.join(rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")), "vec_id")  # rows of its own id, wherever they are
-    trial = asked.orderBy(F.xxhash64("vec_id", F.lit(seed + 1))).limit(calibration).collect()  # `calibration` rows
-    if not trial:
-        return spark.createDataFrame([], schema)
-    visits = calibrate(rows, tree, trial, k, recall)
+    tree = KMeansTree(sample, max(1, min(max_leaves, distinct // leaf_rows, len(sample) // 4 or 1)), branching, seed)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, block in vector_blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(names), _lists(block), pa.array(tree.assign(block))], names=["vec_id", "vec", "leaf"])
-
-    placed = materialize(rows.mapInArrow(deal, "vec_id long, vec array<double>, leaf long"), "ann-leaves")
-    counts = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_leaves rows
+            leaf = tree.assign(block)
+            apart = ((block - tree.matrix[np.array(tree.leaves)[leaf]]) ** 2).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(names), _lists(block), pa.array(leaf), pa.array(apart)], names=["vec_id", "vec", "leaf", "apart"])
+
+    placed = materialize(rows.mapInArrow(deal, "vec_id long, vec array<double>, leaf long, apart double"), "ann-leaves")
+    held = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("apart").alias("apart")).collect()  # max_leaves rows
+    counts = {r["leaf"]: r["n"] for r in held}
+    tree.measure(counts, {r["leaf"]: r["apart"] for r in held})
+    asked = _usable(vectors.filter(is_query), id_col, vec_col).filter(F.size("vec") == length).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    asked = asked.join(placed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")), "vec_id")  # rows of its own id, wherever they are
+    trial = asked.orderBy(F.xxhash64("vec_id", F.lit(seed + 1)), "vec_id").limit(2 * calibration).collect()  # 2 * `calibration` rows
+    if not trial:
+        return spark.createDataFrame([], schema)
+    visits, reach, reached = calibrate(placed, tree, trial, k, recall, calibration)
     shelf, buckets, filled = {}, {}, 0
     for leaf in range(len(tree.leaves)):
         n = counts.get(leaf, 0)
@@ -191,7 +220,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
         filled += n
         shelf[leaf] = len(buckets) - 1
     shelves = F.broadcast(spark.createDataFrame([(leaf, s, buckets[s]) for leaf, s in shelf.items()], "leaf long, shelf long, buckets long"))  # max_leaves rows
-    bucketed = placed.join(shelves, "leaf").withColumn("bucket", F.pmod(F.xxhash64("vec_id", "vec"), F.col("buckets"))).drop("buckets")
+    bucketed = placed.drop("apart").join(shelves, "leaf").withColumn("bucket", F.pmod(F.xxhash64("vec_id", "vec"), F.col("buckets"))).drop("buckets")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +232,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
             at, where, leaves = [], [], []
             for i, query in enumerate(block):
                 seen: dict[int, list[int]] = {}
-                for leaf in tree.visits(query, visits, counts, k + own[int(names[i])]):
+                for leaf in tree.visits(query, visits, counts, k + own[int(names[i])], reach):
                     seen.setdefault(shelf[leaf], []).append(leaf)
                 for s, found in seen.items():
                     for b in range(buckets[s]):
@@ -240,7 +269,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     wanted = asked.mapInArrow(ask, "query_id long, vec array<double>, shelf long, bucket long, leaves array<long>")
     pairs = wanted.groupBy("shelf", "bucket").cogroup(bucketed.groupBy("shelf", "bucket")).applyInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(reached).alias("recall"))
 
 
 def _lists(block: np.ndarray) -> pa.Array:
@@ -251,19 +280,33 @@ def _matrix(rows: pa.Table, length: int) -> np.ndarray:
     return rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
 
 
-def calibrate(rows: DataFrame, tree: KMeansTree, trial: list, k: int, recall: float) -> int:
-    """The least number of leaves to visit at which the trial queries' mean recall reaches the wanted one; single ones may find fewer than k rows there."""
+def calibrate(placed: DataFrame, tree: KMeansTree, trial: list, k: int, recall: float, calibration: int) -> tuple[int, float, float]:
+    """(leaves to visit, reach of the traversal, recall reached on the trial queries beyond the first `calibration`).
+
+    Of a few reaches the one whose least number of leaves that meets the wanted mean recall is smallest. Single queries
+    may find fewer than k rows there.
+    """
     ids = np.array([r["vec_id"] for r in trial], np.int64)
     queries = np.array([r["vec"] for r in trial], np.float64)
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
-    truth = rows.mapInArrow(_exact_leaves(tree, ids, queries, k), "q long, vec_id long, score double, leaf long").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).groupBy("q", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # k rows for each trial query at most
-    all_leaves = len(tree.leaves)
-    turn = np.zeros((len(ids), all_leaves), int)
-    for q, query in enumerate(queries):
-        turn[q, tree.visits(query, all_leaves)] = np.arange(all_leaves)
-    found = np.zeros((len(ids), all_leaves))
-    for r in truth:
-        found[r["q"], turn[r["q"], r["leaf"]]] += r["n"]
-    wanted = found.sum(axis=1, keepdims=True)
-    reached = (found.cumsum(axis=1) / np.maximum(wanted, 1)).mean(axis=0) if wanted.any() else np.ones(all_leaves)
-    return int(np.argmax(reached >= min(recall, reached[-1]))) + 1
+    exact = placed.select("vec_id", "vec", "leaf").mapInArrow(_exact_leaves(ids, queries, k), "q long, vec_id long, score double, leaf long")
+    truth = exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).groupBy("q", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # k rows for each trial query at most
+    leaves = len(tree.leaves)
+    chosen = None
+    for reach in (0.0, 0.5, 1.0, 2.0):
+        turn = np.zeros((len(ids), leaves), int)
+        for q, query in enumerate(queries):
+            turn[q, tree.visits(query, leaves, reach=reach)] = np.arange(leaves)
+        found = np.zeros((len(ids), leaves))
+        for r in truth:
+            found[r["q"], turn[r["q"], r["leaf"]]] += r["n"]
+        wanted = found.sum(axis=1, keepdims=True)
+        shares = found.cumsum(axis=1)[wanted[:, 0] > 0] / wanted[wanted[:, 0] > 0]
+        if not len(shares):
+            return leaves, 0.0, 1.0
+        own = shares[:calibration].mean(axis=0)
+        visits = int(np.argmax(own >= min(recall, own[-1]))) + 1
+        other = shares[calibration:] if len(shares) > calibration else shares
+        if chosen is None or visits < chosen[0]:
+            chosen = visits, reach, float(other[:, visits - 1].mean())
+    return chosen

@@ -161,6 +161,29 @@ def test_nearest_fills_up_in_thin_leaves(spark):
     assert [r["query_id"] for r in few] == [5000] * 4
 
 
+def test_nearest_with_a_hot_vector(spark):
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(20, 8))
+    plain = [(i, (centers[i % 20] + rng.normal(size=8) * 0.3).tolist()) for i in range(300)]
+    rows = plain + [(1000 + i, plain[7][1]) for i in range(4000)] + [(None, plain[1][1]), (320, plain[3][1]), (320, plain[4][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=20, leaf_rows=15, bucket_rows=512)
+    found = collections.defaultdict(set)
+    for r in got.collect():
+        found[r["query_id"]].add(r["vec_id"])
+    use = [(i, np.array(v)) for i, v in rows if i is not None]
+    hits = []
+    for q in {i for i, _ in use if i % 20 == 0}:
+        vec = np.array(min(v for i, v in rows if i == q))
+        want = sorted((-float(np.cumsum(vec * v)[-1]), i) for i, v in use if i != q)[:20]
+        hits.append(len({i for _, i in want} & found[q]) / len({i for _, i in want}))
+    assert np.mean(hits) >= 0.9 and len(found) == len(hits) and 0.9 <= got.first()["recall"] <= 1
+    counts = {r["query_id"]: r["count"] for r in got.groupBy("query_id").count().collect()}
+    assert set(counts.values()) == {20}
+    sample = np.array([v for i, v in rows if i is not None])
+    assert len(ann.KMeansTree(sample, 21, 8, 7).leaves) == 21
+
+
 def test_nearest_asks_for_the_stated_recall():
     assert inspect.signature(ann.nearest).parameters["recall"].default == 0.97
 
