@@ -80,16 +80,26 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def join_spread(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataFrame, salts: int) -> DataFrame:
-    """Inner join on key, where the left rows of the keys in `hot` (key alone, a stated number of rows) are dealt into `salts` parts by the hash of column `by`.
+#: How many keys count as hot, and how many rows such a key has at least: no other key has more than one in HOT_KEYS of all rows.
+HOT_KEYS, HOT_ROWS = 1000, 1000
 
-    The right rows of those keys are repeated for each part, so no task gets all rows of a hot key. Each side is read once.
+
+def hottest(counted: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """The keys of `counted` with the most rows, HOT_KEYS at most."""
+    return counted.filter(F.col(count) >= HOT_ROWS).orderBy(F.col(count).desc(), *keys).limit(HOT_KEYS).select(*keys)
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], by: str, hot: DataFrame, how: str = "inner", salts: int = 64) -> DataFrame:
+    """left joined with right on keys, where the left rows of the keys in `hot` (hottest()) are dealt into parts by the hash of column `by`.
+
+    The right rows of those keys are repeated for each part, so no task gets all rows of a hot key. Each side is read
+    once. how: inner or left.
     """
-    marked = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
-    dealt = left.join(marked, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    marked = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))  # HOT_KEYS rows
+    dealt = left.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    repeated = right.join(marked, key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
-    return dealt.join(repeated, [key, "_salt"]).drop("_salt")
+    repeated = right.join(marked, keys, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, release
 
 
 def _is_done(edges: DataFrame) -> bool:
@@ -14,19 +14,31 @@ def _is_done(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", hubs: int = 10_000) -> DataFrame:
     """node and component (its smallest node) for every node of the edges u, v (longs).
 
     Each round hangs every node's larger neighbours, then its smaller ones, on its smallest neighbour, until nothing
-    changes. The smallest neighbours come from map-side aggregates, so a hub of many edges gathers nowhere.
+    changes. The smallest neighbours come from map-side aggregates. A node with more edges than one in `hubs` of all
+    meets them by a broadcast (of fewer than 2 * hubs rows) instead of gathering them in one task.
     """
     now = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     while not _is_done(now):
+        most = max(100, now.count() // hubs)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = materialize(after, name)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _met(both.filter("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = materialize(large, name)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        hung = _met(large, least, most)
+        after = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        before, now = now, materialize(after, name)
+        release(before, large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _met(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """edges with their node u's row of `least`; those of nodes with more than `most` edges by a broadcast."""
+    many = F.broadcast(least.filter(F.col("n") > most).select("u", F.col("m").alias("hub")))
+    marked = edges.join(many, "u", "left")
+    few = marked.filter("hub is null").drop("hub").join(least.filter(F.col("n") <= most).drop("n"), "u")
+    return few.unionByName(marked.filter("hub is not null").select("u", "v", F.col("hub").alias("m")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import U, mix, small, span_hashes, text_slices, word_spans
-from ._common import materialize
+from ._common import hottest, join_spread, materialize, release
+from ._common import small as bounded
 from .components import components
 
 #: White space between words: blank, and tab to carriage return.
@@ -50,37 +52,53 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
             at = end
 
 
-def band_parts(band: int, percent: int) -> int:
-    """Into how many parts the tokens of this band's sets are dealt: one more than linked sets can differ in, and a spare.
+def band_parts(band: int, percent: int) -> tuple[int, int]:
+    """(into how many parts the tokens of this band's sets are dealt, how many of those may be empty).
 
-    Linked sets of at most `top` tokens differ in (1 - t) / (1 + t) * 2 * top tokens at most, so they agree in two parts.
+    Linked sets of at most `top` tokens differ in (1 - t) / (1 + t) * 2 * top tokens at most, so they agree in all
+    parts but as many. With one part more, and one for each part that may be empty, they agree in one with tokens.
     """
-    top = int(np.ceil(BAND ** (band + 1)))
-    return 2 * top * (100 - percent) // (100 + percent) + 2
+    top = int(np.ceil(BAND ** (band + 1))) - 1
+    differ = 2 * top * (100 - percent) // (100 + percent)
+    if not differ:
+        return 1, 0
+    spare = 0
+    while True:  # one set in ten at most is dealt again, if its tokens fall as by chance
+        parts = differ + 1 + spare
+        empty = parts * math.exp(-(BAND**band) / parts)
+        if spare >= differ or 1 - sum(math.exp(-empty) * empty**i / math.factorial(i) for i in range(spare + 1)) < 0.1:
+            return parts, spare
+        spare += 1
 
 
 def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Keys of which any two linked sets share at least one.
 
     Linked sets meet in the band of the larger; a set goes to every band its partners may be in. There it has a key
-    for each part of its tokens. Parts without tokens give none, unless there are more of them than the one to spare.
+    for each part of its tokens. A set that leaves more parts empty than band_parts() allows agrees with a partner
+    that does so too in empty parts perhaps, so it is dealt anew by another hash; after three deals, its first tokens
+    in hash order are keys, one more than linked sets can differ in. So no key stands for the absence of tokens.
     """
     n = len(tokens)
     low = int(np.floor(np.log(n) / np.log(BAND) + 1e-9))
     high = int(np.floor(np.log(max(n, n * 100 // percent)) / np.log(BAND) + 1e-9))
     out = []
     for band in range(low, high + 1):
-        parts = band_parts(band, percent)
-        part = (tokens % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        where = part[order]
-        cuts = np.flatnonzero(np.diff(where, prepend=-1))
-        sums = np.add.reduceat(mix(tokens[order] + U(band)), cuts)
-        keys = mix(sums + where[cuts].astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(band))
-        if parts - len(cuts) > 1:
-            empty = np.setdiff1d(np.arange(parts), where[cuts]).astype(np.uint64)
-            keys = np.concatenate([keys, mix(mix(empty + U(1)) + U(band << 8))])
-        out.append(keys)
+        parts, spare = band_parts(band, percent)
+        for deal in range(4):
+            salt = U(band << 8 | deal)
+            if deal == 3:
+                differ = 2 * (int(np.ceil(BAND ** (band + 1))) - 1) * (100 - percent) // (100 + percent)
+                out.append(mix(np.sort(mix(tokens + salt))[: differ + 1] ^ U(0xA5A5A5A5A5A5A5A5)))
+                break
+            part = ((tokens if not deal else mix(tokens + salt)) % U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            where = part[order]
+            cuts = np.flatnonzero(np.diff(where, prepend=-1))
+            sums = np.add.reduceat(mix(tokens[order] + salt), cuts)
+            out.append(mix(sums + where[cuts].astype(np.uint64) * U(0x9E3779B97F4A7C15) + salt))
+            if parts - len(cuts) <= spare:
+                break
     return np.concatenate(out)
 
 
@@ -196,11 +214,12 @@ def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 def _cell(percent: int):
     """Within a cell: each family part with itself, and with the family's hubs that came along (part -1).
 
-    Of every node that links, the smallest of its group in the cell; parted: whether the family goes on elsewhere.
+    Of every node that links, the smallest of its group in the cell; parted: whether the family goes on elsewhere,
+    which `grouped` says here.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        node, family, part, _, sets = _read(table)
+        node, family, part, grouped, sets = _read(table)
         u, v, parted = [], [], []
         order = np.lexsort((node, part, family))
         at = 0
@@ -219,7 +238,7 @@ def _cell(percent: int):
                 linked = np.bincount(group, minlength=len(own))[group] > 1
                 u.append(names[linked])
                 v.append(least[group][linked])
-                parted.append(np.full(int(linked.sum()), bool((part[own] == -1).any())))
+                parted.append(np.full(int(linked.sum()), bool(grouped[own].any())))
             at = stop
         return pa.table({"u": pa.array(np.concatenate(u or [np.zeros(0, np.int64)])), "v": pa.array(np.concatenate(v or [np.zeros(0, np.int64)])), "parted": pa.array(np.concatenate(parted or [np.zeros(0, bool)]))})
 
@@ -239,118 +258,176 @@ def _cross(percent: int):
     return run
 
 
-def _families(keyed: DataFrame) -> DataFrame:
+def _families(keyed: DataFrame, broadcast_rows: int) -> DataFrame:
     """node and family of the nodes that share keys: each key hangs its nodes on the smallest, by a map-side aggregate."""
-    shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub")
-    edges = keyed.join(shared, "key").select(F.col("node").alias("u"), F.col("hub").alias("v")).filter("u <> v").distinct()
-    return components(edges, "jaccard-families").withColumnRenamed("component", "family")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("hub <> last")
+    shared = materialize(shared.select("key", "hub", "n"), "jaccard-shared")
+    hubs = shared.select("key", "hub")
+    met = keyed.join(F.broadcast(hubs), "key") if shared.count() <= broadcast_rows else join_spread(keyed, hubs, ["key"], "node", hottest(shared, ["key"]))
+    found = components(met.select(F.col("node").alias("u"), F.col("hub").alias("v")).filter("u <> v"), "jaccard-families").withColumnRenamed("component", "family")
+    release(shared)
+    return found
+
 
+def _sized(families: DataFrame, part_sets: int, part_tokens: int) -> DataFrame:
+    """node, family, n, part and parts of the families (node, family, n) with two nodes or more."""
+    sizes = materialize(families.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens")).filter("size > 1"), "jaccard-sizes")
+    parts = F.greatest(F.ceil(F.col("size") / part_sets), F.least(F.ceil(F.col("tokens") / part_tokens), "size")).alias("parts")
+    met = join_spread(families, sizes.select("family", parts), ["family"], "node", hottest(sizes, ["family"], "size"))
+    return met.select("node", "family", "n", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "parts")
 
-def _sized(families: DataFrame) -> DataFrame:
-    """node, family, size of the families with two nodes or more."""
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return families.join(sizes, "family").select("node", "family", "size")
 
+def _frequent(kept: int = 4096):
+    """Of each task, the tokens that more sets hold than one in `kept` of all occurrences, with counts that are at most that much too low.
+
+    A Misra-Gries summary: of more than `kept` counters the largest stay, each less the largest of the others.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in small(batches):
+            new, n = np.unique(batch.column(1).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            both, at = np.unique(np.concatenate([tokens, new]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+            if len(both) > kept:
+                floor = np.partition(total, len(total) - kept - 1)[len(total) - kept - 1]
+                both, total = both[total > floor], total[total > floor] - floor
+            tokens, counts = both, total
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(counts, pa.int64())], names=["token", "sets"])
 
-def _by_rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
+    return run
+
+
+def _by_rare_tokens(sets: DataFrame, percent: int, hot_tokens: int = 1000, hot_sets: int = 1000) -> DataFrame:
     """node and key: each set's first tokens in the order of how many sets have them, as many as linked sets must share one of.
 
     Tokens that no other set has come first of all and give no key, so a set gives none unless nearly all of it is
     found elsewhere: passages that many sets share do not tie them together. Tokens are shuffled once, to be counted.
+    The hot_tokens most frequent, if in hot_sets sets at least, take their counts from summaries of all sets instead,
+    and stay where they are, so no other token has more than one in hot_tokens of all occurrences. Those counts may be
+    too low, which only moves a token forward in an order that is the same for all sets.
     """
-    tokens = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    spread = tokens.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("sets > 1")
-    common = spread.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("common"))
+    hot = sets.mapInArrow(_frequent(), "token long, sets long").groupBy("token").agg(F.sum("sets").alias("often"))
+    hot = materialize(hot.filter(F.col("often") >= hot_sets).orderBy(F.col("often").desc(), "token").limit(hot_tokens), "jaccard-hot")
+    tokens = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(F.broadcast(hot), "token", "left")
+    # a hot token's row goes to the task of its node; others meet the rest of their token
+    place = F.when(F.col("often").isNull(), F.col("token")).otherwise(F.col("node"))
+    seen = tokens.withColumn("sets", F.coalesce("often", F.count(F.lit(1)).over(Window.partitionBy(place, F.col("often").isNull()))))
+    common = seen.filter("sets > 1").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("common"))
     first = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("common"))
     return common.withColumn("first", F.greatest(F.lit(0), first).cast("int")).select("node", F.explode(F.expr("slice(common, 1, first)")).alias("c")).select("node", F.col("c.token").alias("key"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """df, broadcast if it has at most that many rows; else the other side is shuffled to it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, part_sets: int = 1024, hubs: int = 8, broadcast_rows: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, part_sets: int = 1024, part_tokens: int = 1 << 22, hubs: int = 8, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id and n_texts (distinct sets in the component) of each row of docs.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets. Equal sets are one node. Blocking
     loses no link: linked sets share a key (block_keys, or _by_rare_tokens where a link allows more difference), and
     what shares keys, directly or through others, is a family. A family is joined with itself by signature trees
-    (tree_join). One of more than part_sets sets is dealt into parts: each is joined with itself and
-    with the family's first `hubs` sets; then the strays, all sets outside the family's largest group, are joined in
-    chunks with every part. A pair left out has both sets in that group already, so components are exact and no task
+    (tree_join). One of more than part_sets sets or part_tokens tokens is dealt into parts: each is joined with itself
+    and with the family's first `hubs` sets; then the strays, all sets outside the family's largest group, are joined
+    in chunks with every part. A pair left out has both sets in that group already, so components are exact and no task
     holds more than two parts.
 
     Words and letters: A-Z are lower-cased; words are runs without blanks, tabs to carriage returns. Fewer than `words`
     words make one shingle; no words, and null texts, an empty set that links with nothing. Rows with a null id link
-    with nothing and have a null component. Rows that share an id are one node. Other columns are not read; empty
-    tables give no rows.
+    with nothing and have a null component. Rows that share an id are one document, linked with all that any of them
+    links with. Other columns are not read; empty tables give no rows.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     signed = materialize(rows.mapInArrow(_signatures(words, percent), "doc_id long, n long, d1 long, d2 long, keys array<long>"), "jaccard-keys")
     known = signed.filter("doc_id is not null and n > 0")
-    reps = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"))
-    set_of = lambda ids: rows.join(_small(ids.select(F.col("node").alias("doc_id")), broadcast_rows), "doc_id").select("doc_id", "text").mapInArrow(_sets(words), "node long, tokens array<long>")
-    nodes = reps.select("node").distinct()
+    reps = materialize(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")), "jaccard-reps")
+    set_of = lambda ids: rows.join(bounded(ids.select(F.col("node").alias("doc_id")), broadcast_rows), "doc_id").select("doc_id", "text").mapInArrow(_sets(words), "node long, tokens array<long>")
+    nodes = reps.groupBy("node").agg(F.sum("n").alias("n"))
     if percent >= TIGHT:
         keyed = known.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
     else:
-        keyed = materialize(_by_rare_tokens(set_of(materialize(nodes, "jaccard-nodes")), percent), "jaccard-keys")
-    members = _sized(nodes.join(_families(keyed), "node")).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / part_sets)))
-    members = materialize(members, "jaccard-members")
+        keyed = materialize(_by_rare_tokens(set_of(materialize(nodes.select("node"), "jaccard-nodes")), percent), "jaccard-keys")
+    families = _families(keyed, broadcast_rows)
+    if percent < TIGHT:
+        release(keyed)
+    members = materialize(_sized(nodes.join(families, "node"), part_sets, part_tokens), "jaccard-members")
     sets = materialize(set_of(members), "jaccard-sets")
-    total = members.agg(F.count(F.lit(1))).first()[0]
-    cells = max(1, total // part_sets)
-    parted = members.filter(F.col("size") > part_sets)
-    first = parted.select("family", "node", "part").groupBy("family").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("part") < 1, F.col("node")))), 1, hubs).alias("nodes"), F.max("part").alias("parts"))
-    lead = first.select("family", F.explode("nodes").alias("node"), "parts")
-    lead = sets.join(_small(lead, broadcast_rows), "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "parts")))
-    cell = F.when(F.col("size") > part_sets, F.xxhash64("family", "part")).otherwise(F.pmod(F.xxhash64("family"), F.lit(cells)))
-    dealt = sets.join(_small(members, broadcast_rows), "node").select(cell.alias("cell"), "node", "family", "part", F.lit(0).cast("long").alias("grouped"), "tokens")
-    dealt = dealt.unionByName(lead.select(F.xxhash64("family", "part").alias("cell"), "node", "family", F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("grouped"), "tokens"))
-    links = materialize(dealt.groupBy("cell").applyInArrow(_cell(percent), "u long, v long, parted boolean"), "jaccard-links")
+    links = materialize(_dealt(members, sets, hubs, part_sets, part_tokens, broadcast_rows).groupBy("cell").applyInArrow(_cell(percent), "u long, v long, parted boolean"), "jaccard-links")
     # a family that was in one cell is done
     grouped = links.filter("not parted").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    parted = members.filter("parts > 1")
     if not parted.isEmpty():
         wide = links.filter("parted").select("u", "v")
         merged = components(wide, "jaccard-groups")
-        more = _strays(parted, sets, merged, percent, part_sets, broadcast_rows)
+        more = _strays(parted, sets, merged, percent, part_sets, part_tokens, broadcast_rows)
         if more is not None:
             merged = components(wide.unionByName(more), "jaccard-groups")
         grouped = grouped.unionByName(merged)
-    named = reps.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    texts = named.groupBy("component").agg(F.count(F.lit(1)).alias("n_texts"))
-    named = named.join(texts, "component").select("d1", "d2", "n", "component", "n_texts")
-    result = signed.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    grouped = _with_own_texts(known, reps, grouped)
+    named = reps.drop("rows").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named, "jaccard-named")
+    texts = materialize(named.groupBy("component").agg(F.count(F.lit(1)).alias("n_texts")), "jaccard-texts")
+    named = join_spread(named, texts, ["component"], "node", hottest(texts, ["component"], "n_texts")).select("d1", "d2", "n", "component", "n_texts")
+    result = join_spread(signed.select("doc_id", "n", "d1", "d2"), named, ["d1", "d2", "n"], "doc_id", hottest(reps, ["d1", "d2", "n"], "rows"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_texts", F.lit(1))).alias("n_texts"))
+    found = materialize(result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_texts", F.lit(1))).alias("n_texts")), "jaccard-found")
+    release(signed, reps, members, sets, links)
+    return found
 
 
-def _strays(parted: DataFrame, sets: DataFrame, grouped: DataFrame, percent: int, part_sets: int, broadcast_rows: int) -> DataFrame | None:
+def _with_own_texts(known: DataFrame, reps: DataFrame, grouped: DataFrame) -> DataFrame:
+    """node and component, where the different texts of one id link its nodes."""
+    several = known.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n")).alias("least"), F.max(F.struct("d1", "d2", "n")).alias("most")).filter("least <> most").select("doc_id")
+    several = materialize(several, "jaccard-several")
+    if several.isEmpty():
+        return grouped
+    own = known.join(several, "doc_id", "left_semi").select("doc_id", "d1", "d2", "n").distinct().join(reps, ["d1", "d2", "n"]).select("doc_id", "node")
+    least = own.groupBy("doc_id").agg(F.min("node").alias("v"))
+    edges = own.join(least, "doc_id").select(F.col("node").alias("u"), "v").unionByName(grouped.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return components(edges, "jaccard-groups")
+
+
+def _dealt(members: DataFrame, sets: DataFrame, hubs: int, part_sets: int, part_tokens: int, broadcast_rows: int) -> DataFrame:
+    """The sets of all families dealt into cells, with the hubs of families in several parts."""
+    total = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    cells = max(1, total[0] // part_sets, total[1] // part_tokens)
+    parted = members.filter("parts > 1")
+    lead = parted.select("family", "node", "parts").filter("part < 1").groupBy("family", "parts").agg(F.slice(F.sort_array(F.collect_set("node")), 1, hubs).alias("nodes"))
+    lead = lead.select("family", F.explode("nodes").alias("node"), "parts")
+    lead = sets.join(bounded(lead, broadcast_rows), "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cell = F.when(F.col("parts") > 1, F.xxhash64("family", "part")).otherwise(F.pmod(F.xxhash64("family"), F.lit(cells)))
+    dealt = sets.join(bounded(members, broadcast_rows), "node").select(cell.alias("cell"), "node", "family", "part", (F.col("parts") > 1).cast("long").alias("grouped"), "tokens")
+    return dealt.unionByName(lead.select(F.xxhash64("family", "part").alias("cell"), "node", "family", F.lit(-1).cast("long").alias("part"), F.lit(1).cast("long").alias("grouped"), "tokens"))
+
+
+def _strays(parted: DataFrame, sets: DataFrame, grouped: DataFrame, percent: int, part_sets: int, part_tokens: int, broadcast_rows: int) -> DataFrame | None:
     """Links between the sets outside a large family's largest group and all of its sets; None where there are no such sets."""
-    now = parted.select("node", "family", "part").join(grouped, "node", "left").withColumn("grouped", F.coalesce("component", "node")).select("node", "family", "part", "grouped")
-    groups = now.groupBy("family", "grouped").agg(F.count(F.lit(1)).alias("size"))
-    main = groups.groupBy("family").agg(F.max(F.struct("size", "grouped")).getField("grouped").alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
-    main = main.withColumn("chunks", F.ceil((F.col("all") - F.col("most")) / part_sets)).filter("chunks > 0")
-    main = materialize(main.select("family", "main", "chunks"), "jaccard-main")
+    now = parted.select("node", "family", "part", "parts", "n").join(grouped, "node", "left").withColumn("grouped", F.coalesce("component", "node")).drop("component")
+    groups = now.groupBy("family", "grouped").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
+    main = groups.groupBy("family").agg(F.max(F.struct("size", "grouped", "tokens")).alias("main"), F.sum("size").alias("size"), F.sum("tokens").alias("tokens"))
+    chunks = F.ceil(F.greatest((F.col("size") - F.col("main.size")) / part_sets, (F.col("tokens") - F.col("main.tokens")) / part_tokens))
+    main = materialize(main.select("family", F.col("main.grouped").alias("main"), chunks.alias("chunks")).filter("chunks > 0"), "jaccard-main")
     if main.isEmpty():
         return None
-    now = materialize(now.join(main, "family"), "jaccard-strays")
-    now = sets.join(_small(now, broadcast_rows), "node")
-    parts = parted.groupBy("family").agg(F.max("part").alias("parts"))
-    stray = now.filter("grouped <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))).join(parts, "family")
-    stray = stray.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), "parts"))).select(F.xxhash64("family", "to", "chunk").alias("cell"), "node", "family", F.lit(-1).cast("long").alias("part"), "grouped", "tokens")
+    now = materialize(now.drop("n").join(main, "family"), "jaccard-strays")
+    now = sets.join(bounded(now, broadcast_rows), "node")
+    stray = now.filter("grouped <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
+    stray = stray.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.xxhash64("family", "to", "chunk").alias("cell"), "node", "family", F.lit(-1).cast("long").alias("part"), "grouped", "tokens")
     rest = now.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(F.xxhash64("family", "part", "chunk").alias("cell"), "node", "family", "part", "grouped", "tokens")
     return materialize(stray.unionByName(rest).groupBy("cell").applyInArrow(_cross(percent), "u long, v long"), "jaccard-strays")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """The rows of docs without those linked, directly or through others, to a smaller id: one document of each group stays.
 
-    Of rows that share an id one stays. Rows with a null id, and texts without words, stay.
+    Rows that share an id are one document: its different texts stay, or go, together; of rows that are equal in id and
+    text the one with the smallest other columns stays. Rows with a null id, and texts without words, stay.
     """
-    found = jaccard_components(docs, id_col, text_col, words, percent)
-    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    ident = docs[id_col].cast("long")
-    kept = docs.withColumn("_head", ident).join(heads, "_head", "left_semi").dropDuplicates(["_head"]).drop("_head")
-    return kept.unionByName(docs.filter(ident.isNull()))
+    found = jaccard_components(docs, id_col, text_col, words, percent, broadcast_rows=broadcast_rows)
+    gone = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "jaccard-gone")
+    shared = materialize(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id"), "jaccard-shared")
+    release(found)
+    kept = docs.withColumn("_id", docs[id_col].cast("long")).join(bounded(gone, broadcast_rows), "_id", "left_anti")
+    if shared.isEmpty():
+        return kept.drop("_id")
+    once = kept.join(bounded(shared, broadcast_rows), "_id", "left_anti").select(*docs.columns)
+    text = F.col(text_col).cast("string")
+    several = kept.join(bounded(shared, broadcast_rows), "_id", "left_semi").groupBy("_id", F.xxhash64(text).alias("_h"), F.octet_length(text).alias("_n")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return once.unionByName(several.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))

@@ -84,6 +84,52 @@ def test_blocks_lose_no_link():
                 assert np.intersect1d(jaccard.block_keys(a, percent), jaccard.block_keys(b, percent)).size
 
 
+def test_long_unrelated_sets_share_no_keys():
+    rng = np.random.default_rng(5)
+    seen = set()
+    for _ in range(600):
+        keys = set(jaccard.block_keys(np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64)), 90).tolist())
+        assert not keys & seen
+        seen |= keys
+
+
+def test_few_tokens_in_many_parts_lose_no_link(monkeypatch):
+    # no part may be empty: sets are dealt again, and at last go by their first tokens
+    monkeypatch.setattr(jaccard, "band_parts", lambda band, percent: (2 * (int(np.ceil(jaccard.BAND ** (band + 1))) - 1) * (100 - percent) // (100 + percent) * 4 + 1, 0))
+    rng = np.random.default_rng(9)
+    for size in (20, 60):
+        for _ in range(50):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            assert np.intersect1d(jaccard.block_keys(a, 90), jaccard.block_keys(a[size // 20 :], 90)).size
+
+
+def test_frequent_tokens_are_found_in_parts():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(0, 1 << 60, 50).tolist() + [7] * (i % 2 == 0) for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(rows, pa.list_(pa.int64()))], names=["node", "tokens"])
+    found = next(jaccard._frequent(64)([batch]))
+    counts = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+    assert found.num_rows <= 64 and 1500 - 3000 * 51 // 64 <= counts.get(7, 0) <= 1500
+
+
+def test_hot_tokens_and_shared_ids(spark):
+    rng = random.Random(12)
+    passage = words(rng, 30)
+    rows = [(i, words(rng, 60) + " " + passage, "s") for i in range(1300)]  # a passage in all texts is hot
+    rows += [(5000 + i, rows[i][1] + " tail", "s") for i in range(40)]
+    rows += [(7000, rows[100][1], "s"), (7000, rows[101][1], "t"), (7000, rows[101][1], "a"), (8000, words(rng, 40), "s"), (8000, words(rng, 40), "s"), (None, passage, "s"), (None, passage, "s")]
+    docs = docs_of(spark, rows)
+    found = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert {(5000 + i, i) for i in range(40)} <= found and (7000, 100) in found and (101, 100) in found and (8000, 8000) in found and (200, 200) in found
+    kept = collections.Counter(r["doc_id"] for r in jaccard.one_of_each(docs).collect())
+    assert kept[8000] == 2 and kept[None] == 2 and kept[7000] == 0 and kept[101] == 0 and kept[100] == 1
+    twice = docs_of(spark, [(1, "same text here again and again", "b"), (1, "same text here again and again", "a"), (1, "quite another text of six words", "c")])
+    assert sorted((r["text"][:4], r["source"]) for r in jaccard.one_of_each(twice).collect()) == [("quit", "c"), ("same", "a")]
+    assert jaccard.jaccard_components(docs.limit(0)).count() == 0 and jaccard.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_tree_join_finds_all_groups():
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64)) for _ in range(20)]
