@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import array
 import heapq
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -19,11 +22,25 @@ PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens l
 _TOKENIZERS: dict[str, "WordTokens"] = {}
 
 
+def works_by_word(path: str) -> bool:
+    """Whether the tokenizer of this file lower-cases, cuts at every blank and drops it, so that words can be taken one by one."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    steps = lambda part, inner: [] if not part else part[inner] if part["type"] == "Sequence" else [part]
+    before, cut = steps(made.get("normalizer"), "normalizers"), steps(made.get("pre_tokenizer"), "pretokenizers")
+    if made.get("post_processor") or [x["type"] for x in before] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cut] != ["Split", "ByteLevel"]:
+        return False
+    split = cut[0]
+    words = split["behavior"] == "Removed" and split["invert"] and all(" " not in x for x in regex.findall(split["pattern"]["Regex"], "a b 's 1  ?! \u00e9 c"))
+    return words and before[1]["pattern"] == {"Regex": "\\s+"} and before[1]["content"] == " " and not cut[1]["add_prefix_space"] and all(not x["normalized"] and not x["lstrip"] and not x["rstrip"] and x["content"].startswith("<|") for x in made["added_tokens"])
+
+
 class WordTokens(dict):
-    """Ids of space-separated words as little-endian 32-bit bytes, each word tokenized once.
+    """Ids of a text as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and no rule of it reaches over a space, so the ids of a text are those of its
-    words in turn. Special tokens' strings stay inside one word.
+    Where the tokenizer drops white space and no rule of it reaches over a space (works_by_word), the ids of a text are
+    those of its words in turn, each word tokenized once; else whole texts are tokenized. Special tokens' strings stay
+    inside one word.
     """
 
     def __init__(self, path: str) -> None:
@@ -31,15 +48,20 @@ class WordTokens(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = works_by_word(path)
+
+    def encoded(self, text: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = array.array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         if len(self) >= CACHE_WORDS:
             self.clear()
-        found = self[word] = ids.tobytes()
+        found = self[word] = self.encoded(word.decode())
         return found
 
     def ids(self, text: str) -> bytes:
+        if not self.by_word:
+            return self.encoded(text)
         words = text.encode("utf-8", "replace").replace(b"\n", b" ")
         if b"<|" not in words:  # special tokens are found before letters are lower-cased
             words = words.lower()
@@ -62,20 +84,22 @@ def capacities(total: int, size: int) -> list[int]:
     return [size] * (total // size) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
-def pack_lengths(lengths: list[int], size: int, linear: float, quadratic: float, tries: int = 8) -> tuple[list[tuple[int, int, int, int, int]], list[float]]:
+def pack_lengths(lengths: list[int], size: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], list[float]]:
     """Pieces (document, start, length, sequence, offset) for documents of these lengths, and each sequence's cost.
 
-    Descending pieces go to the lowest-cost sequence with room. Where none of the `tries` cheapest has room for a whole
-    piece, the cheapest takes what it can and the rest is placed in turn. Sequences hold exactly the tokens there are.
+    Descending pieces go to the lowest-cost sequence with room. Only where none has room for the whole piece is it cut:
+    the cheapest sequence with any room takes what it can and the rest is placed in turn. Sequences hold exactly the
+    tokens there are.
     """
-    room = capacities(sum(lengths), size)
-    cost = [0.0] * len(room)
-    used = [0] * len(room)
+    room = np.array(capacities(sum(lengths), size), np.int64)
+    cost = np.zeros(len(room))
+    used = np.zeros(len(room), np.int64)
     pieces: list[tuple[int, int, int, int, int]] = []
 
     def put(doc: int, start: int, length: int, seq: int) -> None:
-        pieces.append((doc, start, length, seq, used[seq]))
+        pieces.append((doc, start, length, seq, int(used[seq])))
         used[seq] += length
+        room[seq] -= length
         cost[seq] += attention_cost(length, linear, quadratic)
 
     todo, full = [], 0
@@ -88,28 +112,18 @@ def pack_lengths(lengths: list[int], size: int, linear: float, quadratic: float,
         if length > start:
             todo.append((start - length, doc, start))
     heapq.heapify(todo)
-    heap = [(0.0, seq) for seq in range(full, len(room))]
-    heapq.heapify(heap)
     while todo:
         negative, doc, start = heapq.heappop(todo)
-        length, passed, chosen = -negative, [], None
-        while heap and len(passed) < tries:
-            entry = heapq.heappop(heap)
-            if room[entry[1]] - used[entry[1]] >= length:
-                chosen = entry[1]
-                break
-            passed.append(entry)
-        if chosen is None:
-            chosen = passed.pop(0)[1]
-        for entry in passed:
-            heapq.heappush(heap, entry)
-        taken = min(length, room[chosen] - used[chosen])
+        length = -negative
+        price = np.where(room >= length, cost, np.inf)
+        chosen = int(price.argmin())
+        if price[chosen] == np.inf:
+            chosen = int(np.where(room > 0, cost, np.inf).argmin())
+        taken = min(length, int(room[chosen]))
         put(doc, start, taken, chosen)
         if taken < length:
             heapq.heappush(todo, (taken - length, doc, start + taken))
-        if used[chosen] < room[chosen]:
-            heapq.heappush(heap, (cost[chosen], chosen))
-    return pieces, cost
+    return pieces, cost.tolist()
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 2, group_tokens: int = 1 << 22, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> DataFrame:

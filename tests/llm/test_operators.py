@@ -261,6 +261,49 @@ def test_packing_round_trip(spark, corpus):
     assert packing.pack_documents(docs_of(spark, rows).limit(0), tokenizer_path()).count() == 0
 
 
+def test_packing_takes_any_sequence_with_room():
+    rng = random.Random(4)
+    for _ in range(30):
+        lengths = [min(4000, int(rng.lognormvariate(5, 1.2)) + 1) for _ in range(rng.randint(1, 120))]
+        room = packing.capacities(sum(lengths), 1024)
+        used, cost, want = [0] * len(room), [0.0] * len(room), []
+        whole = [(i, 1024 * k, 1024) for i, n in enumerate(lengths) for k in range(n // 1024)]
+        todo = [(-(n % 1024), i, n - n % 1024) for i, n in enumerate(lengths) if n % 1024]
+        for q, (i, s, n) in enumerate(whole):
+            want.append((i, s, n, q, 0))
+            used[q], cost[q] = n, n + n * n / 2048
+        while todo:  # the same rule, looked up plainly
+            todo.sort()
+            m, i, s = todo.pop(0)
+            fits = [q for q in range(len(room)) if room[q] - used[q] >= -m] or [q for q in range(len(room)) if room[q] > used[q]]
+            q = min(fits, key=lambda q: (cost[q], q))
+            n = min(-m, room[q] - used[q])
+            want.append((i, s, n, q, used[q]))
+            used[q], cost[q] = used[q] + n, cost[q] + n + n * n / 2048
+            if n < -m:
+                todo.append((n + m, i, s + n))
+        assert packing.pack_lengths(lengths, 1024, 1.0, 1 / 2048)[0] == want
+    lengths = [min(4095, int(rng.lognormvariate(5.5, 1.3)) + 1) for _ in range(3000)]
+    pieces = collections.Counter(p[0] for p in packing.pack_lengths(lengths, 4096, 1.0, 1 / 2048)[0])
+    assert sum(n > 1 for n in pieces.values()) <= 60
+
+
+def test_packing_with_a_tokenizer_that_minds_blanks(tmp_path):
+    import json
+
+    assert packing.works_by_word(tokenizer_path())
+    with open(tokenizer_path()) as f:
+        made = json.load(f)
+    made["normalizer"] = {"type": "NFC"}
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    assert not packing.works_by_word(str(tmp_path / "other.json"))
+    from tokenizers import Tokenizer
+
+    text = "Mixed Case  and\tblanks"
+    ids = Tokenizer.from_file(str(tmp_path / "other.json")).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.WordTokens(str(tmp_path / "other.json")).ids(text), "<u4").tolist() == ids
+
+
 def test_costs_are_balanced():
     rng = random.Random(1)
     lengths = [rng.randint(1, 3000) for _ in range(2000)]
