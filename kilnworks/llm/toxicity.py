@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U, mix, small, span_hashes, text_slices, word_spans
-from ._common import materialize
+from ._common import materialize, release
 from .jaccard import shingle_sets
 
 #: Symbols of the language model: 0 is a word's edge, 1 to 26 are a to z, 27 is any byte beyond ASCII.
@@ -23,7 +23,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SUBSTITUTED, REPEATED, SPACED = 1.0, 0.5, 0.5
 #: And a sign that stands for nothing, within a word and at its ends.
 DROPPED_SIGN, DROPPED_END = 9.0, 0.1
-#: The share of toxic texts among those with a feature that marks toxicity, and how many features do.
+#: The share of toxic texts among those with a feature that marks toxicity, and the share of features that do.
 PURITY, PRIOR = 0.995, 1e-8
 #: Longer words and runs are decoded in pieces of twice this length, each starting this far after the one before.
 LONGEST = 64
@@ -349,36 +349,37 @@ class ToxicityModel:
         self.characters, self.lookup, self.bias = characters, lookup, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, sample_rows: int = 20_000, max_features: int = 4_000, min_docs: int = 5) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, sample_rows: int = 20_000, min_docs: int = 5) -> ToxicityModel:
     """Fit on rows whose crc32(id as text) is no multiple of `folds`.
 
-    The character model counts all documents. The classifier is fitted on at most sample_rows labelled rows, those of
-    the smallest hashes (a broadcast of sample_rows pairs), near copies left out; its features are the max_features that toxic rows hold most
-    clearly more often than others. A label that is null or neither 0 nor 1, and rows whose labels disagree, are left out.
+    The character model counts all documents. The classifier is fitted on at most sample_rows labelled ids, those of
+    the smallest hashes (a broadcast of sample_rows pairs), near copies left out; of rows that share an id the smallest
+    text is read. Its features are all that min_docs toxic rows of the sample hold at least, and that toxic rows hold
+    more than four times as often as others. A label that is null or neither 0 nor 1, and rows whose labels disagree,
+    are left out.
     """
     characters = CharacterModel(trigram_counts(docs, text_col))
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     known = known.filter(F.crc32(F.col("id").cast("string").cast("binary")) % folds != 0).groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").select("id", "toxic")
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()  # sample_rows pairs
-    if not chosen:
-        return ToxicityModel(characters, Lookup(np.zeros(0, np.uint64), np.zeros(0)), 0.0)
+    chosen = materialize(known.orderBy(F.xxhash64("id"), "id").limit(sample_rows), "toxicity-ids")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    # sample_rows pairs at most
-    chosen = unlike(texts.join(F.broadcast(docs.sparkSession.createDataFrame([(r["id"], r["toxic"]) for r in chosen], "id long, toxic int")), "id"))
-    rows = materialize(texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "id long, toxic int")), "id").select("text", "toxic"), "toxicity-sample")
-    n1 = sum(toxic for _, toxic in chosen)
-    n0 = len(chosen) - n1
-    rate = min(0.5, max(1e-3, n1 / max(1, len(chosen))))
+    rows = materialize(texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+    kept = unlike(rows)  # sample_rows pairs at most
+    if not kept:
+        return ToxicityModel(characters, Lookup(np.zeros(0, np.uint64), np.zeros(0)), 0.0)
+    rows = rows.drop("toxic").join(F.broadcast(docs.sparkSession.createDataFrame(kept, "id long, toxic int")), "id").select("text", "toxic")
+    n1 = sum(toxic for _, toxic in kept)
+    n0 = len(kept) - n1
+    rate = min(0.5, max(1e-3, n1 / len(kept)))
     schema = "feature long, positive long, negative long"
     sums = (F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
     def select(kinds: tuple[int, ...], explained: Lookup | None) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and weights of the best features; two passes over the sample, so that only what toxic texts hold is counted."""
-        frequent = rows.filter("toxic = 1").mapInArrow(_counts(characters, None, kinds, explained), schema).groupBy("feature").agg(*sums).filter(F.col("positive") >= min_docs).orderBy(F.col("positive").desc(), "feature").limit(50 * max_features).select("feature").toArrow()
+        """Hashes and weights of the features; two passes over the sample, so that only what toxic texts hold is counted."""
+        frequent = rows.filter("toxic = 1").mapInArrow(_counts(characters, None, kinds, explained), schema).groupBy("feature").agg(*sums).filter(F.col("positive") >= min_docs).select("feature").toArrow()  # bounded by the sample
         first = Lookup(frequent.column(0).to_numpy().astype(np.int64).view(np.uint64), np.zeros(frequent.num_rows))
         p1, p0 = (F.col("positive") + 0.5) / (n1 + 1), (F.col("negative") + 0.5) / (n0 + 1)
-        gain = F.log(p1 / p0) * F.sqrt("positive")
-        counted = rows.mapInArrow(_counts(characters, first, kinds, explained), schema).groupBy("feature").agg(*sums).filter((F.col("positive") >= min_docs) & (p1 > 4 * p0)).orderBy(gain.desc(), "feature").limit(max_features).collect()  # max_features rows
+        counted = rows.mapInArrow(_counts(characters, first, kinds, explained), schema).groupBy("feature").agg(*sums).filter((F.col("positive") >= min_docs) & (p1 > 4 * p0)).orderBy("feature").collect()  # bounded by the sample
         hashes = np.array([r["feature"] for r in counted], np.int64).view(np.uint64)
         return hashes, feature_weights(np.array([r["positive"] for r in counted], float), np.array([r["negative"] for r in counted], float), rate)
 
@@ -386,11 +387,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # a beginning that only marking words make toxic is no evidence for others
     marking = Lookup(hashes[weights > np.log(2)], weights[weights > np.log(2)])
     more, heavier = select((4, 5, 6), marking)
+    release(chosen)
     return ToxicityModel(characters, Lookup(np.concatenate([hashes, more]), np.concatenate([weights, heavier])), -float(np.log1p(-rate / 10)))
 
 
 def unlike(rows: DataFrame, sketches: int = 4) -> list[tuple[int, int]]:
-    """(id, toxic) of the sample's rows (id, text, toxic) without near copies: a word that many copies of one text hold is no evidence.
+    """(id, toxic) of the sample's rows (id, toxic, text; one for each id) without near copies: a word that many copies of one text hold is no evidence.
 
     A row goes that shares one of `sketches` least hashes of its three-word shingles with an earlier one of its label.
     """
