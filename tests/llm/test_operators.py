@@ -364,20 +364,37 @@ def test_substrings(spark):
     assert substrings.repeated_spans(docs.limit(0)).count() == 0
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("constant", [20_000, 0])
+def test_lines(spark, constant):
     shared = "this line is on every site"
     rows = [(i, f"own line number {i} of its page\n{shared}\n  {shared} \nshort\n", f"s{i % 12}") for i in range(24)]
     rows += [(100 + i, f"this line is on nine sites\nanother {i}", f"s{i % 9}") for i in range(30)]
     rows += [(200, None, "s1"), (201, "", "s1"), (202, shared, None), (None, shared, "s3"), (0, rows[0][1], "s0")]
     got = collections.defaultdict(list)
-    for r in lines.dedup_lines(docs_of(spark, rows).withColumn("n_lines", F.lit("clash"))).collect():
+    for r in lines.dedup_lines(docs_of(spark, rows).withColumn("n_lines", F.lit("clash")), constant_lines=constant).collect():
         got[r["doc_id"]].append((r["text"], r["n_lines"], r["n_removed"]))
     assert got[0] == [(rows[0][1], 5, 0)] * 2  # the smallest id keeps the line
     assert got[5] == [("own line number 5 of its page\nshort\n", 5, 2)]
     assert got[100] == [(rows[24][1], 2, 0)] and got[200] == [(None, 0, 0)] and got[201] == [("", 1, 0)] and got[202] == [("", 1, 1)] and got[None] == [("", 1, 1)]
-    none = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs_of(spark, rows), keep_first=False).collect()}
+    none = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs_of(spark, rows), keep_first=False, constant_lines=constant).collect()}
     assert none[0] == 2
-    assert lines.dedup_lines(docs_of(spark, rows).limit(0)).count() == 0
+    assert lines.dedup_lines(docs_of(spark, rows).limit(0), constant_lines=constant).count() == 0
+
+
+def test_lines_by_estimate_near_and_far(spark):
+    rng = random.Random(8)
+    shared = {k: f"a line on {k} of the sites" for k in (3, 9, 10, 11, 14, 16, 40, 120)}  # the last two are settled by their estimates
+    rows = [(i, "\n".join([words(rng, 5)] + [s for k, s in shared.items() if i < k] + ["  " + words(rng, 2)]), f"site{i}") for i in range(200)]
+    rows += [(500 + i, shared[9], "site0") for i in range(30)]
+    sites, first = collections.defaultdict(set), {}
+    for i, t, s in rows:
+        for line in t.split("\n"):
+            sites[line.strip(" ")].add(s)
+            first.setdefault(line.strip(" "), i)
+    want = {i: "\n".join(x for x in t.split("\n") if len(x.strip(" ")) < 10 or len(sites[x.strip(" ")]) < 10 or first[x.strip(" ")] == i) for i, t, _ in rows}
+    for constant in (20_000, 2):
+        got = lines.dedup_lines(docs_of(spark, rows), constant_lines=constant)
+        assert {r["doc_id"]: r["text"] for r in got.collect()} == want
 
 
 def test_temperature():
