@@ -397,39 +397,96 @@ def test_lines_by_estimate_near_and_far(spark):
         assert {r["doc_id"]: r["text"] for r in got.collect()} == want
 
 
-def test_temperature():
-    tokens = {"a": 900, "b": 90, "c": 10}
-    assert mixing.temperature_weights(tokens, 1.0)["a"] == pytest.approx(0.9) and mixing.temperature_weights(tokens, 0.0)["c"] == pytest.approx(1 / 3)
-    target = 0.8
-    assert mixing.entropy(mixing.temperature_weights(tokens, mixing.fit_exponent(tokens, target_entropy=target))) == pytest.approx(target, abs=1e-6)
-    w = mixing.temperature_weights(tokens, mixing.fit_exponent(tokens, max_repetition=2.0))
-    assert mixing.repetition(tokens, w, mixing.covering_budget(tokens, w)) == pytest.approx(2.0, abs=1e-6)
+def weights_at(tokens, exponent):
+    whole = sum(tokens.values())
+    raised = {s: (n / whole) ** exponent for s, n in tokens.items() if n}
+    return {s: x / sum(raised.values()) for s, x in raised.items()}
+
+
+def entropy_of(weights):
+    return -sum(w * math.log(w) for w in weights.values())
+
+
+def least_exponent(meets):
+    low, high = 0.0, 1.0
+    if meets(low):
+        return low
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (low, middle) if meets(middle) else (middle, high)
+    return high
+
+
+def test_temperature(spark):
+    tokens = {"a": 900, "b": 90, "c": 10, "d": 0}
+    shares = mixing.Shares(spark.createDataFrame(list(tokens.items()), "_source string, t long"))
+    assert shares.moments([1.0, 0.0])[0][0] == pytest.approx(1) and shares.moments([1.0, 0.0])[1][0] == pytest.approx(3)
+    for target in (0.8, 0.5):
+        got = mixing.fit_exponent(shares, target_entropy=target)
+        assert entropy_of(weights_at(tokens, got)) == pytest.approx(target, abs=1e-9)
+    assert mixing.fit_exponent(shares, target_entropy=2.0) == 0.0 and mixing.fit_exponent(shares, target_entropy=0.01) == 1.0
+    for limit, budget in ((2.0, None), (1.5, None), (3.0, 1200), (5.0, 500)):
+        most = lambda e: max(w * (max(tokens[s] / v for s, v in weights_at(tokens, e).items()) if budget is None else budget) / tokens[s] for s, w in weights_at(tokens, e).items())
+        assert mixing.fit_exponent(shares, max_repetition=limit, budget=budget) == pytest.approx(least_exponent(lambda e: most(e) <= limit), abs=1e-9)
+
+
+def mixed_by_hand(spark, docs, limit=None, target=None, budget=None, max_blocks=1 << 16, seed=0):
+    """(doc_id, source, epoch) of the mix, by going through every block and row in turn."""
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("s"), "text", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(seed)).alias("h")).collect()
+    rows = [(r["doc_id"], r["s"], len((r["text"] or "").split()), (r["h"] & (1 << 64) - 1) >> 1) for r in rows]
+    tokens = collections.Counter()
+    for _, s, n, _ in rows:
+        tokens[s] += n
+    live = {s: n for s, n in tokens.items() if n}
+    cover = lambda e: max(live[s] / w for s, w in weights_at(live, e).items())
+    if target is not None:
+        exponent = least_exponent(lambda e: entropy_of(weights_at(live, e)) <= target)
+    else:
+        exponent = least_exponent(lambda e: max(w * (cover(e) if budget is None else budget) / live[s] for s, w in weights_at(live, e).items()) <= limit * (1 + 1e-12))
+    weights, whole = weights_at(live, exponent), cover(exponent) if budget is None else budget
+    spent = {s: max(round(weights[s] * whole), live[s] if budget is None else 0) for s in live}
+    order = {(r["b"], r["e"]): r["h"] for r in spark.range(1024).selectExpr("id b", "explode(sequence(1, 40)) e").selectExpr("b", "e", f"xxhash64(b, e, {seed}) h").collect()}
+    out = []
+    for s in tokens:
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: r[3])
+        if not tokens[s]:
+            out += [(i, s, 1) for i, *_ in own]
+            continue
+        bits = max(0, min(10, math.floor(math.log2(tokens[s] * (max_blocks / sum(live.values()))))))
+        for epoch in range(1, -(-spent[s] // tokens[s]) + 1):
+            left = spent[s] - (epoch - 1) * tokens[s]
+            for block in sorted({r[3] >> 63 - bits for r in own}, key=lambda b: (order[b, epoch], b)):
+                if left <= 0 and not (epoch == 1 and budget is None):
+                    break
+                inside = [r for r in own if r[3] >> 63 - bits == block]
+                for i, _, n, _ in inside:
+                    if left > 0 or (epoch == 1 and budget is None):
+                        out.append((i, s, epoch))
+                    left -= n
+    return collections.Counter(out)
 
 
-def test_mixing_meets_weights(spark):
+def test_mixing_against_brute_force(spark):
     rng = random.Random(5)
-    rows = [(i, words(rng, rng.randint(1, 30)), "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(2000)] + [(5000, None, "s1"), (5001, "", "empty"), (5002, "x y", None), (0, "again", "hot")]
+    rows = [(i, words(rng, rng.randint(1, 30)), "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(1500)] + [(5000, None, "s1"), (5001, "", "empty"), (5002, "x y", None), (0, "again", "hot"), (None, "no id", "s2")]
     docs = docs_of(spark, rows).withColumn("epoch", F.lit("clash"))
-    mixed = mixing.mix_sources(docs, max_repetition=2.0, max_blocks=64)
-    got = mixed.select("doc_id", "source", "text", "epoch", "mix_tokens").collect()
-    assert {(r["doc_id"], r["text"]) for r in got} == {(i, t) for i, t, _ in rows}  # every row at least once
-    copies = collections.Counter((r["doc_id"], r["text"]) for r in got)
-    assert max(copies.values()) == 2
-    total, have = collections.Counter(), collections.Counter()
-    for i, t, s in rows:
-        have[s or ""] += len((t or "").split())
-    for r in got:
-        total[r["source"] or ""] += r["mix_tokens"]
-    tokens = {s: n for s, n in have.items() if n}
-    weights = mixing.temperature_weights(tokens, mixing.fit_exponent(tokens, max_repetition=2.0))
-    budget = mixing.covering_budget(tokens, weights)
-    for s in tokens:
-        assert abs(total[s] - weights[s] * budget) <= 31
-    half = mixing.mix_sources(docs, budget=sum(tokens.values()) // 2)
-    assert half.agg(F.sum("mix_tokens")).first()[0] == pytest.approx(sum(tokens.values()) // 2, abs=31 * len(tokens))
+    total = sum(len((t or "").split()) for _, t, _ in rows)
+    for blocks in (64, 1 << 16):
+        for how in ({"limit": 2.0}, {"limit": 1.3}, {"target": 1.9}, {"limit": 2.0, "budget": total // 2}, {"limit": 6.0, "budget": 3 * total}):
+            made = mixing.mix_sources(docs, max_repetition=how.get("limit"), target_entropy=how.get("target"), budget=how.get("budget"), max_blocks=blocks)
+            got = collections.Counter((r["doc_id"], r["source"] or "", r["epoch"]) for r in made.select("doc_id", "source", "epoch").collect())
+            assert got == mixed_by_hand(spark, docs, max_blocks=blocks, **how), (blocks, how)
+    shuffled = mixing.mix_sources(docs, broadcast_rows=2).select("doc_id", "epoch", "mix_block", "mix_tokens").collect()
+    assert collections.Counter(shuffled) == collections.Counter(mixing.mix_sources(docs).select("doc_id", "epoch", "mix_block", "mix_tokens").collect())
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_takes_repeated_rows_together(spark):
+    rows = [(1, "one row of six words here", "a")] * 300 + [(2 + i, "b", "b") for i in range(10)]
+    got = collections.Counter(r["doc_id"] for r in mixing.mix_sources(docs_of(spark, rows), budget=100).select("doc_id").collect())
+    assert got[1] in (0, 300)
+
+
 def test_mixing_keeps_rows_without_tokens(spark):
     rows = [(i, words(random.Random(i), 9) if i < 60 else (None, "", "  ")[i % 3], "one") for i in range(400)]
     got = mixing.mix_sources(docs_of(spark, rows)).select("doc_id").collect()
