@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import U, span_hashes, text_slices
-from ._common import materialize
+from ._common import hottest, join_spread, materialize
 
 #: The gear hash looks back over this many bytes; its 16 bits decide.
 WINDOW = 16
@@ -36,14 +36,25 @@ def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return h[place]
 
 
+def low_bits(data: np.ndarray, offsets: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """The lowest 16 bits of gear_hashes(); those of one long row are made block by block, each with the bytes before it."""
+    if len(offsets) > 2 or len(data) <= block:
+        return gear_hashes(data, offsets).astype(np.uint16) if len(data) else np.zeros(0, np.uint16)
+    parts = []
+    for at in range(0, len(data), block):
+        back = min(at, WINDOW - 1)
+        part = data[at - back : at + block]
+        parts.append(gear_hashes(part, np.array([0, len(part)]))[back:].astype(np.uint16))
+    return np.concatenate(parts)
+
+
 def chunk_spans(data: np.ndarray, offsets: np.ndarray, average: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, stops, rows) of the chunks: a chunk ends where the hash falls below a threshold, at its row's end, and after MOST bytes.
 
     A place within LEAST bytes of such a place before it ends none, whether that one does or not: this too depends on
     the bytes just before alone, and leaves no chunks of a syllable, which repeat everywhere.
     """
-    low = gear_hashes(data, offsets) & np.uint32(0xFFFF) if len(data) else np.zeros(0, np.uint32)
-    ends = np.flatnonzero(low < 65536 // average) + 1
+    ends = np.flatnonzero(low_bits(data, offsets) < 65536 // average) + 1
     row = np.searchsorted(offsets, ends - 1, "right")
     ends = ends[(np.diff(ends, prepend=-LEAST) >= LEAST) | (np.diff(row, prepend=-1) > 0)]
     ends = np.unique(np.concatenate([ends, offsets[1:][np.diff(offsets) > 0]])).astype(np.int64)
@@ -65,10 +76,12 @@ def _chunks(average: int):
                 if not len(starts):
                     continue
                 digests = span_hashes(data, starts, stops)
-                inside = ~BLANK[data]
-                begins = np.zeros(len(data) + 1, np.int64)
-                np.cumsum(inside & ~np.concatenate([[False], inside[:-1]]), out=begins[1:])
-                words = begins[stops] - begins[starts]
+                begins = ~BLANK[data]
+                begins[1:] &= BLANK[data[:-1]]
+                heads = offsets[:-1][np.diff(offsets) > 0]
+                begins[heads] = ~BLANK[data[heads]]
+                begins = np.flatnonzero(begins)
+                words = np.searchsorted(begins, stops) - np.searchsorted(begins, starts)
                 order = np.lexsort((starts, digests, rows))
                 again = np.zeros(len(starts), np.int64)
                 again[order[1:]] = (digests[order[1:]] == digests[order[:-1]]) & (rows[order[1:]] == rows[order[:-1]])
@@ -79,8 +92,8 @@ def _chunks(average: int):
 
 
 def version_of(text: Column) -> Column:
-    """Tells texts of one id apart; 16 bits, since it goes with every chunk."""
-    return F.crc32(text.cast("binary")).bitwiseAND(0xFFFF)
+    """Tells texts of one id apart: 64 bits."""
+    return F.xxhash64(text, F.octet_length(text))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = 16, min_words: int = 12) -> DataFrame:
@@ -88,11 +101,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are cut into chunks where a gear rolling hash of the last 16 bytes is small, so equal passages fall into equal
     chunks whatever stands around them and however far they are shifted. Of a chunk's digest the smallest id that has it
-    keeps it, by a map-side aggregate: a passage that a third of the rows share is one row for each task. The other
-    documents' chunks of that digest, and a document's own repeats, are repeats; runs of repeats that follow each other
+    keeps it, by a map-side aggregate: a passage that a third of the rows share is one row for each task. The digests
+    with the most chunks are dealt into parts when chunks meet their keepers (join_spread). The other documents' chunks
+    of a digest, and a document's own repeats, are repeats; runs of repeats that follow each other
     and have min_words words or more make a span: start and length in bytes of the UTF-8 text, words, and first_ids, the
     ids of the documents that keep its chunks. Up to two chunks at a passage's ends stay out of its span, so passages of
-    50 words are found at a threshold of 12.
+    50 words are found at a threshold of 12. A digest is a 64-bit hash that is not checked against the bytes: a wrong
+    span takes a collision in each of its chunks, several in a row.
 
     A null text has no chunks. Rows with a null id neither keep nor lose anything. Rows that share an id keep the same
     chunks; their spans are told apart by version, a hash of the text, and rows with equal ids and texts give one row.
@@ -102,9 +117,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), version_of(text).alias("version"), text.alias("text")).filter("doc_id is not null and text is not null")
     # made twice rather than kept: the chunks of a text take more room than the text
     chunks = rows.mapInArrow(_chunks(average), "doc_id long, version long, digest long, place long")
-    kept = chunks.filter("place & 1 = 0").groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper <> last").select("digest", "keeper")
+    kept = chunks.filter("place & 1 = 0").groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("keeper <> last").select("digest", "keeper", "n")
     kept = materialize(kept, "chunk-keepers")
-    other = chunks.filter("place & 1 = 0").join(kept, "digest").filter("doc_id <> keeper").select("doc_id", "version", "place", "keeper")
+    other = join_spread(chunks.filter("place & 1 = 0"), kept.drop("n"), ["digest"], "doc_id", hottest(kept, ["digest"])).filter("doc_id <> keeper").select("doc_id", "version", "place", "keeper")
     repeats = other.unionByName(chunks.filter("place & 1 = 1").select("doc_id", "version", "place", F.col("doc_id").alias("keeper"))).distinct()
     repeats = repeats.select("doc_id", "version", "keeper", F.expr(f"place >> {LENGTH_BITS + WORD_BITS + 1}").alias("start"), F.expr(f"(place >> {WORD_BITS + 1}) & {MOST}").alias("length"), F.expr(f"(place >> 1) & {(1 << WORD_BITS) - 1}").alias("words"))
     order = Window.partitionBy("doc_id", "version").orderBy("start")

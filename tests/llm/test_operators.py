@@ -332,6 +332,68 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def chunks_by_hand(text):
+    """(start, bytes) of the chunks, byte by byte."""
+    b = text.encode()
+    marks = [i + 1 for i in range(len(b)) if sum(int(substrings.GEAR[b[j]]) << (i - j) for j in range(max(0, i - 15), i + 1)) % (1 << 32) % (1 << 16) < 4096]
+    ends = [e for k, e in enumerate(marks) if not k or e - marks[k - 1] >= 12]
+    out, at = [], 0
+    for e in sorted({*ends, len(b)} - {0}):
+        while e - at > substrings.MOST:
+            out.append((at, b[at : at + substrings.MOST]))
+            at += substrings.MOST
+        out.append((at, b[at:e]))
+        at = e
+    return out
+
+
+def test_gear_hash_is_a_rolling_hash():
+    rng = random.Random(21)
+    texts = ["", "a", words(rng, 40), "b" * 20000, "\u00fc" * 30, words(rng, 300)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    starts, stops, rows = substrings.chunk_spans(data, offsets, 16)
+    got = [(int(a - offsets[r]), data[a:b].tobytes(), int(r)) for a, b, r in zip(starts, stops, rows)]
+    assert got == [(a, b, r) for r, t in enumerate(texts) for a, b in chunks_by_hand(t)]
+    long = np.frombuffer((words(rng, 2000) * 3).encode(), np.uint8)
+    ends = np.array([0, len(long)])
+    assert (substrings.low_bits(long, ends, block=1000) == substrings.low_bits(long, ends)).all()
+
+
+def test_substrings_against_brute_force(spark):
+    rng = random.Random(13)
+    passages = [words(rng, 40) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(passages) if rng.random() < 0.2 else words(rng, 8) for _ in range(rng.randint(1, 12))), "s") for i in range(150)]
+    rows += [(3, rows[3][1], "t"), (3, words(rng, 30) + passages[0], "s"), (None, rows[7][1], "s"), (900, None, "s"), (901, "", "s"), (902, (passages[1] + " ") * 4, "s"), (903, "ab " * 9000, "s")]
+    texts = sorted({(i, t) for i, t, _ in rows if i is not None and t})
+    keeper, owners = {}, collections.defaultdict(set)
+    for i, t in texts:
+        for _, b in chunks_by_hand(t):
+            keeper[b] = min(keeper.get(b, i), i)
+            owners[b].add(i)
+    want = collections.Counter()
+    for i, t in texts:
+        seen, runs, at = set(), [], None
+        raw = t.encode()
+        for start, b in chunks_by_hand(t):
+            first = i if b in seen else keeper[b] if keeper[b] != i else None
+            seen.add(b)
+            n = sum(1 for k in range(start, start + len(b)) if raw[k : k + 1] not in b" \t\n\r\x0b\x0c" and (k == 0 or raw[k - 1 : k] in b" \t\n\r\x0b\x0c"))
+            if first is None:
+                at = None
+                continue
+            if at != start:
+                runs.append([start, 0, 0, set()])
+            runs[-1][1], runs[-1][2] = runs[-1][1] + len(b), runs[-1][2] + n
+            runs[-1][3].add(first)
+            at = start + len(b)
+        spans = tuple((s, n, w, tuple(sorted(f))) for s, n, w, f in runs if w >= 12)
+        if spans:
+            want[(i, spans)] += 1
+    got = collections.Counter((r["doc_id"], tuple((s["start"], s["length"], s["words"], tuple(s["first_ids"])) for s in r["spans"])) for r in substrings.repeated_spans(docs_of(spark, rows)).collect())
+    assert got == want and len(want) > 60
+
+
 def test_substrings(spark):
     rng = random.Random(3)
     rows = [(i, words(rng, rng.randint(50, 300)), "s") for i in range(400)]
@@ -471,11 +533,10 @@ def test_mixing_against_brute_force(spark):
     rows = [(i, words(rng, rng.randint(1, 30)), "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(1500)] + [(5000, None, "s1"), (5001, "", "empty"), (5002, "x y", None), (0, "again", "hot"), (None, "no id", "s2")]
     docs = docs_of(spark, rows).withColumn("epoch", F.lit("clash"))
     total = sum(len((t or "").split()) for _, t, _ in rows)
-    for blocks in (64, 1 << 16):
-        for how in ({"limit": 2.0}, {"limit": 1.3}, {"target": 1.9}, {"limit": 2.0, "budget": total // 2}, {"limit": 6.0, "budget": 3 * total}):
-            made = mixing.mix_sources(docs, max_repetition=how.get("limit"), target_entropy=how.get("target"), budget=how.get("budget"), max_blocks=blocks)
-            got = collections.Counter((r["doc_id"], r["source"] or "", r["epoch"]) for r in made.select("doc_id", "source", "epoch").collect())
-            assert got == mixed_by_hand(spark, docs, max_blocks=blocks, **how), (blocks, how)
+    for blocks, how in ((64, {"limit": 1.3}), (64, {"target": 1.9}), (64, {"limit": 2.0, "budget": total // 2}), (1 << 16, {"limit": 2.0}), (1 << 16, {"limit": 6.0, "budget": 3 * total})):
+        made = mixing.mix_sources(docs, max_repetition=how.get("limit"), target_entropy=how.get("target"), budget=how.get("budget"), max_blocks=blocks)
+        got = collections.Counter((r["doc_id"], r["source"] or "", r["epoch"]) for r in made.select("doc_id", "source", "epoch").collect())
+        assert got == mixed_by_hand(spark, docs, max_blocks=blocks, **how), (blocks, how)
     shuffled = mixing.mix_sources(docs, broadcast_rows=2).select("doc_id", "epoch", "mix_block", "mix_tokens").collect()
     assert collections.Counter(shuffled) == collections.Counter(mixing.mix_sources(docs).select("doc_id", "epoch", "mix_block", "mix_tokens").collect())
     assert mixing.mix_sources(docs.limit(0)).count() == 0
