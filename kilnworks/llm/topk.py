@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import materialize, scratch_path
+
 #: Each level's bins are this many scores wide, as a power of two; a later level looks only into the bin of the kth value.
 SHIFTS = (12, 6, 0)
 HITS = pa.schema([("query", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -69,7 +71,8 @@ class Scorer:
         for ids, vectors in vector_blocks(batches):
             for numbers, queries in self.groups:
                 if queries.shape[1] == vectors.shape[1]:
-                    yield numbers, ids, integer_scores(queries, vectors, self.scale)
+                    for at in range(0, len(numbers), 4096):  # 4096 by 1024 scores at a time
+                        yield numbers[at : at + 4096], ids, integer_scores(queries[at : at + 4096], vectors, self.scale)
 
     def histogram(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of the bins that can hold a query's kth score: with `need` scores of its own above a bin, a block leaves that bin out."""
@@ -111,14 +114,15 @@ def _locate(counts: DataFrame, need: DataFrame) -> DataFrame:
     return summed.join(F.broadcast(need), "query").filter("above < need and above + n >= need").select("query", "bin", (F.col("need") - F.col("above")).alias("left"))
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, block_values: int = 1 << 18) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, block_values: int = 1 << 22, at_once: int = 2) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products of floor(scale * x).
 
-    Histogram selection, for one block of queries (block_values numbers at most, so a broadcast of proven size) after
-    the other: every pass scores all candidates in their own tasks; three levels of histograms, summed over all tasks,
-    narrow the kth score of every query from bins 4096 wide to its very value; the last pass keeps pairs above it, and
-    of those at it the smallest ids, as many as are wanted. No pass moves vectors, and a task sends at most k bins or
-    ties a query and block of 1024 rows, whatever the number of equal vectors.
+    Histogram selection, for blocks of queries (block_values numbers each, 8 bytes a number, so a broadcast of proven
+    size; at_once of them at a time): every pass scores all candidates in their own tasks; three levels of histograms,
+    summed over all tasks, narrow the kth score of every query from bins 4096 wide to its very value; the last pass
+    keeps pairs above it, and of those at it the smallest ids, as many as are wanted, and writes them. No pass moves
+    vectors, and a task sends at most k bins or ties a query and block of 1024 rows, whatever the number of equal
+    vectors.
 
     Ties go to smaller ids; rows with the query's own id are no candidates; fewer than k candidates are all returned.
     Rows whose id or vector is null, or whose vector holds null or non-finite values, take no part. Vectors are scored
@@ -130,27 +134,36 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     base = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     asked = vectors.filter(is_query).select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].cast("array<double>").alias("vec")).filter("vec_id is not null and vec is not null").filter(finite).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    asked = materialize(asked, "topk-queries")
     size = asked.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    out = []
     blocks = -(-size[0] * max(1, size[1] or 1) // block_values)
-    for b in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        if not block:
-            continue
-        ids = np.array([r["vec_id"] for r in block], np.int64)
-        scorer = Scorer(ids, [np.array(r["vec"], np.float64) for r in block], k, scale)
-        for level in range(len(SHIFTS)):
-            scorer.level = level
-            need = spark.createDataFrame([(i, int(n)) for i, n in enumerate(scorer.need)], "query int, need long")
-            found = {r["query"]: r for r in _locate(base.mapInArrow(scorer.histogram, "query int, bin long, n long"), need).collect()}  # a row for each query of the block
-            for q in range(len(ids)):
-                if q in found:
-                    scorer.bin[q], scorer.need[q] = found[q]["bin"], found[q]["left"]
-                else:
-                    scorer.need[q] = -1  # fewer than k candidates
-        numbers = F.broadcast(spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "query int, query_id long"))
-        out.append(base.mapInArrow(scorer.hits, "query int, vec_id long, score long").join(numbers, "query"))
-    if not out:
+    with ThreadPoolExecutor(at_once) as pool:
+        paths = list(pool.map(lambda b: _block_hits(base, asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), k, scale), range(blocks)))
+    paths = [p for p in paths if p]
+    if not paths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return reduce(DataFrame.unionByName, out).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = spark.read.schema("query_id long, vec_id long, score long").parquet(*paths)
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _block_hits(base: DataFrame, asked: DataFrame, k: int, scale: int) -> str | None:
+    """Where the hits of one block of queries are written: query_id, vec_id and score."""
+    spark = base.sparkSession
+    block = asked.orderBy("vec_id").toArrow()  # about block_values numbers
+    if not block.num_rows:
+        return None
+    ids = block.column(0).to_numpy()
+    scorer = Scorer(ids, [np.asarray(v.values, np.float64) for v in block.column(1)], k, scale)
+    for level in range(len(SHIFTS)):
+        scorer.level = level
+        need = spark.createDataFrame(pa.table({"query": pa.array(np.arange(len(ids)), pa.int32()), "need": pa.array(scorer.need, pa.int64())}))
+        found = _locate(base.mapInArrow(scorer.histogram, "query int, bin long, n long"), need).toArrow()  # a row for each query of the block
+        at = found.column("query").to_numpy()
+        left = np.full(len(ids), -1, np.int64)  # fewer than k candidates
+        left[at] = found.column("left").to_numpy()
+        scorer.bin[at], scorer.need = found.column("bin").to_numpy(), left
+    numbers = F.broadcast(spark.createDataFrame(pa.table({"query": pa.array(np.arange(len(ids)), pa.int32()), "query_id": pa.array(ids)})))
+    path = scratch_path(spark, "topk-hits")
+    base.mapInArrow(scorer.hits, "query int, vec_id long, score long").join(numbers, "query").select("query_id", "vec_id", "score").write.parquet(path)
+    return path
