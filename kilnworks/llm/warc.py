@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, release
 
 MAGIC = "WARC/1.1\r\n"
 BREAK = "\r\n\r\n"
@@ -30,14 +30,29 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("top"))}).drop("top")
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 2000) -> None:
-    """Write rows of mark_revisits() as archives at path. Spark's text writer puts each record's closing break after it."""
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def write_warc(records: DataFrame, path: str, records_per_file: int = 2000, date: str | None = None) -> None:
+    """Write rows of mark_revisits() as archives at path. Spark's text writer puts each record's closing break after it.
+
+    Every record has the header fields that WARC/1.1 demands. date (ISO, by default the time of the job) is WARC-Date;
+    a row with a null id gets a random record id. Archives are not compressed, so that readers may split them.
+    """
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"\r\n{name}: "), value.cast("string"))).otherwise("")
+    named = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     revisit = F.col("record_type") == "revisit"
+    when = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     record = F.concat(
-        F.lit(MAGIC + "WARC-Type: "), F.col("record_type"), line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", "%0A")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), line("WARC-Payload-Length", F.col("payload_bytes")),
-        line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))), F.lit("\r\nContent-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string")),
+        F.lit(MAGIC + "WARC-Type: "), F.col("record_type"),
+        line("WARC-Record-ID", F.coalesce(named("page_id"), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))),
+        line("WARC-Date", when),
+        line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", "%0A")),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
+        line("WARC-Payload-Length", F.col("payload_bytes")),
+        line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
+        line("WARC-Refers-To", named("refers_to")),
+        F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string")),
         F.lit(BREAK), F.when(revisit, "").otherwise(F.col("payload")),
     )
     records.select(record.alias("value")).write.option("lineSep", BREAK).option("maxRecordsPerFile", records_per_file).text(path)
@@ -92,7 +107,9 @@ def reachable(links: DataFrame) -> DataFrame:
         reached = now
         after = state.select("file", F.col("off").alias("jump"), F.col("jump").alias("next"))
         hit = state.filter("reach").select("file", F.col("jump").alias("off")).distinct().withColumn("hit", F.lit(True))
+        before = state
         state = materialize(state.join(after, ["file", "jump"], "left").join(hit, ["file", "off"], "left").select("file", "off", F.coalesce("next", "jump").alias("jump"), (F.col("reach") | F.coalesce("hit", F.lit(False))).alias("reach")), "warc-jumps")
+        release(before)
 
 
 _FIELDS = ("record_type", "page_id", "refers_to", "url", "stated_digest", "stated_bytes")

@@ -327,6 +327,14 @@ def test_warc_round_trip(spark):
         revisit = len(b) >= 1000 and top is not None and top != i
         want[i] = (len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", top if revisit else None)
     assert got == want
+    import glob
+
+    heads = [h.split(b"\r\n\r\n")[0] for f in glob.glob(path.removeprefix("file:") + "/part-*") for h in [open(f, "rb").read()] if h]
+    assert heads and all(b"WARC-Record-ID: <urn:" in h and re.search(rb"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r", h + b"\r") and b"Content-Type: " in h and (b"revisit" not in h or b"WARC-Profile: http" in h) for h in heads)
+    same = pages.unionByName(pages.filter("page_id in (1, 3, 6)"))  # repeated ids
+    again = scratch_path(spark, "warc-test")
+    warc.write_warc(warc.mark_revisits(same, broadcast_rows=0), again)
+    assert warc.read_warc(spark, again).groupBy("page_id").count().filter("count = 2").count() == 3
     empty = scratch_path(spark, "warc-test")
     warc.write_warc(warc.mark_revisits(pages.limit(0)), empty)
     assert warc.read_warc(spark, empty).count() == 0
