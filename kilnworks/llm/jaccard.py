@@ -258,12 +258,11 @@ def _cross(percent: int):
     return run
 
 
-def _families(keyed: DataFrame, broadcast_rows: int) -> DataFrame:
+def _families(keyed: DataFrame) -> DataFrame:
     """node and family of the nodes that share keys: each key hangs its nodes on the smallest, by a map-side aggregate."""
     shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("hub <> last")
     shared = materialize(shared.select("key", "hub", "n"), "jaccard-shared")
-    hubs = shared.select("key", "hub")
-    met = keyed.join(F.broadcast(hubs), "key") if shared.count() <= broadcast_rows else join_spread(keyed, hubs, ["key"], "node", hottest(shared, ["key"]))
+    met = join_spread(keyed, shared.select("key", "hub"), ["key"], "node", hottest(shared, ["key"]))
     found = components(met.select(F.col("node").alias("u"), F.col("hub").alias("v")).filter("u <> v"), "jaccard-families").withColumnRenamed("component", "family")
     release(shared)
     return found
@@ -344,7 +343,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         keyed = known.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
     else:
         keyed = materialize(_by_rare_tokens(set_of(materialize(nodes.select("node"), "jaccard-nodes")), percent), "jaccard-keys")
-    families = _families(keyed, broadcast_rows)
+    families = _families(keyed)
     if percent < TIGHT:
         release(keyed)
     members = materialize(_sized(nodes.join(families, "node"), part_sets, part_tokens), "jaccard-members")
