@@ -276,7 +276,7 @@ def _sized(families: DataFrame, part_sets: int, part_tokens: int) -> DataFrame:
     return met.select("node", "family", "n", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "parts")
 
 
-def _frequent(kept: int = 4096):
+def _frequent(words: int, kept: int = 4096):
     """Of each task, the tokens that more sets hold than one in `kept` of all occurrences, with counts that are at most that much too low.
 
     A Misra-Gries summary: of more than `kept` counters the largest stay, each less the largest of the others.
@@ -284,21 +284,27 @@ def _frequent(kept: int = 4096):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in small(batches):
-            new, n = np.unique(batch.column(1).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            both, at = np.unique(np.concatenate([tokens, new]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
-            if len(both) > kept:
-                floor = np.partition(total, len(total) - kept - 1)[len(total) - kept - 1]
-                both, total = both[total > floor], total[total > floor] - floor
-            tokens, counts = both, total
+        for batch in small(batches, 256):
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
+            new, n = np.unique(np.concatenate([tokens[:0], *sets]), return_counts=True)
+            tokens, counts = heaviest(np.concatenate([tokens, new]), np.concatenate([counts, n]), kept)
         yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(counts, pa.int64())], names=["token", "sets"])
 
     return run
 
 
-def _by_rare_tokens(sets: DataFrame, percent: int, hot_tokens: int = 1000, hot_sets: int = 1000) -> DataFrame:
-    """node and key: each set's first tokens in the order of how many sets have them, as many as linked sets must share one of.
+def heaviest(tokens: np.ndarray, counts: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most `kept` tokens with their counts, added up where a token comes twice, less that of the largest left out."""
+    both, at = np.unique(tokens, return_inverse=True)
+    total = np.bincount(at, counts, len(both)).astype(np.int64)
+    if len(both) > kept:
+        floor = np.partition(total, len(total) - kept - 1)[len(total) - kept - 1]
+        both, total = both[total > floor], total[total > floor] - floor
+    return both, total
+
+
+def _by_rare_tokens(texts: DataFrame, words: int, percent: int, hot_tokens: int = 1000, hot_sets: int = 1000) -> DataFrame:
+    """node and key, of texts (doc_id and text): each set's first tokens in the order of how many sets have them, as many as linked sets must share one of.
 
     Tokens that no other set has come first of all and give no key, so a set gives none unless nearly all of it is
     found elsewhere: passages that many sets share do not tie them together. Tokens are shuffled once, to be counted.
@@ -306,7 +312,8 @@ def _by_rare_tokens(sets: DataFrame, percent: int, hot_tokens: int = 1000, hot_s
     and stay where they are, so no other token has more than one in hot_tokens of all occurrences. Those counts may be
     too low, which only moves a token forward in an order that is the same for all sets.
     """
-    hot = sets.mapInArrow(_frequent(), "token long, sets long").groupBy("token").agg(F.sum("sets").alias("often"))
+    sets = texts.mapInArrow(_sets(words), "node long, tokens array<long>")
+    hot = texts.mapInArrow(_frequent(words), "token long, sets long").groupBy("token").agg(F.sum("sets").alias("often"))
     hot = materialize(hot.filter(F.col("often") >= hot_sets).orderBy(F.col("often").desc(), "token").limit(hot_tokens), "jaccard-hot")
     tokens = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(F.broadcast(hot), "token", "left")
     # a hot token's row goes to the task of its node; others meet the rest of their token
@@ -337,17 +344,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = materialize(rows.mapInArrow(_signatures(words, percent), "doc_id long, n long, d1 long, d2 long, keys array<long>"), "jaccard-keys")
     known = signed.filter("doc_id is not null and n > 0")
     reps = materialize(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")), "jaccard-reps")
-    set_of = lambda ids: rows.join(bounded(ids.select(F.col("node").alias("doc_id")), broadcast_rows), "doc_id").select("doc_id", "text").mapInArrow(_sets(words), "node long, tokens array<long>")
+    texts_of = lambda ids: rows.join(bounded(ids.select(F.col("node").alias("doc_id")), broadcast_rows), "doc_id").select("doc_id", "text")
     nodes = reps.groupBy("node").agg(F.sum("n").alias("n"))
     if percent >= TIGHT:
         keyed = known.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
     else:
-        keyed = materialize(_by_rare_tokens(set_of(materialize(nodes.select("node"), "jaccard-nodes")), percent), "jaccard-keys")
+        keyed = materialize(_by_rare_tokens(texts_of(materialize(nodes.select("node"), "jaccard-nodes")), words, percent), "jaccard-keys")
     families = _families(keyed)
     if percent < TIGHT:
         release(keyed)
     members = materialize(_sized(nodes.join(families, "node"), part_sets, part_tokens), "jaccard-members")
-    sets = materialize(set_of(members), "jaccard-sets")
+    sets = materialize(texts_of(members).mapInArrow(_sets(words), "node long, tokens array<long>"), "jaccard-sets")
     links = materialize(_dealt(members, sets, hubs, part_sets, part_tokens, broadcast_rows).groupBy("cell").applyInArrow(_cell(percent), "u long, v long, parted boolean"), "jaccard-links")
     # a family that was in one cell is done
     grouped = links.filter("not parted").select(F.col("u").alias("node"), F.col("v").alias("component"))
