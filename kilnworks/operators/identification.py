@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,33 +81,93 @@ def ten_steps(df: DataFrame, intercept: float, a: Sequence[float], output: str,
     return past[0]
 
 
-def free_simulation(df: DataFrame, intercept: float, a: float, b: float, output: str, driver: str, order: str, keys: Sequence[str] = ("segment",), limit: float = 1e12) -> DataFrame:
-    """keys, order, simulated and diverged: y(t) = intercept + a y(t-1) + b u(t-1), started at a segment's first row and fed with itself.
+def common_targets(df: DataFrame, output: str, inputs: Sequence[str], guard: int, order: str, keys: Sequence[str] = ("segment",), name: str = "common") -> DataFrame:
+    """name: whether a row is a target on which every candidate is judged, whatever its order and delays.
 
-    A segment's rows are folded in order within one aggregate; a missing input leaves null until the segment ends.
+    The row is `guard` rows into its segment at least, its output and the three before it are measured, and so are all
+    inputs in it and the guard rows before it.
     """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, output, F.col(driver).alias("u")))).alias("rows"))
-    fold = f"""aggregate(slice(rows, 2, greatest(size(rows) - 1, 0)), struct(array(cast(rows[0].{output} as double)) as y, cast(rows[0].{output} as double) as last, rows[0].u as u),
-      (s, x) -> struct(concat(s.y, array({intercept!r}D + {a!r}D * s.last + {b!r}D * s.u)) as y, {intercept!r}D + {a!r}D * s.last + {b!r}D * s.u as last, x.u as u)).y"""
-    out = rows.withColumn("y", F.expr(fold)).select(*keys, F.posexplode(F.arrays_zip("rows", "y")).alias("i", "z"))
-    return out.select(*keys, F.col(f"z.rows.{order}").alias(order), F.col("z.y").alias("simulated"), F.coalesce(F.col("z.y").isNull() | (F.abs("z.y") >= limit), F.lit(True)).alias("diverged"))
-
-
-def step_response(a: float, b: float, delay: int, samples: int, spark) -> DataFrame:
-    """k and response of y(t) = a y(t-1) + b u(t-delay) to a unit step, in closed form."""
-    k = F.col("k")
-    gain = F.when(k < delay, 0.0).otherwise(b * (1 - F.pow(F.lit(float(a)), (k - delay + 1).cast("double"))) / (1 - a))
-    return spark.range(samples).select(F.col("id").alias("k")).select("k", gain.alias("response"))
-
-
-def frequency_response(a: float, b: float, delay: int, points: int, spark) -> DataFrame:
-    """k, magnitude and phase (degrees in (-180, 180]) of b z^-delay / (1 - a z^-1) on a grid up to half the sampling rate."""
-    w = (F.col("id") + 1) * (np.pi / points)
-    re_d, im_d = 1 - a * F.cos(w), a * F.sin(w)
-    re_n, im_n = b * F.cos(w * delay), -b * F.sin(w * delay)
-    size = re_d * re_d + im_d * im_d
-    re, im = (re_n * re_d + im_n * im_d) / size, (im_n * re_d - re_n * im_d) / size
-    return spark.range(points).select(F.col("id").alias("k"), F.sqrt(re * re + im * im).alias("magnitude"), F.degrees(F.atan2(im, re)).alias("phase"))
+    w = series.ordered(order, keys)
+    df = series.history_mask(df, inputs, guard, "_whole", order, keys)
+    measured = F.col(output).isNotNull()
+    for k in (1, 2, 3):
+        measured = measured & F.lag(output, k).over(w).isNotNull()
+    return df.withColumn(name, F.coalesce((F.row_number().over(w) - 1 >= guard) & measured & F.col("_whole"), F.lit(False))).drop("_whole")
+
+
+def target_check(order: str) -> Column:
+    """A number that two candidates share if they were judged on the same targets."""
+    return F.sum(F.pmod(F.col(order) * F.lit(2654435761), F.lit(4294967296)))
+
+
+def free_simulation(
+    df: DataFrame, intercept: float, a: Sequence[float], drive: Sequence[tuple[str, int, float]], output: str, guard: int, order: str,
+    keys: Sequence[str] = ("segment",), limit: float = 1e12,
+) -> DataFrame:
+    """keys, order, simulated and diverged of the rows from where each segment's simulation starts.
+
+    a: coefficients of the output's past; drive: (input, lag, coefficient) of the others. It starts on the first row
+    after the guard whose whole history was measured, takes the measured output from before that row alone, and is fed
+    with itself from there on, never started again: a missing input leaves nulls to the segment's end. diverged: null,
+    or not below the limit. A segment is gone through once, in order, by one task.
+    """
+    p, w = len(a), series.ordered(order, keys)
+    push = F.lit(float(intercept))
+    for name, lag, c in drive:
+        push = push + float(c) * F.lag(name, lag).over(w)
+    past = [F.lag(output, i + 1).over(w).cast("double").alias(f"_y{i}") for i in range(p)]
+    rows = df.select(*keys, order, push.alias("_push"), *past, (F.row_number().over(w) - 1).alias("_age"))
+    names = [f"_y{i}" for i in range(p)]
+
+    def run(segment: pd.DataFrame) -> pd.DataFrame:
+        segment = segment.sort_values(order)
+        ready = (segment["_age"] >= guard) & segment[["_push", *names]].notna().all(axis=1)
+        first = int(np.argmax(ready.to_numpy())) if ready.any() else len(segment)
+        used = segment.iloc[first:]
+        out, state = np.empty(len(used)), used[names].to_numpy()[0] if len(used) else np.zeros(p)
+        with np.errstate(over="ignore", invalid="ignore"):
+            for i, x in enumerate(used["_push"].to_numpy()):
+                out[i] = x + np.dot(a, state) if p else x
+                state = np.concatenate([[out[i]], state[: p - 1]]) if p else state
+        return pd.DataFrame({**{c: used[c].to_numpy() for c in (*keys, order)}, "simulated": out})
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*keys, order)), "simulated double"])
+    found = rows.groupBy(*keys).applyInPandas(run, schema)
+    known = F.when(~F.isnan("simulated") & (F.abs("simulated") < float("inf")), F.col("simulated"))
+    return found.withColumn("simulated", known).withColumn("diverged", F.coalesce(F.abs("simulated") >= limit, F.lit(True)))
+
+
+#: One row for each input of a model: its name, delay in samples, the coefficients of its lags from the delay on, and those of the output's past.
+CHANNELS = "input string, delay int, b array<double>, a array<double>"
+
+
+def responses(channels: DataFrame, samples: int = 120) -> DataFrame:
+    """channels with k, impulse, step of each of the first `samples` samples, and dc_gain: the deviation that an impulse or a step of one input makes.
+
+    Other inputs stay where they are and the intercept plays no part. dc_gain is null where the model has a pole at 1.
+    """
+    fold = lambda push: f"""aggregate(sequence(0, {samples - 1}), cast(array() as array<double>), (y, k) -> concat(y, array(
+      aggregate(transform(a, (c, i) -> c * coalesce(get(y, k - 1 - i), 0D)), 0D, (s, x) -> s + x) + {push})))"""
+    impulse = fold("coalesce(get(b, k - delay), 0D)")
+    step = fold("aggregate(transform(b, (c, l) -> if(k >= delay + l, c, 0D)), 0D, (s, x) -> s + x)")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    rest = 1 - total("a")
+    made = channels.withColumn("dc_gain", F.when(F.abs(rest) > 1e-12, total("b") / rest)).withColumn("z", F.arrays_zip(F.expr(impulse).alias("i"), F.expr(step).alias("s")))
+    out = made.select(*channels.columns, "dc_gain", F.posexplode("z").alias("k", "z"))
+    return out.select(*channels.columns, "dc_gain", "k", F.col("z").getField("i").alias("impulse"), F.col("z").getField("s").alias("step"))
+
+
+def frequency_responses(channels: DataFrame, seconds: float, points: int = 96) -> DataFrame:
+    """channels with k, hz, magnitude_db and phase (degrees) on a grid from 0 to half the sampling rate; null where the model has a pole."""
+    grid = channels.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("w", F.col("k") * (np.pi / (points - 1)))
+    wave = lambda c, f, first: F.aggregate(F.transform(c, lambda x, i: x * f(F.col("w") * (i + first))), F.lit(0.0), lambda s, x: s + x)
+    grid = grid.withColumns({"rn": wave("b", F.cos, F.col("delay")), "im_n": -wave("b", F.sin, F.col("delay")), "rd": 1 - wave("a", F.cos, F.lit(1)), "im_d": wave("a", F.sin, F.lit(1))})
+    size = F.col("rd") * F.col("rd") + F.col("im_d") * F.col("im_d")
+    grid = grid.withColumn("re", (F.col("rn") * F.col("rd") + F.col("im_n") * F.col("im_d")) / size).withColumn("im", (F.col("im_n") * F.col("rd") - F.col("rn") * F.col("im_d")) / size)
+    ok = size > 1e-24
+    db = 20 * F.log10(F.greatest(F.hypot("re", "im"), F.lit(1e-12)))
+    return grid.select(*channels.columns, "k", (F.col("w") / (2 * np.pi * seconds)).alias("hz"), F.when(ok, db).alias("magnitude_db"), F.when(ok, F.degrees(F.atan2("im", "re"))).alias("phase"))
 
 
 def search(df: DataFrame, output: str, delays: dict[str, int], orders: Sequence[int], alphas: Sequence[float], order: str, part: str = "part", keys: Sequence[str] = ("segment",)) -> list[dict]:

@@ -66,18 +66,24 @@ def coerce(raw: Column, kind: str) -> Column:
     return raw
 
 
-def dates(rows: DataFrame, column: str) -> Column:
-    """Year first, unless more of the column's values can be read day first: chosen for the whole column."""
-    first, day = F.try_to_timestamp(F.trim(column), F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(F.trim(column), F.lit("dd/MM/yyyy"))
-    w = Window.partitionBy()
-    return F.when(F.count(day).over(w) > F.count(first).over(w), day).otherwise(first)
-
-
-def derived_time(origin: Column, elapsed: Column, seconds: int) -> Column:
-    """Origin and elapsed units as a time, if every value there is can be read and two are there at least."""
-    number, w = finite(elapsed.try_cast("double")), Window.partitionBy()
-    whole = (F.count(number).over(w) == F.count(elapsed).over(w)) & (F.count(number).over(w) >= 2)
-    return F.when(whole, F.timestamp_micros(F.unix_micros(origin) + F.round(number * seconds * 1_000_000).cast("long")))
+def with_dates(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the column as timestamps: year first, unless more of its values can be read day first.
+
+    The choice holds for the whole column: one aggregate counts, and one number comes to the driver.
+    """
+    first = F.try_to_timestamp(F.trim(column), F.lit("yyyy-MM-dd HH:mm:ss"))
+    day = F.try_to_timestamp(F.trim(column), F.lit("dd/MM/yyyy"))
+    day_first = rows.agg(F.count(day) > F.count(first)).first()[0]
+    return rows.withColumn(name, day if day_first else first)
+
+
+def with_derived_time(rows: DataFrame, origin: Column, elapsed: Column, seconds: int, name: str) -> DataFrame:
+    """rows with origin and elapsed units as a time, if every value there is can be read and two are there at least; else nulls."""
+    number = finite(elapsed.try_cast("double"))
+    known = rows.agg(F.count(number).alias("read"), F.count(elapsed).alias("all")).first()
+    whole = known["read"] == known["all"] and known["read"] >= 2
+    time = F.timestamp_micros(F.unix_micros(origin) + F.round(number * seconds * 1_000_000).cast("long"))
+    return rows.withColumn(name, time if whole else F.lit(None).cast("timestamp"))
 
 
 def value_profile(rows: DataFrame, kind: str, low: float | None, high: float | None, order: str, value: str = "value", keys: Sequence[str] = ("field",), sample: int = 2000) -> DataFrame:

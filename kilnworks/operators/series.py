@@ -146,14 +146,18 @@ def guard_rows(max_lag: int, validation: Column, test: Column) -> Column:
 def asof_backward(left: DataFrame, right: DataFrame, ts: str, values: Sequence[str], tolerance: int, keys: Sequence[str] = ()) -> DataFrame:
     """left with the last row of right at or before ts, if it is at most tolerance seconds old, and age in minutes.
 
-    Both sides are put in one order and the last value is carried: one shuffle, linear, whatever the sides' sizes.
+    Time is cut into blocks as long as the tolerance; a row of right goes to its own block and the next, so all that a
+    row of left may take is in its block. Within a block both sides are put in one order and the last value is carried:
+    one shuffle, linear, and no block is longer than the tolerance, whether there are keys or not.
     """
-    a = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.select(F.struct(ts, *values)).schema[0].dataType))
-    b = right.select(*keys, ts, F.lit(0).alias("_side"), F.struct(ts, *values).alias("_v"))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    block = F.floor(micros / F.lit(tolerance * 1_000_000)).cast("long")
+    a = left.withColumn("_block", block).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.select(F.struct(ts, *values)).schema[0].dataType))
+    b = right.select(*keys, ts, F.explode(F.array(block, block + 1)).alias("_block"), F.lit(0).alias("_side"), F.struct(ts, *values).alias("_v"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, "_block").orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_l", F.last("_v", True).over(w)).filter("_side = 1")
-    age = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_l").getField(ts).cast("timestamp"))) / 1e6
+    age = (micros - F.unix_micros(F.col("_l").getField(ts).cast("timestamp"))) / 1e6
     fresh = age <= tolerance
     return out.select(*left.columns, *[F.when(fresh, F.col("_l").getField(v)).alias(v) for v in values], F.when(fresh, age / 60).alias("age_minutes"))
 

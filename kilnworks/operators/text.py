@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnworks.sources.files import scratch_dir
+
 
 def char_ngrams(text: Column, n: int) -> Column:
     """All runs of n characters, none for shorter texts."""
@@ -73,13 +76,32 @@ def token_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.greatest(ratio(a, b), 0.95 * ratio(in_order(a), in_order(b))), F.lit(0.0))
 
 
-def closure(edges: DataFrame, spark, steps: int) -> DataFrame:
-    """node and needs: everything a node depends on, directly or not, in at most `steps` steps; each doubles the paths' length."""
-    reach = edges.select("node", "needs").distinct()
-    for _ in range(steps):
+def closure(edges: DataFrame) -> DataFrame:
+    """node and needs: everything a node depends on, directly or not. ValueError if a node depends on itself.
+
+    Each round doubles the paths' length and is written out, until a round finds nothing new.
+    """
+    spark = edges.sparkSession
+    folder = f"{scratch_dir(spark)}/closure-{uuid.uuid4().hex}"
+    reach, found, rounds = edges.select("node", "needs").distinct(), -1, 0
+    while True:
+        reach.write.parquet(f"{folder}/{rounds}")
+        reach = spark.read.parquet(f"{folder}/{rounds}")
+        if not reach.filter("node = needs").isEmpty():
+            raise ValueError("the dependencies have a cycle")
+        now = reach.count()
+        if now == found:
+            return reach
+        found, rounds = now, rounds + 1
         longer = reach.alias("a").join(reach.alias("b"), F.col("a.needs") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.needs").alias("needs"))
         reach = reach.unionByName(longer).distinct()
-    return reach
+
+
+def dependency_order(reach: DataFrame) -> DataFrame:
+    """node and place for every node of a closure: what a node needs has a smaller place, since it needs less."""
+    counts = reach.groupBy("node").agg(F.count(F.lit(1)).alias("place"))
+    leaves = reach.select(F.col("needs").alias("node")).distinct().join(counts, "node", "left_anti").select("node", F.lit(0).cast("long").alias("place"))
+    return counts.unionByName(leaves)
 
 
 def lexical_search(paragraphs: DataFrame, terms: Sequence[str], vetoes: Sequence[str], k: int, excerpt: int = 900) -> DataFrame:

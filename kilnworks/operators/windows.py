@@ -101,10 +101,32 @@ def top_windows(scores: DataFrame, k: int = 5) -> DataFrame:
     return best.filter("tier = _best").orderBy(F.desc("score"), "window_id").limit(k).drop("_best")
 
 
-def rows_in_windows(df: DataFrame, windows: DataFrame, order: str = "rn") -> DataFrame:
-    """Rows of df inside any of the windows (start_rn, end_rn), each once; windows are few, as top_windows() gives them."""
-    inside = (df[order] >= windows["start_rn"]) & (df[order] <= windows["end_rn"])
-    return df.join(F.broadcast(windows), inside, "left_semi")
+def rows_in_windows(df: DataFrame, windows: DataFrame, order: str = "rn", block: int = 1024) -> DataFrame:
+    """Rows of df inside any of the windows (start_rn, end_rn), each once.
+
+    Windows are spread over the blocks of rows that they reach into, and rows meet those of their block: an equi-join,
+    which Spark broadcasts where the windows are few.
+    """
+    spread = windows.select(F.explode(F.sequence(F.floor(F.col("start_rn") / block), F.floor(F.col("end_rn") / block))).alias("_block"), "start_rn", "end_rn")
+    inside = (F.col("_own") == F.col("_block")) & (F.col(order) >= F.col("start_rn")) & (F.col(order) <= F.col("end_rn"))
+    return df.withColumn("_own", F.floor(F.col(order) / block)).join(spread, inside, "left_semi").drop("_own")
+
+
+def strongest(events: DataFrame, order: str, strength: str, cooldown: int, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, order, strength of the events that are kept: a later one within the cooldown takes the place of the last one kept if it is stronger.
+
+    What is kept depends on what was kept before, so runs of events are folded in order; events that are further apart
+    than the cooldown start a new run, which knows nothing of the others and is a group of its own.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    new = F.when(F.col(order) - F.lag(order).over(w) <= cooldown, 0).otherwise(1)
+    runs = events.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(strength).alias("x")))).alias("found"))
+    fold = f"""aggregate(slice(found, 2, size(found)), named_struct('done', slice(found, 1, 0), 'last', found[0]),
+      (s, e) -> case when e.t - s.last.t > {int(cooldown)} then named_struct('done', concat(s.done, array(s.last)), 'last', e)
+                     when e.x > s.last.x then named_struct('done', s.done, 'last', e) else s end,
+      s -> concat(s.done, array(s.last)))"""
+    return found.select(*keys, F.explode(F.expr(fold)).alias("e")).select(*keys, F.col("e.t").alias(order), F.col("e.x").alias(strength))
 
 
 def quality_score(completeness: Column, validity: Column, smooth: Column, dynamic: Column | None, consistency: Column) -> Column:

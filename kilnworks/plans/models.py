@@ -10,7 +10,7 @@ from kilnworks.operators import identification as ident
 from kilnworks.operators import series, stats
 from kilnworks.operators.series import INPUTS, OUTPUT
 
-from .base import P, corr_sql, frame, query, r6, table
+from .base import FILLED, P, corr_sql, filled, frame, query, r6, table
 
 SEG = P + """, O AS (SELECT * FROM P WHERE purchase IS NOT NULL), S AS (SELECT *, sum(CASE WHEN h - ph = 1 THEN 0 ELSE 1 END) OVER (ORDER BY h) AS segment FROM (SELECT *, lag(h) OVER (ORDER BY h) AS ph FROM O))"""
 LAGS = SEG + ", GG AS (SELECT h, segment, purchase AS y, lag(purchase) OVER w AS y1, lag(click, 2) OVER w AS u2, row_number() OVER w - 1 AS age FROM S WINDOW w AS (PARTITION BY segment ORDER BY h)), W AS (SELECT * FROM GG WHERE y IS NOT NULL AND y1 IS NOT NULL AND u2 IS NOT NULL)"
@@ -58,12 +58,26 @@ def predict(s: SparkSession, d: str) -> DataFrame:
     return lag_frame(s, d).dropna().select("h", F.round(p, 6).alias("predicted"), F.round(F.col("y") - p, 6).alias("residual"))
 
 
-@query("q_one_step_eval", f"WITH {LAGS}, m AS (SELECT y, y1, 20 + .6 * y1 + .2 * u2 AS p FROM W WHERE age >= 5), a AS (SELECT count(*) AS n, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae, 1 - sum((y - p) ** 2) / nullif(count(*) * var_pop(y), 0) AS r2, sqrt(avg((y - y1) ** 2)) AS baseline FROM m) SELECT n, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(r2, 6) AS r2, round(baseline, 6) AS baseline, round(CASE WHEN baseline > 0 THEN 100 * (baseline - rmse) / baseline END, 6) AS improvement FROM a WHERE n >= 10")
+COMMON = FILLED + """, X AS (SELECT rn, h, purchase AS y, lag(purchase) OVER o AS y1, lag(purchase, 2) OVER o AS y2, lag(purchase, 3) OVER o AS y3, lag(click, 2) OVER o AS u2, row_number() OVER o - 1 AS age,
+    sum(CASE WHEN view IS NULL OR click IS NULL OR signup IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY rn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS gaps FROM Q WINDOW o AS (ORDER BY rn)),
+  M AS (SELECT * FROM X WHERE age >= 5 AND gaps = 0 AND y IS NOT NULL AND y1 IS NOT NULL AND y2 IS NOT NULL AND y3 IS NOT NULL)"""
+
+
+@query("q_one_step_eval", f"""WITH {COMMON}, C AS (SELECT 'ARX' AS model, h, y, y1, 20 + .6 * y1 + .2 * u2 AS p FROM M UNION ALL SELECT 'AR', h, y, y1, 50 + .5 * y1 FROM M),
+  a AS (SELECT model, count(*) AS n, CAST(sum((h * 2654435761) % 4294967296) AS BIGINT) AS targets, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae, 1 - sum((y - p) ** 2) / nullif(count(*) * var_pop(y), 0) AS r2, sqrt(avg((y - y1) ** 2)) AS baseline FROM C GROUP BY 1)
+  SELECT model, n, targets, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(r2, 6) AS r2, round(baseline, 6) AS baseline, round(CASE WHEN baseline > 0 THEN 100 * (baseline - rmse) / baseline END, 6) AS improvement FROM a WHERE n >= 10""")
 def one_step_eval(s: SparkSession, d: str) -> DataFrame:
-    m = lag_frame(s, d).dropna().filter("age >= 5").withColumn("p", ident.prediction(MODEL, ["y1", "u2"]))
-    measures = stats.regression_metrics(F.col("y"), F.col("p"), 3)
-    a = m.agg(measures["n"].alias("n"), *[measures[k].alias(k) for k in ("rmse", "mae", "r2")], F.sqrt(F.avg((F.col("y") - F.col("y1")) ** 2)).alias("baseline")).filter("n >= 10")
-    return a.select("n", *r6("rmse", "mae", "r2", "baseline"), F.round(F.when(F.col("baseline") > 0, 100 * (F.col("baseline") - F.col("rmse")) / F.col("baseline")), 6).alias("improvement"))
+    """Two candidates on the same targets, which `targets` shows."""
+    df = series.segments(filled(s, d), 1, "h")
+    w = series.ordered("h", ["segment"])
+    m = ident.common_targets(df, OUTPUT, INPUTS, 5, "h").withColumns({"y1": F.lag(OUTPUT).over(w), "u2": F.lag("click", 2).over(w)}).filter("common")
+    found = []
+    for model, coefficients, features in (("ARX", MODEL, ["y1", "u2"]), ("AR", [50.0, 0.5], ["y1"])):
+        p = m.withColumn("p", ident.prediction(coefficients, features))
+        measures = stats.regression_metrics(F.col(OUTPUT), F.col("p"), len(coefficients))
+        found.append(p.agg(F.lit(model).alias("model"), measures["n"].alias("n"), ident.target_check("h").alias("targets"), *[measures[k].alias(k) for k in ("rmse", "mae", "r2")], F.sqrt(F.avg((F.col(OUTPUT) - F.col("y1")) ** 2)).alias("baseline")))
+    a = found[0].unionByName(found[1]).filter("n >= 10")
+    return a.select("model", "n", "targets", *r6("rmse", "mae", "r2", "baseline"), F.round(F.when(F.col("baseline") > 0, 100 * (F.col("baseline") - F.col("rmse")) / F.col("baseline")), 6).alias("improvement"))
 
 
 def _ten_sql() -> str:
@@ -79,9 +93,15 @@ def ten_step(s: SparkSession, d: str) -> DataFrame:
     return df.select("h", F.round(ident.ten_steps(df, 50.0, [0.5], OUTPUT, 10, "h"), 6).alias("forecast"))
 
 
-@query("q_free_sim", f"""WITH RECURSIVE {SEG}, N AS (SELECT CAST(segment AS BIGINT) AS segment, h, purchase, click, row_number() OVER (PARTITION BY segment ORDER BY h) AS i FROM S), Z AS (SELECT segment, i, h, CAST(purchase AS DOUBLE) AS y, click AS u FROM N WHERE i = 1 UNION ALL SELECT N.segment, N.i, N.h, 20 + .6 * Z.y + .2 * Z.u, N.click FROM Z JOIN N ON N.segment = Z.segment AND N.i = Z.i + 1) SELECT h, round(y, 6) AS simulated, coalesce(y IS NULL OR abs(y) >= 1e12, true) AS diverged FROM Z""")
+@query("q_free_sim", f"""WITH RECURSIVE {FILLED}, X AS (SELECT rn, h, row_number() OVER o - 1 AS age, lag(purchase) OVER o AS y1, lag(purchase, 2) OVER o AS y2, 20 + .2 * lag(click, 2) OVER o + .1 * lag(view) OVER o - .05 * lag(click, 3) OVER o AS push FROM Q WINDOW o AS (ORDER BY rn)),
+  B AS (SELECT min(age) AS start FROM X WHERE age >= 7 AND y1 IS NOT NULL AND y2 IS NOT NULL AND push IS NOT NULL),
+  Z AS (SELECT age, h, push + .5 * y1 + .1 * y2 AS y, CAST(y1 AS DOUBLE) AS p FROM X, B WHERE age = start UNION ALL SELECT X.age, X.h, X.push + .5 * Z.y + .1 * Z.p, Z.y FROM Z JOIN X ON X.age = Z.age + 1)
+  SELECT h, round(y, 6) AS simulated, coalesce(y IS NULL OR abs(y) >= 1e12, true) AS diverged FROM Z""")
 def free_sim(s: SparkSession, d: str) -> DataFrame:
-    return ident.free_simulation(segmented(s, d), 20.0, 0.6, 0.2, OUTPUT, "click", "h").select("h", F.round("simulated", 6).alias("simulated"), "diverged")
+    """A model of order 2 with two inputs, from the first whole history after the guard."""
+    df = series.segments(filled(s, d), 1, "h")
+    found = ident.free_simulation(df, 20.0, [0.5, 0.1], [("click", 2, 0.2), ("view", 1, 0.1), ("click", 3, -0.05)], OUTPUT, 7, "h")
+    return found.select("h", F.round("simulated", 6).alias("simulated"), "diverged")
 
 
 @query("q_firx_eval", f"WITH {P}, x AS (SELECT purchase AS y, last_value(purchase IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base, 30 + .4 * lag(click) OVER (ORDER BY rn) + .3 * lag(view, 2) OVER (ORDER BY rn) AS p FROM P), m AS (SELECT * FROM x WHERE y IS NOT NULL AND p IS NOT NULL AND base IS NOT NULL) SELECT count(*) AS n, round(sqrt(avg((y - p) ** 2)), 6) AS rmse, round(sqrt(avg((y - base) ** 2)), 6) AS baseline, 'not_applicable' AS multi_step FROM m")
@@ -135,18 +155,27 @@ def legacy_model(s: SparkSession, d: str) -> DataFrame:
     return split.filter("part = 'test'").agg(*[F.round(measures[k], 6).alias(k) for k in ("rmse", "mae", "r2")])
 
 
-@query("q_step_response", "SELECT k, round(CASE WHEN k < 3 THEN 0 ELSE .5 * (1 - pow(.8, k - 2)) / .2 END, 6) AS response FROM range(120) t(k)")
-def step_response(s: SparkSession, d: str) -> DataFrame:
-    return ident.step_response(0.8, 0.5, 3, 120, s).select("k", *r6("response"))
+#: A model of order 2 with two inputs, as a fit gives it.
+FITTED = [("click", 3, [0.5, -0.1], [0.7, 0.1]), ("view", 1, [0.2, 0.05], [0.7, 0.1])]
+CHANNEL = "C AS (SELECT * FROM (VALUES ('click', 3, .5::DOUBLE, -.1::DOUBLE), ('view', 1, .2::DOUBLE, .05::DOUBLE)) t(input, delay, b0, b1))"
 
 
-FREQ = "WITH w AS (SELECT k, (k + 1) * (pi() / 96) AS w FROM range(96) t(k)), c AS (SELECT k, 1 - .8 * cos(w) AS rd, .8 * sin(w) AS id, .5 * cos(w * 3) AS rn, -.5 * sin(w * 3) AS im FROM w), q AS (SELECT k, (rn * rd + im * id) / (rd * rd + id * id) AS re, (im * rd - rn * id) / (rd * rd + id * id) AS im FROM c)"
+@query("q_step_response", f"""WITH RECURSIVE {CHANNEL}, Y AS (SELECT input, delay, b0, b1, 0 AS k, 0::DOUBLE AS i, 0::DOUBLE AS i1, 0::DOUBLE AS s, 0::DOUBLE AS s1 FROM C
+  UNION ALL SELECT input, delay, b0, b1, k + 1, .7 * i + .1 * i1 + CASE k + 1 - delay WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE 0 END, i,
+    .7 * s + .1 * s1 + CASE WHEN k + 1 >= delay THEN b0 ELSE 0 END + CASE WHEN k + 1 >= delay + 1 THEN b1 ELSE 0 END, s FROM Y WHERE k < 119)
+  SELECT input, k, round(i, 6) AS impulse, round(s, 6) AS response, round((b0 + b1) / (1 - .7 - .1), 6) AS dc_gain FROM Y""")
+def step_response(s: SparkSession, d: str) -> DataFrame:
+    return ident.responses(s.createDataFrame(FITTED, ident.CHANNELS)).select("input", "k", *r6("impulse"), F.round("step", 6).alias("response"), *r6("dc_gain"))
 
 
-@query("q_freq_response", FREQ + " SELECT k, round(sqrt(re * re + im * im), 6) AS magnitude, round(degrees(atan2(im, re)), 4) AS phase FROM q WHERE k < 95")
+@query("q_freq_response", f"""WITH {CHANNEL}, W AS (SELECT C.*, k, k * (pi() / 95) AS w FROM C, range(96) t(k)),
+  N AS (SELECT *, b0 * cos(w * delay) + b1 * cos(w * (delay + 1)) AS rn, -(b0 * sin(w * delay) + b1 * sin(w * (delay + 1))) AS jn, 1 - .7 * cos(w) - .1 * cos(w * 2) AS rd, .7 * sin(w) + .1 * sin(w * 2) AS jd FROM W),
+  Q AS (SELECT *, (rn * rd + jn * jd) / (rd * rd + jd * jd) AS re, (jn * rd - rn * jd) / (rd * rd + jd * jd) AS im FROM N)
+  SELECT input, CAST(k AS INTEGER) AS k, round(w / (2 * pi() * 3600), 9) AS hz, round(20 * log10(greatest(sqrt(re * re + im * im), 1e-12)), 6) AS magnitude_db, round(re / sqrt(re * re + im * im), 4) AS phase_cos, round(im / sqrt(re * re + im * im), 4) + 0 AS phase_sin FROM Q""")
 def freq_response(s: SparkSession, d: str) -> DataFrame:
-    # at the last point the phase is on the edge between 180 and -180 degrees
-    return ident.frequency_response(0.8, 0.5, 3, 96, s).filter("k < 95").select("k", *r6("magnitude"), F.round("phase", 4).alias("phase"))
+    """All points; the phase is compared by its cosine and sine, which have no edge at 180 degrees."""
+    f = ident.frequency_responses(s.createDataFrame(FITTED, ident.CHANNELS), 3600.0)
+    return f.select("input", "k", F.round("hz", 9).alias("hz"), *r6("magnitude_db"), F.round(F.cos(F.radians("phase")), 4).alias("phase_cos"), (F.round(F.sin(F.radians("phase")), 4) + 0).alias("phase_sin"))
 
 
 # search, gates and policies over runs: a day's line items stand for a candidate's evaluation

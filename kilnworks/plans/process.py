@@ -295,14 +295,21 @@ def energy(df: DataFrame) -> DataFrame:
     return df.withColumn("energy", 0.55 * part("view") + 0.25 * part("click") + 0.20 * part("signup"))
 
 
-@query("q_event_cooldown")
+COOLDOWN = f"""WITH RECURSIVE {P}, z AS (SELECT rn, abs(view - lag(view) OVER o) AS a, abs(click - lag(click) OVER o) AS b, abs(signup - lag(signup) OVER o) AS c FROM P WINDOW o AS (ORDER BY rn)),
+  sd AS (SELECT stddev_pop(view) AS v, stddev_pop(click) AS k, stddev_pop(signup) AS g FROM P),
+  x AS (SELECT rn, .55 * coalesce(a / nullif(v, 0), 0) + .25 * coalesce(b / nullif(k, 0), 0) + .2 * coalesce(c / nullif(g, 0), 0) AS energy FROM z, sd),
+  n AS (SELECT CAST(rn AS BIGINT) AS rn, CAST(energy AS DOUBLE) AS energy, row_number() OVER (ORDER BY rn) AS i FROM x WHERE energy > 1.5),
+  k(i, rn, energy, out_rn, out_energy) AS (SELECT i, rn, energy, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE) FROM n WHERE i = 1
+    UNION ALL SELECT n.i, CASE WHEN n.rn - k.rn > 12 OR n.energy > k.energy THEN n.rn ELSE k.rn END, CASE WHEN n.rn - k.rn > 12 OR n.energy > k.energy THEN n.energy ELSE k.energy END,
+      CASE WHEN n.rn - k.rn > 12 THEN k.rn END, CASE WHEN n.rn - k.rn > 12 THEN k.energy END FROM k JOIN n ON n.i = k.i + 1)
+  SELECT out_rn AS rn, round(out_energy, 6) AS energy FROM k WHERE out_rn IS NOT NULL UNION ALL SELECT rn, round(energy, 6) FROM k WHERE i = (SELECT max(i) FROM n)"""
+
+
+@query("q_event_cooldown", COOLDOWN)
 def event_cooldown(s: SparkSession, d: str) -> DataFrame:
-    """Rows whose energy is above 2.5, the stronger of any two within 12 rows: what is kept depends on what was kept before, so the events, few, are folded in order."""
-    events = energy(frame(s, d)).filter("energy > 2.5").groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("rn").cast("long").alias("rn"), "energy"))).alias("found"))
-    fold = """aggregate(found, cast(array() as array<struct<rn: bigint, energy: double>>), (kept, x) ->
-      case when size(kept) = 0 or x.rn - element_at(kept, -1).rn > 12 then concat(kept, array(x))
-           when x.energy > element_at(kept, -1).energy then concat(slice(kept, 1, size(kept) - 1), array(x)) else kept end)"""
-    return events.select(F.explode(F.expr(fold)).alias("x")).select("x.rn", F.round("x.energy", 6).alias("energy"))
+    """Rows whose energy is above 1.5, the stronger of any two within 12 rows."""
+    events = energy(frame(s, d)).filter("energy > 1.5").select(F.col("rn").cast("long").alias("rn"), "energy")
+    return windows.strongest(events, "rn", "energy", 12).select("rn", *r6("energy"))
 
 
 @query("q_event_mask", f"WITH {P}, z AS (SELECT rn, click > 150 AS hit FROM P), m AS (SELECT rn, coalesce(max(CASE WHEN hit THEN 1 ELSE 0 END) OVER (ORDER BY rn ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 0) = 1 AS masked FROM z), r AS (SELECT *, CASE WHEN masked AND NOT coalesce(lag(masked) OVER (ORDER BY rn), false) THEN 1 ELSE 0 END AS new FROM m) SELECT rn, masked, CAST(sum(new) OVER (ORDER BY rn) AS BIGINT) AS run FROM r")

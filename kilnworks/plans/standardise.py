@@ -78,13 +78,14 @@ def coerce_types(s: SparkSession, d: str) -> DataFrame:
 def coerce_dates(s: SparkSession, d: str) -> DataFrame:
     t = F.col("o_orderdate")
     k = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(t, "dd/MM/yyyy")).alias("cell"))
-    return k.select("id", F.date_format(mapping.dates(k, "cell"), "yyyy-MM-dd").alias("day"))
+    return mapping.with_dates(k, "cell", "t").select("id", F.date_format("t", "yyyy-MM-dd").alias("day"))
 
 
 @query("q_derive_time", "SELECT l_orderkey, l_linenumber, CAST(epoch_us(TIMESTAMP '2024-01-01') + CAST(l_quantity * 3600000000 AS BIGINT) AS BIGINT) AS us FROM lineitem")
 def derive_time(s: SparkSession, d: str) -> DataFrame:
-    t = mapping.derived_time(F.lit("2024-01-01").cast("timestamp"), F.col("l_quantity").cast("string"), 3600)
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.unix_micros(t).alias("us"))
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    t = mapping.with_derived_time(rows, F.lit("2024-01-01").cast("timestamp"), F.col("l_quantity").cast("string"), 3600, "t")
+    return t.select("l_orderkey", "l_linenumber", F.unix_micros("t").alias("us"))
 
 
 @query("q_bounds_violations", "SELECT p_brand, count(*) FILTER (p_size < 5) AS below, count(*) FILTER (p_size > 45) AS above FROM part GROUP BY 1")

@@ -156,6 +156,15 @@ def vif2(s: SparkSession, d: str) -> DataFrame:
     return vif_rows(s, frame(s, d), ["view", "click"])
 
 
+VIF3 = f"""WITH {P}, c AS (SELECT * FROM P WHERE view IS NOT NULL AND click IS NOT NULL AND signup IS NOT NULL), r AS (SELECT corr(view, click) AS a, corr(view, signup) AS b, corr(click, signup) AS c FROM c),
+  m AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM r) SELECT v.variable, round(CASE v.variable WHEN 'view' THEN 1 - c * c WHEN 'click' THEN 1 - b * b ELSE 1 - a * a END / det, 6) AS vif FROM m, (VALUES ('view'), ('click'), ('signup')) v(variable)"""
+
+
+@query("q_vif3", VIF3)
+def vif3(s: SparkSession, d: str) -> DataFrame:
+    return vif_rows(s, frame(s, d), ["view", "click", "signup"])
+
+
 @query("q_vif")
 def vif_all(s: SparkSession, d: str) -> DataFrame:
     return vif_rows(s, frame(s, d), COLS)
@@ -422,9 +431,10 @@ def join_semi(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "customer").join(table(s, d, "orders").filter("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("q_join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("q_join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def join_anti(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    large = table(s, d, "orders").filter("o_totalprice > 250000")
+    return table(s, d, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("q_join_full", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 7 = 0) FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) ON c_custkey = s_suppkey")

@@ -102,7 +102,13 @@ def longest_alias(s: SparkSession, d: str) -> DataFrame:
 @query("q_dep_closure", "WITH RECURSIVE e AS (SELECT DISTINCT p_size AS node, p_size // 2 AS needs FROM part WHERE p_size // 2 > 0), r AS (SELECT node, needs FROM e UNION SELECT r.node, e.needs FROM r JOIN e ON r.needs = e.node) SELECT node, needs FROM r")
 def dep_closure(s: SparkSession, d: str) -> DataFrame:
     edges = table(s, d, "part").select(F.col("p_size").alias("node"), F.floor(F.col("p_size") / 2).cast("int").alias("needs")).filter("needs > 0").distinct()
-    return text.closure(edges, s, 3)
+    return text.closure(edges)
+
+
+@query("q_dep_order", "WITH RECURSIVE e AS (SELECT DISTINCT p_size AS node, p_size // 2 AS needs FROM part WHERE p_size // 2 > 0), r AS (SELECT node, needs FROM e UNION SELECT r.node, e.needs FROM r JOIN e ON r.needs = e.node), x AS (SELECT node FROM r UNION SELECT needs FROM r) SELECT x.node, count(r.needs) AS place FROM x LEFT JOIN r ON x.node = r.node GROUP BY 1")
+def dep_order(s: SparkSession, d: str) -> DataFrame:
+    """An order in which everything comes after what it needs."""
+    return text.dependency_order(dep_closure(s, d))
 
 
 NAMES = "n AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, lower(a.n_name) AS x, lower(b.n_name) AS y FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey), g AS (SELECT a, b, list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) AS gx, list_transform(range(1, length(y)), lambda i: substr(y, i, 2)) AS gy FROM n)"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,8 +19,9 @@ def event_time(events: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataF
 
 def resample(events: DataFrame, seconds: int = 3600, ts: str = "ts") -> DataFrame:
     """Means in right-closed bins (t - s, t]: times are moved by one microsecond, since windows are left-closed."""
-    shifted = event_time(events, ts).withColumn("_t", F.window(F.timestamp_micros(F.unix_micros(ts) - 1), f"{seconds} seconds"))
-    return shifted.groupBy("_t").agg(*[F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in EVENT_TYPES]).select((F.unix_seconds(F.col("_t.end")) / seconds).cast("long").alias("h"), *EVENT_TYPES)
+    moved = event_time(events.withColumn("_e", F.timestamp_micros(F.unix_micros(F.col(ts).cast("timestamp")) - 1)), "_e")
+    means = moved.groupBy(F.window("_e", f"{seconds} seconds").alias("_t")).agg(*[F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in EVENT_TYPES])
+    return means.select((F.unix_seconds(F.col("_t.end")) / seconds).cast("long").alias("h"), *EVENT_TYPES)
 
 
 def sessions(events: DataFrame, gap: str = "2 hours", ts: str = "ts") -> DataFrame:
@@ -37,15 +40,39 @@ def enrich(events: DataFrame, static: DataFrame, on: str) -> DataFrame:
     return events.join(static, on, "left")
 
 
-def causal_fill(events: DataFrame, limit: int = 6, ts: str = "ts") -> DataFrame:
+def asof_static(events: DataFrame, static: DataFrame, values: Sequence[str], tolerance: int, ts: str = "ts") -> DataFrame:
+    """A stream with the last row of a table that does not change at or before ts, at most tolerance seconds old, and age in minutes.
+
+    Each row of the table holds from its own time until the next one's, or until it is too old; it goes to the blocks of
+    time, as long as the tolerance, that this reaches into. So the stream meets one row at most by an equi-join, and
+    keeps no state. Of table rows at one time that with the largest values holds.
+    """
+    micros, width = F.unix_micros(F.col(ts).cast("timestamp")), tolerance * 1_000_000
+    rows = static.select(micros.alias("_from"), F.struct(*values).alias("_v")).groupBy("_from").agg(F.max("_v").alias("_v"))
+    rows = rows.withColumn("_block", F.floor(F.col("_from") / width).cast("long"))
+    later = rows.groupBy((F.col("_block") - 1).alias("_block")).agg(F.min("_from").alias("_next"))
+    following = F.coalesce(F.lead("_from").over(Window.partitionBy("_block").orderBy("_from")), F.col("_next"))
+    until = F.least(F.coalesce(following, F.col("_from") + width + 1), F.col("_from") + width + 1)
+    rows = rows.join(later, "_block", "left").withColumn("_until", until).select("_from", "_until", "_v", F.explode(F.array("_block", F.col("_block") + 1)).alias("_block"))
+    left = events.withColumn("_us", micros).withColumn("_own", F.floor(micros / width).cast("long"))
+    met = left.join(rows, (F.col("_own") == F.col("_block")) & (F.col("_us") >= F.col("_from")) & (F.col("_us") < F.col("_until")), "left")
+    return met.select(*events.columns, *[F.col("_v").getField(v).alias(v) for v in values], ((F.col("_us") - F.col("_from")) / 6e7).alias("age_minutes"))
+
+
+def causal_fill(events: DataFrame, limit: int = 6, ts: str = "ts", late: str = "1 hour", idle_days: int = 60) -> DataFrame:
     """Each user's readings with values out of 10 to 400 replaced by the last good one of at most `limit` readings before.
 
     State is a user's last good value and how many readings ago it was: bounded, and never looks ahead. Readings must
-    come in order for each user, as from a log; within a batch they are sorted.
+    come in order for each user, as from a log; within a batch they are sorted. A user's state ends when the watermark
+    is idle_days past its last reading.
     """
 
     def clean(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         good, age = state.get if state.exists else (None, 0)
+        last = 0
         for rows in frames:
             rows = rows.sort_values(["us", "event_id"])
             out = []
@@ -55,8 +82,10 @@ def causal_fill(events: DataFrame, limit: int = 6, ts: str = "ts") -> DataFrame:
                 else:
                     age += 1
                 out.append(good if good is not None and age <= limit else None)
+            last = max(last, int(rows["us"].max()) // 1000)
             yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "value": pd.array(out, dtype="Float64")})
         state.update((good, age))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_days * 86_400_000)
 
-    rows = events.select("user_id", "event_id", F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), "value")
-    return rows.groupBy("user_id").applyInPandasWithState(clean, "user_id long, event_id long, value double", "good double, age long", "append", GroupStateTimeout.NoTimeout)
+    rows = event_time(events, ts, late).select("user_id", "event_id", F.unix_micros(ts).alias("us"), "value", ts)
+    return rows.groupBy("user_id").applyInPandasWithState(clean, "user_id long, event_id long, value double", "good double, age long", "append", GroupStateTimeout.EventTimeTimeout)

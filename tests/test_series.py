@@ -113,15 +113,98 @@ def test_ten_steps_follow_the_recursion(spark):
     np.testing.assert_allclose(got[10:], y[10:], rtol=1e-10)
 
 
-def test_simulation_uses_no_measurements_after_the_first(spark, lagged):
-    short = lagged.iloc[:50].copy()
-    short.loc[1:, "y"] = 1e9
-    df = to_spark(spark, short).withColumn("segment", F.lit(1))
-    got = column(ident.free_simulation(df, 0.0, 0.7, 0.9, "y", "u", "rn"), "simulated")
-    want = [short["y"][0]]
-    for u in short["u"][:-1]:
-        want.append(0.7 * want[-1] + 0.9 * u)
-    np.testing.assert_allclose(got, want)
+def test_simulation_starts_once_on_a_measured_history(spark, lagged):
+    short = lagged.iloc[:120]
+    gaps = to_spark(spark, short).withColumn("segment", F.lit(1)).withColumn("y", F.when(~F.col("rn").between(13, 15), F.col("y")))
+    found = ident.free_simulation(gaps, 0.0, [0.6, 0.1], [("u", 3, 0.9), ("u", 4, 0.0)], "y", 15, "rn").orderBy("rn").collect()
+    assert found[0]["rn"] == 18 and [r["rn"] for r in found] == list(range(18, 120))
+    y, u = short["y"].to_numpy(), short["u"].to_numpy()
+    past, want = [y[16], y[17]], []
+    for t in range(18, 120):
+        want.append(0.6 * past[-1] + 0.1 * past[-2] + 0.9 * u[t - 3])
+        past.append(want[-1])
+    np.testing.assert_allclose([r["simulated"] for r in found], want)
+    assert not any(r["diverged"] for r in found)
+    # nothing measured later comes in, and a missing input ends it
+    other = gaps.withColumn("y", F.when(F.col("rn") < 18, F.col("y")).otherwise(1e9)).withColumn("u", F.when(F.col("rn") != 60, F.col("u")))
+    again = {r["rn"]: r["simulated"] for r in ident.free_simulation(other, 0.0, [0.6, 0.1], [("u", 3, 0.9), ("u", 4, 0.0)], "y", 15, "rn").collect()}
+    np.testing.assert_allclose([again[t] for t in range(18, 63)], want[:45])
+    assert all(again[t] is None for t in range(63, 120))
+
+
+def test_simulation_that_runs_away_is_not_started_again(spark, lagged):
+    df = to_spark(spark, lagged.iloc[:180]).withColumn("segment", F.lit(1))
+    found = ident.free_simulation(df, 0.0, [2.0], [("u", 3, 0.9)], "y", 5, "rn").orderBy("rn").collect()
+    assert found[0]["rn"] == 5 and not found[0]["diverged"] and all(r["diverged"] for r in found[-60:])
+
+
+def test_responses_of_each_channel(spark):
+    rows = [("fast", 2, [0.5, 0.25], [0.6, -0.1]), ("slow", 5, [0.3], [0.6, -0.1]), ("direct", 1, [2.0], [])]
+    channels = spark.createDataFrame(rows, ident.CHANNELS)
+    found = ident.responses(channels, 40).collect()
+    spectrum = {(r["input"], r["k"]): r for r in ident.frequency_responses(channels, 10.0, 96).collect()}
+    for name, delay, b, a in rows:
+        own = sorted((r for r in found if r["input"] == name), key=lambda r: r["k"])
+        want = []
+        for push in (lambda k: b[k - delay] if 0 <= k - delay < len(b) else 0.0, lambda k: sum(c for i, c in enumerate(b) if k >= delay + i)):
+            y = []
+            for k in range(40):
+                y.append(push(k) + sum(c * y[k - 1 - i] for i, c in enumerate(a) if k - 1 - i >= 0))
+            want.append(y)
+        np.testing.assert_allclose([r["impulse"] for r in own], want[0], atol=1e-12)
+        np.testing.assert_allclose([r["step"] for r in own], want[1], atol=1e-12)
+        assert own[0]["dc_gain"] == pytest.approx(sum(b) / (1 - sum(a))) and own[-1]["step"] == pytest.approx(own[0]["dc_gain"], abs=1e-3)
+        for k in (0, 1, 40, 95):
+            z = np.exp(-1j * np.pi * k / 95)
+            g = sum(c * z ** (delay + i) for i, c in enumerate(b)) / (1 - sum(c * z ** (i + 1) for i, c in enumerate(a)))
+            r = spectrum[name, k]
+            assert r["magnitude_db"] == pytest.approx(20 * np.log10(abs(g)), abs=1e-9) and np.exp(1j * np.radians(r["phase"])) == pytest.approx(g / abs(g), abs=1e-9)
+            assert r["hz"] == pytest.approx(k / 95 / 20)
+
+
+def test_candidates_share_their_targets(spark, lagged):
+    df = to_spark(spark, lagged.iloc[:100]).withColumn("segment", F.when(F.col("rn") < 50, 1).otherwise(2))
+    df = df.withColumn("y", F.when(F.col("rn") != 30, F.col("y"))).withColumn("u", F.when(F.col("rn") != 70, F.col("u")))
+    got = {r["rn"] for r in ident.common_targets(df, "y", ["u"], 6, "rn").filter("common").collect()}
+    assert got == {t for t in range(100) if t % 50 >= 6 and t not in range(30, 34) and t not in range(70, 77)}
+
+
+def test_the_stronger_of_two_close_events_stays(spark):
+    rng = np.random.default_rng(31)
+    for cooldown in (1, 5, 12):
+        t = np.sort(rng.choice(600, 120, replace=False))
+        x = rng.normal(size=120)
+        kept = []
+        for a, b in zip(t, x):
+            if not kept or a - kept[-1][0] > cooldown:
+                kept.append((int(a), float(b)))
+            elif b > kept[-1][1]:
+                kept[-1] = (int(a), float(b))
+        events = spark.createDataFrame(list(zip(t.tolist(), x.tolist())), "t long, x double")
+        assert sorted(tuple(r) for r in windows.strongest(events, "t", "x", cooldown).collect()) == kept
+    assert windows.strongest(events.limit(0), "t", "x", 5).count() == 0
+
+
+def test_rows_meet_windows_in_their_blocks(spark):
+    rows = spark.range(0, 5000).select(F.col("id").alias("rn"))
+    spans = [(3, 8), (1020, 1030), (1025, 3100), (4990, 6000)]
+    got = {r["rn"] for r in windows.rows_in_windows(rows, spark.createDataFrame(spans, "start_rn long, end_rn long")).collect()}
+    assert got == {i for i in range(5000) if any(a <= i <= b for a, b in spans)}
+
+
+def test_asof_against_brute_force(spark):
+    rng = np.random.default_rng(17)
+    left = [(i, int(t)) for i, t in enumerate(rng.integers(-5000, 20000, 300))]
+    right = [(int(t), float(i)) for i, t in enumerate(rng.choice(np.arange(-5000, 20000), 200, replace=False))]
+    as_ts = lambda c: F.timestamp_seconds(c)
+    a = spark.createDataFrame(left, "id int, t long").select("id", as_ts("t").alias("ts"))
+    b = spark.createDataFrame(right, "t long, v double").select(as_ts("t").alias("ts"), "v")
+    for tolerance in (60, 600):
+        want = {i: max(((u, v) for u, v in right if 0 <= t - u <= tolerance), default=(None, None))[1] for i, t in left}
+        assert {r["id"]: r["v"] for r in series.asof_backward(a, b, "ts", ["v"], tolerance).collect()} == want
+        from kilnworks.streaming import process
+
+        assert {r["id"]: r["v"] for r in process.asof_static(a, b, ["v"], tolerance).collect()} == want
 
 
 def test_noisier_series_has_a_lower_ratio(spark):
