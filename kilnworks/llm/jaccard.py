@@ -315,10 +315,11 @@ def _by_rare_tokens(texts: DataFrame, words: int, percent: int, hot_tokens: int
     sets = texts.mapInArrow(_sets(words), "node long, tokens array<long>")
     hot = texts.mapInArrow(_frequent(words), "token long, sets long").groupBy("token").agg(F.sum("sets").alias("often"))
     hot = materialize(hot.filter(F.col("often") >= hot_sets).orderBy(F.col("often").desc(), "token").limit(hot_tokens), "jaccard-hot")
-    tokens = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(F.broadcast(hot), "token", "left")
-    # a hot token's row goes to the task of its node; others meet the rest of their token
-    place = F.when(F.col("often").isNull(), F.col("token")).otherwise(F.col("node"))
-    seen = tokens.withColumn("sets", F.coalesce("often", F.count(F.lit(1)).over(Window.partitionBy(place, F.col("often").isNull()))))
+    tokens = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    # hot tokens meet their counts where they are; only the others are shuffled, with nothing but what is needed
+    often = tokens.join(F.broadcast(hot), "token").select("node", "n", "token", F.col("often").alias("sets"))
+    others = tokens.join(F.broadcast(hot.select("token")), "token", "left_anti").select("node", "n", "token")
+    seen = others.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token"))).unionByName(often)
     common = seen.filter("sets > 1").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("common"))
     first = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("common"))
     return common.withColumn("first", F.greatest(F.lit(0), first).cast("int")).select("node", F.explode(F.expr("slice(common, 1, first)")).alias("c")).select("node", F.col("c.token").alias("key"))
