@@ -100,11 +100,15 @@ class CharacterModel:
         two = three.sum(axis=0) + 20 * one[None, :]
         two /= two.sum(axis=1, keepdims=True)
         three = three + 20 * two[None, :, :]
+        self.counts = counts
         self.cost = -np.log(three / three.sum(axis=2, keepdims=True))
         self.table: list[list[list[float]]] = self.cost.tolist()
         self.known: dict[tuple[str, bool], str] = {}
         self.read: dict[tuple[bytes, bool], list[bytes]] = {}
 
+    def __reduce__(self):
+        return shared_model, (np.asarray(self.counts, np.int64).tobytes(),)
+
     def decode(self, word: str, edges: bool = False) -> str:
         """The likeliest letters for a disguised word: a Viterbi search over the lattice of what each character may stand for.
 
@@ -192,6 +196,17 @@ class CharacterModel:
         return out
 
 
+_SHARED: dict[bytes, CharacterModel] = {}
+
+
+def shared_model(counts: bytes) -> CharacterModel:
+    """The model of these counts: one in a worker, whatever tasks it runs, so that words it has decoded stay known."""
+    if counts not in _SHARED:
+        _SHARED.clear()
+        _SHARED[counts] = CharacterModel(np.frombuffer(counts, np.int64))
+    return _SHARED[counts]
+
+
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of all symbol trigrams within the words of all texts; SYMBOLS**3 numbers come to the driver."""
 
@@ -253,16 +268,20 @@ def suspicious(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, rows: np
     return out
 
 
-def features(column: pa.Array, model: CharacterModel, kinds: tuple[int, ...] = (0, 4, 5, 6), explained: Lookup | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def features(column: pa.Array, model: CharacterModel, kinds: tuple[int, ...] = (0, 4, 5, 6), explained: Lookup | None = None, restored: pa.Array | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, rows, feature hashes): every word of the restored text, and its first 4, 5 and 6 bytes.
 
     Words are runs of letters, also of those beyond ASCII. A disguised word gives the features of its restored letters
     besides those of its own parts, and one that may be several words those of its likeliest words too. kinds picks whole words (0) and beginnings; explained words give no beginnings.
+    restored, if given, has the restored words of each row (restored_words) and saves decoding them.
     """
     for first, data, offsets in text_slices(column):
         data, offsets = folded(_LOWER[data], offsets)
         starts, stops, rows = word_spans(data, offsets, _BLANK)
-        more = [(row, text) for row, word, edges in suspicious(data, starts, stops, rows) for text in model.readings(word, edges)]
+        if restored is None:
+            more = _decoded(model, data, starts, stops, rows)
+        else:
+            more = [(i, word) for i in range(len(offsets) - 1) for word in (restored[first + i].as_py() or b"").split()]
         parts = [(data, *word_spans(data, offsets, ~_LETTER))]
         if more:
             joined = np.frombuffer(b"".join(w for _, w in more), np.uint8)
@@ -282,6 +301,26 @@ def features(column: pa.Array, model: CharacterModel, kinds: tuple[int, ...] = (
             yield first, np.concatenate(at), np.concatenate(hashes)
 
 
+def _decoded(model: CharacterModel, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, rows: np.ndarray) -> list[tuple[int, bytes]]:
+    """(row, word) of all readings of the suspicious words."""
+    return [(row, text) for row, word, edges in suspicious(data, starts, stops, rows) for text in model.readings(word, edges)]
+
+
+def restored_words(model: CharacterModel):
+    """Rows of text and toxic with restored: what the disguised words of each text are read as, between blanks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            words: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
+            for first, data, offsets in text_slices(batch.column(0)):
+                data, offsets = folded(_LOWER[data], offsets)
+                for row, word in _decoded(model, data, *word_spans(data, offsets, _BLANK)):
+                    words[first + row].append(word)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b" ".join(w) for w in words], pa.binary())], names=["text", "toxic", "restored"])
+
+    return run
+
+
 def _distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((hashes, rows))
     rows, hashes = rows[order], hashes[order]
@@ -323,7 +362,7 @@ def _counts(model: CharacterModel, only: Lookup | None, kinds: tuple[int, ...],
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             toxic = batch.column(1).to_numpy(zero_copy_only=False)
-            for first, rows, hashes in features(batch.column(0), model, kinds, explained):
+            for first, rows, hashes in features(batch.column(0), model, kinds, explained, batch.column(2)):
                 if only is None:
                     keep = toxic[first + rows] == 1
                     rows, hashes = _distinct(rows[keep], hashes[keep])
@@ -368,6 +407,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not kept:
         return ToxicityModel(characters, Lookup(np.zeros(0, np.uint64), np.zeros(0)), 0.0)
     rows = rows.drop("toxic").join(F.broadcast(docs.sparkSession.createDataFrame(kept, "id long, toxic int")), "id").select("text", "toxic")
+    # disguises are restored once and not in each of the four passes below
+    rows = materialize(rows.mapInArrow(restored_words(characters), "text string, toxic int, restored binary"), "toxicity-restored")
     n1 = sum(toxic for _, toxic in kept)
     n0 = len(kept) - n1
     rate = min(0.5, max(1e-3, n1 / len(kept)))
@@ -387,7 +428,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # a beginning that only marking words make toxic is no evidence for others
     marking = Lookup(hashes[weights > np.log(2)], weights[weights > np.log(2)])
     more, heavier = select((4, 5, 6), marking)
-    release(chosen)
+    release(chosen, rows)
     return ToxicityModel(characters, Lookup(np.concatenate([hashes, more]), np.concatenate([weights, heavier])), -float(np.log1p(-rate / 10)))
 
 

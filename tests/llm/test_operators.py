@@ -596,6 +596,67 @@ def test_licenses_with_several_gating_words(spark):
     assert sorted((r["rule"], r["label"], r["start"], r["stop"]) for r in licenses.detections(rows).collect()) == sorted(want)
 
 
+def test_suppression_against_pairwise_containment(spark):
+    rng = random.Random(41)
+    levels = sorted({r[4] for r in licenses.rules()})
+    rows = []
+    for key in range(40):
+        for _ in range(rng.randint(1, 25)):
+            start = rng.randrange(12)
+            rows.append((key, f"l{rng.randrange(4)}", rng.choice(levels), rng.choice([0.3, 0.9]), start, start + rng.randint(1, 6)))
+    want = set()
+    for key, label, priority, _, start, stop in rows:
+        over = [(p, b - a) for k, _, p, _, a, b in rows if k == key and a <= start and b >= stop]
+        if priority == 100 or not any(p > priority or (p == priority and n > stop - start) for p, n in over):
+            want.add((key, start, stop, priority, label))
+    found = spark.createDataFrame(rows, "key int, label string, priority int, confidence double, start long, stop long")
+    got = {(r["key"], r["start"], r["stop"], r["priority"], label) for r in licenses.surviving(found).collect() for label in r["labels"]}
+    assert got == want
+
+
+def likeliest(model, word, edges):
+    """The decoder's best reading, by going through every path of the lattice."""
+    runs = [len(m.group()) for m in re.finditer(r"(.)\1*", word, re.S) for _ in m.group()]
+    best = []
+
+    def go(i, a, b, cost, text):
+        if i == len(word):
+            best.append((cost + model.table[a][b][0], text))
+            return
+        c = word[i]
+        if edges and i and b:
+            step(i, 0, 0, cost + model.table[a][b][0], text, c)
+        step(i, a, b, cost, text, c)
+
+    def step(i, a, b, cost, text, c):
+        plain = "a" <= c <= "z"
+        for letter in [c] if plain or c >= "\x80" else toxicity.LEET.get(c, ""):
+            paid = 0.0 if plain or c >= "\x80" else toxicity.SUBSTITUTED + (0.0 if len(toxicity.LEET[c]) < 3 else 1.5)
+            s = ord(letter) - 96 if letter < "\x80" else 27
+            go(i + 1, b, s, cost + paid + model.table[a][b][s], text + letter)
+        if i and b and runs[i] > 2 and ((plain and text[-1:] == c) or (not plain and c in toxicity.LEET and text[-1:] in toxicity.LEET[c])):
+            go(i + 1, a, b, cost + toxicity.REPEATED, text)
+        if not plain and c < "\x80":
+            inner = 0 < i < len(word) - 1
+            paid = toxicity.SPACED if inner and c not in toxicity.LEET else toxicity.DROPPED_SIGN if inner or c.isdigit() or c in "@$" else toxicity.DROPPED_END
+            go(i + 1, a, b, cost + paid, text)
+
+    go(0, 0, 0, 0.0, "")
+    return min(best)
+
+
+def test_decoder_finds_the_likeliest_path():
+    rng = random.Random(23)
+    counts = np.random.default_rng(5).integers(0, 500, toxicity.SYMBOLS**3) * (np.random.default_rng(6).random(toxicity.SYMBOLS**3) < 0.3)
+    model = toxicity.CharacterModel(counts)
+    for _ in range(150):
+        word = "".join(rng.choice("abeilost013$!@.-\xe9") * rng.choice([1, 1, 1, 3]) for _ in range(rng.randint(1, 5)))[:7]
+        for edges in (False, True):
+            want = likeliest(model, word, edges)
+            got = model.decode(word, edges)
+            assert got == want[1], (word, edges)
+
+
 BAD = ["idiot", "moron", "stupid", "worthless"]
 
 
@@ -655,6 +716,15 @@ def test_toxicity_restores_long_runs_and_other_marks(spark, judged):
     assert not any(got[i] for i, _, _ in clean)
 
 
+def test_toxicity_with_repeated_ids(spark, judged):
+    docs, marks, _, truth = judged
+    more = docs.unionByName(docs.filter("doc_id < 30")).unionByName(docs.filter("doc_id = 1").withColumn("text", F.lit("another text of this id")))
+    again = toxicity.fit(more, marks.unionByName(marks.limit(100)))
+    got = toxicity.score(docs, again).collect()
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in got) >= 0.97 * len(got)
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), marks)).count() == 0
+
+
 def test_no_labels_gives_low_scores(spark, judged):
     docs, marks, _, _ = judged
     model = toxicity.fit(docs, marks.limit(0))

@@ -43,6 +43,32 @@ def test_stages(spark, tmp_path):
     assert all(r["n"] == r["t"] * copies[r["doc_id"]] for r in packed)
 
 
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Null and shared ids, empty texts, repeated rows and columns of other names go through; an empty table gives no rows."""
+    rng = random.Random(12)
+    make = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    one, two, copied = make(30), make(30), make(40)
+    rows = [(1, one), (1, two), (1, one), (None, make(20)), (None, None), (2, None), (3, ""), (4, copied), (5, copied), (6, copied + " tail"), (7, make(3000))]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 3 else f"s{i}", 0, "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, epoch string, _id int")
+    for each in (docs, docs.limit(0)):
+        folder = f"{tmp_path}/{each.count()}"
+        each.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        kept, now = {}, each
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, now, folder).write.parquet(f"{folder}/{name}")
+            now = spark.read.parquet(f"{folder}/{name}")
+            kept[name] = collections.Counter((r["doc_id"], r["text"]) if name != "packing" else r["doc_id"] for r in now.collect())
+        if not each.isEmpty():
+            assert kept["toxicity"] == kept["line_dedup"] == collections.Counter(rows)
+            want = collections.Counter(r for r in rows if r[0] not in (5, 6))
+            want[(1, one)] = 1
+            assert kept["jaccard_join"] == want
+            assert set(kept["mixing"]) == set(want) and set(kept["packing"]) == {i for i, _ in want}
+        else:
+            assert not any(kept.values())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query(name, spark):
