@@ -171,7 +171,9 @@ def frequency_responses(channels: DataFrame, seconds: float, points: int = 96) -
 
 
 def search(df: DataFrame, output: str, delays: dict[str, int], orders: Sequence[int], alphas: Sequence[float], order: str, part: str = "part", keys: Sequence[str] = ("segment",)) -> list[dict]:
-    """Every structure, order and alpha, fitted on train rows and judged on the same validation rows by BIC; unstable ones are not eligible.
+    """Every structure, order and alpha, fitted on train rows and judged on the same validation rows by BIC.
+
+    Unstable ones are not eligible, nor those whose free simulation of the validation rows runs away or ends.
 
     One cached frame with the lags of the highest order, one aggregate of all covariances, then one of all candidates'
     errors: the number of Spark jobs does not grow with the candidates.
@@ -197,8 +199,15 @@ def search(df: DataFrame, output: str, delays: dict[str, int], orders: Sequence[
     for c, mse in zip(found, row[1:]):
         c["mse"] = mse
         c["bic"] = float(row[0] * np.log(mse) + len(c["coefficients"]) * np.log(row[0])) if mse else None
-    eligible = [c for c in found if c["stable"] and c["bic"] is not None]
-    best = min(eligible, key=lambda c: c["bic"], default=None)
+    validation = frame.filter(F.col(part) == "validation")
+    best = None
+    for c in sorted((c for c in found if c["stable"] and c["bic"] is not None), key=lambda c: c["bic"]):
+        p, drive = c["order"], [(column, lag, float(b)) for (name, column, lag), b in zip(lag_names(c["order"], delays if c["family"] == "ARX" else {}, output)[c["order"] :], c["coefficients"][1 + c["order"] :])]
+        simulated = free_simulation(df.filter(F.col(part) == "validation"), c["coefficients"][0], [float(a) for a in c["coefficients"][1 : 1 + p]], drive, output, max(lag for _, _, lag in features), order, keys)
+        c["simulates"] = simulated.filter("diverged").join(validation.select(*keys, order), [*keys, order], "left_semi").isEmpty()
+        if c["simulates"]:  # the first that holds is the best; most often one simulation is run
+            best = c
+            break
     for c in found:
         c["winner"] = c is best
     return found

@@ -125,6 +125,113 @@ def one_for_each_target(matches: DataFrame, auto: float) -> DataFrame:
     return matches.withColumn("status", F.when(F.col("standard").isNull(), "unmapped").when(place > 1, "duplicate").when((F.col("confidence") >= auto) & F.col("gate"), "matched").otherwise("review"))
 
 
+#: Patterns of the words that tell what a name measures, where, and in which direction.
+QUANTITIES = {"temperature": r"\b(temp|temperature)\b|温度|顶温|底温", "pressure": r"\b(pressure|press)\b|压力", "flow": r"\bflow\b|流量"}
+LOCATIONS = {
+    "reboiler_outlet": r"\breboiler\b|重沸器", "feed": r"\bfeed\b|进料", "column_top": r"\btop\b|塔顶", "column_bottom": r"\bbottom\b|塔底",
+    "tray_6": r"\btray\s*6\b|\bsixth\s+tray\b|第六塔板",
+}
+DIRECTIONS = {
+    "inlet": r"\b(feed|inlet)\b|进料|入口", "reflux": r"\breflux\b|回流", "recycle": r"\brecycle\b|再循环",
+    "downstream": r"\bdownstream\b|\bnext\s+process\b|下游|后续流程", "outlet": r"\boutlet\b|出口|出料",
+}
+SETPOINT = r"\b(setpoint|sp|target)\b|设定"
+OTHER_EQUIPMENT = r"\b(furnace|dryer|boiler|reactor)\b|高炉|干燥器|锅炉|反应器"
+ANONYMOUS = r"^([uxy]\d*|(normalized|scaled|column|feature)[_ -]*\d+)$"
+DIMENSIONS = ("quantity_type", "physical_role", "equipment_role", "measurement_location", "measurement_channel", "flow_direction")
+
+
+def _only(found: Column) -> Column:
+    """The one thing found, 'conflict' for several, null for none."""
+    return F.when(F.size(found) == 1, F.try_element_at(found, F.lit(1))).when(F.size(found) > 1, "conflict")
+
+
+def name_semantics(name: Column) -> dict[str, Column]:
+    """The DIMENSIONS that the words of a name tell; null where it says nothing and 'conflict' where it says two things."""
+    text = F.regexp_replace(F.lower(name), r"[_/.\-]+", " ")
+    has = lambda pattern: text.rlike(f"(?U){pattern}")
+    said = lambda words: F.array_compact(F.array(*[F.when(has(p), n) for n, p in words.items()]))
+    quantity = _only(said(QUANTITIES))
+    other_tray = F.exists(F.regexp_extract_all(text, F.lit(r"\btray\s*(\d+)\b"), F.lit(1)), lambda n: n != "6")
+    places = F.concat(said(LOCATIONS), F.when(other_tray, F.array(F.lit("other_tray"))).otherwise(F.array().cast("array<string>")))
+    ways = said(DIRECTIONS)
+    direction = F.when((F.size(ways) == 2) & F.array_contains(ways, "downstream") & F.array_contains(ways, "outlet"), "downstream").otherwise(_only(ways))
+    line = F.when((quantity == "flow") & (direction == "reflux"), "reflux_line").when((quantity == "flow") & (direction == "downstream"), "downstream_line")
+    location = F.coalesce(_only(places), line)
+    at_reboiler, at_feed = F.array_contains(places, "reboiler_outlet"), F.array_contains(places, "feed")
+    equipment = F.when(has(OTHER_EQUIPMENT), "other_equipment").when(at_reboiler, "reboiler").when(at_feed, "feed_line").when(location.isNotNull(), "column")
+    return {
+        "quantity_type": quantity, "physical_role": F.when(quantity.isNotNull(), F.when(has(SETPOINT), "setpoint").otherwise("process_measurement")), "equipment_role": equipment,
+        "measurement_location": location, "measurement_channel": _only(said({"a": r"\ba\b", "b": r"\bb\b"})), "flow_direction": direction,
+    }
+
+
+def physical_gates(observed: dict[str, Column], contract: dict[str, Column], trusted: Column, confidence: Column, unit_status: Column, threshold: float) -> dict[str, Column]:
+    """The seven gates of a candidate against a field's contract (the DIMENSIONS it states; all null without one).
+
+    A trusted method fills what the name does not say with the contract, and never overrules what it says.
+    """
+    stated = F.coalesce(*contract.values()).isNotNull()
+    source = {k: F.when(trusted, F.coalesce(observed[k], contract[k])).otherwise(observed[k]) for k in DIMENSIONS}
+    same = {k: F.coalesce(source[k] == contract[k], F.lit(False)) for k in DIMENSIONS}
+    sure, free = confidence >= threshold, trusted & ~stated
+    place = same["measurement_location"] & same["equipment_role"] & (contract["measurement_channel"].isNull() | same["measurement_channel"])
+    flows = F.coalesce(contract["quantity_type"] == "flow", F.lit(False))
+    return {
+        "semantic_similarity": sure, "unit_compatible": unit_status.isin("consistent", "convertible") | (trusted & (unit_status == "not_declared")), "quantity_type": free | same["quantity_type"],
+        "physical_role": free | same["physical_role"], "location": free | place, "direction": free | ~flows | same["flow_direction"],
+        "source_confidence": trusted | (stated & sure & F.coalesce(source["equipment_role"] == "column", F.lit(False))),
+    }
+
+
+def all_of(gates: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for g in gates:
+        out = out & g
+    return out
+
+
+def convertible(source: Column, target: Column) -> Column:
+    """Whether the two units are one, or one of the conversions leads from the first to the second."""
+    return F.coalesce((source == target) | F.struct(source, target).isin(*[F.struct(F.lit(a), F.lit(b)) for a, b, _, _ in CONVERSIONS]), F.lit(False))
+
+
+def acceptance_gates(c: dict[str, Column], threshold: float) -> dict[str, Column]:
+    """The ten gates that a mapped column passes before it is accepted without review.
+
+    c: raw, target, method, confidence, unit_status, expected_unit, scenario; defined (whether the target is a field of
+    the scenario), field_unit, has_contract (of the scenario), contract_<dimension>; meta_source, meta_field,
+    meta_scenario, meta_unit, meta_normalized, meta_restored, meta_<dimension> of what the source's documentation says;
+    point_resolved, point_scene, point_field, point_unit of a point dictionary's entry. Nulls are things not stated.
+    """
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    trusted, anonymous = c["method"].isin(*CURATED), yes(F.lower(F.trim(c["raw"])).rlike(ANONYMOUS))
+    scoped = yes(c["meta_source"].isNotNull() & (c["meta_field"] == c["target"]) & (c["meta_scenario"] == c["scenario"]))
+    defined, sure = yes(c["defined"]), c["confidence"] >= threshold
+    identity = F.when(anonymous | (c["method"] == "normalization_mapping"), scoped).otherwise(defined & (trusted | (c["method"] == "manual") | sure))
+    status = F.when(scoped & yes(c["meta_unit"] == c["expected_unit"]) & (c["unit_status"] == "not_declared"), "consistent").otherwise(c["unit_status"])
+    unit = status.isin("consistent", "convertible") | (trusted & ~anonymous & (status == "not_declared"))
+    restored = c["meta_unit"].isNotNull() & (yes(~c["meta_normalized"]) | yes(c["meta_restored"]))
+    contract = {k: c[f"contract_{k}"] for k in DIMENSIONS}
+    observed = name_semantics(c["raw"])
+    bound = all_of(list(physical_gates(observed, contract, scoped | trusted, c["confidence"], status, threshold).values()))
+    wanted = name_semantics(F.coalesce(c["target"], F.lit("")))
+    loose = trusted & all_of([~yes(observed[k] != wanted[k]) for k in DIMENSIONS])
+    point = yes(c["point_resolved"] & (c["point_scene"] == c["scenario"]) & (c["point_field"] == c["target"]) & (c["point_unit"].isNull() | convertible(c["point_unit"], c["expected_unit"])))
+    agreed = all_of([~yes(c[f"meta_{k}"] != contract[k]) for k in DIMENSIONS]) & (c["meta_unit"].isNull() | convertible(c["meta_unit"], c["expected_unit"]))
+    return {
+        "metadata_consistency": agreed, "point_dictionary_binding": (c["method"] != "point_dictionary") | point, "candidate_exists": defined, "identity_basis": identity,
+        "unit": unit & defined & yes(c["expected_unit"] == c["field_unit"]), "physical_semantics": F.when(c["target"].isNotNull() & yes(c["has_contract"]), bound).otherwise(loose), "source_confidence": sure,
+        "provenance": ~anonymous | scoped, "normalization_metadata": ~(anonymous | yes(c["meta_normalized"])) | (scoped & restored), "scenario_compatibility": c["meta_scenario"].isNull() | yes(c["meta_scenario"] == c["scenario"]),
+    }
+
+
+def acceptance(gates: dict[str, Column], defined: Column) -> dict[str, Column]:
+    """failures (names of the gates that fail, in order) and decision."""
+    failures = F.concat_ws(" ", *[F.when(~g, name) for name, g in gates.items()])
+    return {"failures": failures, "decision": F.when(failures == "", "AUTO_ACCEPT").when(F.coalesce(defined, F.lit(False)), "REVIEW_REQUIRED").otherwise("REJECT")}
+
+
 def scenario_score(required: Column, support: Column, confidence: Column, evidence: Column, least: Column, keyword: Column, conflicts: Column, units: Column, abnormal: Column, missing: Column) -> Column:
     """Weighted evidence for a scenario less its conflicts, within 0 and 1; at most 0.42 with too little evidence."""
     plus = 0.47 * required + 0.18 * support + 0.22 * confidence + 0.08 * F.least(evidence / F.greatest(least, F.lit(1)), F.lit(1.0)) + 0.05 * F.least(keyword, F.lit(1))

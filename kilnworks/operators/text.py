@@ -12,8 +12,10 @@ from kilnworks.sources.files import scratch_dir
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """All runs of n characters, none for shorter texts."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+    """All runs of n characters, none for shorter texts; the characters are taken apart once, so long texts cost in proportion."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1)))
+    return F.when(F.size(chars) >= n, F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))).otherwise(F.array().cast("array<string>"))
 
 
 def term_counts(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
@@ -52,6 +54,22 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def with_prototypes(vectors: DataFrame, prototypes: DataFrame, most: int = 100_000) -> DataFrame:
+    """Every vector (vec_id, q) with every prototype (pid, label, p): a stated set of at most `most` rows, which is counted, against all rows."""
+    if prototypes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} prototypes")
+    one = F.lit(1)
+    packed = prototypes.groupBy().agg(F.collect_list(F.struct("pid", "label", "p")).alias("_all")).withColumn("_one", one)
+    return vectors.withColumn("_one", one).join(F.broadcast(packed), "_one").select("vec_id", "q", F.inline("_all"))
+
+
+def prototype_scores(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """vec_id, label, score: the best cosine with each label's prototypes other than the vector itself."""
+    pairs = with_prototypes(vectors, prototypes).filter("vec_id <> pid")
+    cosine_of = dot(F.col("q"), F.col("p")) / F.nullif(norm(F.col("q")) * norm(F.col("p")), F.lit(0.0))
+    return pairs.select("vec_id", "label", cosine_of.alias("score")).groupBy("vec_id", "label").agg(F.max("score").alias("score"))
+
+
 def softmax_gate(scores: DataFrame, key: str, label: str = "label", score: str = "score", probability: float = 0.5, margin: float = 0.1) -> DataFrame:
     """key, label, probability, margin, accepted of each key's best label."""
     sums = scores.groupBy(key).agg(F.max(F.struct(F.col(score).alias("s"), F.col(label).alias("l"))).alias("best"), F.sum(F.exp(score)).alias("z"), F.sort_array(F.collect_list(score), asc=False).alias("two"))  # a score for each label

@@ -185,13 +185,101 @@ def dedupe_target(s: SparkSession, d: str) -> DataFrame:
     return mapping.one_for_each_target(c, 0.8).select("raw", "status")
 
 
-@query("q_acceptance_gate", f"WITH {CAND}, c AS (SELECT raw, standard, method, gate, unit_conflict, round({ADJ}, 9) AS confidence FROM M), f AS (SELECT raw, standard, CASE WHEN NOT (gate OR method = 'alias') THEN 'physical_semantics ' ELSE '' END || CASE WHEN confidence < .6 THEN 'source_confidence ' ELSE '' END || CASE WHEN unit_conflict THEN 'unit ' ELSE '' END AS failures FROM c) SELECT raw, trim(failures) AS failures, CASE WHEN failures = '' THEN 'AUTO_ACCEPT' WHEN standard > 3 THEN 'REVIEW_REQUIRED' ELSE 'REJECT' END AS decision FROM f")
+#: The fields of a scenario, with the contract that three of them have: field, unit, quantity, role, equipment, location, channel, direction.
+FIELDS = [
+    ("top_temperature", "degC", "temperature", "process_measurement", "column", "column_top", None, None), ("feed_flow", "kg/h", "flow", "process_measurement", "feed_line", "feed", None, "inlet"),
+    ("channel_b_pressure", "kPa", "pressure", "process_measurement", "column", "column_bottom", "b", None), ("motor_current", "A", None, None, None, None, None, None),
+]
+FIELD_DDL = "field string, field_unit string, " + ", ".join(f"contract_{k} string" for k in mapping.DIMENSIONS)
+#: Mapped columns made from parts: names, methods and documents go through all their combinations.
+MAPPED = """G AS (SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'Top Temp' WHEN 1 THEN 'feed_flow_inlet' WHEN 2 THEN 'bottom pressure B' WHEN 3 THEN 'x' || p_size % 10 WHEN 4 THEN 'scaled_' || p_size WHEN 5 THEN 'furnace top temperature' WHEN 6 THEN 'tray ' || p_size % 8 || ' temp setpoint' WHEN 7 THEN 'reflux.flow' ELSE 'Motor Current' END AS raw,
+  CASE p_size % 5 WHEN 0 THEN 'top_temperature' WHEN 1 THEN 'feed_flow' WHEN 2 THEN 'channel_b_pressure' WHEN 3 THEN 'motor_current' ELSE 'unknown_field' END AS target,
+  CASE p_partkey % 6 WHEN 0 THEN 'alias' WHEN 1 THEN 'manual' WHEN 2 THEN 'fuzzy' WHEN 3 THEN 'point_dictionary' WHEN 4 THEN 'normalization_mapping' ELSE 'learned_alias' END AS method,
+  (p_partkey % 25) / 20 AS confidence, CASE p_partkey % 4 WHEN 0 THEN 'consistent' WHEN 1 THEN 'convertible' WHEN 2 THEN 'not_declared' ELSE 'conflict' END AS unit_status,
+  CASE WHEN p_partkey % 7 < 3 THEN 'manual.pdf' END AS meta_source, p_partkey % 7 AS m, p_size % 3 AS z FROM part),
+  FD AS (SELECT * FROM (VALUES ('top_temperature', 'degC', 'temperature', 'process_measurement', 'column', 'column_top', NULL, NULL), ('feed_flow', 'kg/h', 'flow', 'process_measurement', 'feed_line', 'feed', NULL, 'inlet'), ('channel_b_pressure', 'kPa', 'pressure', 'process_measurement', 'column', 'column_bottom', 'b', NULL), ('motor_current', 'A', NULL, NULL, NULL, NULL, NULL, NULL)) t(field, field_unit, cq, cr, ce, cl, cc, cd))"""
+
+
+def mapped(s: SparkSession, d: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda x, names: F.element_at(F.array(*[n if isinstance(n, F.Column) else F.lit(n) for n in names]), (x + 1).cast("int"))
+    text = lambda x: x.cast("int").cast("string")
+    raw = pick(k % 9, ["Top Temp", "feed_flow_inlet", "bottom pressure B", F.concat(F.lit("x"), text(size % 10)), F.concat(F.lit("scaled_"), text(size)), "furnace top temperature", F.concat(F.lit("tray "), text(size % 8), F.lit(" temp setpoint")), "reflux.flow", "Motor Current"])
+    rows = table(s, d, "part").select(
+        k.alias("id"), raw.alias("raw"), pick(size % 5, ["top_temperature", "feed_flow", "channel_b_pressure", "motor_current", "unknown_field"]).alias("target"),
+        pick(k % 6, ["alias", "manual", "fuzzy", "point_dictionary", "normalization_mapping", "learned_alias"]).alias("method"), ((k % 25) / 20).alias("confidence"),
+        pick(k % 4, ["consistent", "convertible", "not_declared", "conflict"]).alias("unit_status"), F.when(k % 7 < 3, "manual.pdf").alias("meta_source"), (k % 7).alias("m"), (size % 3).alias("z"),
+    )
+    fields = F.broadcast(s.createDataFrame(FIELDS, FIELD_DDL))  # four fields
+    return rows.join(fields, F.col("target") == F.col("field"), "left")
+
+
+_RE = lambda p: f"regexp_matches(t, '{p}')"
+_LIST = lambda words: "list_filter([" + ", ".join(f"CASE WHEN {_RE(p)} THEN '{n}' END" for n, p in words.items()) + "], lambda x: x IS NOT NULL)"
+_ONE = lambda x: f"CASE len({x}) WHEN 0 THEN NULL WHEN 1 THEN {x}[1] ELSE 'conflict' END"
+
+
+def said_sql(source: str, name: str, to: str) -> str:
+    """CTEs that end in `to`: source's columns with q, r, e, l, c, d, the six things that its column `name` says."""
+    return f"""{to}0 AS (SELECT *, regexp_replace(lower({name}), '[_/.\\-]+', ' ', 'g') AS t FROM {source}),
+  {to}1 AS (SELECT *, {_LIST(mapping.QUANTITIES)} AS lq, list_concat({_LIST(mapping.LOCATIONS)}, CASE WHEN len(list_filter(regexp_extract_all(t, '\\btray\\s*(\\d+)\\b', 1), lambda x: x <> '6')) > 0 THEN ['other_tray'] ELSE [] END) AS ll, {_LIST(mapping.DIRECTIONS)} AS ld, {_LIST({"a": chr(92) + "ba" + chr(92) + "b", "b": chr(92) + "bb" + chr(92) + "b"})} AS lc FROM {to}0),
+  {to}2 AS (SELECT *, {_ONE("lq")} AS q, CASE WHEN list_sort(ld) = ['downstream', 'outlet'] THEN 'downstream' ELSE {_ONE("ld")} END AS d, {_ONE("lc")} AS c FROM {to}1),
+  {to}3 AS (SELECT *, coalesce({_ONE("ll")}, CASE WHEN q = 'flow' AND d = 'reflux' THEN 'reflux_line' WHEN q = 'flow' AND d = 'downstream' THEN 'downstream_line' END) AS l FROM {to}2),
+  {to} AS (SELECT *, CASE WHEN q IS NOT NULL THEN CASE WHEN {_RE(mapping.SETPOINT)} THEN 'setpoint' ELSE 'process_measurement' END END AS r, CASE WHEN {_RE(mapping.OTHER_EQUIPMENT)} THEN 'other_equipment' WHEN list_contains(ll, 'reboiler_outlet') THEN 'reboiler' WHEN list_contains(ll, 'feed') THEN 'feed_line' WHEN l IS NOT NULL THEN 'column' END AS e FROM {to}3)"""
+
+
+@query("q_name_semantics", f"WITH {MAPPED}, {said_sql('G', 'raw', 'N')} SELECT id, q AS quantity_type, r AS physical_role, e AS equipment_role, l AS measurement_location, c AS measurement_channel, d AS flow_direction FROM N")
+def name_semantics(s: SparkSession, d: str) -> DataFrame:
+    """What the words of a name say in all six dimensions."""
+    return mapped(s, d).select("id", *[c.alias(k) for k, c in mapping.name_semantics(F.col("raw")).items()])
+
+
+#: In SQL, a contract's gates: o. is what the name says, c* the contract, ok whether the method is trusted.
+_SAME = {k: f"coalesce(CASE WHEN ok THEN coalesce({o}, {c}) ELSE {o} END = {c}, false)" for k, o, c in (("q", "q", "cq"), ("r", "r", "cr"), ("e", "e", "ce"), ("l", "l", "cl"), ("c", "c", "cc"), ("d", "d", "cd"))}
+_STATED = "coalesce(cq, cr, ce, cl, cc, cd) IS NOT NULL"
+_BOUND = f"""confidence >= .6 AND (status IN ('consistent', 'convertible') OR (ok AND status = 'not_declared')) AND ((ok AND NOT ({_STATED})) OR ({_SAME["q"]} AND {_SAME["r"]} AND {_SAME["l"]} AND {_SAME["e"]} AND (cc IS NULL OR {_SAME["c"]}) AND (coalesce(cq <> 'flow', true) OR {_SAME["d"]})))
+  AND (ok OR ({_STATED} AND confidence >= .6 AND coalesce(e = 'column', false)))"""
+
+
+@query("q_physical_gate", f"WITH {MAPPED}, J AS (SELECT G.*, FD.*, unit_status AS status, method IN ('alias', 'learned_alias', 'normalized_alias', 'point_dictionary') AS ok FROM G LEFT JOIN FD ON target = field), {said_sql('J', 'raw', 'N')} SELECT id, {_BOUND} AS passes, (ok AND NOT ({_STATED})) OR {_SAME['q']} AS quantity, (ok AND NOT ({_STATED})) OR coalesce(cq <> 'flow', true) OR {_SAME['d']} AS direction FROM N")
+def physical_gate(s: SparkSession, d: str) -> DataFrame:
+    """Candidates against the contracts of their fields."""
+    rows = mapped(s, d)
+    contract = {k: F.col(f"contract_{k}") for k in mapping.DIMENSIONS}
+    gates = mapping.physical_gates(mapping.name_semantics(F.col("raw")), contract, F.col("method").isin(*mapping.CURATED), F.col("confidence"), F.col("unit_status"), 0.6)
+    return rows.select("id", mapping.all_of(list(gates.values())).alias("passes"), gates["quantity_type"].alias("quantity"), gates["direction"].alias("direction"))
+
+
+ACCEPT = f"""{MAPPED}, J AS (SELECT G.*, FD.*, CASE WHEN m < 3 THEN CASE WHEN z = 2 AND m = 1 THEN 'other' ELSE target END END AS meta_field, CASE WHEN m < 3 THEN CASE WHEN z = 1 AND m = 2 THEN 'other' ELSE 'column' END END AS meta_scenario, CASE WHEN m < 3 AND z < 2 THEN field_unit WHEN m < 3 THEN 'K' END AS meta_unit,
+    CASE WHEN m < 3 THEN z = 0 END AS meta_normalized, m = 0 AS meta_restored, CASE WHEN m = 2 AND z = 0 THEN 'temperature' END AS meta_q, CASE WHEN m = 3 THEN 'mg/L' ELSE field_unit END AS expected, m < 5 AS point_resolved, CASE WHEN z = 0 THEN 'other' ELSE 'column' END AS point_scene FROM G LEFT JOIN FD ON target = field),
+  K AS (SELECT *, coalesce(regexp_matches(lower(trim(raw)), '{mapping.ANONYMOUS}'), false) AS anon, coalesce(meta_source IS NOT NULL AND meta_field = target AND meta_scenario = 'column', false) AS scoped, method IN ('alias', 'learned_alias', 'normalized_alias', 'point_dictionary') AS trusted FROM J),
+  L AS (SELECT *, scoped OR trusted AS ok, CASE WHEN scoped AND coalesce(meta_unit = expected, false) AND unit_status = 'not_declared' THEN 'consistent' ELSE unit_status END AS status FROM K), {said_sql("L", "raw", "N")},
+  Y AS (SELECT *, coalesce(meta_unit = expected, false) OR coalesce((meta_unit, expected) IN (('degF', 'degC'), ('K', 'degC'), ('kPa', 'Pa'), ('MPa', 'Pa'), ('m/s', 'm/min'), ('kg/h', 't/h')), false) AS fits FROM N),
+  Z AS (SELECT id, field, [CASE WHEN NOT (NOT coalesce(meta_q <> cq, false) AND (meta_unit IS NULL OR fits)) THEN 'metadata_consistency' END,
+    CASE WHEN NOT (method <> 'point_dictionary' OR (point_resolved AND point_scene = 'column')) THEN 'point_dictionary_binding' END, CASE WHEN field IS NULL THEN 'candidate_exists' END,
+    CASE WHEN NOT (CASE WHEN anon OR method = 'normalization_mapping' THEN scoped ELSE field IS NOT NULL AND (trusted OR method = 'manual' OR confidence >= .6) END) THEN 'identity_basis' END,
+    CASE WHEN NOT ((status IN ('consistent', 'convertible') OR (trusted AND NOT anon AND status = 'not_declared')) AND field IS NOT NULL AND coalesce(expected = field_unit, false)) THEN 'unit' END,
+    CASE WHEN NOT ({_BOUND}) THEN 'physical_semantics' END, CASE WHEN confidence < .6 THEN 'source_confidence' END, CASE WHEN anon AND NOT scoped THEN 'provenance' END,
+    CASE WHEN (anon OR coalesce(meta_normalized, false)) AND NOT (scoped AND meta_unit IS NOT NULL AND (coalesce(NOT meta_normalized, false) OR meta_restored)) THEN 'normalization_metadata' END,
+    CASE WHEN meta_scenario <> 'column' THEN 'scenario_compatibility' END] AS g FROM Y)"""
+
+
+@query("q_acceptance_gate", f"WITH {ACCEPT} SELECT id, array_to_string(list_filter(g, lambda x: x IS NOT NULL), ' ') AS failures, CASE WHEN len(list_filter(g, lambda x: x IS NOT NULL)) = 0 THEN 'AUTO_ACCEPT' WHEN field IS NOT NULL THEN 'REVIEW_REQUIRED' ELSE 'REJECT' END AS decision FROM Z")
 def acceptance_gate(s: SparkSession, d: str) -> DataFrame:
-    """All gates pass, or the names of those that do not and a review; candidates of no known field are rejected."""
-    c = adjusted(s, d).withColumn("confidence", F.round("confidence", 9))
-    gates = {"physical_semantics": F.col("gate") | (F.col("method") == "alias"), "source_confidence": F.col("confidence") >= 0.6, "unit": ~F.col("unit_conflict")}
-    failures = F.concat_ws(" ", *[F.when(~ok, name) for name, ok in gates.items()])
-    return c.withColumn("failures", failures).select("raw", "failures", F.when(F.col("failures") == "", "AUTO_ACCEPT").when(F.col("standard") > 3, "REVIEW_REQUIRED").otherwise("REJECT").alias("decision"))
+    """All ten gates pass, or the names of those that do not and a review; candidates of no known field are rejected."""
+    m, z, none = F.col("m"), F.col("z"), F.lit(None).cast("string")
+    told = lambda x: F.when(m < 3, x)
+    c = {k: F.col(k) for k in ("raw", "target", "method", "confidence", "unit_status", "field_unit", "meta_source", *(f"contract_{k}" for k in mapping.DIMENSIONS))}
+    c |= {f"meta_{k}": none for k in mapping.DIMENSIONS}
+    c |= {
+        "scenario": F.lit("column"), "defined": F.col("field").isNotNull(), "has_contract": F.lit(True), "expected_unit": F.when(m == 3, "mg/L").otherwise(F.col("field_unit")),
+        "meta_field": told(F.when((z == 2) & (m == 1), "other").otherwise(F.col("target"))), "meta_scenario": told(F.when((z == 1) & (m == 2), "other").otherwise("column")), "meta_unit": told(F.when(z < 2, F.col("field_unit")).otherwise("K")),
+        "meta_normalized": told(z == 0), "meta_restored": m == 0, "meta_quantity_type": F.when((m == 2) & (z == 0), "temperature"),
+        "point_resolved": m < 5, "point_scene": F.when(z == 0, "other").otherwise("column"), "point_field": F.col("target"), "point_unit": none,
+    }
+    rows = mapped(s, d)
+    found = mapping.acceptance(mapping.acceptance_gates(c, 0.6), c["defined"])
+    return rows.select("id", *[x.alias(k) for k, x in found.items()])
 
 
 SCEN = CAND + f""", C AS (SELECT *, {ADJ} AS confidence FROM M), G AS (SELECT scenario, l_group, count(DISTINCT standard) FILTER (confidence >= .55 AND standard < 6) / 6 AS required, count(DISTINCT standard) FILTER (confidence >= .55 AND standard BETWEEN 6 AND 15) / 10 AS support, coalesce(avg(confidence) FILTER (confidence >= .55), 0) AS conf, count(DISTINCT standard) FILTER (confidence >= .55 AND standard < 16) AS evidence, count(*) FILTER (standard = 39 AND confidence >= .55) AS conflicts, count(*) FILTER (unit_conflict AND confidence >= .55) AS units, count(*) FILTER (plausibility < .2 AND confidence >= .55) AS abnormal, count(*) FILTER (missing >= .5 AND confidence >= .55) AS high_missing, count(*) FILTER (confidence >= .55) AS matched FROM (SELECT *, raw // 100000 AS l_group FROM C) GROUP BY 1, 2),
@@ -264,18 +352,3 @@ def precheck(s: SparkSession, d: str) -> DataFrame:
 @query("q_missing_required", "SELECT n_name FROM nation WHERE n_regionkey < 3 AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 3000)")
 def missing_required(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "nation").filter("n_regionkey < 3").join(table(s, d, "supplier").filter("s_acctbal > 3000"), F.col("n_nationkey") == F.col("s_nationkey"), "left_anti").select("n_name")
-
-
-PHYS = "T AS (SELECT id, regexp_replace(lower(header), '[_/.\\-]+', ' ', 'g') AS t FROM H)"
-
-
-@query("q_physical_gate", f"WITH {HEADERS}, {PHYS}, q AS (SELECT id, list_filter([CASE WHEN regexp_matches(t, '\\b(temp|temperature)\\b') THEN 'temperature' END, CASE WHEN regexp_matches(t, '\\b(pressure|press)\\b') THEN 'pressure' END, CASE WHEN regexp_matches(t, '\\bflow\\b') THEN 'flow' END], lambda x: x IS NOT NULL) AS l, regexp_matches(t, '\\b(setpoint|sp|target)\\b') AS sp, CASE WHEN regexp_matches(t, '\\btop\\b') THEN 'column_top' WHEN regexp_matches(t, '\\bfeed\\b') THEN 'feed' END AS location FROM T) SELECT id, CASE len(l) WHEN 0 THEN NULL WHEN 1 THEN l[1] ELSE 'conflict' END AS quantity, CASE WHEN len(l) > 0 THEN CASE WHEN sp THEN 'setpoint' ELSE 'process_measurement' END END AS role, location, coalesce(len(l) = 1 AND l[1] = 'temperature' AND location = 'column_top', false) AS passes FROM q")
-def physical_gate(s: SparkSession, d: str) -> DataFrame:
-    """What a name's words say is measured, and where, against the contract of a column's top temperature."""
-    t = headers(s, d).withColumn("t", F.regexp_replace(F.lower("header"), r"[_/.\-]+", " "))
-    said = F.array_compact(F.array(*[F.when(F.col("t").rlike(p), n) for n, p in (("temperature", r"\b(temp|temperature)\b"), ("pressure", r"\b(pressure|press)\b"), ("flow", r"\bflow\b"))]))
-    t = t.withColumn("l", said).withColumn("location", F.when(F.col("t").rlike(r"\btop\b"), "column_top").when(F.col("t").rlike(r"\bfeed\b"), "feed"))
-    n = F.size("l")
-    role = F.when(n > 0, F.when(F.col("t").rlike(r"\b(setpoint|sp|target)\b"), "setpoint").otherwise("process_measurement"))
-    quantity = F.when(n == 1, F.try_element_at("l", F.lit(1))).when(n > 1, "conflict")
-    return t.select("id", quantity.alias("quantity"), role.alias("role"), "location", F.coalesce((quantity == "temperature") & (F.col("location") == "column_top"), F.lit(False)).alias("passes"))

@@ -184,10 +184,18 @@ def recommend(s: SparkSession, d: str) -> DataFrame:
 
 @query("q_quality_radar")
 def quality_radar(s: SparkSession, d: str) -> DataFrame:
-    """The three lowest dimensions of quality and the mean of all."""
-    worst = float(np.max(stats.vif(stats.correlation_matrix(frame(s, d), COLS))))
-    one = frame(s, d).agg(F.avg(100 * (1 - sum((F.col(c).isNull().cast("double") for c in COLS), F.lit(0.0)) / len(COLS))).alias("completeness"))
-    parts = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), x.alias("score")) for n, x in (("completeness", F.col("completeness")), ("collinearity", windows.collinearity_score(F.lit(worst))), ("consistency", F.lit(100.0)), ("validity", F.lit(97.5)))])).alias("x")).select("x.*")
+    """The three lowest dimensions of quality and the mean of all four, each measured."""
+    from .process import repaired
+
+    raw = frame(s, d)
+    worst = float(np.max(stats.vif(stats.correlation_matrix(raw, COLS))))
+    mean = lambda xs: sum(xs[1:], xs[0]) / len(xs)
+    step = F.col("h") - F.lag("h").over(Window.orderBy("h"))
+    spread = F.when(F.count_distinct("step") == 1, 100.0).otherwise(F.greatest(F.lit(0.0), 100 - F.stddev_samp("step")))
+    one = raw.withColumn("step", step).agg((100 * (1 - mean([F.avg(F.col(c).isNull().cast("double")) for c in COLS]))).alias("completeness"), spread.alias("consistency")).first()
+    valid = repaired(s, d).agg(100 * (1 - mean([F.avg(F.col(f"{c}_bad").cast("double")) for c in COLS]))).first()[0]
+    rows = [("completeness", one["completeness"]), ("consistency", one["consistency"]), ("validity", valid)]  # single numbers
+    parts = s.createDataFrame(rows, "dimension string, score double").unionByName(s.range(1).select(F.lit("collinearity").alias("dimension"), windows.collinearity_score(F.lit(worst)).cast("double").alias("score")))
     return parts.withColumn("mean", F.round(F.avg("score").over(Window.partitionBy()), 4)).orderBy("score", "dimension").limit(3).withColumn("score", F.round("score", 4))
 
 

@@ -10,8 +10,8 @@ from kilnworks.operators import text
 from .base import query, r6, table
 
 WORDS = "lower(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g'))"
-ITEMS = f"w AS (SELECT item_id AS id, unnest(list_filter(string_split({WORDS}, ' '), lambda x: x <> '')) AS term FROM benchmark), c AS (SELECT id, term, count(*) AS tf FROM w GROUP BY 1, 2)"
-WEIGHTS = ITEMS + ", m AS (SELECT id, max(tf) AS most FROM c GROUP BY 1), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1), t AS (SELECT c.id, c.term, (.5 + .5 * tf / most) * (ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS weight FROM c JOIN m ON c.id = m.id JOIN d ON c.term = d.term)"
+ITEMS = f"w AS (SELECT doc_id AS id, unnest(list_filter(string_split({WORDS}, ' '), lambda x: x <> '')) AS term FROM documents), c AS (SELECT id, term, count(*) AS tf FROM w GROUP BY 1, 2)"
+WEIGHTS = ITEMS + ", m AS (SELECT id, max(tf) AS most FROM c GROUP BY 1), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1), t AS (SELECT c.id, c.term, (.5 + .5 * tf / most) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS weight FROM c JOIN m ON c.id = m.id JOIN d ON c.term = d.term)"
 
 
 def words(column: str = "text"):
@@ -19,14 +19,24 @@ def words(column: str = "text"):
 
 
 def weights(s: SparkSession, d: str) -> DataFrame:
-    b = table(s, d, "benchmark")
-    return text.tf_idf(text.term_counts(b, "item_id", words()), b.count())
+    docs = table(s, d, "documents")
+    return text.tf_idf(text.term_counts(docs, "doc_id", words()), docs.count())
 
 
-@query("q_ngrams", "WITH g AS (SELECT item_id AS id, unnest(list_transform(range(1, greatest(length(text) - 1, 1) + 1), lambda i: substr(text, i, 2))) AS gram FROM benchmark WHERE length(text) >= 2) SELECT id, gram, count(*) AS n FROM g GROUP BY 1, 2")
+GRAMS = " UNION ALL ".join(f"SELECT id, {n} AS n, unnest(list_transform(range(1, len(c) - {n} + 2), lambda i: {' || '.join(f'c[i + {k}]' for k in range(n))})) AS gram FROM t WHERE len(c) >= {n}" for n in (1, 2, 3))
+
+
+@query("q_ngrams", f"WITH t AS (SELECT doc_id AS id, string_split(lower(text), '') AS c FROM documents), g AS ({GRAMS}) SELECT CAST(n AS BIGINT) AS n, gram, count(*) AS times, count(DISTINCT id) AS docs FROM g GROUP BY 1, 2")
 def ngrams(s: SparkSession, d: str) -> DataFrame:
-    b = table(s, d, "benchmark").filter(F.char_length("text") >= 2)
-    return text.term_counts(b, "item_id", text.char_ngrams(F.col("text"), 2)).select("id", F.col("term").alias("gram"), F.col("tf").alias("n"))
+    """Runs of one to three characters of all documents: how often they stand, and in how many."""
+    docs = table(s, d, "documents").select("doc_id", F.filter(F.split(F.lower("text"), ""), lambda c: c != "").alias("chars"))
+    each = docs.select("doc_id", F.posexplode("chars").alias("i", "a")).withColumn("i", F.col("i") + 1)
+    w = Window.partitionBy("doc_id").orderBy("i")
+    grams = each.withColumn("b", F.lead("a").over(w)).withColumn("c", F.lead("a", 2).over(w))
+    runs = F.array(F.struct(F.lit(1).cast("long").alias("n"), F.col("a").alias("gram")), F.struct(F.lit(2).cast("long").alias("n"), F.concat("a", "b").alias("gram")), F.struct(F.lit(3).cast("long").alias("n"), F.concat("a", "b", "c").alias("gram")))
+    # counted within each document first, so a document is one row for each of its grams
+    own = grams.select("doc_id", F.inline(runs)).filter("gram is not null").groupBy("doc_id", "n", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    return own.groupBy("n", "gram").agg(F.sum("tf").alias("times"), F.count(F.lit(1)).alias("docs"))
 
 
 @query("q_tfidf", f"WITH {WEIGHTS} SELECT id, term, round(weight, 6) AS weight FROM t")
@@ -34,35 +44,47 @@ def tfidf(s: SparkSession, d: str) -> DataFrame:
     return weights(s, d).select("id", "term", *r6("weight"))
 
 
-@query("q_centroid", f"WITH {WEIGHTS}, a AS (SELECT id % 3 AS label, term, sum(weight) AS weight FROM t WHERE id % 2 = 0 GROUP BY 1, 2), l AS (SELECT label, sqrt(sum(weight * weight)) AS length FROM a GROUP BY 1), k AS (SELECT a.label, term, weight / length AS w FROM a JOIN l ON a.label = l.label), n AS (SELECT id, sqrt(sum(weight * weight)) AS length FROM t GROUP BY 1) SELECT t.id, label, round(sum(weight * w) / any_value(n.length), 6) AS score FROM t JOIN k ON t.term = k.term JOIN n ON t.id = n.id GROUP BY 1, 2")
+@query("q_centroid", f"WITH {WEIGHTS}, y AS (SELECT doc_id AS id, min(toxic) AS label FROM labels WHERE toxic IS NOT NULL GROUP BY 1), a AS (SELECT label, term, sum(weight) AS weight FROM t JOIN y ON t.id = y.id GROUP BY 1, 2), l AS (SELECT label, sqrt(sum(weight * weight)) AS length FROM a GROUP BY 1), k AS (SELECT a.label, term, weight / length AS w FROM a JOIN l ON a.label = l.label), n AS (SELECT id, sqrt(sum(weight * weight)) AS length FROM t GROUP BY 1) SELECT t.id, label, round(sum(weight * w) / any_value(n.length), 6) AS score FROM t JOIN k ON t.term = k.term JOIN n ON t.id = n.id GROUP BY 1, 2")
 def centroid(s: SparkSession, d: str) -> DataFrame:
+    """All documents against the centroids of the labelled ones."""
     w = weights(s, d)
-    labels = table(s, d, "benchmark").filter("item_id % 2 = 0").select(F.col("item_id").alias("id"), (F.col("item_id") % 3).alias("label"))
+    labels = table(s, d, "labels").filter("toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("toxic").alias("label"))
     return text.cosine(w, text.centroids(w, labels)).select("id", "label", *r6("score"))
 
 
-@query("q_softmax_gate", "WITH x AS (SELECT vec_id, i - 1 AS label, 4 * embedding[i] AS score FROM embeddings, range(1, 6) t(i)), z AS (SELECT vec_id, arg_max(label, (score, label)) AS label, sum(exp(CAST(score AS DOUBLE))) AS z, list(exp(CAST(score AS DOUBLE)) ORDER BY score DESC) AS l FROM x GROUP BY 1) SELECT vec_id, label, round(l[1] / z, 6) AS probability, round((l[1] - l[2]) / z, 6) AS margin, l[1] / z >= .3 AND (l[1] - l[2]) / z >= .1 AS accepted FROM z")
+PROTO = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id AS pid, label, e FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5)"
+SCORED = PROTO + ", x AS (SELECT v.vec_id, p.label, max(list_cosine_similarity(v.e, p.e)) AS score FROM v, p WHERE v.vec_id <> p.pid GROUP BY 1, 2)"
+
+
+def prototypes(s: SparkSession, d: str) -> DataFrame:
+    """Five rows of every label, the first by id."""
+    e = table(s, d, "embeddings")
+    return e.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).filter("n <= 5").select(F.col("vec_id").alias("pid"), "label", F.col("embedding").alias("p"))
+
+
+def proto_scores(s: SparkSession, d: str) -> DataFrame:
+    """Every vector's best cosine with each label's prototypes, its own row left out."""
+    q = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("q"))
+    return text.prototype_scores(q, prototypes(s, d))
+
+
+@query("q_softmax_gate", f"WITH {SCORED}, y AS (SELECT vec_id, label, 8 * score AS score FROM x), z AS (SELECT vec_id, arg_max(label, (score, label)) AS label, sum(exp(score)) AS z, list(exp(score) ORDER BY score DESC) AS l FROM y GROUP BY 1) SELECT vec_id, label, round(l[1] / z, 6) AS probability, round((l[1] - coalesce(l[2], 0)) / z, 6) AS margin, l[1] / z >= .3 AND (l[1] - coalesce(l[2], 0)) / z >= .1 AS accepted FROM z")
 def softmax_gate(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 5)).alias("label", "x"))
-    scores = e.select("vec_id", F.col("label").cast("long").alias("label"), (4 * F.col("x")).cast("double").alias("score"))
+    """A label for every vector, if its prototypes are clearly the nearest."""
+    scores = proto_scores(s, d).withColumn("score", 8 * F.col("score"))
     return text.softmax_gate(scores, "vec_id", probability=0.3, margin=0.1).select("vec_id", "label", *r6("probability", "margin"), "accepted")
 
 
-@query("q_embed_proto", "WITH p AS (SELECT vec_id AS pid, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id < 20), q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id >= 20) SELECT vec_id, label, round(max(list_cosine_similarity(q.e, p.e)), 6) AS score FROM q, p GROUP BY 1, 2")
+@query("q_embed_proto", f"WITH {SCORED} SELECT vec_id, label, round(score, 6) AS score FROM x")
 def embed_proto(s: SparkSession, d: str) -> DataFrame:
-    """The best cosine with each label's prototypes, which are 20 rows."""
-    e = table(s, d, "embeddings")
-    p = e.filter("vec_id < 20").select(F.col("label"), F.col("embedding").alias("p"))
-    q = e.filter("vec_id >= 20").select("vec_id", F.col("embedding").alias("q"))
-    c = text.dot(F.col("q"), F.col("p")) / (text.norm(F.col("q")) * text.norm(F.col("p")))
-    return q.join(F.broadcast(p)).groupBy("vec_id", "label").agg(F.round(F.max(c), 6).alias("score"))
+    return proto_scores(s, d).select("vec_id", "label", *r6("score"))
 
 
-@query("q_cross_argmax", "WITH p AS (SELECT vec_id AS pid, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id < 20), q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id >= 20), c AS (SELECT vec_id, pid, list_dot_product(q.e, p.e) AS score FROM q, p) SELECT vec_id, arg_max(pid, (round(score, 9), -pid)) AS best, round(max(score), 6) AS score FROM c GROUP BY 1")
+@query("q_cross_argmax", f"WITH {PROTO}, c AS (SELECT vec_id, pid, list_dot_product(v.e, p.e) AS score FROM v, p WHERE v.vec_id <> p.pid) SELECT vec_id, arg_max(pid, (round(score, 9), -pid)) AS best, round(max(score), 6) AS score FROM c GROUP BY 1")
 def cross_argmax(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "embeddings")
-    p = e.filter("vec_id < 20").select(F.col("vec_id").alias("pid"), F.col("embedding").alias("p"))
-    c = e.filter("vec_id >= 20").join(F.broadcast(p)).select("vec_id", "pid", text.dot(F.col("embedding"), F.col("p")).alias("score"))  # 20 prototypes
+    """The prototype with the largest inner product, of all labels."""
+    q = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("q"))
+    c = text.with_prototypes(q, prototypes(s, d)).filter("vec_id <> pid").select("vec_id", "pid", text.dot(F.col("q"), F.col("p")).alias("score"))
     return c.groupBy("vec_id").agg(F.max_by("pid", F.struct(F.round("score", 9), -F.col("pid"))).alias("best"), F.round(F.max("score"), 6).alias("score"))
 
 
@@ -87,16 +109,17 @@ def rule_score(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").withColumn("hits", hits).filter("hits > 0").select("doc_id", F.round(score, 6).alias("score"), (score >= 0.84).alias("routed"))
 
 
-@query("q_token_overlap", f"WITH a AS (SELECT item_id, list_distinct(list_filter(string_split({WORDS}, ' '), lambda x: x <> '')) AS t FROM benchmark) SELECT item_id, len(list_intersect(t, ['the', 'of', 'and', 'in', 'thing'])) AS overlap FROM a")
+@query("q_token_overlap", f"WITH a AS (SELECT doc_id, list_distinct(list_filter(string_split({WORDS}, ' '), lambda x: x <> '')) AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(list_intersect(t, ['the', 'of', 'and', 'in', 'thing'])) AS overlap FROM a")
 def token_overlap(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "benchmark").select("item_id", F.size(F.array_intersect(words(), F.array(*map(F.lit, ("the", "of", "and", "in", "thing"))))).cast("long").alias("overlap"))
+    wanted = F.array(*map(F.lit, ("the", "of", "and", "in", "thing")))
+    return table(s, d, "documents").filter("text is not null").select("doc_id", F.size(F.array_intersect(words(), wanted)).cast("long").alias("overlap"))
 
 
-@query("q_longest_alias", "WITH a AS (SELECT * FROM (VALUES ('the'), ('tion'), ('license'), ('er'), ('ation')) t(alias)) SELECT item_id, arg_max(alias, (length(alias), alias)) AS alias FROM benchmark JOIN a ON contains(lower(text), alias) GROUP BY 1")
+@query("q_longest_alias", "WITH a AS (SELECT * FROM (VALUES ('the'), ('tion'), ('license'), ('er'), ('ation')) t(alias)) SELECT doc_id, arg_max(alias, (length(alias), alias)) AS alias FROM documents JOIN a ON contains(lower(text), alias) GROUP BY 1")
 def longest_alias(s: SparkSession, d: str) -> DataFrame:
     """The longest of a fixed list's names that a text holds."""
     found = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(a)), F.struct(F.lit(len(a)).alias("n"), F.lit(a).alias("alias"))) for a in ("the", "tion", "license", "er", "ation")]))
-    return table(s, d, "benchmark").select("item_id", F.array_max(found)["alias"].alias("alias")).filter("alias is not null")
+    return table(s, d, "documents").select("doc_id", F.array_max(found)["alias"].alias("alias")).filter("alias is not null")
 
 
 @query("q_dep_closure", "WITH RECURSIVE e AS (SELECT DISTINCT p_size AS node, p_size // 2 AS needs FROM part WHERE p_size // 2 > 0), r AS (SELECT node, needs FROM e UNION SELECT r.node, e.needs FROM r JOIN e ON r.needs = e.node) SELECT node, needs FROM r")
