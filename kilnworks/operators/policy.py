@@ -8,6 +8,9 @@ import json
 import re
 from collections.abc import Iterable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 #: The engine's defaults by section.
 DEFAULTS = {
     "selection": {"window": 30, "step": 15, "strict_score": 80.0, "usable_score": 60.0, "snr_db": 10.0, "min_valid_samples": 15, "top_k": 5, "weights": {"input_change": 0.35, "output_response": 0.25, "completeness": 0.20, "anomaly": 0.10, "smoothness": 0.10}},
@@ -15,6 +18,15 @@ DEFAULTS = {
     "optimization": {"weights": {"r2": 0.68, "rmse": 0.17, "coverage": 0.15}, "rounds": 16, "min_rounds": 8, "patience": 3},
     "resample": {"seconds": 10.0},
 }
+#: The sampling period of each scene, in seconds.
+SCENE_SECONDS = {
+    "blast_furnace": 3600.0,
+    "debutanizer_column": 60.0,
+    "industrial_dryer": 10.0,
+    "steel_industry_energy": 900.0,
+    "thermal_power_boiler_long_tail": 1.0,
+    "vapor_pressure_soft_sensor": 3600.0,
+}
 _UNITS = {"s": 1, "min": 60, "h": 3600}
 
 
@@ -67,3 +79,19 @@ def next_candidate(wanted: tuple[int, int], bounds: tuple[tuple[int, int], tuple
     seen = set(used)
     left = [(abs(x - a) + abs(y - b), x, y) for x in range(a0, a1 + 1) for y in range(b0, b1 + 1) if (x, y) not in seen]
     return min(left)[1:] if left else None
+
+
+def scenes(spark: SparkSession) -> DataFrame:
+    """The dictionary of scenes: number (from 0, by name), scene and seconds."""
+    rows = [(i, name, SCENE_SECONDS[name]) for i, name in enumerate(sorted(SCENE_SECONDS))]
+    return spark.createDataFrame(rows, "number int, scene string, seconds double")
+
+
+def effective_seconds(requested: Column, project: Column, detected: Column, seconds: Column, automatic: Column) -> Column:
+    """The sampling period of an upload: as requested, but the detected scene's where an automatic upload leaves its project's scene.
+
+    An unknown scene on either side, or a period that is null, not finite or not positive, leaves what was requested.
+    """
+    crosses = automatic & (project != "") & (detected != "") & (project != detected)
+    usable = (seconds > 0) & (seconds < float("inf"))
+    return F.when(F.coalesce(crosses & usable, F.lit(False)), seconds).otherwise(requested)

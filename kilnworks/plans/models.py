@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kilnworks.functions.numeric import clip
 from kilnworks.operators import identification as ident
-from kilnworks.operators import series, stats
+from kilnworks.operators import policy, series, stats
 from kilnworks.operators.series import INPUTS, OUTPUT
 
 from .base import FILLED, P, corr_sql, filled, frame, query, r6, table
@@ -246,6 +246,25 @@ def policy_merge(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select("p_partkey", F.coalesce(asked, scene, F.lit(15)).alias("window"), F.when(asked.isNotNull(), "request").when(scene.isNotNull(), "scene").otherwise("default").alias("origin"))
 
 
+SCENES = ", ".join(f"({i}, '{name}', {policy.SCENE_SECONDS[name]}::DOUBLE)" for i, name in enumerate(sorted(policy.SCENE_SECONDS)))
+
+
+@query("q_cadence_override", f"""WITH s AS (SELECT * FROM (VALUES {SCENES}) t(number, scene, seconds))
+  SELECT c_custkey, p.scene AS project, f.scene AS detected,
+    CASE WHEN c_custkey % 4 <> 0 AND p.scene <> f.scene THEN f.seconds ELSE 10.0 * (1 + c_custkey % 3) END AS seconds
+  FROM customer LEFT JOIN s p ON c_nationkey % 7 = p.number LEFT JOIN s f ON c_custkey % 7 = f.number""")
+def cadence_override(s: SparkSession, d: str) -> DataFrame:
+    """Customers stand for uploads; the seventh number is a scene that is not known."""
+    known = policy.scenes(s)
+    project = F.broadcast(known.select(F.col("number").alias("a"), F.col("scene").alias("project")))  # six rows
+    detected = F.broadcast(known.select(F.col("number").alias("b"), F.col("scene").alias("detected"), F.col("seconds").alias("own")))
+    uploads = table(s, d, "customer").join(project, F.col("c_nationkey") % 7 == F.col("a"), "left")
+    uploads = uploads.join(detected, F.col("c_custkey") % 7 == F.col("b"), "left")
+    asked, automatic = 10.0 * (1 + F.col("c_custkey") % 3), F.col("c_custkey") % 4 != 0
+    seconds = policy.effective_seconds(asked, F.col("project"), F.col("detected"), F.col("own"), automatic)
+    return uploads.select("c_custkey", "project", "detected", seconds.alias("seconds"))
+
+
 @query("q_lcg", "WITH RECURSIVE l(k, v) AS (SELECT 0, CAST(20260921 AS BIGINT) UNION ALL SELECT k + 1, (1664525 * v + 1013904223) % 4294967296 FROM l WHERE k < 499) SELECT k, v, round(v / 4294967296.0, 6) AS u FROM l")
 def lcg(s: SparkSession, d: str) -> DataFrame:
     """A linear congruential series, folded in order within one row: products stay below 2^63."""

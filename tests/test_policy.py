@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from kilnworks.operators import policy
 
@@ -31,3 +32,13 @@ def test_candidates_run_out():
     for _ in range(4):
         used.append(policy.next_candidate((9, 9), bounds, used))
     assert len(set(used)) == 4 and used[0] == (3, 5) and policy.next_candidate((9, 9), bounds, used) is None
+
+
+def test_the_detected_scene_gives_the_period_across_scenes(spark):
+    rows = [
+        ("a", "b", 60.0, True, 60.0), ("a", "a", 60.0, True, 10.0), ("a", "b", 60.0, False, 10.0), ("", "b", 60.0, True, 10.0), ("a", None, 60.0, True, 10.0),
+        ("a", "b", None, True, 10.0), ("a", "b", float("nan"), True, 10.0), ("a", "b", float("inf"), True, 10.0), ("a", "b", 0.0, True, 10.0), ("a", "b", 60.0, None, 10.0),
+    ]
+    df = spark.createDataFrame(rows, "project string, detected string, own double, automatic boolean, want double")
+    found = policy.effective_seconds(F.lit(10.0), *map(F.col, ("project", "detected", "own", "automatic")))
+    assert [r[0] == r[1] for r in df.select(found, "want").collect()] == [True] * len(rows)
