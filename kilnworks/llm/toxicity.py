@@ -43,6 +43,9 @@ _LEET[[ord(c) for c in LEET]] = True
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _SYMBOL[128:] = 27
+#: (letter, symbol, cost) that a letter or sign of ASCII may stand for.
+_OPTIONS = {chr(c): [(chr(c), c - 96, 0.0)] for c in range(ord("a"), ord("z") + 1)}
+_OPTIONS |= {sign: [(x, ord(x) - 96, SUBSTITUTED + (0.0 if len(letters) < 3 else 1.5)) for x in letters] for sign, letters in LEET.items()}
 _MARKS = re.compile(f"[^a-z\x80-\xff{re.escape(''.join(LEET))}]+")
 #: By code point, what folded() makes of a character: 0 leaves it, _GONE takes it away, any other byte takes its place.
 _UNKNOWN, _GONE = 255, 254
@@ -118,33 +121,40 @@ class CharacterModel:
         """
         if (word, edges) in self.known:
             return self.known[word, edges]
+        table, last = self.table, len(word) - 1
         # state: (letter before last, last letter) -> (cost, letters)
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        runs = [len(m.group()) for m in re.finditer(r"(.)\1*", word, re.S) for _ in m.group()]
+        runs = [len(m.group()) for m in re.finditer(r"(.)\1*", word, re.S) for _ in m.group()] if re.search(r"(.)\1\1", word, re.S) else [1] * len(word)
         for i, c in enumerate(word):
+            plain = "a" <= c <= "z"
+            options = _OPTIONS.get(c) or ([(c, 27, 0.0)] if c >= "\x80" else [])
+            if len(states) == 1 and runs[i] < 3 and not edges and (plain or c >= "\x80"):
+                # nothing to choose: the one state goes on by the letter itself
+                ((a, b), (cost, text)), (letter, s, _) = *states.items(), *options
+                states = {(b, s): (cost + table[a][b][s], text + letter)}
+                continue
             after: dict[tuple[int, int], tuple[float, str]] = {}
             if edges and i:
-                ended = min(((cost + self.table[a][b][0], text) for (a, b), (cost, text) in states.items() if b), default=None)
+                ended = min(((cost + table[a][b][0], text) for (a, b), (cost, text) in states.items() if b), default=None)
                 if ended and ((0, 0) not in states or ended < states[0, 0]):
                     states[0, 0] = ended
-
-            def offer(key: tuple[int, int], cost: float, text: str) -> None:
-                if key not in after or (cost, text) < after[key]:
-                    after[key] = (cost, text)
-
-            plain = "a" <= c <= "z"
-            options = [(c, 0.0)] if plain or c >= "\x80" else [(x, SUBSTITUTED + (0.0 if len(LEET[c]) < 3 else 1.5)) for x in LEET.get(c, "")]
+            sign = c in LEET
+            left_out = None
+            if not plain and c < "\x80":
+                inner = 0 < i < last
+                left_out = SPACED if inner and not sign else DROPPED_SIGN if inner or c.isdigit() or c in "@$" else DROPPED_END
             for (a, b), (cost, text) in states.items():
-                for letter, paid in options:
-                    s = ord(letter) - 96 if letter < "\x80" else 27
-                    offer((b, s), cost + paid + self.table[a][b][s], text + letter)
-                if i and b and runs[i] > 2 and ((plain and text[-1:] == c) or (not plain and (c in LEET and text[-1:] in LEET[c]))):
-                    offer((a, b), cost + REPEATED, text)  # written again; twice is meant
-                if not plain and c < "\x80":
-                    inner = 0 < i < len(word) - 1
-                    offer((a, b), cost + (SPACED if inner and c not in LEET else DROPPED_SIGN if inner or c.isdigit() or c in "@$" else DROPPED_END), text)
+                row = table[a][b]
+                offers = [((b, s), (cost + paid + row[s], text + letter)) for letter, s, paid in options]
+                if i and b and runs[i] > 2 and ((plain and text[-1:] == c) or (sign and text[-1:] in LEET[c])):
+                    offers.append(((a, b), (cost + REPEATED, text)))  # written again; twice is meant
+                if left_out is not None:
+                    offers.append(((a, b), (cost + left_out, text)))
+                for key, offer in offers:
+                    if key not in after or offer < after[key]:
+                        after[key] = offer
             states = after
-        best = min(((cost + self.table[a][b][0], text) for (a, b), (cost, text) in states.items()), default=(0.0, ""))[1]
+        best = min(((cost + table[a][b][0], text) for (a, b), (cost, text) in states.items()), default=(0.0, ""))[1]
         if len(self.known) > 200_000:
             self.known.clear()
         self.known[word, edges] = best
@@ -173,12 +183,12 @@ class CharacterModel:
         A character written more than four times in a long one counts four times. Words that a piece's ends cut are
         left to its neighbours.
         """
+        if (word, edges) in self.read:
+            return self.read[word, edges]
         text = word.decode("latin-1")
         if len(text) > LONGEST:
             text = re.sub(r"(.)\1{4,}", r"\1\1\1\1", text, flags=re.S)
         long = len(text) > LONGEST
-        if (word, edges) in self.read:
-            return self.read[word, edges]
         found = [] if long else [self.decode(text.replace(" ", ""))]
         for start in range(0, max(1, len(text) - LONGEST), LONGEST) if edges or long else ():
             stop = start + 2 * LONGEST
@@ -188,7 +198,7 @@ class CharacterModel:
                 found += [letters[i:j] for i, j in self.words_in(letters) if not (cut[0] and i == 0 or cut[1] and j == len(letters))]
         if edges:  # marks may part words too
             found += [self.decode(w) for w in _MARKS.split(text) if 3 <= len(w) <= LONGEST and w != text and any(c in LEET for c in w)]
-        if len(self.read) > 50_000:
+        if len(self.read) > 200_000:
             self.read.clear()
         out = [w.encode("latin-1") for w in dict.fromkeys(found) if w]
         if not long:
@@ -255,7 +265,9 @@ def suspicious(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, rows: np
     marks = n - plain - odd - broad
     word = (plain >= 1) & (((odd >= 1) & (has + odd >= 3)) | ((has >= 3) & thrice) | ((has + odd >= 3) & (marks >= 2) & (marks >= has + odd - 2) & (trimmed > 0)))
     # marks that only close a word part nothing
-    out = [(int(rows[i]), data[starts[i] : stops[i]].tobytes(), bool(marks[i] > (not (_LETTER | _LEET)[data[last[i]]]))) for i in np.flatnonzero(word)]
+    several = marks > ~(_LETTER | _LEET)[data[last]]
+    held = data.tobytes()
+    out = [(row, held[i:j], edges) for row, i, j, edges in zip(*(x[word].tolist() for x in (rows, starts, stops, several)))]
     single = (has + odd == 1) & (marks == 0) & (n == plain + odd + broad)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
     for a, b in zip(edge[::2], edge[1::2]):
