@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_KEPT: dict[tuple[str, object], object] = {}
+
+
+def keep_in_worker(kind: str, key: object, make: Callable[[], object]) -> object:
+    """What make() gives for this key, kept in the worker for its next tasks until anything else is kept.
+
+    Workers outlive stages, so the caches of one operator must not lie beside those of the next.
+    """
+    if (kind, key) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[kind, key] = make()
+    return _KEPT[kind, key]
+
+
+def keep_nothing() -> None:
+    """Give up what this worker keeps, before work that needs its memory."""
+    _KEPT.clear()
+
+
 def small(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`: what is made of a batch stays small."""
     for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import U, mix, small, span_hashes, text_slices, word_spans
+from ._bytes import U, keep_nothing, mix, small, span_hashes, text_slices, word_spans
 from ._common import hottest, join_spread, materialize, release
 from ._common import small as bounded
 from .components import components
@@ -178,6 +178,7 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, group: np.
 
 def _signatures(words: int, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in small(batches):
             sizes, first, second, keys = [], [], [], []
             known = batch.column(0).is_valid().to_pylist()

@@ -14,13 +14,13 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ._bytes import keep_in_worker
+
 #: Tokenized words that a Python worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 1_000_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_cost", pa.float64())])
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double"
 
-_TOKENIZERS: dict[str, "WordTokens"] = {}
-
 
 def works_by_word(path: str) -> bool:
     """Whether the tokenizer of this file lower-cases, cuts at every blank and drops it, so that words can be taken one by one."""
@@ -69,9 +69,7 @@ class WordTokens(dict):
 
 
 def word_tokens(path: str) -> WordTokens:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokens(path)
-    return _TOKENIZERS[path]
+    return keep_in_worker("tokenizer", path, lambda: WordTokens(path))
 
 
 def attention_cost(length: int, linear: float, quadratic: float) -> float:

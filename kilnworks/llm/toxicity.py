@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U, mix, small, span_hashes, text_slices, word_spans
+from ._bytes import U, keep_in_worker, mix, small, span_hashes, text_slices, word_spans
 from ._common import materialize, release
 from .jaccard import shingle_sets
 
@@ -206,15 +206,9 @@ class CharacterModel:
         return out
 
 
-_SHARED: dict[bytes, CharacterModel] = {}
-
-
 def shared_model(counts: bytes) -> CharacterModel:
     """The model of these counts: one in a worker, whatever tasks it runs, so that words it has decoded stay known."""
-    if counts not in _SHARED:
-        _SHARED.clear()
-        _SHARED[counts] = CharacterModel(np.frombuffer(counts, np.int64))
-    return _SHARED[counts]
+    return keep_in_worker("characters", counts, lambda: CharacterModel(np.frombuffer(counts, np.int64)))
 
 
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
