@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _common, ann, jaccard, licenses, lines, mixing, packing, substrings, topk, toxicity, warc
+from . import _common, ann, bpe, divergence, jaccard, licenses, lines, mixing, packing, resampling, substrings, topk, toxicity, warc
 from ._common import table
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_topk, op2_mixing, op3_substring_dedup, op4_ann, op5_jaccard_join, op6_packing, op7_warc, op8_line_dedup, op9_licenses, op10_toxicity)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(BYTE_TOKENIZER)
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    texts = bpe.decode(coded, path)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("text")).alias("decoded_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_topk, op2_mixing, op3_substring_dedup, op4_ann, op5_jaccard_join, op6_packing, op7_warc, op8_line_dedup, op9_licenses, op10_toxicity, op11_divergence, op12_bpe, op13_resampling)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_topk": """
@@ -84,4 +100,18 @@ ORACLE_SQL: dict[str, str] = {
         d AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT cut), '') AS text, count(*) AS n_lines, count(*) FILTER (cut) AS n_removed FROM k GROUP BY doc_id)
         SELECT d.* FROM d
         UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL""",
+    "op11_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+        o AS (SELECT row, lang, source, unnest(words) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS lang_count FROM o GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+        c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v, sum(lang_count) AS n FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        t AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+        p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 * (coalesce(c.n, 0) + 1) AS HUGEINT) // (t.n + v.v) AS p, 1 + CAST(1000000000 * (k.lang_count + 1) AS HUGEINT) // (v.n + v.v) AS q
+              FROM t JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+        SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 200""",
 }
