@@ -2,7 +2,8 @@
 
 Every operator orders by an explicit column. `keys` name the series: rows of different series never meet, and Spark
 deals them to different tasks. One series without keys is ordered in one task, which is meant for frames that are
-already resampled; in_blocks() deals a longer one into blocks with the rows before them.
+already resampled; in_blocks() deals a longer one into blocks with the rows before them, and the module scan numbers
+its rows and segments block by block.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ EVENT_TYPES = ("view", "click", "error", "purchase", "signup")
 INPUTS = ("view", "click", "signup")
 DISTURBANCE = "error"
 OUTPUT = "purchase"
+#: Bins of a grid that are made from one row.
+GRID = 1 << 16
 
 
 def ordered(order: str, keys: Sequence[str] = ()) -> WindowSpec:
@@ -31,11 +34,13 @@ def resample_mean(events: DataFrame, seconds: int = 3600, types: Sequence[str] =
     """Means of each kind in right-closed bins labelled by their end, on a full grid from a series' first to its last bin.
 
     Columns: keys, h (number of the bin), rn (place from 0), one for each kind; empty bins are null. One shuffle by
-    bin with map-side sums.
+    bin with map-side sums; the grid is dealt out in stretches of GRID bins.
     """
     means = events.groupBy(*keys, bin_end(F.col(ts), seconds).alias("h")).agg(*[F.avg(F.when(F.col(kind) == t, F.col(value))).alias(t) for t in types])
-    grid = means.groupBy(*keys).agg(F.min("h").alias("a"), F.max("h").alias("b")).select(*keys, F.explode(F.sequence("a", "b")).alias("h"))
-    return grid.join(means, [*keys, "h"], "left").withColumn("rn", F.row_number().over(ordered("h", keys)) - 1)
+    ends = means.groupBy(*keys).agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    parts = ends.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a")) / GRID).cast("long"))).alias("part"))
+    grid = parts.select(*keys, "a", F.explode(F.sequence(F.col("a") + F.col("part") * GRID, F.least(F.col("b"), F.col("a") + F.col("part") * GRID + GRID - 1))).alias("h"))
+    return grid.join(means, [*keys, "h"], "left").select(*keys, "h", *types, (F.col("h") - F.col("a")).cast("int").alias("rn"))
 
 
 def first_of_duplicates(rows: DataFrame, ts: Sequence[str], tie: str) -> DataFrame:

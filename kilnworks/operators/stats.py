@@ -6,8 +6,11 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from kilnworks.functions.numeric import correlation
 
@@ -26,28 +29,76 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
-def lag_correlations(df: DataFrame, inputs: Sequence[str], output: str, lags: Sequence[int], order: str, keys: Sequence[str] = (), least: int = 20) -> DataFrame:
-    """input, lag, corr, pairs: of the output and the input `lag` rows before (after, for negative ones).
-
-    Lags times inputs are columns of one window and one aggregate; null with fewer than `least` pairs.
+def _lag_sums(rows: pa.Table, keys: Sequence[str], inputs: Sequence[str], output: str, order: str, lags: np.ndarray, block: int, centre: dict[str, tuple[float, float]], schema: pa.Schema) -> pa.Table:
+    """Sums over the pairs of one block: the output in the block's own rows, each input `lag` rows before. Nulls are masked, so counts are sums too."""
+    place = rows[order].to_numpy()
+    place, own = place - place.min(), place // block == rows["_block"][0].as_py()
+    size = 1 << int(place.max() + np.abs(lags).max() + 1).bit_length()
+
+    def spectra(column: str, some: np.ndarray | None = None) -> list[np.ndarray]:
+        mean, scale = centre[column]
+        x = (rows[column].cast(pa.float64()).to_numpy(zero_copy_only=False) - mean) / scale
+        known = np.isfinite(x) if some is None else np.isfinite(x) & some
+        out = np.zeros((3, size))
+        for row, values in zip(out, (known, np.where(known, x, 0), np.where(known, x * x, 0))):
+            row[place] = values
+        return list(np.fft.rfft(out))
+
+    one_y, y, yy = spectra(output, own)
+    wanted = {f.name: [] for f in schema}
+    for c in inputs:
+        one_x, x, xx = (np.conj(f) for f in spectra(c))
+        n, sx, sy, sxx, syy, sxy = np.fft.irfft([one_y * one_x, one_y * x, y * one_x, one_y * xx, yy * one_x, y * x], size)[:, lags]
+        n = np.rint(n)
+        for name, values in zip(("n", "sx", "sy", "sxx", "syy", "sxy"), (n, *(np.where(n > 0, s, 0.0) for s in (sx, sy, sxx, syy, sxy)))):
+            wanted[name].append(values)
+        wanted["input"] += [c] * len(lags)
+        wanted["lag"].append(lags)
+    for k in keys:
+        wanted[k] = pa.array([rows[k][0].as_py()] * (len(lags) * len(inputs)), schema.field(k).type)
+    return pa.table({k: np.concatenate(v) if isinstance(v, list) and isinstance(v[0], np.ndarray) else v for k, v in wanted.items()}, schema)
+
+
+def lag_correlations(df: DataFrame, inputs: Sequence[str], output: str, lags: Sequence[int], order: str, keys: Sequence[str] = (), least: int = 20, groups: Sequence[str] = (), block: int = 1 << 14) -> DataFrame:
+    """groups, input, lag, corr, pairs: of the output and the input `lag` rows before (after, for negative ones).
+
+    Pairs lie within one series of `keys` and `groups`; series of one group are taken together. order numbers the rows of
+    a series, a missing number is a row of nulls. corr is null with fewer than `least` pairs or where a side is constant.
+
+    Series are dealt into blocks of rows that bring the rows within reach of the lags along. A block's sums over all lags
+    come from Fourier transforms, once for each input, and are added up, so lags times inputs are rows and no task holds
+    more than a block. One more pass takes the columns' means, about which the sums are formed.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    shifted = {(c, k): (F.lag(c, k) if k >= 0 else F.lead(c, -k)).over(w) for c in inputs for k in lags}
-    rows = df.select(F.col(output).alias("_y"), *[x.alias(f"_{c}_{i}") for i, ((c, _), x) in enumerate(shifted.items())])
-    stats, out = [], []
-    for i, (c, k) in enumerate(shifted):
-        x, y = F.col(f"_{c}_{i}"), F.col("_y")
-        stats += [correlation(x, y).alias(f"r{i}"), F.count(F.when(y.isNotNull(), x)).alias(f"n{i}")]
-        out.append(F.struct(F.lit(c).alias("input"), F.lit(k).alias("lag"), F.when(F.col(f"n{i}") >= least, F.col(f"r{i}")).alias("corr"), F.col(f"n{i}").alias("pairs")))
-    return rows.agg(*stats).select(F.explode(F.array(*out)).alias("x")).select("x.*")
-
-
-def best_lags(found: DataFrame) -> DataFrame:
+    lags = np.array(sorted(set(lags)), np.int64)
+    names = list(dict.fromkeys([*inputs, output]))
+    finite = lambda c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double"))
+    row = df.agg(*[F.avg(finite(c)) for c in names], *[F.stddev_pop(finite(c)) for c in names]).first()
+    centre = {c: (row[i] or 0.0, row[len(names) + i] or 1.0) for i, c in enumerate(names)}
+    by = list(dict.fromkeys([*groups, *keys]))
+    at = F.col(order).cast("long")
+    reach = F.sequence(F.floor((at + F.lit(int(min(0, lags[0])))) / block).cast("long"), F.floor((at + F.lit(int(max(0, lags[-1])))) / block).cast("long"))
+    dealt = df.select(*by, at.alias(order), *[F.col(c).cast("double").alias(c) for c in names], F.explode(reach).alias("_block"))
+    schema = StructType([*(dealt.schema[g] for g in groups), StructField("input", StringType()), StructField("lag", LongType()), *(StructField(c, DoubleType()) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))])
+    arrow = to_arrow_schema(schema)
+
+    def sums(rows: pa.Table) -> pa.Table:
+        return _lag_sums(rows, groups, inputs, output, order, lags, block, centre, arrow)
+
+    parts = dealt.groupBy(*by, "_block").applyInArrow(sums, schema)
+    total = parts.groupBy(*groups, "input", "lag").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    spread = lambda s, ss: F.col("n") * F.col(ss) - F.col(s) * F.col(s)
+    differs = lambda s, ss: (spread(s, ss) > 1e-12 * F.col("n") * F.col("n")) & (spread(s, ss) > 1e-10 * F.col("n") * F.col(ss))
+    corr = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread("sx", "sxx") * spread("sy", "syy"))
+    defined = (F.col("n") >= least) & differs("sx", "sxx") & differs("sy", "syy")
+    return total.select(*groups, "input", F.col("lag").cast("int").alias("lag"), F.when(defined, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr))).alias("corr"), F.col("n").cast("long").alias("pairs"))
+
+
+def best_lags(found: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """For each input the lag of the largest absolute correlation, the smallest on ties, and whether it is the last that was tried."""
-    # twelve places: sums in another order make no difference
-    size = F.round(F.abs("corr"), 12)
+    # nine places: sums in another order make no difference
+    size = F.round(F.abs("corr"), 9)
     best = F.max(F.struct(size.alias("s"), (-F.abs("lag")).alias("l"), F.col("lag"), F.col("corr"), F.col("pairs")))
-    return found.filter("corr is not null").groupBy("input").agg(best.alias("b"), F.max(F.abs("lag")).alias("most")).select("input", F.col("b.lag").alias("delay"), F.col("b.corr").alias("corr"), F.abs("b.corr").alias("abs_corr"), F.col("b.pairs").alias("overlap"), (F.abs("b.lag") == F.col("most")).alias("boundary_hit"))
+    return found.filter("corr is not null").groupBy(*groups, "input").agg(best.alias("b"), F.max(F.abs("lag")).alias("most")).select(*groups, "input", F.col("b.lag").alias("delay"), F.col("b.corr").alias("corr"), F.abs("b.corr").alias("abs_corr"), F.col("b.pairs").alias("overlap"), (F.abs("b.lag") == F.col("most")).alias("boundary_hit"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:

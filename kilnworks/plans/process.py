@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilnworks.operators import series, windows
+from kilnworks.operators import scan, series, windows
 from kilnworks.operators.series import DISTURBANCE, EVENT_TYPES, INPUTS, OUTPUT
 
 from .base import FILLED, P, filled, frame, long_form, long_sql, query, r6, sql_r6, table
@@ -101,7 +101,7 @@ def segmented(s: SparkSession, d: str) -> DataFrame:
 
 @query("q_segments", f"WITH {SEG} SELECT CAST(segment AS BIGINT) AS segment, min(h) AS start_h, max(h) AS end_h, count(*) AS n FROM S GROUP BY 1")
 def segment_runs(s: SparkSession, d: str) -> DataFrame:
-    return segmented(s, d).groupBy("segment").agg(F.min("h").alias("start_h"), F.max("h").alias("end_h"), F.count(F.lit(1)).alias("n")).withColumn("segment", F.col("segment").cast("long"))
+    return scan.segments(frame(s, d).filter(F.col(OUTPUT).isNotNull()), 1, "h", width=256).groupBy("segment").agg(F.min("h").alias("start_h"), F.max("h").alias("end_h"), F.count(F.lit(1)).alias("n")).withColumn("segment", F.col("segment").cast("long"))
 
 
 @query("q_segment_lag", f"WITH {SEG} SELECT h, round(lag(click, 3) OVER (PARTITION BY segment ORDER BY h), 6) AS click_3 FROM S")
@@ -111,7 +111,7 @@ def segment_lag(s: SparkSession, d: str) -> DataFrame:
 
 @query("q_segment_age", f"WITH {SEG} SELECT h, row_number() OVER (PARTITION BY segment ORDER BY h) - 1 AS age FROM S")
 def segment_age(s: SparkSession, d: str) -> DataFrame:
-    return segmented(s, d).select("h", (F.row_number().over(series.ordered("h", ["segment"])) - 1).cast("long").alias("age"))
+    return scan.segments(frame(s, d).filter(F.col(OUTPUT).isNotNull()), 1, "h", age="age", width=256).select("h", "age")
 
 
 @query("q_history_mask", f"WITH {SEG} SELECT h, sum(CASE WHEN view IS NOT NULL AND click IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY segment ORDER BY h ROWS 4 PRECEDING) = 5 AS whole FROM S")
@@ -135,7 +135,7 @@ SPLIT = P + ", C AS (SELECT *, count(*) OVER () AS n FROM P), T AS (SELECT *, CA
 
 @query("q_time_split", f"WITH {SPLIT} SELECT rn, part FROM T")
 def time_split(s: SparkSession, d: str) -> DataFrame:
-    return series.time_split(frame(s, d)).select(F.col("rn").cast("long").alias("rn"), "part")
+    return scan.time_split(frame(s, d), width=256).select(F.col("rn").cast("long").alias("rn"), "part")
 
 
 @query("q_split_manifest", f"WITH {SPLIT}, m AS (SELECT part, count(*) AS n, min(h) AS start_h, max(h) AS end_h FROM T GROUP BY 1) SELECT *, CAST(greatest(4, least(2 * 12 + 3, floor(least((SELECT n FROM m WHERE part = 'validation'), (SELECT n FROM m WHERE part = 'test')) / 3))) AS BIGINT) AS guard FROM m")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kilnworks.functions.numeric import clip, correlation, improvement_percent
-from kilnworks.operators import series, stats, windows
+from kilnworks.operators import scan, series, stats, windows
 from kilnworks.operators.series import EVENT_TYPES, INPUTS, OUTPUT
 
 from .base import P, corr_sql, frame, long_form, long_sql, query, r6, table
@@ -132,6 +132,16 @@ def xcorr(s: SparkSession, d: str) -> DataFrame:
     return stats.lag_correlations(frame(s, d), ["click"], OUTPUT, range(-6, 7), "rn").select("lag", *r6("corr"), "pairs")
 
 
+@query("q_xcorr_wide", f"""WITH m AS (SELECT CAST(ceil(epoch_us(ts) / 60000000.0) AS BIGINT) AS h, event_type, avg(value) AS v FROM events GROUP BY 1, 2),
+  p AS (SELECT x.event_type AS input, CAST(y.h - x.h AS INTEGER) AS lag, y.v AS y, x.v AS x FROM m y JOIN m x ON y.event_type = 'purchase' AND x.event_type IN {INPUTS} AND x.h BETWEEN y.h - 600 AND y.h)
+  SELECT input, lag, round({corr_sql('x', 'y')}, 6) AS corr, count(*) AS pairs FROM p GROUP BY 1, 2 HAVING count(*) >= 20""")
+def xcorr_wide(s: SparkSession, d: str) -> DataFrame:
+    """All lags up to ten hours, a minute apart."""
+    minutes = series.resample_mean(table(s, d, "events"), 60)
+    found = stats.lag_correlations(minutes, list(INPUTS), OUTPUT, range(601), "rn", block=8192)
+    return found.filter("pairs >= 20").select("input", "lag", *r6("corr"), "pairs")
+
+
 @query("q_delay_bidir", f"WITH {P}, c AS ({XC}) SELECT input, lag AS delay, round(corr, 6) AS corr FROM c WHERE pairs >= 20 AND corr IS NOT NULL QUALIFY row_number() OVER (PARTITION BY input ORDER BY round(abs(corr), 12) DESC, abs(lag), lag DESC) = 1")
 def delay_bidir(s: SparkSession, d: str) -> DataFrame:
     return stats.best_lags(stats.lag_correlations(frame(s, d), ["click"], OUTPUT, range(-6, 7), "rn")).select("input", "delay", *r6("corr"))
@@ -335,6 +345,13 @@ def best_so_far(s: SparkSession, d: str) -> DataFrame:
     return rounds(s, d).select("study", "round", F.max("score").over(by_round()).alias("best"))
 
 
+@query("q_running_max", "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place, max(value) OVER (ORDER BY event_id) AS best FROM events")
+def running_max(s: SparkSession, d: str) -> DataFrame:
+    """Over all events as one series, block by block."""
+    placed = scan.row_numbers(table(s, d, "events"), "event_id", width=2048)
+    return scan.running_max(placed, F.col("value"), "event_id", width=2048).select("event_id", "place", "best")
+
+
 @query("q_streak", f"WITH {RUNS}, b AS (SELECT study, round, score > coalesce(max(score) OVER (PARTITION BY study ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS better FROM r), g AS (SELECT *, sum(CASE WHEN better THEN 1 ELSE 0 END) OVER (PARTITION BY study ORDER BY round) AS island FROM b) SELECT study, round, row_number() OVER (PARTITION BY study, island ORDER BY round) - 1 AS streak FROM g")
 def streak(s: SparkSession, d: str) -> DataFrame:
     before = F.max("score").over(by_round().rowsBetween(Window.unboundedPreceding, -1))
