@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kilnworks.functions.numeric import clip
 from kilnworks.operators import identification as ident
-from kilnworks.operators import policy, series, stats
+from kilnworks.operators import policy, scan, search, series, stats
 from kilnworks.operators.series import INPUTS, OUTPUT
 
 from .base import FILLED, P, corr_sql, filled, frame, query, r6, table
@@ -127,6 +127,13 @@ def structure_search(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(rows, "family string, model_order int, alpha double, stable boolean, mse double, bic double, winner boolean")
 
 
+@query("q_real_search")
+def real_search(s: SparkSession, d: str) -> DataFrame:
+    """Every round of a search over the hourly frame, the winner's with its only look at the test rows."""
+    split = scan.time_split(filled(s, d), order="rn", width=256)
+    return search.rounds_frame(s, search.Search(split, INPUTS, OUTPUT).run(max_lag=24))
+
+
 @query("q_mimo_bank")
 def mimo_bank(s: SparkSession, d: str) -> DataFrame:
     """One model for each output over shared inputs; each one's covariances are one aggregate."""
