@@ -82,21 +82,32 @@ def _buckets(steps: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(steps, "<u2"), dtype=np.int64)
 
 
-def bucket_counts(features: DataFrame) -> np.ndarray:
-    """How many features of all rows, copies counted, fall into each bucket. One row for each bucket reaches the driver."""
+def bucket_counts(features: DataFrame, adders: int = 16) -> np.ndarray:
+    """How many features of all rows, copies counted, fall into each bucket.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task gives all its counts as one row, `adders` tasks add such rows up, and one row for each bucket reaches the driver.
+    """
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in small(batches, 256):
             copies = batch.column(0).to_numpy()
             for n in np.unique(copies).tolist():
                 same = batch.column(1).filter(pa.array(copies == n))
                 total += n * np.bincount(np.concatenate([_buckets(x.as_buffer()) for x in same]), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_buffer(), np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=COUNTS)
 
     found = np.zeros(BUCKETS, object)
-    for bucket, n in features.select("copies", "steps").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+    parts = features.select("copies", "steps").mapInArrow(count, "counts binary").repartition(adders)
+    for bucket, n in parts.mapInArrow(add, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
         found[bucket] = n
     return found
 
