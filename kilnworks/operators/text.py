@@ -2,34 +2,97 @@
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from kilnworks.sources.files import scratch_dir
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """All runs of n characters, none for shorter texts; the characters are taken apart once, so long texts cost in proportion."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1)))
-    return F.when(F.size(chars) >= n, F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))).otherwise(F.array().cast("array<string>"))
+    """All runs of n characters, none for shorter texts: what a look ahead captures at every place, so long texts cost in proportion.
+
+    The second look ahead leaves out places inside a character of two UTF-16 units.
+    """
+    found = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))(?![\x{{DC00}}-\x{{DFFF}}])"), 1)
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def row_counts(docs: DataFrame, terms: Column, keep: Sequence[str], batch_rows: int = 256) -> DataFrame:
+    """keep, most, term, tf: each row's terms with their numbers, counted inside the row: nothing is shuffled, and rows that share an id stay apart.
+
+    most is the row's greatest number; rows without terms give none. Batches of rows are counted by sorting codes of
+    their terms, in Arrow and numpy.
+    """
+    rows = docs.select(*keep, terms.alias("_terms"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("most", LongType()), StructField("term", StringType()), StructField("tf", LongType())])
+    names = [f.name for f in schema]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch_rows):
+                batch = whole.slice(at, batch_rows)
+                lists = batch.column(batch.num_columns - 1)
+                coded = lists.flatten().dictionary_encode()
+                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(lengths)), lengths)[code >= 0]
+                size = max(1, len(coded.dictionary))
+                keys, tf = np.unique(row * size + code[code >= 0], return_counts=True)
+                of = keys // size
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                most = np.repeat(np.maximum.reduceat(tf, first) if len(first) else tf, np.diff(np.append(first, len(of))))
+                kept = [c.take(pa.array(of)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(most.astype(np.int64)), coded.dictionary.take(pa.array(keys - of * size)).cast(pa.string()), pa.array(tf.astype(np.int64))], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+#: Terms that meet their document frequency by a broadcast, the most frequent ones: what the others have in one key is less than any of these.
+HOT_TERMS = 50_000
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_terms(counts: DataFrame, terms: DataFrame, by: str) -> DataFrame:
+    """counts with the columns of a written table of terms: the HOT_TERMS terms with the largest `by` are broadcast, the others shuffled."""
+    if terms.limit(HOT_TERMS + 1).count() <= HOT_TERMS:
+        return counts.join(F.broadcast(terms), "term")
+    hot = F.broadcast(terms.orderBy(F.desc(by), "term").limit(HOT_TERMS))  # HOT_TERMS rows
+    return counts.join(hot, "term").unionByName(counts.join(hot.select("term"), "term", "left_anti").join(terms, "term"))
 
 
-def term_counts(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """id, term, tf."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def tf_idf(counts: DataFrame, docs: int) -> DataFrame:
+    """id, term, weight of counts (id, most, term, tf): augmented frequency by smooth inverse document frequency. Document frequencies come from a map-side aggregate; rows are documents."""
+    df = written(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    return join_terms(counts, df, "df").select("id", "term", ((0.5 + 0.5 * F.col("tf") / F.col("most")) * (F.ln((F.lit(1.0) + docs) / (1 + F.col("df"))) + 1)).alias("weight"))
 
 
-def tf_idf(counts: DataFrame, docs: int | Column) -> DataFrame:
-    """id, term, weight: augmented frequency by smooth inverse document frequency; document frequencies come from a map-side aggregate."""
-    most = counts.groupBy("id").agg(F.max("tf").alias("most"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs if isinstance(docs, Column) else F.lit(docs)
-    joined = counts.join(df, "term").join(most, "id")
-    return joined.select("id", "term", ((0.5 + 0.5 * F.col("tf") / F.col("most")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1)).alias("weight"))
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where it lies in fewer splits, as small files do; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ngram_counts(docs: DataFrame, text: Column, sizes: Sequence[int]) -> DataFrame:
+    """n, gram, times, docs: runs of n characters of all rows, how often they stand and in how many rows. Each row is taken apart by itself and counted map-side."""
+    grams = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), char_ngrams(text, n).alias("grams")) for n in sizes])
+    each = spread(docs).select(F.inline(grams))
+    once = lambda g, times, rows: each.select("n", F.explode(g).alias("gram"), F.lit(times).cast("long").alias("times"), F.lit(rows).cast("long").alias("docs"))
+    both = once(F.col("grams"), 1, 0).unionByName(once(F.array_distinct("grams"), 0, 1))
+    return both.groupBy("n", "gram").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs"))
 
 
 def centroids(weights: DataFrame, labels: DataFrame) -> DataFrame:
@@ -78,6 +141,76 @@ def softmax_gate(scores: DataFrame, key: str, label: str = "label", score: str =
     return sums.select(key, F.col("best.l").alias("label"), p.alias("probability"), (p - second).alias("margin"), ((p >= probability) & (p - second >= margin)).alias("accepted"))
 
 
+#: Grams that a router's vocabulary holds at most: the bound of what is broadcast.
+VOCABULARY = 20_000
+
+
+def router_text(text: Column) -> Column:
+    """Lower case, with runs of white space as one blank and none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def router_grams(docs: DataFrame, text: Column, keep: Sequence[str]) -> DataFrame:
+    """keep, most, term, tf of the runs of two to four characters of each row."""
+    rows = docs.select(*keep, router_text(text).alias("_text"))
+    return row_counts(rows, F.flatten(F.array(*[char_ngrams(F.col("_text"), n) for n in (2, 3, 4)])), keep)
+
+
+def fit_router(docs: DataFrame, text: str, label: str, least: int = 3, vocabulary: int = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """A sparse linear scorer, learnt by one aggregate over labelled rows: (term, idf, weights) and (label, place, intercept).
+
+    The vocabulary holds the grams of the most rows, `least` at least and `vocabulary` at most. weights has for each label,
+    in order, the logarithm of the gram's smoothed share of the label's grams; the intercept is that of the label's share
+    of rows. Labels are few: they are columns of one aggregate.
+    """
+    rows = spread(docs).filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    classes = [(r["label"], r["n"]) for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()]
+    total = sum(n for _, n in classes)
+    grams = router_grams(rows, F.col("text"), ["label"])
+    of = lambda name: F.sum(F.when(F.col("label") == name, F.col("tf")).otherwise(0))
+    terms = grams.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *[of(name).alias(f"_c{i}") for i, (name, _) in enumerate(classes)])
+    kept = terms.filter(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(vocabulary)
+    sums = kept.agg(F.count(F.lit(1)), *[F.sum(f"_c{i}") for i in range(len(classes))]).first()
+    weights = [F.ln((F.col(f"_c{i}") + 1.0) / float((sums[1 + i] or 0) + max(sums[0], 1))) for i in range(len(classes))]
+    model = kept.select("term", (F.ln((F.lit(1.0) + total) / (1 + F.col("df"))) + 1).alias("idf"), F.array(*weights).alias("weights"))
+    labels = [(name, i, math.log(n / total)) for i, (name, n) in enumerate(classes)]
+    return written(model, "router"), docs.sparkSession.createDataFrame(labels, StructType([StructField("label", docs.schema[label].dataType), StructField("place", IntegerType()), StructField("intercept", DoubleType())]))
+
+
+def route(docs: DataFrame, id_col: str, text: str, model: DataFrame, labels: DataFrame, scale: float = 1.0, probability: float = 0.5, margin: float = 0.1, coverage: float = 0.5, none: str = "__none__") -> DataFrame:
+    """id, label, probability, margin, coverage, accepted and reason of every row.
+
+    A row's vector is (1 + ln tf) times idf over the grams that the vocabulary holds, of unit length; logits are
+    intercepts plus `scale` times its product with the weights. Three gates: the best label's probability, its lead over
+    the next, and the share of the row's different bigrams that the vocabulary knows. Ties go to the smaller label. Rows
+    without grams are scored by the intercepts alone and have no coverage. The vocabulary is broadcast; a row's grams are
+    summed up in the task that made them.
+    """
+    names = [(r["label"], r["intercept"]) for r in labels.orderBy("place").collect()]
+    rows = spread(docs).select(F.col(id_col).alias("id"), F.col(text).alias("_t"), F.monotonically_increasing_id().alias("_row"))
+    grams = router_grams(rows, F.col("_t"), ["_row", "id"])
+    hit = grams.join(F.broadcast(model), "term", "left")
+    x = (1 + F.ln("tf")) * F.col("idf")
+    pair = F.char_length("term") == 2
+    known = hit.groupBy("_row", "id").agg(F.sum(x * x).alias("_xx"), *[F.sum(x * F.get("weights", F.lit(i))).alias(f"_x{i}") for i in range(len(names))], (F.sum(F.when(pair & F.col("idf").isNotNull(), 1).otherwise(0)) / F.nullif(F.sum(F.when(pair, 1).otherwise(0)), F.lit(0))).alias("coverage"))
+    bare = rows.filter(F.char_length(router_text(F.coalesce(F.col("_t"), F.lit("")))) < 2).select("_row", "id")
+    scored = known.unionByName(bare, allowMissingColumns=True)
+    length = F.coalesce(F.nullif(F.sqrt("_xx"), F.lit(0.0)), F.lit(1.0))
+    logits = [F.lit(float(b)) + scale * F.coalesce(F.col(f"_x{i}"), F.lit(0.0)) / length for i, (_, b) in enumerate(names)]
+    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
+    scored = scored.withColumn("_top", top)
+    powers = [F.exp(z - F.col("_top")) for z in logits]
+    kind = labels.schema["label"].dataType
+    ranked = F.array_sort(F.array(*[F.struct(F.round(-p, 12).alias("p"), F.lit(name).cast(kind).alias("label"), p.alias("e")) for p, (name, _) in zip(powers, names)]))
+    scored = scored.withColumn("_z", sum(powers[1:], powers[0])).withColumn("_r", ranked)
+    p = F.col("_r")[0]["e"] / F.col("_z")
+    lead = p - F.coalesce(F.get("_r", F.lit(1))["e"] / F.col("_z"), F.lit(0.0))
+    label, covered = F.col("_r")[0]["label"], F.coalesce(F.col("coverage"), F.lit(0.0))
+    out = label.cast("string") == none
+    accepted = ~out & (p >= probability) & (lead >= margin) & (covered >= coverage)
+    return scored.select("id", label.alias("label"), p.alias("probability"), lead.alias("margin"), covered.alias("coverage"), accepted.alias("accepted"), F.when(accepted, "accepted").when(out, "out_of_scope").otherwise("low_confidence").alias("reason"))
+
+
 def bigram_cosine(a: Column, b: Column) -> Column:
     """Cosine of the counts of two strings' bigrams; 0 where either has none."""
     x, y = char_ngrams(a, 2), char_ngrams(b, 2)

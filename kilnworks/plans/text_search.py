@@ -15,28 +15,21 @@ WEIGHTS = ITEMS + ", m AS (SELECT id, max(tf) AS most FROM c GROUP BY 1), d AS (
 
 
 def words(column: str = "text"):
-    return F.filter(F.split(F.lower(F.regexp_replace(column, "[^A-Za-z ]+", " ")), " "), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.regexp_replace(column, "[^A-Za-z ]+", " ")), " "), "")
 
 
 def weights(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents")
-    return text.tf_idf(text.term_counts(docs, "doc_id", words()), docs.count())
+    docs = text.spread(table(s, d, "documents")).filter("text is not null").select(F.col("doc_id").alias("id"), words().alias("words"))
+    return text.tf_idf(text.row_counts(docs, F.col("words"), ["id"]), table(s, d, "documents").count())
 
 
 GRAMS = " UNION ALL ".join(f"SELECT id, {n} AS n, unnest(list_transform(range(1, len(c) - {n} + 2), lambda i: {' || '.join(f'c[i + {k}]' for k in range(n))})) AS gram FROM t WHERE len(c) >= {n}" for n in (1, 2, 3))
 
 
-@query("q_ngrams", f"WITH t AS (SELECT doc_id AS id, string_split(lower(text), '') AS c FROM documents), g AS ({GRAMS}) SELECT CAST(n AS BIGINT) AS n, gram, count(*) AS times, count(DISTINCT id) AS docs FROM g GROUP BY 1, 2")
+@query("q_ngrams", f"WITH t AS (SELECT row_number() OVER () AS id, string_split(lower(text), '') AS c FROM documents), g AS ({GRAMS}) SELECT CAST(n AS BIGINT) AS n, gram, count(*) AS times, count(DISTINCT id) AS docs FROM g GROUP BY 1, 2")
 def ngrams(s: SparkSession, d: str) -> DataFrame:
     """Runs of one to three characters of all documents: how often they stand, and in how many."""
-    docs = table(s, d, "documents").select("doc_id", F.filter(F.split(F.lower("text"), ""), lambda c: c != "").alias("chars"))
-    each = docs.select("doc_id", F.posexplode("chars").alias("i", "a")).withColumn("i", F.col("i") + 1)
-    w = Window.partitionBy("doc_id").orderBy("i")
-    grams = each.withColumn("b", F.lead("a").over(w)).withColumn("c", F.lead("a", 2).over(w))
-    runs = F.array(F.struct(F.lit(1).cast("long").alias("n"), F.col("a").alias("gram")), F.struct(F.lit(2).cast("long").alias("n"), F.concat("a", "b").alias("gram")), F.struct(F.lit(3).cast("long").alias("n"), F.concat("a", "b", "c").alias("gram")))
-    # counted within each document first, so a document is one row for each of its grams
-    own = grams.select("doc_id", F.inline(runs)).filter("gram is not null").groupBy("doc_id", "n", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    return own.groupBy("n", "gram").agg(F.sum("tf").alias("times"), F.count(F.lit(1)).alias("docs"))
+    return text.ngram_counts(table(s, d, "documents"), F.lower("text"), (1, 2, 3))
 
 
 @query("q_tfidf", f"WITH {WEIGHTS} SELECT id, term, round(weight, 6) AS weight FROM t")
@@ -52,6 +45,31 @@ def centroid(s: SparkSession, d: str) -> DataFrame:
     return text.cosine(w, text.centroids(w, labels)).select("id", "label", *r6("score"))
 
 
+RGRAMS = " UNION ALL ".join(f"SELECT id, label, unnest(list_transform(range(1, length(t) - {n} + 2), lambda i: substr(t, i, {n}))) AS g FROM x WHERE length(t) >= {n}" for n in (2, 3, 4))
+CLASSES = "('0-0', 0), ('0-1', 1), ('1-0', 2), ('1-1', 3)"
+
+
+@query("q_linear_router", rf"""WITH y AS (SELECT doc_id, min(quality || '-' || toxic) AS label FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
+  x AS (SELECT doc_id AS id, label, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents LEFT JOIN y USING (doc_id)), g AS ({RGRAMS}), c AS (SELECT id, label, g, count(*) AS tf FROM g GROUP BY ALL),
+  k AS (SELECT * FROM (VALUES {CLASSES}) t(label, place)), n AS (SELECT label, count(*) AS n FROM x WHERE label IS NOT NULL GROUP BY 1), nn AS (SELECT sum(n) AS total FROM n),
+  v AS (SELECT g, count(*) AS df FROM c WHERE label IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 ORDER BY df DESC, g LIMIT 20000),
+  m AS (SELECT v.g, k.label, coalesce(sum(tf), 0) AS n FROM v CROSS JOIN k LEFT JOIN c ON c.g = v.g AND c.label = k.label GROUP BY ALL), mm AS (SELECT label, sum(n) AS n FROM m GROUP BY 1),
+  w AS (SELECT m.g, m.label, ln((m.n + 1.0) / (mm.n + (SELECT count(*) FROM v))) AS w FROM m JOIN mm USING (label)),
+  f AS (SELECT c.id, c.g, (1 + ln(tf)) * (ln((1.0 + total) / (1 + df)) + 1) AS x FROM c JOIN v USING (g), nn), l AS (SELECT id, sqrt(sum(x * x)) AS len FROM f GROUP BY 1),
+  d AS (SELECT f.id, w.label, sum(f.x * w.w) / any_value(l.len) AS dot FROM f JOIN w USING (g) JOIN l ON l.id = f.id GROUP BY ALL),
+  z AS (SELECT x.id, n.label, ln(n.n / total) + 40 * coalesce(d.dot, 0) AS z FROM x CROSS JOIN n CROSS JOIN nn LEFT JOIN d ON d.id = x.id AND d.label = n.label),
+  e AS (SELECT id, label, exp(z - max(z) OVER (PARTITION BY id)) AS e FROM z), r AS (SELECT id, sum(e) AS s, list((-round(e, 12), label, e) ORDER BY -round(e, 12), label) AS l FROM e GROUP BY 1),
+  b AS (SELECT c.id, sum(CASE WHEN v.g IS NOT NULL THEN 1 ELSE 0 END) / count(*) AS coverage FROM c LEFT JOIN v USING (g) WHERE length(c.g) = 2 GROUP BY 1),
+  o AS (SELECT r.id, l[1][2] AS label, l[1][3] / s AS p, l[1][3] / s - l[2][3] / s AS m, coalesce(b.coverage, 0) AS coverage FROM r LEFT JOIN b USING (id))
+  SELECT id, label, round(p, 6) AS probability, round(m, 6) AS margin, round(CAST(coverage AS DOUBLE), 6) AS coverage, p >= .5 AND m >= .1 AND coverage >= .5 AS accepted, CASE WHEN p >= .5 AND m >= .1 AND coverage >= .5 THEN 'accepted' ELSE 'low_confidence' END AS reason FROM o""")
+def linear_router(s: SparkSession, d: str) -> DataFrame:
+    """All documents by a scorer learnt from the labelled ones; a class is a quality and a toxicity."""
+    labels = table(s, d, "labels").filter("quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(F.concat_ws("-", "quality", "toxic")).alias("label"))
+    docs = table(s, d, "documents")
+    model, classes = text.fit_router(docs.join(labels, "doc_id").select("doc_id", "text", F.col("label").alias("class")), "text", "class")
+    return text.route(docs, "doc_id", "text", model, classes, scale=40).select("id", "label", *r6("probability", "margin", "coverage"), "accepted", "reason")
+
+
 PROTO = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id AS pid, label, e FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5)"
 SCORED = PROTO + ", x AS (SELECT v.vec_id, p.label, max(list_cosine_similarity(v.e, p.e)) AS score FROM v, p WHERE v.vec_id <> p.pid GROUP BY 1, 2)"
 
