@@ -147,3 +147,37 @@ def regression_metrics(y: Column, p: Column, parameters: int) -> dict[str, Colum
         "n": n, "sse": sse, "mse": sse / n, "rmse": F.sqrt(sse / n), "mae": F.avg(F.abs(e)), "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / F.nullif(n - k - 1, F.lit(0)),
         "fpe": sse / n * (n + k) / F.nullif(n - k, F.lit(0)), "aic": n * log + 2 * k, "bic": n * log + k * F.ln(n),
     }
+
+
+def correlated_groups(corr: np.ndarray, names: Sequence[str], strong: float = 0.9) -> list[list[str]]:
+    """Groups of names that strongly correlated pairs connect, by union-find; names and groups in the order given, single ones left out."""
+    parent = list(range(len(names)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, j in combinations(range(len(names)), 2):
+        if abs(corr[i, j]) >= strong:
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    groups: dict[int, list[str]] = {}
+    for i, name in enumerate(names):
+        groups.setdefault(find(i), []).append(name)
+    return [g for g in groups.values() if len(g) > 1]
+
+
+def merge_groups(df: DataFrame, groups: Sequence[Sequence[str]], prefix: str = "merged") -> DataFrame:
+    """df with a column <prefix>_1, <prefix>_2, ... for each group: the mean of its columns' z-scores, of those that are measured and not constant.
+
+    Deviations are those of all rows (n, not n - 1). One aggregate for all columns, then one select.
+    """
+    columns = list(dict.fromkeys(c for g in groups for c in g))
+    if not columns:
+        return df
+    row = df.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
+    z = {c: (F.col(c) - F.lit(row[i])) / F.lit(row[len(columns) + i]) if row[len(columns) + i] else F.lit(None).cast("double") for i, c in enumerate(columns)}
+    total = lambda xs: sum(xs[1:], xs[0])
+    mean = lambda g: total([F.coalesce(z[c], F.lit(0.0)) for c in g]) / F.nullif(total([z[c].isNotNull().cast("int") for c in g]), F.lit(0))
+    return df.withColumns({f"{prefix}_{i + 1}": mean(g) for i, g in enumerate(groups)})

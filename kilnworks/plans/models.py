@@ -154,6 +154,9 @@ def legacy_model(s: SparkSession, d: str) -> DataFrame:
     delays = {r["input"]: max(0, r["delay"]) for r in stats.best_lags(stats.lag_correlations(df, list(INPUTS), OUTPUT, range(-6, 7), "rn")).collect()}  # a row for each input
     shifted = df.withColumns({f"{c}_aligned": series.lagged(c, k, keys=()) for c, k in delays.items()})
     names = [f"{c}_aligned" for c in delays]
+    groups = stats.correlated_groups(stats.correlation_matrix(shifted, names), names)
+    shifted, inside = stats.merge_groups(shifted, groups), {c for g in groups for c in g}
+    names = [n for n in names if n not in inside] + [f"merged_{i + 1}" for i in range(len(groups))]
     m = stats.correlation_matrix(shifted, [*names, OUTPUT])
     kept = [n for n, ok, _ in stats.recommend(m[:-1, :-1], m[-1, :-1], names) if ok]
     split = series.time_split(shifted, (0.7, 0.0))
@@ -162,27 +165,39 @@ def legacy_model(s: SparkSession, d: str) -> DataFrame:
     return split.filter("part = 'test'").agg(*[F.round(measures[k], 6).alias(k) for k in ("rmse", "mae", "r2")])
 
 
-#: A model of order 2 with two inputs, as a fit gives it.
-FITTED = [("click", 3, [0.5, -0.1], [0.7, 0.1]), ("view", 1, [0.2, 0.05], [0.7, 0.1])]
-CHANNEL = "C AS (SELECT * FROM (VALUES ('click', 3, .5::DOUBLE, -.1::DOUBLE), ('view', 1, .2::DOUBLE, .05::DOUBLE)) t(input, delay, b0, b1))"
+#: Inputs of the response models and their delays; each is fitted alone with the output's last value.
+CHANNEL_DELAYS = {"click": 2, "view": 1}
+CHANNEL = SEG + ", C AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS input, {k} AS delay, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS a, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b FROM (SELECT var_pop(y1) AS v1, var_pop(u) AS v2, covar_pop(y1, u) AS c12, covar_pop(y, y1) AS c1, covar_pop(y, u) AS c2, count(*) AS n FROM (SELECT purchase AS y, lag(purchase) OVER w AS y1, lag({c}, {k}) OVER w AS u FROM S WINDOW w AS (PARTITION BY segment ORDER BY h)) WHERE y IS NOT NULL AND y1 IS NOT NULL AND u IS NOT NULL) WHERE n >= 20"
+    for c, k in CHANNEL_DELAYS.items()) + ")"
 
 
-@query("q_step_response", f"""WITH RECURSIVE {CHANNEL}, Y AS (SELECT input, delay, b0, b1, 0 AS k, 0::DOUBLE AS i, 0::DOUBLE AS i1, 0::DOUBLE AS s, 0::DOUBLE AS s1 FROM C
-  UNION ALL SELECT input, delay, b0, b1, k + 1, .7 * i + .1 * i1 + CASE k + 1 - delay WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE 0 END, i,
-    .7 * s + .1 * s1 + CASE WHEN k + 1 >= delay THEN b0 ELSE 0 END + CASE WHEN k + 1 >= delay + 1 THEN b1 ELSE 0 END, s FROM Y WHERE k < 119)
-  SELECT input, k, round(i, 6) AS impulse, round(s, 6) AS response, round((b0 + b1) / (1 - .7 - .1), 6) AS dc_gain FROM Y""")
+def fitted_channels(s: SparkSession, d: str) -> DataFrame:
+    """Models of the hourly frame, a row for each input; inputs that cannot be fitted have none."""
+    df, rows = segmented(s, d), []
+    for c, delay in CHANNEL_DELAYS.items():
+        features = ident.lag_names(1, {c: delay}, OUTPUT)
+        names = [n for n, _, _ in features]
+        fit = ident.solve(*ident.gram(ident.feature_frame(df, features, "h"), names, OUTPUT))
+        if fit is not None:
+            rows.append((c, delay, [float(fit[2])], [float(fit[1])]))
+    return s.createDataFrame(rows, ident.CHANNELS)
+
+
+@query("q_step_response", f"""WITH {CHANNEL} SELECT input, CAST(k AS INTEGER) AS k, round(CASE WHEN k < delay THEN 0 ELSE b * a ** (k - delay) END, 6) AS impulse, round(CASE WHEN k < delay THEN 0 ELSE b * (1 - a ** (k - delay + 1)) / (1 - a) END, 6) AS response, round(b / (1 - a), 6) AS dc_gain FROM C, range(120) t(k)""")
 def step_response(s: SparkSession, d: str) -> DataFrame:
-    return ident.responses(s.createDataFrame(FITTED, ident.CHANNELS)).select("input", "k", *r6("impulse"), F.round("step", 6).alias("response"), *r6("dc_gain"))
+    """Of the fitted models; the SQL has the closed forms of order one."""
+    return ident.responses(fitted_channels(s, d)).select("input", "k", *r6("impulse"), F.round("step", 6).alias("response"), *r6("dc_gain"))
 
 
 @query("q_freq_response", f"""WITH {CHANNEL}, W AS (SELECT C.*, k, k * (pi() / 95) AS w FROM C, range(96) t(k)),
-  N AS (SELECT *, b0 * cos(w * delay) + b1 * cos(w * (delay + 1)) AS rn, -(b0 * sin(w * delay) + b1 * sin(w * (delay + 1))) AS jn, 1 - .7 * cos(w) - .1 * cos(w * 2) AS rd, .7 * sin(w) + .1 * sin(w * 2) AS jd FROM W),
+  N AS (SELECT *, b * cos(w * delay) AS rn, -(b * sin(w * delay)) AS jn, 1 - a * cos(w) AS rd, a * sin(w) AS jd FROM W),
   Q AS (SELECT *, (rn * rd + jn * jd) / (rd * rd + jd * jd) AS re, (jn * rd - rn * jd) / (rd * rd + jd * jd) AS im FROM N)
-  SELECT input, CAST(k AS INTEGER) AS k, round(w / (2 * pi() * 3600), 9) AS hz, round(20 * log10(greatest(sqrt(re * re + im * im), 1e-12)), 6) AS magnitude_db, round(re / sqrt(re * re + im * im), 4) AS phase_cos, round(im / sqrt(re * re + im * im), 4) + 0 AS phase_sin FROM Q""")
+  SELECT input, CAST(k AS INTEGER) AS k, round(w / (2 * pi() * 3600), 9) AS hz, round(20 * log10(greatest(sqrt(re * re + im * im), 1e-12)), 6) AS magnitude_db, round(re / sqrt(re * re + im * im), 4) + 0 AS phase_cos, round(im / sqrt(re * re + im * im), 4) + 0 AS phase_sin FROM Q""")
 def freq_response(s: SparkSession, d: str) -> DataFrame:
     """All points; the phase is compared by its cosine and sine, which have no edge at 180 degrees."""
-    f = ident.frequency_responses(s.createDataFrame(FITTED, ident.CHANNELS), 3600.0)
-    return f.select("input", "k", F.round("hz", 9).alias("hz"), *r6("magnitude_db"), F.round(F.cos(F.radians("phase")), 4).alias("phase_cos"), (F.round(F.sin(F.radians("phase")), 4) + 0).alias("phase_sin"))
+    f = ident.frequency_responses(fitted_channels(s, d), 3600.0)
+    return f.select("input", "k", F.round("hz", 9).alias("hz"), *r6("magnitude_db"), (F.round(F.cos(F.radians("phase")), 4) + 0).alias("phase_cos"), (F.round(F.sin(F.radians("phase")), 4) + 0).alias("phase_sin"))
 
 
 # search, gates and policies over runs: a day's line items stand for a candidate's evaluation
@@ -270,17 +285,3 @@ def cadence_override(s: SparkSession, d: str) -> DataFrame:
     asked, automatic = 10.0 * (1 + F.col("c_custkey") % 3), F.col("c_custkey") % 4 != 0
     seconds = policy.effective_seconds(asked, F.col("project"), F.col("detected"), F.col("own"), automatic)
     return uploads.select("c_custkey", "project", "detected", seconds.alias("seconds"))
-
-
-@query("q_lcg", "WITH RECURSIVE l(k, v) AS (SELECT 0, CAST(20260921 AS BIGINT) UNION ALL SELECT k + 1, (1664525 * v + 1013904223) % 4294967296 FROM l WHERE k < 499) SELECT k, v, round(v / 4294967296.0, 6) AS u FROM l")
-def lcg(s: SparkSession, d: str) -> DataFrame:
-    """A linear congruential series, folded in order within one row: products stay below 2^63."""
-    fold = F.expr("aggregate(sequence(1, 499), array(20260921L), (a, i) -> concat(a, array((1664525L * element_at(a, -1) + 1013904223L) % 4294967296L)))")
-    return s.range(1).select(F.posexplode(fold).alias("k", "v")).select("k", "v", F.round(F.col("v") / F.lit(4294967296.0), 6).alias("u"))
-
-
-@query("q_corr_by_part", f"WITH {P}, t AS (SELECT *, CASE WHEN rn < floor((SELECT count(*) FROM P) * .6) THEN 'train' WHEN rn < floor((SELECT count(*) FROM P) * .8) THEN 'validation' ELSE 'test' END AS part FROM P) SELECT part, round({corr_sql('view', 'purchase')}, 6) AS corr FROM t GROUP BY 1")
-def corr_by_part(s: SparkSession, d: str) -> DataFrame:
-    from kilnworks.functions.numeric import correlation
-
-    return series.time_split(frame(s, d)).groupBy("part").agg(F.round(correlation(F.col("view"), F.col(OUTPUT)), 6).alias("corr"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilnworks.operators import mapping
+from kilnworks.operators import mapping, names as naming
 
 from .base import query, r6, table
 
@@ -134,6 +134,56 @@ def alias_compact(s: SparkSession, d: str) -> DataFrame:
     return mapping.unique_alias(names(s, d).withColumn("k", compact("name")), aliases(s, d).withColumn("k", compact("alias")), "k").select("id", "standard")
 
 
+@query("q_fuzzy_match")
+def fuzzy_match(s: SparkSession, d: str) -> DataFrame:
+    """Every different name's best alias, whatever is exact or not."""
+    return naming.fuzzy_match(names(s, d), aliases(s, d)).select("name", "alias", *r6("score"))
+
+
+CASES = ", ".join(f"('{c}', '{p}')" for c, p in naming.CONCEPTS.items())
+NOISE = ", ".join(f"'{w}'" for w in naming.NOISE)
+
+
+def _name_features_sql(source: str) -> str:
+    """Features (name, term, tf) of the names of a relation."""
+    t = naming.TIMES
+    grams = " UNION ALL ".join(f"SELECT name, '{n}:' || unnest(list_transform(range(1, length(core) - {n} + 2), lambda i: substr(core, i, {n}))) AS term, 1 AS times FROM base WHERE length(core) >= {n}" for n in (1, 2, 3))
+    return f"""base AS (SELECT name, replace(lower(name), '_', ' ') AS low, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(lower(name), '{naming.SYSTEMS}', ' ', 'g'), '{naming.PLACES}', ' ', 'g'), '{naming.CHANNELS}', ' ', 'g'), '{naming.SEPARATORS}'), lambda x: x <> '' AND x NOT IN ({NOISE}) AND NOT regexp_full_match(x, '[0-9]+')), '') AS core FROM {source}),
+  cc AS (SELECT name, concept AS c FROM base JOIN (VALUES {CASES}) t(concept, pattern) ON regexp_matches(low, pattern)),
+  oo AS (SELECT name, CAST(CAST(regexp_extract(m, '([0-9]{{1,2}})', 1) AS INTEGER) AS VARCHAR) AS x FROM (SELECT name, unnest(regexp_extract_all(low, '{naming.ORDINAL}')) AS m FROM base)),
+  vv AS (SELECT name, regexp_extract(m, '([ab])', 1) AS x FROM (SELECT name, unnest(regexp_extract_all(low, '{naming.VARIANT}')) AS m FROM base)),
+  every AS (SELECT name, c FROM cc UNION ALL SELECT name, 'ordinal_' || x FROM oo UNION ALL SELECT name, 'variant_' || x FROM vv),
+  said AS ({grams} UNION ALL SELECT name, 'concept:' || c, {t['concept']} FROM cc UNION ALL SELECT name, 'ordinal:' || x, {t['ordinal']} FROM oo UNION ALL SELECT name, 'variant:' || x, {t['variant']} FROM vv
+    UNION ALL SELECT name, 'ordinal_pair:' || c || '+' || x, {t['ordinal_pair']} FROM cc JOIN oo USING (name) WHERE regexp_matches(c, '^(measure|position|direction)_')
+    UNION ALL SELECT name, 'variant_pair:' || c || '+' || x, {t['variant_pair']} FROM cc JOIN vv USING (name) WHERE regexp_matches(c, '^(measure|position)_')
+    UNION ALL SELECT a.name, 'concept_pair:' || a.c || '+' || b.c, {t['concept_pair']} FROM every a JOIN every b ON a.name = b.name AND a.c < b.c),
+  F AS (SELECT name, term, CAST(sum(times) AS BIGINT) AS tf FROM said GROUP BY 1, 2)"""
+
+
+LABELLED = "rec AS (SELECT p_name || '_' || p_type || CASE WHEN p_size % 5 = 0 THEN ' top temp ' || p_size ELSE '' END AS name, p_brand AS label, count(*) AS n FROM part GROUP BY 1, 2)"
+CHAR_MODEL = f"""{HEADERS}, {LABELLED}, allnames AS (SELECT name FROM rec UNION SELECT header FROM H), {_name_features_sql("allnames")},
+  tot AS (SELECT sum(n) AS total FROM rec), df AS (SELECT term, sum(n) AS df FROM F JOIN (SELECT name, sum(n) AS n FROM rec GROUP BY 1) USING (name) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6000),
+  idf AS (SELECT term, ln((1.0 + total) / (1 + df)) + 1 AS idf FROM df, tot), most AS (SELECT name, max(tf) AS most FROM F GROUP BY 1),
+  raw AS (SELECT F.name, F.term, (.5 + .5 * tf / most) * idf AS v FROM F JOIN idf USING (term) JOIN most USING (name)), vec AS (SELECT name, term, v / sqrt(sum(v * v) OVER (PARTITION BY name)) AS v FROM raw),
+  mean AS (SELECT label, term, sum(n * v) AS c FROM rec JOIN vec USING (name) GROUP BY 1, 2), cen AS (SELECT label, term, c / sqrt(sum(c * c) OVER (PARTITION BY label)) AS c FROM mean),
+  pro AS (SELECT label, min(rec.name) AS prototype FROM rec JOIN base USING (name) WHERE core <> '' GROUP BY label, core), q AS (SELECT DISTINCT header AS name FROM H),
+  sc AS (SELECT q.name, label, sum(v * c) AS s FROM q JOIN vec USING (name) JOIN cen USING (term) GROUP BY 1, 2),
+  sp AS (SELECT name, label, max(s) AS s FROM (SELECT q.name, pro.label, prototype, sum(a.v * b.v) AS s FROM q JOIN vec a ON a.name = q.name JOIN vec b ON a.term = b.term JOIN pro ON b.name = pro.prototype GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  al AS (SELECT name, label, greatest(sc.s, coalesce(sp.s, 0)) AS s FROM sc LEFT JOIN sp USING (name, label)), rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY round(s, 9) DESC, label) AS INTEGER) AS rank FROM al)"""
+
+
+def char_model(s: SparkSession, d: str) -> DataFrame:
+    """Names of parts, labelled with their brands, teach a model by which headers are judged."""
+    size = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit(" top temp "), F.col("p_size").cast("string"))).otherwise("")
+    records = table(s, d, "part").select(F.concat("p_name", F.lit("_"), "p_type", size).alias("name"), F.col("p_brand").alias("label"))
+    return naming.match_names(headers(s, d), "header", *naming.fit_names(records, "name", "label"))
+
+
+@query("q_char_model", f"WITH {CHAR_MODEL} SELECT name, label, round(s, 6) AS score, rank FROM rk WHERE rank <= 5")
+def char_model_query(s: SparkSession, d: str) -> DataFrame:
+    return char_model(s, d).select("name", "label", *r6("score"), "rank")
+
+
 CORE = "regexp_replace({}, '(^|_)(dcs|plc|scada|opc|tag|pv|av|val|value)(?=_|$)', '', 'g')"
 
 

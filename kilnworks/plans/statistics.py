@@ -215,11 +215,27 @@ def topk_features(s: SparkSession, d: str) -> DataFrame:
     return c.orderBy(F.round(F.abs("corr"), 9).desc(), "variable").limit(2).select("variable")
 
 
-@query("q_merge_group", f"WITH {P}, m AS (SELECT avg(view) AS a, stddev_samp(view) AS b, avg(click) AS c, stddev_samp(click) AS d FROM P) SELECT rn, round(((view - a) / nullif(b, 0) + (click - c) / nullif(d, 0)) / 2, 6) AS merged FROM P, m")
+@query("q_merge_group", f"WITH {P}, m AS (SELECT avg(view) AS a, stddev_pop(view) AS b, avg(click) AS c, stddev_pop(click) AS d FROM P) SELECT rn, round((SELECT avg(z) FROM (VALUES ((view - a) / nullif(b, 0)), ((click - c) / nullif(d, 0))) t(z)), 6) AS merged FROM P, m")
 def merge_group(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy()
-    z = lambda c: (F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_samp(c).over(w), F.lit(0.0))
-    return frame(s, d).select(F.col("rn").cast("long").alias("rn"), F.round((z("view") + z("click")) / 2, 6).alias("merged"))
+    return stats.merge_groups(frame(s, d), [["view", "click"]]).select(F.col("rn").cast("long").alias("rn"), F.round("merged_1", 6).alias("merged"))
+
+
+SALES = "l_quantity AS quantity, l_extendedprice AS price, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross, l_discount AS discount, -l_discount * 100 AS percent"
+SALE_COLUMNS = ("quantity", "price", "net", "gross", "discount", "percent")
+SALE_PAIRS = " UNION ALL ".join(f"SELECT {i} AS a, {j} AS b, corr({x}, {y}) AS r FROM S" for i, x in enumerate(SALE_COLUMNS) for j, y in enumerate(SALE_COLUMNS) if i < j)
+SALE_Z = " UNION ALL ".join(f"SELECT row, k, n, {i} AS c, ({x} - (SELECT avg({x}) FROM S)) / (SELECT stddev_pop({x}) FROM S) AS z FROM S" for i, x in enumerate(SALE_COLUMNS))
+
+
+@query("q_merge_groups", f"""WITH RECURSIVE S AS (SELECT row_number() OVER () AS row, l_orderkey AS k, l_linenumber AS n, {SALES} FROM lineitem), p AS (SELECT a, b FROM ({SALE_PAIRS}) WHERE abs(r) >= .9),
+  e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT a AS c, a AS m FROM e UNION SELECT r.c, e.b FROM r JOIN e ON e.a = r.m), g AS (SELECT c, min(m) AS g FROM r GROUP BY 1), Z AS ({SALE_Z})
+  SELECT k, n, 'merged_' || dense_rank() OVER (ORDER BY g) AS variable, round(v, 6) AS value FROM (SELECT row, any_value(k) AS k, any_value(n) AS n, g, avg(z) AS v FROM Z JOIN g USING (c) GROUP BY row, g)""")
+def merge_groups(s: SparkSession, d: str) -> DataFrame:
+    """Measures of sales that say the same become one each; which do is found from the data."""
+    price, off = F.col("l_extendedprice"), 1 - F.col("l_discount")
+    sales = table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("quantity"), price.alias("price"), (price * off).alias("net"), (price * off * (1 + F.col("l_tax"))).alias("gross"), F.col("l_discount").alias("discount"), (-F.col("l_discount") * 100).alias("percent"))
+    groups = stats.correlated_groups(stats.correlation_matrix(sales, SALE_COLUMNS), SALE_COLUMNS)
+    merged = stats.merge_groups(sales, groups)
+    return long_form(merged, [f"merged_{i + 1}" for i in range(len(groups))], ["k", "n"]).select("k", "n", "variable", *r6("value"))
 
 
 @query("q_input_filter", f"WITH {P}, v AS ({LONG}) SELECT variable, count(value) AS n, count(DISTINCT value) AS n_distinct, count(value) >= 20 AND count(DISTINCT value) >= 4 AND coalesce(stddev_samp(value) > 1e-12, false) AS usable FROM v GROUP BY 1")
