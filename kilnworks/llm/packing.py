@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from ._bytes import keep_in_worker
 
-#: Tokenized words that a Python worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+#: Bytes, about, of the tokenized words that a Python worker keeps, in each of two generations.
+CACHE_BYTES = 64 << 20
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_cost", pa.float64())])
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double"
 
@@ -40,7 +40,8 @@ class WordTokens(dict):
 
     Where the tokenizer drops white space and no rule of it reaches over a space (works_by_word), the ids of a text are
     those of its words in turn, each word tokenized once; else whole texts are tokenized. Special tokens' strings stay
-    inside one word.
+    inside one word. Words are kept in two generations of CACHE_BYTES: a full one becomes the old one, from which words
+    that come again are taken over.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,14 +50,22 @@ class WordTokens(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = works_by_word(path)
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
 
     def encoded(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        found = self.old.get(word)
+        if found is None:
+            found = self.encoded(word.decode())
+        if self.size > CACHE_BYTES:
+            self.old = dict(self)
             self.clear()
-        found = self[word] = self.encoded(word.decode())
+            self.size = 0
+        self[word] = found
+        self.size += 170 + len(word) + len(found)  # two objects and a slot of the table
         return found
 
     def ids(self, text: str) -> bytes:
