@@ -10,6 +10,7 @@ from kilnworks.operators import identification as ident
 from kilnworks.operators import policy, scan, search, series, stats
 from kilnworks.operators.series import INPUTS, OUTPUT
 
+from .process import artifact
 from .base import FILLED, P, corr_sql, filled, frame, query, r6, table
 
 SEG = P + """, O AS (SELECT * FROM P WHERE purchase IS NOT NULL), S AS (SELECT *, sum(CASE WHEN h - ph = 1 THEN 0 ELSE 1 END) OVER (ORDER BY h) AS segment FROM (SELECT *, lag(h) OVER (ORDER BY h) AS ph FROM O))"""
@@ -121,7 +122,7 @@ def pole1(s: SparkSession, d: str) -> DataFrame:
 
 @query("q_structure_search")
 def structure_search(s: SparkSession, d: str) -> DataFrame:
-    split = series.time_split(segmented(s, d), order="h")
+    split = series.time_split(artifact(s, d, "segments"), order="h")
     found = ident.search(split, OUTPUT, {"click": 2, "view": 1}, (1, 2, 3), (0.0, 1.0, 10.0), "h")
     rows = [(c["family"], c["order"], c["alpha"], c["stable"], round(float(c["mse"]), 6), round(c["bic"], 6), c["winner"]) for c in found]
     return s.createDataFrame(rows, "family string, model_order int, alpha double, stable boolean, mse double, bic double, winner boolean")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilnworks.operators import scan, series, windows
+from kilnworks.operators import registry, scan, series, windows
 from kilnworks.operators.series import DISTURBANCE, EVENT_TYPES, INPUTS, OUTPUT
 
 from .base import FILLED, P, filled, frame, long_form, long_sql, query, r6, sql_r6, table
@@ -76,8 +76,37 @@ N AS (SELECT h, rn, """ + ", ".join(f"{c}_bad, CASE WHEN NOT {c}_bad THEN {c} EN
 R AS (SELECT h, rn, """ + ", ".join(f"{c}_bad" for c in COLS) + ", error, purchase, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in INPUTS) + " FROM N WINDOW w AS (ORDER BY rn ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))"
 
 
+#: What is made of the events, step by step.
+ARTIFACTS = registry.Registry()
+
+
+@ARTIFACTS.operator("resample", {"events": ("ts", "event_type", "value")}, "process_frame", ("h", "rn", *COLS))
+def make_process_frame(events: DataFrame) -> DataFrame:
+    return series.resample_mean(events)
+
+
+@ARTIFACTS.operator("repair", {"process_frame": ("rn", *COLS)}, "repaired_frame", ("h", "rn", *COLS, *(f"{c}_bad" for c in COLS)))
+def make_repaired_frame(process_frame: DataFrame) -> DataFrame:
+    return series.repair(process_frame, BOUNDS, INPUTS)
+
+
+@ARTIFACTS.operator("score windows", {"repaired_frame": ("rn", *COLS)}, "window_scores", ("window_id", "start_rn", "end_rn", "score", "level"))
+def make_window_scores(repaired_frame: DataFrame) -> DataFrame:
+    return windows.score_windows(repaired_frame, INPUTS, OUTPUT, COLS, [f"{c}_bad" for c in COLS])
+
+
+@ARTIFACTS.operator("segment", {"process_frame": ("h", OUTPUT)}, "segments", ("h", "segment", *COLS))
+def make_segments(process_frame: DataFrame) -> DataFrame:
+    return series.segments(process_frame.filter(F.col(OUTPUT).isNotNull()), 1, "h")
+
+
+def artifact(s: SparkSession, d: str, name: str) -> DataFrame:
+    """An artifact made of the events, with whatever it needs on the way."""
+    return ARTIFACTS.run([name], {"events": table(s, d, "events")})[name]
+
+
 def repaired(s: SparkSession, d: str) -> DataFrame:
-    return series.repair(frame(s, d), BOUNDS, INPUTS)
+    return artifact(s, d, "repaired_frame")
 
 
 @query("q_clean_repair", f"WITH {REPAIRED} SELECT rn, {sql_r6(*COLS)}, {', '.join(c + '_bad' for c in COLS)} FROM R")
@@ -202,8 +231,7 @@ PARTS = ["input_change", "output_response", "completeness", "anomaly", "smoothne
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
-    clean = repaired(s, d)
-    return windows.score_windows(clean, INPUTS, OUTPUT, COLS, [f"{c}_bad" for c in COLS])
+    return artifact(s, d, "window_scores")
 
 
 @query("q_window_scores", f"WITH {SCORES} SELECT window_id, start_rn, end_rn, {sql_r6(*PARTS, 'score', 'snr_db')}, output_observations, level FROM L")

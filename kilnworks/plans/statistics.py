@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kilnworks.functions.numeric import clip, correlation, improvement_percent
-from kilnworks.operators import scan, series, stats, windows
+from kilnworks.operators import feedback, scan, series, stats, windows
 from kilnworks.operators.series import EVENT_TYPES, INPUTS, OUTPUT
 
 from .base import P, corr_sql, frame, long_form, long_sql, query, r6, table
@@ -428,6 +428,17 @@ def feedback_latest(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").withColumn("n", F.row_number().over(w)).filter("n <= 10").select(F.col("o_orderstatus").alias("status"), "o_orderkey")
 
 
+@query("q_feedback_log", """WITH RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS n, CASE event_type WHEN 'view' THEN 'submit' WHEN 'signup' THEN 'submit' WHEN 'click' THEN 'approve' WHEN 'error' THEN 'reject' ELSE 'revoke' END AS action FROM events),
+  z AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS action, 'none' AS before, 'none' AS after FROM (SELECT DISTINCT user_id FROM events)
+    UNION ALL SELECT e.user_id, e.n, e.event_id, e.action, z.after, CASE WHEN e.action = 'submit' AND z.after IN ('none', 'rejected') THEN 'pending' WHEN e.action = 'approve' AND z.after = 'pending' THEN 'approved' WHEN e.action = 'reject' AND z.after = 'pending' THEN 'rejected' WHEN e.action = 'revoke' AND z.after = 'approved' THEN 'rejected' ELSE z.after END FROM z JOIN e ON e.user_id = z.user_id AND e.n = z.n + 1)
+  SELECT event_id, user_id, action, before, after, CASE WHEN before <> after THEN 'applied' WHEN action = 'submit' OR (action = 'approve' AND after = 'approved') OR (action = 'reject' AND after = 'rejected') THEN 'unchanged' ELSE 'refused' END AS outcome FROM z WHERE n > 0""")
+def feedback_log(s: SparkSession, d: str) -> DataFrame:
+    """Events stand for steps of review, users for records."""
+    action = F.when(F.col("event_type").isin("view", "signup"), "submit").when(F.col("event_type") == "click", "approve").when(F.col("event_type") == "error", "reject").otherwise("revoke")
+    log = table(s, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("record"), F.col("ts").cast("timestamp").alias("at"), action.alias("action"), F.lit("user").alias("actor"), F.lit(None).cast("string").alias("note"))
+    return feedback.fold_log(log).select(F.col("event_id").cast("long").alias("event_id"), F.col("record").cast("long").alias("user_id"), "action", "before", "after", "outcome")
+
+
 @query("q_latest_state", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS at, count(*) AS changes FROM events GROUP BY 1")
 def latest_state(s: SparkSession, d: str) -> DataFrame:
     """State from a log that is only appended to: the last record of each key, without a sort."""

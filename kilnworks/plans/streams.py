@@ -75,3 +75,20 @@ def stream_asof(s: SparkSession, d: str) -> DataFrame:
 @query("stream_causal_fill", "WITH x AS (SELECT user_id, event_id, ts, CASE WHEN value BETWEEN 10 AND 400 THEN value END AS v FROM events) SELECT user_id, event_id, round(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS value FROM x")
 def stream_causal_fill(s: SparkSession, d: str) -> DataFrame:
     return run_to_end(s, d, process.causal_fill).filter("event_id is not null").select("user_id", "event_id", *r6("value"))
+
+
+@query("stream_spike_repair", """WITH l AS (SELECT event_type, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM events GROUP BY 1), x AS (SELECT user_id, event_id, ts, value AS v, low, high FROM events LEFT JOIN l USING (event_type)),
+  a AS (SELECT *, CASE WHEN count(v) OVER w >= 3 THEN quantile_cont(v, 0.5) OVER w END AS m FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 8 PRECEDING)), b AS (SELECT *, abs(v - m) AS d FROM a),
+  c AS (SELECT *, CASE WHEN count(d) OVER w >= 3 THEN quantile_cont(d, 0.5) OVER w END AS s FROM b WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 8 PRECEDING)), f AS (SELECT *, coalesce((s > 0 AND d > 6 * s) OR v < low OR v > high, false) AS flagged FROM c)
+  SELECT user_id, event_id, flagged, round(last_value(CASE WHEN NOT flagged THEN v END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS value FROM f""")
+def stream_spike_repair(s: SparkSession, d: str) -> DataFrame:
+    """Each user's readings against limits from a table, and against the user's last nine."""
+    limits = table(s, d, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.01)).alias("low"), F.percentile("value", F.lit(0.99)).alias("high"))
+    name, provider = process.STATE_STORE
+    before = s.conf.get(name)
+    s.conf.set(name, provider)
+    try:
+        found = run_to_end(s, d, lambda e: process.spike_repair(e, limits))
+    finally:
+        s.conf.set(name, before)
+    return found.filter("event_id is not null").select("user_id", "event_id", "flagged", *r6("value"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kilnworks.operators.series import EVENT_TYPES
@@ -59,8 +61,8 @@ def asof_static(events: DataFrame, static: DataFrame, values: Sequence[str], tol
     return met.select(*events.columns, *[F.col("_v").getField(v).alias(v) for v in values], ((F.col("_us") - F.col("_from")) / 6e7).alias("age_minutes"))
 
 
-def causal_fill(events: DataFrame, limit: int = 6, ts: str = "ts", late: str = "1 hour", idle_days: int = 60) -> DataFrame:
-    """Each user's readings with values out of 10 to 400 replaced by the last good one of at most `limit` readings before.
+def causal_fill(events: DataFrame, limit: int = 6, ts: str = "ts", late: str = "1 hour", idle_days: int = 60, low: float = 10, high: float = 400) -> DataFrame:
+    """Each user's readings with values out of low to high replaced by the last good one of at most `limit` readings before.
 
     State is a user's last good value and how many readings ago it was: bounded, and never looks ahead. Readings must
     come in order for each user, as from a log; within a batch they are sorted. A user's state ends when the watermark
@@ -77,7 +79,7 @@ def causal_fill(events: DataFrame, limit: int = 6, ts: str = "ts", late: str = "
             rows = rows.sort_values(["us", "event_id"])
             out = []
             for value in rows["value"]:
-                if value is not None and 10 <= value <= 400:
+                if value is not None and low <= value <= high:
                     good, age = float(value), 0
                 else:
                     age += 1
@@ -89,3 +91,73 @@ def causal_fill(events: DataFrame, limit: int = 6, ts: str = "ts", late: str = "
 
     rows = event_time(events, ts, late).select("user_id", "event_id", F.unix_micros(ts).alias("us"), "value", ts)
     return rows.groupBy("user_id").applyInPandasWithState(clean, "user_id long, event_id long, value double", "good double, age long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+RING, LEAST, TIMES, FILL = 9, 3, 6.0, 6
+REPAIRED = "user_id long, event_id long, flagged boolean, value double"
+
+
+class SpikeRepair(StatefulProcessor):
+    """Flags readings of a user that are out of their limits or spikes, and puts the last good one in their place.
+
+    State is a ring of the last nine readings with their distances from the rolling median, and the last good reading
+    with its age; a timer clears both when the watermark is `idle_days` past the last reading.
+    """
+
+    def __init__(self, idle_days: int = 60) -> None:
+        self.idle_ms = idle_days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ring = handle.getListState("ring", "value double, away double")
+        self.good = handle.getValueState("good", "value double, age int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        readings = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        ring = [tuple(None if x is None or x != x else float(x) for x in r) for r in self.ring.get()]
+        good, age = self.good.get() if self.good.exists() else (None, 0)
+        flags, values = [], []
+        for value, low, high in zip(readings["value"], readings["low"], readings["high"]):
+            value = None if value is None or value != value else float(value)
+            ring = ring[1 - RING :]
+            known = [v for v, _ in ring if v is not None] + ([] if value is None else [value])
+            away = abs(value - float(np.median(known))) if value is not None and len(known) >= LEAST else None
+            ring.append((value, away))
+            distances = [a for _, a in ring if a is not None]
+            scale = float(np.median(distances)) if len(distances) >= LEAST else None
+            spike = away is not None and scale is not None and scale > 0 and away > TIMES * scale
+            bad = spike or (value is not None and ((low == low and low is not None and value < low) or (high == high and high is not None and value > high)))
+            if value is not None and not bad:
+                good, age = value, 0
+            else:
+                age += 1
+            flags.append(bad)
+            values.append(good if good is not None and age <= FILL else None)
+        self.ring.put(ring)
+        self.good.update((good, age))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(readings["us"].max()) // 1000, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        yield pd.DataFrame({"user_id": key[0], "event_id": readings["event_id"].to_numpy(), "flagged": flags, "value": pd.array(values, dtype="Float64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.ring.clear()
+        self.good.clear()
+        yield pd.DataFrame({"user_id": pd.array([], "int64"), "event_id": pd.array([], "int64"), "flagged": pd.array([], "bool"), "value": pd.array([], "float64")})
+
+    def close(self) -> None:
+        pass
+
+
+#: Where streams keep more than a value for each key.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def spike_repair(events: DataFrame, limits: DataFrame, kind: str = "event_type", ts: str = "ts", late: str = "1 hour", idle_days: int = 60) -> DataFrame:
+    """user_id, event_id, flagged and the repaired value of each reading, in order for each user.
+
+    limits: `kind`, low and high, a table that does not change; kinds that it lacks have none. Set STATE_STORE before the
+    stream is started. A batch over the same readings gives the same flags.
+    """
+    rows = event_time(events, ts, late).join(F.broadcast(limits), kind, "left").select("user_id", "event_id", F.unix_micros(ts).alias("us"), "value", "low", "high", ts)
+    return rows.groupBy("user_id").transformWithStateInPandas(SpikeRepair(idle_days), REPAIRED, "Append", "EventTime")
