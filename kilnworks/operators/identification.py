@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnworks.operators import series
+from kilnworks.sources.files import scratch_dir
 
 
 def lag_names(order: int, delays: dict[str, int], output: str) -> list[tuple[str, str, int]]:
@@ -96,8 +98,10 @@ def common_targets(df: DataFrame, output: str, inputs: Sequence[str], guard: int
 
 
 def target_check(order: str) -> Column:
-    """A number that two candidates share if they were judged on the same targets."""
-    return F.sum(F.pmod(F.col(order) * F.lit(2654435761), F.lit(4294967296)))
+    """What two candidates share if they were judged on the same targets: their number, and two sums of 60 bits of each target's SHA-256."""
+    digest = F.sha2(F.col(order).cast("string"), 256)
+    total = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.concat_ws(":", F.count(order).cast("string"), total(1), total(16))
 
 
 def free_simulation(
@@ -175,13 +179,15 @@ def search(df: DataFrame, output: str, delays: dict[str, int], orders: Sequence[
 
     Unstable ones are not eligible, nor those whose free simulation of the validation rows runs away or ends.
 
-    One cached frame with the lags of the highest order, one aggregate of all covariances, then one of all candidates'
-    errors: the number of Spark jobs does not grow with the candidates.
+    The frame with the lags of the highest order is written once; one aggregate gives all covariances and one all
+    candidates' errors, so the number of Spark jobs does not grow with the candidates.
     """
     most = max(orders)
     features = lag_names(most, delays, output)
     names = [n for n, _, _ in features]
-    frame = feature_frame(df, features, order, keys).dropna(subset=[*names, output])
+    path = f"{scratch_dir(df.sparkSession)}/lags-{uuid.uuid4().hex}"
+    feature_frame(df, features, order, keys).dropna(subset=[*names, output]).select(*dict.fromkeys([*keys, order, part, *names, output])).write.parquet(path)
+    frame = df.sparkSession.read.parquet(path)
     n, means, cov = gram(frame.filter(F.col(part) == "train"), names, output)
     found = []
     for p in orders:

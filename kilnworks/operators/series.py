@@ -83,13 +83,21 @@ def spike_flag(df: DataFrame, column: str, name: str, rows: int = 9, times: floa
     return df.withColumn(name, F.coalesce((F.col("_s") > 0) & (F.col("_d") > times * F.col("_s")), F.lit(False))).drop("_m", "_d", "_s")
 
 
-def anomaly_flags(df: DataFrame, bounds: dict[str, tuple[float, float, float]], order: str = "rn", keys: Sequence[str] = ()) -> DataFrame:
-    """A column <c>_bad for each column of bounds (low, high, greatest step): out of range, too large a step, or a spike."""
+def anomaly_flags(df: DataFrame, bounds: dict[str, tuple[float, float, float]], order: str = "rn", keys: Sequence[str] = (), rows: int = 9, times: float = 6.0, least: int = 3) -> DataFrame:
+    """A column <c>_bad for each column of bounds (low, high, greatest step): out of range, too large a step, or a spike as in spike_flag().
+
+    All columns take each step together, so there are two windows however many columns there are.
+    """
     w = ordered(order, keys)
-    for c, (low, high, step) in bounds.items():
-        df = spike_flag(df, c, "_spike", order=order, keys=keys)
-        df = df.withColumn(f"{c}_bad", range_flag(F.col(c), low, high) | step_flag(F.col(c), step, w) | F.col("_spike")).drop("_spike")
-    return df
+    last = w.rowsBetween(1 - rows, 0)
+    rolling = lambda c: F.when(F.count(c).over(last) >= least, F.percentile(c, F.lit(0.5)).over(last))
+    df = df.withColumns({f"_m_{c}": rolling(c) for c in bounds})
+    df = df.withColumns({f"_d_{c}": F.abs(F.col(c) - F.col(f"_m_{c}")) for c in bounds})
+    df = df.withColumns({f"_s_{c}": rolling(f"_d_{c}") for c in bounds} | {f"_p_{c}": F.lag(c).over(w) for c in bounds})
+    spike = lambda c: F.coalesce((F.col(f"_s_{c}") > 0) & (F.col(f"_d_{c}") > times * F.col(f"_s_{c}")), F.lit(False))
+    step = lambda c, most: F.coalesce(F.abs(F.col(c) - F.col(f"_p_{c}")) > most, F.lit(False))
+    df = df.withColumns({f"{c}_bad": range_flag(F.col(c), low, high) | step(c, most) | spike(c) for c, (low, high, most) in bounds.items()})
+    return df.drop(*[f"_{x}_{c}" for x in "mdsp" for c in bounds])
 
 
 def repair(df: DataFrame, bounds: dict[str, tuple[float, float, float]], inputs: Sequence[str], limit: int = 6, order: str = "rn", keys: Sequence[str] = ()) -> DataFrame:

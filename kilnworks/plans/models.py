@@ -65,7 +65,7 @@ COMMON = FILLED + """, X AS (SELECT rn, h, purchase AS y, lag(purchase) OVER o A
 
 
 @query("q_one_step_eval", f"""WITH {COMMON}, C AS (SELECT 'ARX' AS model, h, y, y1, 20 + .6 * y1 + .2 * u2 AS p FROM M UNION ALL SELECT 'AR', h, y, y1, 50 + .5 * y1 FROM M),
-  a AS (SELECT model, count(*) AS n, CAST(sum((h * 2654435761) % 4294967296) AS BIGINT) AS targets, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae, 1 - sum((y - p) ** 2) / nullif(count(*) * var_pop(y), 0) AS r2, sqrt(avg((y - y1) ** 2)) AS baseline FROM C GROUP BY 1)
+  a AS (SELECT model, count(*) AS n, count(h) || ':' || CAST(sum(CAST(CAST('0x' || substr(sha256(CAST(h AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) || ':' || CAST(sum(CAST(CAST('0x' || substr(sha256(CAST(h AS VARCHAR)), 16, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS targets, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae, 1 - sum((y - p) ** 2) / nullif(count(*) * var_pop(y), 0) AS r2, sqrt(avg((y - y1) ** 2)) AS baseline FROM C GROUP BY 1)
   SELECT model, n, targets, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(r2, 6) AS r2, round(baseline, 6) AS baseline, round(CASE WHEN baseline > 0 THEN 100 * (baseline - rmse) / baseline END, 6) AS improvement FROM a WHERE n >= 10""")
 def one_step_eval(s: SparkSession, d: str) -> DataFrame:
     """Two candidates on the same targets, which `targets` shows."""

@@ -148,7 +148,8 @@ def _json_value(c: Column, kind: DataType) -> Column:
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Numbers that JSON does not know become null, also within lists and records.
 
-    Rows are written to a folder beside the wanted one, which takes its place only when all are there.
+    Rows are written to a folder beside the wanted one. When all are there, what stood at the wanted name is moved aside,
+    the new folder takes the name, and only then is the old one deleted: at every moment one of them is whole.
     """
     clean = [_json_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
     spark = df.sparkSession
@@ -156,6 +157,13 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*clean).write.json(new)
     place = spark._jvm.org.apache.hadoop.fs.Path
     system = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(place(path), True)
+    old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    replaced = system.exists(place(path))
+    if replaced and not system.rename(place(path), place(old)):
+        raise OSError(f"{path} cannot be moved aside")
     if not system.rename(place(new), place(path)):
+        if replaced:
+            system.rename(place(old), place(path))
         raise OSError(f"{new} cannot be renamed to {path}")
+    if replaced:
+        system.delete(place(old), True)
