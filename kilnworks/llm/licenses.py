@@ -136,9 +136,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     words = docs.select(docs[id_col].alias("doc_id"), normalise(docs[text_col].cast("string")).alias("words"))
     gate = f" (?:{'|'.join(sorted({r[3] for r in rules()}))}) "
-    # every row has a key, so rows without a detection are dealt out evenly too
-    words = words.withColumn("key", F.struct(F.xxhash64("words").alias("hash"), F.length("words").alias("length")))
-    left = surviving(detections(words.filter(F.col("words").rlike(gate)).dropDuplicates(["key"]).select("key", "words")))
+    # rows without a gating word, empty ones among them, meet nothing: their key is made of the id, so that they are dealt out evenly
+    gated, by_text = F.col("words").rlike(gate), F.xxhash64("words")
+    words = words.withColumn("key", F.when(gated, F.struct(by_text.alias("hash"), F.length("words").alias("length"))).otherwise(F.struct(F.xxhash64("doc_id", by_text).alias("hash"), F.lit(-1).alias("length"))))
+    left = surviving(detections(words.filter(gated).dropDuplicates(["key"]).select("key", "words")))
     base = F.col("priority") == 100
     join = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.flatten(labels))), ",")
     per_text = left.groupBy("key").agg(

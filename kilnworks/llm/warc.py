@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, release
+from ._common import hottest, join_spread, materialize, release
 
 MAGIC = "WARC/1.1\r\n"
 BREAK = "\r\n\r\n"
@@ -17,15 +17,19 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     Of rows with equal payloads of at least min_bytes, those with the largest id are responses and the others revisit
     it. A null payload counts as empty. Rows with a null id are responses unless a row with an id has their payload.
     The digest's largest id comes from a map-side aggregate, so a hot payload is one row for each task there. Up to
-    broadcast_rows groups of equal payloads (about 100 bytes each) are broadcast, and payloads stay where they are.
+    broadcast_rows groups of equal payloads (about 100 bytes each) are broadcast, and payloads stay where they are;
+    beyond, payloads meet their group by a shuffle in which the most frequent ones are dealt into parts.
     """
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[payload_col].cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1(F.col("payload").cast("binary"))})
-    tops = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes")).agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("top").isNotNull()).drop("n")
-    tops = materialize(tops, "warc-tops")
-    if tops.limit(broadcast_rows + 1).count() <= broadcast_rows:  # else payloads are shuffled
-        tops = F.broadcast(tops)
-    joined = rows.join(tops, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") == F.col("bytes")), "left").drop("digest", "bytes")
+    tops = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes")).agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("top").isNotNull())
+    tops = materialize(tops.withColumnsRenamed({"digest": "payload_digest", "bytes": "payload_bytes"}), "warc-tops")
+    same = ["payload_digest", "payload_bytes"]
+    if tops.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        joined = rows.join(F.broadcast(tops.drop("n")), same, "left")
+    else:
+        joined = join_spread(rows, tops.drop("n"), same, "page_id", hottest(tops, same), how="left")
+    joined = joined.select(*rows.columns, "top")
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("top"))}).drop("top")
 
