@@ -100,6 +100,7 @@ class Search:
     def __init__(
         self, frame: DataFrame, inputs: Sequence[str], output: str, order: str = "rn", part: str = "part", window: int = 30, step: int = 15, guard: int = 9, orders: Sequence[int] = (1, 2, 3),
         alphas: Sequence[float] = (0.0, 10.0), weights: dict[str, float] | None = None, min_r2: float = 0.0, min_coverage: float = 0.05, least_pairs: int = 20, journal: str | None = None,
+        scoring: dict | None = None, most_windows: int = BOUNDS["top_k"][1], candidates: Sequence[tuple[int, int]] = (), least_observations: int = 0,
     ) -> None:
         self.spark, self.inputs, self.output, self.order, self.part = frame.sparkSession, list(inputs), output, order, part
         self.guard, self.orders, self.alphas, self.least = guard, tuple(orders), tuple(alphas), least_pairs
@@ -111,14 +112,26 @@ class Search:
         self.journal = Journal(self.spark, journal or f"{scratch}/journal")
         train = self.frame.filter(F.col(part) == "train")
         self.train_rows = train.count()
-        scored = windows.score_windows(train, self.inputs, output, [*self.inputs, output], size=window, step=step, order=order)
-        best = windows.top_windows(scored, BOUNDS["top_k"][1])
-        self.windows = [(r["start_rn"], r["end_rn"]) for r in best.collect()]  # 20 rows at most
-        policy = [self.inputs, output, window, step, guard, self.orders, self.alphas, self.weights, min_r2, min_coverage, least_pairs]
+        self.candidates = list(candidates)
+        scored = windows.score_windows(train, self.inputs, output, [*self.inputs, output], size=window, step=step, order=order, **(scoring or {}))
+        best = windows.top_windows(scored.filter(F.col("output_observations") >= least_observations), most_windows)
+        self.windows = [(r["start_rn"], r["end_rn"]) for r in best.collect()]  # most_windows rows at most
+        policy = [self.inputs, output, window, step, guard, self.orders, self.alphas, self.weights, min_r2, min_coverage, least_pairs, scoring, most_windows, least_observations]
         seen = self.frame.filter(F.col(part).isin("train", "validation"))
         self.identity = json.dumps([data_digest(seen, columns), policy])
         self.evaluated: list[tuple[int, int]] = []
 
+    @classmethod
+    def of_policy(cls, frame: DataFrame, inputs: Sequence[str], output: str, policy: dict, **more) -> "Search":
+        """A search as a policy (policy.receipt()["policy"]) sets it: windows and their scores, orders, ridge, weights, constraints and first candidates."""
+        s, d, o = policy["selection"], policy["decoupling"], policy["optimization"]
+        if set(d["families"]) == {"FIRX"}:
+            raise ValueError("models without the output's past are judged by the last value measured, not by this search")
+        scoring = {"weights": dict(s["weights"]), "scales": (s["scales"]["input_change"], s["scales"]["output_response"]), "levels": (s["strict_score"], s["usable_score"], s["snr_db"])}
+        most = max(BOUNDS["top_k"][1], s["top_k"], *(c[0] for c in o["candidates"]), o["bounds"].get("top_k", (0, 0))[1])
+        limits = {"min_r2": o["constraints"].get("min_r2", 0.0), "min_coverage": o["constraints"].get("min_coverage", 0.05)}
+        return cls(frame, inputs, output, window=s["window"], step=s["step"], orders=d["orders"], alphas=[float(a) for a in d["ridge"]], weights=o["weights"], scoring=scoring, most_windows=most, candidates=o["candidates"], least_observations=s["min_output_observations"] if s["sparse_output"] else 0, **limits, **more)
+
     def signature(self, candidate: dict, kind: str = "candidate") -> str:
         return hashlib.sha256(json.dumps([kind, self.identity, candidate["top_k"], candidate["max_lag"]]).encode()).hexdigest()
 
@@ -255,7 +268,8 @@ class Search:
             return {(r["top_k"], r["max_lag"]) for r in rounds}
 
         batch: list[dict] = []
-        for c in first_candidates(max_lag)[:max_rounds]:
+        own = [{"round": i + 1, "label": "explore", "top_k": k, "max_lag": lag} for i, (k, lag) in enumerate(self.candidates)]
+        for c in (own or first_candidates(max_lag))[:max_rounds]:
             bounded = within(c, bounds, {(x["top_k"], x["max_lag"]) for x in batch})
             if bounded is None:
                 break
@@ -272,7 +286,7 @@ class Search:
             batch = []
             for n in together:
                 anchor = first if n <= 8 else best
-                more, ahead = DIRECTIONS[n - 7]
+                more, ahead = DIRECTIONS[(n - 7) % len(DIRECTIONS)]
                 wanted = {"round": n, "label": f"around {anchor['round']}", "top_k": anchor["top_k"] + more, "max_lag": min(LONGEST, max(10, anchor["max_lag"] + ahead * step))}
                 bounded = within(wanted, bounds, tried() | {(c["top_k"], c["max_lag"]) for c in batch})
                 if bounded is not None:

@@ -67,7 +67,7 @@ def window_snr(snrs: DataFrame, inputs: Sequence[str], outputs: Sequence[str], g
     return snrs.groupBy(*groups).agg(F.max(of(inputs)).alias("_i"), F.min(of(outputs)).alias("_o"), F.count(of(outputs)).alias("_n")).select(*groups, F.when((F.col("_n") == len(outputs)) & F.col("_i").isNotNull(), F.least("_i", "_o")).alias("snr_db"))
 
 
-def score_windows(df: DataFrame, inputs: Sequence[str], output: str, columns: Sequence[str], flags: Sequence[str] = (), size: int = 30, step: int = 15, order: str = "rn", keys: Sequence[str] = ()) -> DataFrame:
+def score_windows(df: DataFrame, inputs: Sequence[str], output: str, columns: Sequence[str], flags: Sequence[str] = (), size: int = 30, step: int = 15, order: str = "rn", keys: Sequence[str] = (), weights: dict[str, float] = WEIGHTS, scales: tuple[float, float] = (INPUT_SCALE, OUTPUT_SCALE), levels: tuple[float, float, float] = (STRICT, USABLE, SNR_DB)) -> DataFrame:
     """One row for each window: its five part scores, segment_score, snr_db, output_observations and level (strict, usable, rejected).
 
     Levels test the unrounded score. Rows are multiplied by size / step; everything else is one aggregate for each
@@ -81,17 +81,17 @@ def score_windows(df: DataFrame, inputs: Sequence[str], output: str, columns: Se
     missing = mean([F.avg(F.col(c).isNull().cast("double")) for c in columns])
     bad = mean([F.avg(F.col(f).cast("double")) for f in flags]) if flags else F.lit(0.0)
     scores = rows.groupBy(*groups).agg(
-        F.min(order).alias("start_rn"), F.max(order).alias("end_rn"), mean([relative_range(F.col(c), INPUT_SCALE) for c in inputs]).alias("input_change"), relative_range(F.col(output), OUTPUT_SCALE).alias("output_response"),
+        F.min(order).alias("start_rn"), F.max(order).alias("end_rn"), mean([relative_range(F.col(c), scales[0]) for c in inputs]).alias("input_change"), relative_range(F.col(output), scales[1]).alias("output_response"),
         (100 * (1 - missing)).alias("completeness"), (100 * (1 - bad)).alias("anomaly"), mean([smoothness(F.col(f"_d_{c}"), F.col(c)) for c in columns]).alias("smoothness"), F.count(output).alias("output_observations"),
     )
     snrs = snr_of_all(rows, [*inputs, output], groups, order)
     scores = scores.join(window_snr(snrs, inputs, [output], groups), groups)
-    scores = scores.withColumn("score", sum((F.col(name) * share for name, share in WEIGHTS.items()), F.lit(0.0)))
-    return scores.withColumn("level", level(F.col("score"), F.col("snr_db")))
+    scores = scores.withColumn("score", sum((F.col(name) * share for name, share in weights.items()), F.lit(0.0)))
+    return scores.withColumn("level", level(F.col("score"), F.col("snr_db"), *levels))
 
 
-def level(score: Column, snr_db: Column) -> Column:
-    return F.when((score >= STRICT) & (snr_db >= SNR_DB), "strict").when(score >= USABLE, "usable").otherwise("rejected")
+def level(score: Column, snr_db: Column, strict: float = STRICT, usable: float = USABLE, least_db: float = SNR_DB) -> Column:
+    return F.when((score >= strict) & (snr_db >= least_db), "strict").when(score >= usable, "usable").otherwise("rejected")
 
 
 def top_windows(scores: DataFrame, k: int = 5) -> DataFrame:

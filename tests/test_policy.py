@@ -15,7 +15,7 @@ def test_requests_go_before_scenes():
     assert r["sha256"] != policy.receipt()["sha256"] and policy.DEFAULTS["selection"]["window"] == 30
 
 
-@pytest.mark.parametrize("bad", [{"selection": {"window": 10}}, {"selection": {"step": 31}}, {"decoupling": {"orders": [4]}}, {"decoupling": {"families": ["FIRX", "AR"]}}, {"selection": {"nothing": 1}}, {"resample": {"seconds": 0}}])
+@pytest.mark.parametrize("bad", [{"selection": {"window": 10}}, {"selection": {"step": 31}}, {"decoupling": {"orders": [4]}}, {"decoupling": {"families": ["FIRX", "AR"]}}, {"selection": {"nothing": 1}}, {"resample": {"seconds": 0}}, {"optimization": {"bounds": {"top_k": (5, 2)}}}, {"optimization": {"bounds": {"other": (1, 2)}}}, {"optimization": {"constraints": {"min_r2": 2}}}, {"optimization": {"candidates": [(5, 601)]}}, {"decoupling": {"max_features": -1}}, {"selection": {"scales": {"input_change": 0, "output_response": 1}}}, {"selection": {"fallback": 1}}])
 def test_contradictions(bad):
     with pytest.raises(ValueError):
         policy.receipt(request=bad)
@@ -42,3 +42,12 @@ def test_the_detected_scene_gives_the_period_across_scenes(spark):
     df = spark.createDataFrame(rows, "project string, detected string, own double, automatic boolean, want double")
     found = policy.effective_seconds(F.lit(10.0), *map(F.col, ("project", "detected", "own", "automatic")))
     assert [r[0] == r[1] for r in df.select(found, "want").collect()] == [True] * len(rows)
+
+
+@pytest.mark.parametrize("name", [*policy.SCENE_SECONDS, "unknown"])
+def test_scene_profiles_are_whole(name):
+    r = policy.of_scene(name, {"selection": {"top_k": 7}})
+    assert r["policy"]["selection"]["top_k"] == 7 and r["origin"]["selection.top_k"] == "request"
+    assert r["policy"]["resample"]["seconds"] == policy.SCENE_SECONDS.get(name, 10.0)
+    if name == "blast_furnace":
+        assert r["policy"]["optimization"]["candidates"][0] == (5, 12) and r["origin"]["decoupling.max_lag"] == "scene" and r["policy"]["decoupling"]["families"] == ["ARX", "AR"]

@@ -236,3 +236,15 @@ def test_candidates_stay_in_bounds():
         seen.append((c["top_k"], c["max_lag"]))
     assert seen == [(3, 5), (3, 6), (2, 5), (2, 6)]
     assert search.within({"top_k": 2, "max_lag": 5}, bounds, seen) is None
+
+
+def test_a_policy_sets_the_search(spark, tmp_path):
+    from kilnworks.operators import policy
+
+    p = policy.of_scene("blast_furnace", {"decoupling": {"orders": [1]}})["policy"]
+    s = search.Search.of_policy(spark_frame(spark, plant()), INPUTS, OUTPUT, p, journal=str(tmp_path / "j"), guard=GUARD)
+    found = s.run(p["decoupling"]["max_lag"], p["optimization"]["bounds"], max_rounds=6)
+    assert [(r["top_k"], r["max_lag"]) for r in found["rounds"]] == p["optimization"]["candidates"]
+    assert all(b - a == 23 for a, b in s.windows) and {r["model_order"] for r in found["rounds"] if r["status"] == "completed"} <= {1}
+    with pytest.raises(ValueError, match="output's past"):
+        search.Search.of_policy(spark_frame(spark, plant()), INPUTS, OUTPUT, policy.of_scene("vapor_pressure_soft_sensor")["policy"])
