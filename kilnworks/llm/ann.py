@@ -161,9 +161,9 @@ def _exact_leaves(ids: np.ndarray, queries: np.ndarray, k: int):
 
 def nearest(
     vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = 0.97,
-    sample_rows: int = 20_000, leaf_rows: int = 200, max_leaves: int = 5_000, branching: int = 8, calibration: int = 200, bucket_rows: int = 4096, seed: int = 7,
+    sample_rows: int = 20_000, leaf_rows: int = 50, max_leaves: int = 5_000, branching: int = 8, calibration: int = 200, bucket_rows: int = 4096, query_rows: int = 2048, seed: int = 7,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score, recall: each query's k nearest found, by largest inner product.
+    """query_id, rank, vec_id, score, recall, scored: each query's k nearest found, by largest inner product.
 
     The tree is fitted on about sample_rows distinct vectors, those with the smallest seeded hashes, and has a leaf for
     leaf_rows distinct vectors, but no more than max_leaves or a quarter of the sample; every row is then assigned to
@@ -172,7 +172,9 @@ def nearest(
     leaves they visit is the column recall: measured on queries that chose nothing (on the same ones, where there are
     too few). Neighbouring leaves share a shelf of about bucket_rows rows, and queries meet the rows of the leaves they
     visit by a cogroup on the shelf: a leaf of more rows, such as one of a hot vector's copies, is dealt into several
-    buckets and its queries go to each, so nothing is capped. A shelf returns k rows for each query at most.
+    buckets and its queries go to each, so nothing is capped; the queries that visit a shelf are dealt into parts of about
+    query_rows in turn, and its rows go to each. A shelf returns k rows for each query at most. `scored` is the share of
+    all rows that lie in the leaves a query visits.
 
     Ties go to smaller ids; rows with a query's own id are no candidates. A query whose leaves hold fewer than k rows
     besides all those of its own id visits further ones until they do, so fewer than k are returned only where there
@@ -182,7 +184,7 @@ def nearest(
     are not read.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double, recall double"
+    schema = "query_id long, rank int, vec_id long, score double, recall double, scored double"
     rows = _usable(vectors, id_col, vec_col)
     first = rows.agg(F.min(F.struct("vec_id", F.size("vec").alias("length"))).alias("m"), F.approx_count_distinct(F.xxhash64("vec"), 0.02).alias("n")).first()
     if not first["n"]:
@@ -219,33 +221,28 @@ def nearest(
             filled = 0
         filled += n
         shelf[leaf] = len(buckets) - 1
-    shelves = F.broadcast(spark.createDataFrame([(leaf, s, buckets[s]) for leaf, s in shelf.items()], "leaf long, shelf long, buckets long"))  # max_leaves rows
-    bucketed = placed.drop("apart").join(shelves, "leaf").withColumn("bucket", F.pmod(F.xxhash64("vec_id", "vec"), F.col("buckets"))).drop("buckets")
+    total = max(1, sum(counts.values()))
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
-            yield from visit(vector_blocks([batch]), own)
-
-    def visit(blocks: Iterable[tuple[np.ndarray, np.ndarray]], own: dict[int, int]) -> Iterator[pa.RecordBatch]:
-        for names, block in blocks:
-            at, where, leaves = [], [], []
-            for i, query in enumerate(block):
-                seen: dict[int, list[int]] = {}
-                for leaf in tree.visits(query, visits, counts, k + own[int(names[i])], reach):
-                    seen.setdefault(shelf[leaf], []).append(leaf)
-                for s, found in seen.items():
-                    for b in range(buckets[s]):
-                        at.append(i)
-                        where.append((s, b))
-                        leaves.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(names[at]), _lists(block[at]), pa.array([s for s, _ in where], pa.int64()), pa.array([b for _, b in where], pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "vec", "shelf", "bucket", "leaves"])
+            for names, block in vector_blocks([batch]):
+                seen: list[list[tuple[int, list[int]]]] = []
+                for i, query in enumerate(block):
+                    found: dict[int, list[int]] = {}
+                    for leaf in tree.visits(query, visits, counts, k + own[int(names[i])], reach):
+                        found.setdefault(shelf[leaf], []).append(leaf)
+                    seen.append(list(found.items()))
+                share = [sum(counts.get(leaf, 0) for _, leaves in q for leaf in leaves) / total for q in seen]
+                shelves = [[{"shelf": s, "leaves": leaves} for s, leaves in q] for q in seen]
+                kind = pa.list_(pa.struct([("shelf", pa.int64()), ("leaves", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_arrays([pa.array(names), _lists(block), pa.array(share, pa.float64()), pa.array(shelves, kind)], names=["query_id", "vec", "scored", "visited"])
 
     def meet(queries: pa.Table, found: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if queries.num_rows and found.num_rows:
             asks, block = _matrix(queries, length), _matrix(found, length)
-            names, ids, leaf = (t.column(c).to_numpy() for t, c in ((queries, "query_id"), (found, "vec_id"), (found, "leaf")))
+            names, share, ids, leaf = (t.column(c).to_numpy() for t, c in ((queries, "query_id"), (queries, "scored"), (found, "vec_id"), (found, "leaf")))
             visited = queries.column("leaves").to_pylist()
             order = np.argsort(leaf, kind="stable")
             block, ids, leaf = block[order], ids[order], leaf[order]
@@ -262,14 +259,33 @@ def nearest(
                         places = places[scores >= floor - slack[start + q]]
                     exact = inner_products(asks[start + q : start + q + 1], block[places])[0]
                     chosen = best(exact, ids[places], k)
-                    out.append((np.full(len(chosen), names[start + q]), ids[places[chosen]], exact[chosen]))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
-
-    wanted = asked.mapInArrow(ask, "query_id long, vec array<double>, shelf long, bucket long, leaves array<long>")
-    pairs = wanted.groupBy("shelf", "bucket").cogroup(bucketed.groupBy("shelf", "bucket")).applyInArrow(meet, "query_id long, vec_id long, score double")
+                    out.append((np.full(len(chosen), names[start + q]), ids[places[chosen]], exact[chosen], np.full(len(chosen), share[start + q])))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score", "scored"), columns)))
+
+    asks = materialize(asked.mapInArrow(ask, "query_id long, vec array<double>, scored double, visited array<struct<shelf:long,leaves:array<long>>>"), "ann-asks")
+    wanted, rows = dealt(asks, placed, shelf, buckets, query_rows)
+    group = ["shelf", "bucket", "part"]
+    pairs = wanted.groupBy(*group).cogroup(rows.groupBy(*group)).applyInArrow(meet, "query_id long, vec_id long, score double, scored double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(reached).alias("recall"))
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(reached).alias("recall"), "scored")
+
+
+def dealt(asks: DataFrame, placed: DataFrame, shelf: dict[int, int], buckets: dict[int, int], query_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and rows with the shelf, bucket and part in which they meet, each pair once.
+
+    A shelf's rows are dealt into its buckets and go to all parts; its queries are dealt into parts of about query_rows
+    and go to all buckets, so neither side of a group is unbounded.
+    """
+    spark = asks.sparkSession
+    visitors = asks.select(F.explode("visited.shelf").alias("shelf")).groupBy("shelf").agg(F.count(F.lit(1)).alias("n")).collect()  # max_leaves rows at most
+    parts = {r["shelf"]: -(-r["n"] // query_rows) for r in visitors}
+    places = F.broadcast(spark.createDataFrame([(s, buckets[s], parts.get(s, 0)) for s in buckets], "shelf long, buckets long, parts long"))  # max_leaves rows
+    shelves = F.broadcast(spark.createDataFrame(list(shelf.items()), "leaf long, shelf long"))  # max_leaves rows
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = placed.drop("apart").join(shelves, "leaf").join(places.filter("parts > 0"), "shelf").withColumn("bucket", F.pmod(F.xxhash64("vec_id", "vec"), F.col("buckets"))).withColumn("part", upto("parts"))
+    wanted = asks.select("query_id", "vec", "scored", F.inline("visited")).join(places, "shelf").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts"))).withColumn("bucket", upto("buckets"))
+    return wanted.drop("buckets", "parts"), rows.drop("buckets", "parts")
 
 
 def _lists(block: np.ndarray) -> pa.Array:

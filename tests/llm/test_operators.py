@@ -196,6 +196,23 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_queries_of_one_shelf_are_dealt_into_parts(spark):
+    asks = spark.range(1000).selectExpr("id as query_id", "array(1.0D) as vec", "1.0D as scored", "array(named_struct('shelf', 0L, 'leaves', array(0L))) as visited")
+    placed = spark.range(900).selectExpr("id as vec_id", "array(cast(id as double)) as vec", "0L as leaf", "0.0D as apart")
+    wanted, rows = ann.dealt(asks, placed, {0: 0, 1: 1}, {0: 9, 1: 1}, query_rows=100)
+    group = ["shelf", "bucket", "part"]
+    assert wanted.groupBy(*group).count().agg(F.max("count")).first()[0] <= 150 and rows.groupBy(*group).count().agg(F.max("count")).first()[0] <= 150
+    assert wanted.join(rows, group).select("query_id", "vec_id").distinct().count() == wanted.join(rows, group).count() == 900 * 1000
+
+
+def test_nearest_is_the_same_in_any_parts(spark):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, [1.0, 2.0, 0.5] if i % 3 == 0 else rng.normal(size=3).tolist()) for i in range(900)], "vec_id long, embedding array<double>")
+    found = [ann.nearest(df, F.col("vec_id") % 2 == 0, k=5, bucket_rows=b, query_rows=q).orderBy("query_id", "rank").collect() for b, q in ((64, 7), (4096, 2048))]
+    assert found[0] == found[1] and len(found[0]) == 450 * 5
+    assert all(0 < r["scored"] <= 1 for r in found[0])
+
+
 def test_nearest_fills_up_in_thin_leaves(spark):
     rng = np.random.default_rng(8)
     centers = rng.normal(size=(40, 16)) * 3
