@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kilnworks.functions.numeric import clip, correlation, improvement_percent
-from kilnworks.operators import feedback, scan, series, stats, windows
+from kilnworks.operators import feedback, scan, series, stats, studies, windows
 from kilnworks.operators.series import EVENT_TYPES, INPUTS, OUTPUT
 
 from .base import P, corr_sql, frame, long_form, long_sql, query, r6, table
@@ -386,6 +386,25 @@ def study_decisions(s: SparkSession, d: str) -> DataFrame:
     return b.select("study", "round", F.when(F.col("seen"), "equivalent").when(F.col("score") < 20000, "infeasible").when(F.col("best").isNull() | (F.col("score") > F.col("best")), "new_best").otherwise("not_improved").alias("decision"))
 
 
+CONVERGE = RUNS + """, v AS (SELECT study, round, score / 4000 AS score, CAST(floor(score / 1000) AS BIGINT) AS signature, (o_orderkey % 100) / 5000.0 AS fit, score >= 20000 AS valid, o_orderkey % 5 = 0 AS edge FROM r),
+  x AS (SELECT *, row_number() OVER (PARTITION BY study, signature ORDER BY round) > 1 AS seen FROM v)"""
+
+
+@query("q_study_convergence", f"""WITH RECURSIVE {CONVERGE},
+  t AS (SELECT study, round, CASE WHEN valid THEN 'new_best' ELSE 'infeasible' END AS decision, true AS is_best, score AS gain, true AS meaningful, valid AS bv, score AS bs, fit AS bf, edge AS be, CAST(0 AS BIGINT) AS idle, 'running' AS status FROM x WHERE round = 1
+    UNION ALL SELECT study, round, decision, better, gain, told, CASE WHEN better THEN valid ELSE bv END, CASE WHEN better THEN score ELSE bs END, CASE WHEN better THEN fit ELSE bf END, CASE WHEN better THEN edge ELSE be END, idle,
+      CASE WHEN status <> 'running' THEN 'after' WHEN round >= 8 AND round < 16 AND idle >= 3 AND CASE WHEN better THEN valid AND NOT edge ELSE bv AND NOT be END THEN 'converged' WHEN round >= 16 THEN 'limit' ELSE 'running' END
+      FROM (SELECT *, CASE WHEN told THEN 0 ELSE old + 1 END AS idle FROM (SELECT *, NOT seen AND (valid AND NOT bv OR better AND (round(gain, 9) >= .2 OR round(fit - bf, 9) >= .003)) AS told,
+        CASE WHEN seen THEN 'equivalent' WHEN NOT valid THEN 'infeasible' WHEN better THEN 'new_best' ELSE 'not_improved' END AS decision
+        FROM (SELECT x.*, t.bv, t.bs, t.bf, t.be, t.status, t.idle AS old, x.score - t.bs AS gain, NOT x.seen AND CASE WHEN x.valid <> t.bv THEN x.valid ELSE x.score > t.bs END AS better FROM t JOIN x ON x.study = t.study AND x.round = t.round + 1))))
+  SELECT study, round, decision, is_best, round(gain, 6) AS gain, meaningful, CAST(idle AS BIGINT) AS idle, status FROM t""")
+def study_convergence(s: SparkSession, d: str) -> DataFrame:
+    """Orders stand for the rounds of a customer's study; the SQL goes from round to round."""
+    c = F.col
+    r = rounds(s, d).select("study", "round", (c("score") / 4000).alias("score"), F.floor(c("score") / 1000).cast("long").alias("signature"), ((c("o_orderkey") % 100) / 5000.0).alias("fit"), (c("score") >= 20000).alias("valid"), (c("o_orderkey") % 5 == 0).alias("boundary_hit"))
+    return studies.decide(r).select("study", "round", "decision", "is_best", *r6("gain"), "meaningful", "idle", "status")
+
+
 # the application's reads
 
 @query("q_latest_runs", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
