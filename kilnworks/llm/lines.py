@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import HOT_ROWS, hottest, join_spread, materialize
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -59,7 +59,8 @@ def dedup_lines(
     places (from 0) of the removed lines. Sites are `source_col`.
 
     Up to constant_lines boilerplate lines (16 bytes each) become a constant of the last pass, which then cuts texts
-    where they are; more are joined by their hashes, and texts are shuffled to the places that are cut from them.
+    where they are; more are joined by their hashes, those of the commonest lines in parts, and texts are shuffled to the places that are
+    cut from them.
 
     Null texts stay null with no lines. Rows with a null source are no site of their own, and rows with a null id never
     keep a line, but both lose lines as others do. Repeated rows, and rows that share an id, are cut each for itself.
@@ -80,7 +81,10 @@ def dedup_lines(
     else:
         key = F.xxhash64(ident, text, F.octet_length(text))
         narrow = docs.select(key.alias("key"), ident.alias("id"), text.alias("text")).filter("text is not null")
-        cuts = _lines(narrow, min_chars).join(flagged, "hash")
+        cuts = _lines(narrow, min_chars)
+        # how often a line stands is counted before its hash meets others, and the rows of a line that stands everywhere are dealt out
+        often = cuts.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS).join(flagged, "hash", "left_semi")
+        cuts = join_spread(cuts, flagged, ["hash"], "key", materialize(hottest(often, ["hash"]), "line-hot"))
         if keep_first:
             cuts = cuts.filter("id is null or first is null or id <> first")
         cuts = cuts.select("key", "place").distinct().groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("removed_lines"))

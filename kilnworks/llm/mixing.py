@@ -157,5 +157,11 @@ def mix_sources(
         release(cells)
     dealt = rows.join(known, "_source") if sources.count() <= broadcast_rows else join_spread(rows, sources, ["_source"], "_place", hottest(sources, ["_source"], "_all"))
     dealt = dealt.select("_source", F.expr("shiftright(_place, _shift)").alias("mix_block"), "_row", "_place", word_count(F.col("_text")).alias("mix_tokens"))
-    found = dealt.join(bounded(taken, broadcast_rows), ["_source", "mix_block"]).filter("_place <= _upto")
+    block = ["_source", "mix_block"]
+    if taken.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        found = dealt.join(F.broadcast(taken), block)
+    else:  # a block of a dominant source may have more rows than one task should get
+        sizes = dealt.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
+        found = join_spread(dealt, taken, block, "_place", materialize(hottest(sizes, block), "mix-hot"))
+    found = found.filter("_place <= _upto")
     return found.select(*[F.col("_row").getField(c).alias(c) for c in kept], "epoch", "mix_block", "mix_tokens")

@@ -6,7 +6,7 @@ import collections
 
 from pyspark.sql import functions as F
 
-from kilnworks.llm import licenses, warc
+from kilnworks.llm import licenses, lines, mixing, warc
 from kilnworks.llm._common import LOWER_AZ
 
 
@@ -33,3 +33,22 @@ def test_rows_without_gating_words_are_dealt_out(spark):
         want[i, len(w), n, "mit" if n else ""] += 1
     assert got == want
     assert docs.filter(F.col("text") == "").count() == 100
+
+
+def test_hot_lines_are_cut_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("kilnworks.llm.lines.HOT_ROWS", 20)
+    monkeypatch.setattr("kilnworks.llm._common.HOT_ROWS", 20)
+    rows = [(i, f"own line of document {i}\nthe line that everybody has\nsecond line of {i % 40}, shared", f"site {i % 30}") for i in range(400)] + [(None, "the line that everybody has", "x"), (5, None, "y"), (400, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    look = lambda constant: collections.Counter((r["doc_id"], r["text"], tuple(r["removed_lines"])) for r in lines.dedup_lines(docs, constant_lines=constant).collect())
+    got = look(0)
+    assert got == look(20_000) and sum(got.values()) == 403
+    assert sum(n for (_, _, gone), n in got.items() if 1 in gone) == 399  # the smallest id keeps it
+
+
+def test_hot_blocks_are_mixed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("kilnworks.llm._common.HOT_ROWS", 5)
+    rows = [(i, f"text number {i} of a source", "hot" if i % 3 else f"s{i % 7}") for i in range(900)] + [(1000 + i, "", "hot") for i in range(300)] + [(None, "no id", None), (2000, None, "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    look = lambda n: collections.Counter((r["doc_id"], r["epoch"], r["mix_block"]) for r in mixing.mix_sources(docs, broadcast_rows=n, max_blocks=64).collect())
+    assert look(1) == look(100_000)
