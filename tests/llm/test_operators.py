@@ -149,6 +149,37 @@ def test_components_of_a_chain_and_a_star(spark):
     assert set(got.values()) == {0, 100} and len(got) == 71
 
 
+def test_components_of_few_edges_are_few_tasks(spark, monkeypatch):
+    """Rounds over a small graph take as few tasks and files as it needs, however many shuffle partitions there are."""
+    rng = np.random.default_rng(8)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + int(a), 100 + int(b)) for a, b in rng.integers(0, 300, (150, 2))] + [(500, i) for i in range(501, 560)]
+    want = {i: i for e in edges for i in e}
+    for _ in range(len(want)):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    want = {i: want[i] for a, b in edges if a != b for i in (a, b)}
+    written = []
+
+    def counted(df, name, write=components.materialize):
+        found = write(df, name)
+        written.append(len(found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(components, "materialize", counted)
+    frame = spark.createDataFrame(edges, "u long, v long")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        assert dict(components.components(frame).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(written[1:]) < 20 and len(written) <= 20, written
+    monkeypatch.setattr(components, "BROADCAST_EDGES", 0)
+    assert dict(components.components(frame).collect()) == want
+
+
 def test_one_of_each_keeps_clean_rows(spark, corpus):
     docs = docs_of(spark, corpus)
     kept = [r["doc_id"] for r in jaccard.one_of_each(docs).collect()]
