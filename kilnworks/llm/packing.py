@@ -10,14 +10,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ._bytes import keep_in_worker
+from .bpe import byte_letters
 
 #: Bytes, about, of the tokenized words that a Python worker keeps, in each of two generations.
 CACHE_BYTES = 64 << 20
+#: A cut of words whose pieces are told without it where a word is letters, up to U+017F, and points and commas behind them:
+#: NFC leaves those letters alone, and each but U+0130 has one lower-case letter.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of texts, about, whose words are taken together.
+SLICE_BYTES = 1 << 23
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_cost", pa.float64())])
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double"
 
@@ -40,7 +47,8 @@ class WordTokens(dict):
 
     Where the tokenizer drops white space and no rule of it reaches over a space (works_by_word), the ids of a text are
     those of its words in turn, each word tokenized once; else whole texts are tokenized. Special tokens' strings stay
-    inside one word. Words are kept in two generations of CACHE_BYTES: a full one becomes the old one, from which words
+    inside one word. Where the file cuts words as CUT does, a new word of common letters goes straight to the model,
+    without the library's steps before it, which cost more than the merges. Words are kept in two generations of CACHE_BYTES: a full one becomes the old one, from which words
     that come again are taken over.
     """
 
@@ -50,16 +58,32 @@ class WordTokens(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = works_by_word(path)
+        with open(path, encoding="utf-8") as f:
+            before = json.load(f)["pre_tokenizer"]
+        self.model = self.tokenizer.model if self.by_word and before["pretokenizers"][0]["pattern"] == {"Regex": CUT} and not before["pretokenizers"][1]["use_regex"] else None
+        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.old: dict[bytes, bytes] = {}
         self.size = 0
 
     def encoded(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, word: str) -> bytes:
+        """Ids of one word without blanks."""
+        letters = word.rstrip(",.")
+        if self.model is None or not letters.isalpha() or not letters.isascii() and (max(letters) > "\u017f" or "\u0130" in letters):
+            return self.encoded(word)
+        letters = letters.lower()
+        # bytes as the letters that stand for them
+        ids = [x.id for x in self.model.tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters))]
+        if word[-1] in ",.":
+            ids += [x.id for x in self.model.tokenize(word[len(letters) :])]
+        return array.array("I", ids).tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
         found = self.old.get(word)
         if found is None:
-            found = self.encoded(word.decode())
+            found = self.word(word.decode())
         if self.size > CACHE_BYTES:
             self.old = dict(self)
             self.clear()
@@ -76,6 +100,30 @@ class WordTokens(dict):
             words = words.lower()
         return b"".join(map(self.__getitem__, words.split(b" ")))
 
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """ids() of each text, null ones as empty; each different word of the column is looked up once."""
+        if not self.by_word:
+            yield from (self.encoded(text.as_py() or "") for text in texts)
+            return
+        texts = texts.fill_null("")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        found = pa.array([self[w] for w in words.dictionary.cast(pa.binary()).to_pylist()], pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[lists.offsets.to_numpy()].tolist() if len(found) else [0] * (len(texts) + 1)
+        data = memoryview(found.buffers()[2] or b"")
+        yield from (data[a:b].tobytes() for a, b in zip(ends, ends[1:]))
+
+
+def text_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in parts with about SLICE_BYTES bytes of texts (column 1), one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
 
 def word_tokens(path: str) -> WordTokens:
     return keep_in_worker("tokenizer", path, lambda: WordTokens(path))
@@ -164,9 +212,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             group.clear()
             tokens = 0
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.ids(text.as_py() or "") + end
+        for batch in (part for whole in batches for part in text_parts(whole)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.column(batch.column(1))):
+                ids += end
                 group.append((doc_id, ids))
                 tokens += len(ids) // 4
                 if tokens >= group_tokens:

@@ -338,6 +338,25 @@ def test_packing_takes_any_sequence_with_room():
     assert sum(n > 1 for n in pieces.values()) <= 60
 
 
+def test_packing_takes_each_word_once(monkeypatch):
+    """Words of common letters go to the model alone, each once for a column; all ids are the library's."""
+    import pyarrow as pa
+
+    words = packing.WordTokens(tokenizer_path())
+    whole, seen = packing.WordTokens.encoded, []
+    monkeypatch.setattr(packing.WordTokens, "encoded", lambda self, text: seen.append(text) or whole(self, text))
+    monkeypatch.setattr(packing.WordTokens, "__missing__", lambda self, word: seen.append(word) or self.word(word.decode()))  # nothing is kept
+    plain = ["The rivers, of Zuäver. thé RIVERS,", None, "the the\nrivers,", "Œuvre..., "]
+    assert list(words.column(pa.array(plain))) == [whole(words, x or "") for x in plain]
+    assert len(seen) == len(set(seen)) and {x for x in seen if isinstance(x, str)} <= {""}
+    odd = ["", " ", "\n\n", "it's 1234 don'T", "a\tb\u3000c\xa0d", "e\u0301 \u212b \u0130stanbul \u01c5.", "x<|endoftext|>Y <|ENDOFTEXT|> Z", "ª º µ ŉ ſ × ÷ ,.", "日本, ...", None]
+    for at in (0, 2):  # a part of a column too
+        assert list(words.column(pa.array(odd).slice(at))) == [whole(words, x or "") for x in odd[at:]]
+    assert list(words.column(pa.array([], pa.string()))) == []
+    parts = packing.text_parts(pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(["x" * (packing.SLICE_BYTES + 1), None, "", "y"])], names=["a", "b"]))
+    assert [p.column(0).to_pylist() for p in parts] == [[0], [1, 2, 3]]
+
+
 def test_packing_with_a_tokenizer_that_minds_blanks(tmp_path):
     import json
 
