@@ -1,7 +1,8 @@
 """Byte-level BPE: texts to ids and ids to texts, by the merges of a tokenizer's file.
 
-A word's bytes are a doubly linked list of symbols. A priority queue holds the adjacent pairs that merge, by rank and
-then place; the best is taken until none is left, and entries whose symbols have changed since are skipped. Decoding
+A long word's bytes are a doubly linked list of symbols. A priority queue holds the adjacent pairs that merge, by rank
+and then place; the best is taken until none is left, and entries whose symbols have changed since are skipped. A short
+word's are two lists, of symbols and of the ranks of pairs, in which the least is looked up each time. Decoding
 concatenates the vocabulary's strings. Everything happens in one pass of the rows' own tasks.
 """
 
@@ -15,6 +16,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -27,6 +29,8 @@ WORDS = r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)
 LOOKAHEAD = 4
 #: Characters of a text that are cut into words at once, and bytes of words with their ids that a worker keeps (about, of each of two generations).
 SLICE, CACHE_BYTES = 1 << 18, 64 << 20
+#: Bytes of a word up to which looking up the least rank each time takes less than a queue, and the rank of pairs that do not merge.
+SHORT, NEVER = 64, 1 << 31
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,8 +59,18 @@ class Merges:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.lefts, self.rights, self.results = ([vocabulary[x] for x in side] for side in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
         self.rank_of = dict(zip(zip(self.lefts, self.rights), range(len(pairs)))).get
+        # of each left symbol, the ranks by right symbol; of two bytes, the rank
+        nothing: dict[int, int] = {}
+        self.after = dict.fromkeys(vocabulary.values(), nothing)
+        for rank, (a, b) in enumerate(zip(self.lefts, self.rights)):
+            if self.after[a] is nothing:
+                self.after[a] = {}
+            self.after[a][b] = rank
+        self.byte_ranks = [[self.after[a].get(b, NEVER) for b in self.byte_ids] for a in self.byte_ids]
         self.added = {x["content"]: x["id"] for x in made["added_tokens"]}
         self.bytes_of = {i: bytes(bytes_of[c] for c in token) for token, i in vocabulary.items()} | {i: s.encode() for s, i in self.added.items()}
+        # in the place of each id its string, and behind them an empty one
+        self.strings = pa.array([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 2)], pa.large_binary())
         self.cut = regex.compile(WORDS)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self.young: dict[str, bytes] = {}
@@ -66,6 +80,8 @@ class Merges:
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word. An entry of the queue holds the rank of a merge above the place of its left symbol."""
         ids = list(map(self.byte_ids.__getitem__, word))
+        if len(ids) <= SHORT:
+            return self._merge_short(word, ids)
         rank_of, lefts, rights, results = self.rank_of, self.lefts, self.rights, self.results
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -88,6 +104,19 @@ class Merges:
                 heappush(queue, rank << 32 | h)
         return [x for x in ids if x >= 0]
 
+    def _merge_short(self, word: bytes, ids: list[int]) -> list[int]:
+        after, results, of_bytes = self.after, self.results, self.byte_ranks
+        ranks = [of_bytes[a][b] for a, b in zip(word, word[1:])]
+        while ranks and (rank := min(ranks)) < NEVER:
+            i = ranks.index(rank)
+            ids[i] = made = results[rank]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = after[ids[i - 1]].get(made, NEVER)
+            if i < len(ranks):
+                ranks[i] = after[made].get(ids[i + 1], NEVER)
+        return ids
+
     def _missing(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
@@ -130,6 +159,22 @@ class Merges:
         """The vocabulary's strings in turn; unknown ids give nothing, and bytes that are no UTF-8 become replacement characters."""
         return b"".join(map(self.bytes_of.get, ids, repeat(b""))).decode("utf-8", "replace")
 
+    def decode_column(self, lists: pa.Array) -> pa.Array:
+        """decode() of each list of a column; null for a null one."""
+        ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        known = pa.array(np.where((ids >= 0) & (ids < len(self.strings)), ids, len(self.strings) - 1))
+        joined = self.strings.take(known)
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+        cuts = np.frombuffer(joined.buffers()[1], np.int64)[ends] if len(joined) else ends
+        if cuts[-1] < 1 << 31:
+            texts = pa.Array.from_buffers(pa.string(), len(lists), [None, pa.py_buffer(cuts.astype(np.int32)), joined.buffers()[2] or pa.py_buffer(b"")])
+            try:
+                texts.validate(full=True)
+                return pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+            except pa.ArrowInvalid:  # some bytes are no UTF-8
+                pass
+        return pa.array([None if x.values is None else self.decode(x.values.to_pylist()) for x in lists], pa.string())
+
 
 def merges(path: str) -> Merges:
     return keep_in_worker("bpe", path, lambda: Merges(path))
@@ -177,7 +222,6 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "t
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = merges(path)
         for batch in small(batches, batch_rows):
-            texts = [None if ids.values is None else bpe.decode(ids.values.to_pylist()) for ids in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, bpe.decode_column(batch.column(at))], names=[*batch.schema.names, text_col])
 
     return rows.mapInArrow(run, made)

@@ -157,6 +157,34 @@ def test_bpe_of_long_words(both):
         assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_of_short_words_and_columns(both, monkeypatch):
+    """Short words are merged without a queue, and texts are joined a column at a time; both as the library does it."""
+    import pyarrow as pa
+
+    own, library = both
+    rng = random.Random(4)
+    words = ["".join(rng.choices("aaabnerst hiouéß'", k=rng.randint(1, 80))) for _ in range(1500)]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    short = [w for w in words if len(w.encode()) <= bpe.SHORT]
+    queued = bpe.Merges.merge
+    with monkeypatch.context() as held:
+        held.setattr(bpe, "heappop", None)
+        merged = [queued(own, w.encode()) for w in short]
+    with monkeypatch.context() as held:
+        held.setattr(bpe, "SHORT", 0)
+        assert [queued(own, w.encode()) for w in short] == merged
+    assert [own.encode(w) for w in words] == want
+    with monkeypatch.context() as held:
+        held.setattr(bpe.Merges, "decode", None)
+        lists = pa.array([None, [], *want, [None, 15496, 99999, -1], [50256]], pa.list_(pa.int32()))
+        for at in (0, 1, 7):
+            assert own.decode_column(lists.slice(at)).to_pylist() == [None, "", *words, "Hello", "<|endoftext|>"][at:]
+        assert own.decode_column(lists.slice(0, 0)).to_pylist() == [] and own.decode_column(lists.slice(0, 1)).to_pylist() == [None]
+    parts = [i for i, b in own.bytes_of.items() if b in ("é".encode()[:1], "é".encode()[1:])]
+    split = [[parts[0]], [parts[1]], parts, parts[::-1], None, [rng.randrange(50257) for _ in range(40)]]  # characters cut between rows
+    assert own.decode_column(pa.array(split, pa.list_(pa.int32()))).to_pylist() == [None if x is None else library.decode(x, skip_special_tokens=False) for x in split]
+
+
 def test_bpe_cache_is_bounded(both, monkeypatch):
     own, library = both
     monkeypatch.setattr(bpe, "CACHE_BYTES", 3000)
