@@ -65,8 +65,9 @@ def causal_fill(events: DataFrame, limit: int = 6, ts: str = "ts", late: str = "
     """Each user's readings with values out of low to high replaced by the last good one of at most `limit` readings before.
 
     State is a user's last good value and how many readings ago it was: bounded, and never looks ahead. Readings must
-    come in order for each user, as from a log; within a batch they are sorted. A user's state ends when the watermark
-    is idle_days past its last reading.
+    come in order for each user, as from a log; within a batch they are sorted. A batch gives a user's readings in any
+    number of frames, cut anywhere and in no order, so they are put together first: a task holds one user's readings of one
+    batch. A user's state ends when the watermark is idle_days past its last reading.
     """
 
     def clean(key, frames, state: GroupState):
@@ -74,20 +75,14 @@ def causal_fill(events: DataFrame, limit: int = 6, ts: str = "ts", late: str = "
             state.remove()
             return
         good, age = state.get if state.exists else (None, 0)
-        last = 0
-        for rows in frames:
-            rows = rows.sort_values(["us", "event_id"])
-            out = []
-            for value in rows["value"]:
-                if value is not None and low <= value <= high:
-                    good, age = float(value), 0
-                else:
-                    age += 1
-                out.append(good if good is not None and age <= limit else None)
-            last = max(last, int(rows["us"].max()) // 1000)
-            yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "value": pd.array(out, dtype="Float64")})
-        state.update((good, age))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_days * 86_400_000)
+        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
+        value, place = rows["value"].to_numpy(float), np.arange(len(rows))
+        at = np.maximum.accumulate(np.where((value >= low) & (value <= high), place, -1))
+        ages = np.where(at >= 0, place - at, age + 1 + place)
+        held = np.where(at >= 0, value[np.maximum(at, 0)], np.nan if good is None else good)
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "value": pd.array(np.where(ages <= limit, held, np.nan), dtype="Float64")})
+        state.update((float(held[-1]) if at[-1] >= 0 else good, int(ages[-1])))
+        state.setTimeoutTimestamp(max(int(rows["us"].max()) // 1000, state.getCurrentWatermarkMs()) + idle_days * 86_400_000)
 
     rows = event_time(events, ts, late).select("user_id", "event_id", F.unix_micros(ts).alias("us"), "value", ts)
     return rows.groupBy("user_id").applyInPandasWithState(clean, "user_id long, event_id long, value double", "good double, age long", "append", GroupStateTimeout.EventTimeTimeout)
