@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import join_terms, written
+
 # Concepts with the patterns that show them, in a lower-case name with blanks for underscores.
 CONCEPTS = {
     "direction_in": r"influent|inlet|入口|进口|进水|进料|入炉|入口侧",
@@ -68,13 +70,24 @@ def core(name: Column) -> Column:
     return F.array_join(kept, "")
 
 
-def name_features(names: DataFrame, name: str = "name") -> DataFrame:
-    """name, term, tf of each name in a table of different names: runs of one to three characters of its core, concepts, ordinals, variants and their pairs."""
+def _parts(name: str) -> dict[str, Column]:
+    """What all features of a name come from: its core, concepts, ordinals and variants."""
     low = F.replace(F.lower(name), F.lit("_"), F.lit(" "))
     concepts = F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(c)) for c, p in CONCEPTS.items()]))
     numbers = F.transform(F.regexp_extract_all(low, F.lit(ORDINAL), 0), lambda m: F.regexp_extract(m, r"(\d{1,2})", 1).cast("int").cast("string"))
     letters = F.transform(F.regexp_extract_all(low, F.lit(VARIANT), 0), lambda m: F.regexp_extract(m, "([ab])", 1))
-    rows = names.select(name, core(F.col(name)).alias("_core"), concepts.alias("_c"), numbers.alias("_n"), letters.alias("_l"))
+    return {"_core": core(F.col(name)), "_c": concepts, "_n": numbers, "_l": letters}
+
+
+def alike(name: str) -> Column:
+    """A text that is the same for names with the same features; no part holds a bar or a comma."""
+    first, *lists = _parts(name).values()
+    return F.concat_ws("|", first, *[F.concat_ws(",", x) for x in lists])
+
+
+def name_features(names: DataFrame, name: str = "name") -> DataFrame:
+    """name, term, tf of each name in a table of different names: runs of one to three characters of its core, concepts, ordinals, variants and their pairs."""
+    rows = names.select(name, *[c.alias(k) for k, c in _parts(name).items()])
     said = lambda kind, term: F.struct(F.concat(F.lit(kind + ":"), term).alias("term"), F.lit(TIMES.get(kind, 1)).cast("long").alias("times"))
     runs = lambda n: F.transform(F.sequence(F.lit(1), F.char_length("_core") - (n - 1)), lambda i: said(str(n), F.substr("_core", i, F.lit(n))))
     grams = [F.when(F.char_length("_core") >= n, runs(n)) for n in (1, 2, 3)]
@@ -126,9 +139,13 @@ def match_names(names: DataFrame, name: str, idf: DataFrame, index: DataFrame, p
 
     The index gives each label's centroid score and a bound of what its prototypes can reach. Only labels whose bound
     reaches the k-th best centroid score have their prototypes looked at; the result is the same as with all of them.
+    Names with the same features have the same scores, so the smallest of them is looked at for all; they meet its labels
+    by a broadcast of the HOT_TERMS features with the most names, the others by a shuffle.
     """
-    different = names.select(F.col(name).alias("name")).filter("name is not null").distinct()
-    vectors = _vectors(name_features(different), idf, "name")
+    different = names.select(F.col(name).alias("name")).filter("name is not null").distinct().repartition(names.sparkSession.sparkContext.defaultParallelism)
+    different = written(different.withColumn("term", alike("name")), "names")
+    asked = written(different.groupBy("term").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n")), "asked")
+    vectors = _vectors(name_features(asked.select("name")), idf, "name")
     hit = vectors.join(index, "term").groupBy("name", "label").agg(F.sum(F.col("v") * F.col("centroid")).alias("low"), F.sum(F.col("v") * F.col("most")).alias("bound"))
     by = Window.partitionBy("name")
     ranked = hit.withColumn("_n", F.row_number().over(by.orderBy(F.desc("low")))).withColumn("_kth", F.max(F.when(F.col("_n") == k, F.col("low"))).over(by))
@@ -137,7 +154,9 @@ def match_names(names: DataFrame, name: str, idf: DataFrame, index: DataFrame, p
     best = looked.groupBy("name", "label", "prototype").agg(F.sum(F.col("v") * F.col("w")).alias("s")).groupBy("name", "label").agg(F.max("s").alias("best"))
     scored = open_.join(best, ["name", "label"], "left").select("name", "label", F.greatest("low", F.coalesce("best", F.lit(0.0))).alias("score"))
     order = Window.partitionBy("name").orderBy(F.desc(F.round("score", 9)), "label")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    lists = best.groupBy("name").agg(F.collect_list(F.struct("label", "score", "rank")).alias("_best"))  # k labels
+    return join_terms(different, written(asked.join(lists, "name").select("term", "n", "_best"), "asked-best"), "n").select("name", F.inline("_best"))
 
 
 # ---- fuzzy matches

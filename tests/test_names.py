@@ -188,3 +188,23 @@ def test_groups_of_correlated_columns(spark):
     got = [r["merged_1"] for r in stats.merge_groups(df, [["a", "b", "k"]]).orderBy(F.col("a").asc_nulls_last()).collect()]
     assert got == [pytest.approx(-1.0), pytest.approx(1.0), None]
     assert stats.merge_groups(df, []).columns == df.columns
+
+
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_names_with_the_same_features_are_looked_at_once(spark, monkeypatch, hot):
+    """300 tags that differ in their numbers alone, and others, beside the same names asked by themselves."""
+    records = spark.createDataFrame([("inlet_temp", "P"), ("te_flow", "Q"), ("top temp 1", "Q"), ("outlet_flow_a", "R"), ("te", "R")], "n string, l string")
+    models = names.fit_names(records, "n", "l")
+    tags, others = [f"TE_{i}" for i in range(300)], ["inlet_temp_b", "temp 1 top", "temp 2 top", "", None, "流"]
+    asked = lambda x: spark.createDataFrame([(a,) for a in x], "h string")
+    seen, real = [], names.name_features
+    monkeypatch.setattr(names, "name_features", lambda df, name="name": seen.append(df.count()) or real(df, name))
+    monkeypatch.setattr(text, "HOT_TERMS", hot)
+    got = collections.defaultdict(list)
+    for r in sorted(names.match_names(asked(tags + others), "h", *models, k=2).collect(), key=lambda r: r["rank"]):
+        got[r["name"]].append((r["label"], r["score"], r["rank"]))
+    assert seen == [6]  # the tags are one
+    assert set(got) == set(tags) | set(others[:3]) and all(got[t] == got["TE_0"] for t in tags)
+    for name in ["TE_7", *others[:3]]:
+        alone = sorted((r["rank"], r["label"], r["score"]) for r in names.match_names(asked([name]), "h", *models, k=2).collect())
+        assert [(x, n) for x, _, n in got[name]] == [(x, n) for n, x, _ in alone] and [s for _, s, _ in got[name]] == pytest.approx([s for *_, s in alone])
