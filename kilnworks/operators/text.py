@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from kilnworks.sources.files import scratch_dir
 
@@ -31,7 +31,42 @@ def row_counts(docs: DataFrame, terms: Column, keep: Sequence[str], batch_rows:
     most is the row's greatest number; rows without terms give none. Batches of rows are counted by sorting codes of
     their terms, in Arrow and numpy.
     """
-    rows = docs.select(*keep, terms.alias("_terms"))
+
+    def coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        found = lists.flatten().dictionary_encode()
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        code = found.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return code[code >= 0], np.repeat(np.arange(len(lengths)), lengths)[code >= 0], found.dictionary
+
+    return _counted(docs.select(*keep, terms.alias("_terms")), coded, batch_rows)
+
+
+def word_counts(docs: DataFrame, text: Column, keep: Sequence[str], batch_rows: int = 256) -> DataFrame:
+    """row_counts() of a text's words: runs of the letters A-Z and a-z, in lower case. They are found in the text's bytes."""
+    return _counted(docs.select(*keep, text.alias("_terms")), _letter_words, batch_rows)
+
+
+#: A byte's letter in lower case, 0 for all others.
+LETTERS = np.array([ord(chr(b).lower()) if chr(b).isascii() and chr(b).isalpha() else 0 for b in range(256)], np.uint8)
+
+
+def _letter_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    texts = pc.fill_null(texts, "")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    low = LETTERS[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    ends, letter = ends - ends[0], low > 0
+    begin = letter.copy()
+    begin[1:] &= ~letter[:-1]
+    first = ends[:-1][ends[:-1] < len(low)]
+    begin[first] = letter[first]  # a word ends with its text
+    starts = np.flatnonzero(begin)
+    at = np.append(np.cumsum(letter)[starts] - 1, letter.sum()).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(low[letter])).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), np.searchsorted(ends, starts, "right") - 1, found.dictionary
+
+
+def _counted(rows: DataFrame, coded: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, pa.Array]], batch_rows: int) -> DataFrame:
+    """rows, its last column replaced by most, term and tf. coded gives the code and the row of each term of a batch, by rows, and the terms."""
     schema = StructType([*rows.schema.fields[:-1], StructField("most", LongType()), StructField("term", StringType()), StructField("tf", LongType())])
     names = [f.name for f in schema]
 
@@ -39,18 +74,14 @@ def row_counts(docs: DataFrame, terms: Column, keep: Sequence[str], batch_rows:
         for whole in batches:
             for at in range(0, whole.num_rows, batch_rows):
                 batch = whole.slice(at, batch_rows)
-                lists = batch.column(batch.num_columns - 1)
-                coded = lists.flatten().dictionary_encode()
-                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                row = np.repeat(np.arange(len(lengths)), lengths)[code >= 0]
-                size = max(1, len(coded.dictionary))
-                keys, tf = np.unique(row * size + code[code >= 0], return_counts=True)
+                code, row, terms = coded(batch.column(batch.num_columns - 1))
+                size = max(1, len(terms))
+                keys, tf = np.unique(row * size + code, return_counts=True)
                 of = keys // size
                 first = np.flatnonzero(np.diff(of, prepend=-1))
                 most = np.repeat(np.maximum.reduceat(tf, first) if len(first) else tf, np.diff(np.append(first, len(of))))
                 kept = [c.take(pa.array(of)) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(most.astype(np.int64)), coded.dictionary.take(pa.array(keys - of * size)).cast(pa.string()), pa.array(tf.astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(most.astype(np.int64)), terms.take(pa.array(keys - of * size)).cast(pa.string()), pa.array(tf.astype(np.int64))], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -95,18 +126,35 @@ def ngram_counts(docs: DataFrame, text: Column, sizes: Sequence[int]) -> DataFra
     return both.groupBy("n", "gram").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs"))
 
 
-def centroids(weights: DataFrame, labels: DataFrame) -> DataFrame:
-    """label, term, weight of unit length: the mean of each label's documents."""
-    mean = weights.join(labels, "id").groupBy("label", "term").agg(F.sum("weight").alias("weight"))
-    length = mean.groupBy("label").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    return mean.join(F.broadcast(length), "label").select("label", "term", (F.col("weight") / F.col("length")).alias("weight"))
+#: Labelled rows that meet the texts by a broadcast; more are shuffled with them.
+LABELLED = 500_000
+
 
+def with_labels(docs: DataFrame, labels: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """docs with the columns of a table of labels, one row for each id."""
+    return docs.join(F.broadcast(labels) if labels.limit(LABELLED + 1).count() <= LABELLED else labels, on, how)
 
-def cosine(weights: DataFrame, models: DataFrame) -> DataFrame:
-    """id, label, score: of every document and label that share a term."""
-    length = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    hit = weights.join(models.withColumnRenamed("weight", "w"), "term").groupBy("id", "label").agg(F.sum(F.col("weight") * F.col("w")).alias("dot"))
-    return hit.join(length, "id").select("id", "label", (F.col("dot") / F.col("length")).alias("score"))
+
+def centroid_scores(counts: DataFrame, docs: int) -> DataFrame:
+    """id, label, score of counts (id, label, most, term, tf): each document's cosine with the centroids of the labels it shares a term with.
+
+    Weights are those of tf_idf(), a centroid is the mean of its label's documents; documents without a label are scored
+    as well. The counts are written once. One aggregate by term gives document frequencies and, as a term's idf is the
+    same in all rows, the centroids; labels are few: they are its columns. Products and lengths are summed up by id.
+    """
+    counts = written(counts, "counts")
+    often = 0.5 + 0.5 * F.col("tf") / F.col("most")
+    names = [r["label"] for r in counts.select("label").filter("label is not null").distinct().orderBy("label").collect()]
+    sums = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *[F.sum(F.when(F.col("label") == name, often)).alias(f"_c{i}") for i, name in enumerate(names)])
+    idf = F.ln((F.lit(1.0) + docs) / (1 + F.col("df"))) + 1
+    terms = written(sums.select("term", "df", idf.alias("_idf"), *[(F.col(f"_c{i}") * idf).alias(f"_c{i}") for i in range(len(names))]), "centroids")
+    lengths = terms.agg(F.count(F.lit(1)), *[F.sqrt(F.sum(F.col(f"_c{i}") * F.col(f"_c{i}"))) for i in range(len(names))]).first()[1:]
+    weight = often * F.col("_idf")
+    hit = join_terms(counts.select("id", "most", "term", "tf").filter("id is not null"), terms, "df").groupBy("id")
+    found = hit.agg(F.sqrt(F.sum(weight * weight)).alias("_length"), *[F.sum(weight * F.col(f"_c{i}")).alias(f"_x{i}") for i in range(len(names))])
+    kind = counts.schema["label"].dataType
+    each = [F.struct(F.lit(name).cast(kind).alias("label"), (F.col(f"_x{i}") / (F.lit(length) * F.col("_length"))).alias("score")) for i, (name, length) in enumerate(zip(names, lengths))]
+    return found.select("id", F.inline(F.array(*each) if each else F.array().cast(ArrayType(StructType([StructField("label", kind), StructField("score", DoubleType())]))))).filter("score is not null")
 
 
 def dot(a: Column, b: Column) -> Column:

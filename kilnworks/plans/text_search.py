@@ -18,8 +18,12 @@ def words(column: str = "text"):
     return F.array_remove(F.split(F.lower(F.regexp_replace(column, "[^A-Za-z ]+", " ")), " "), "")
 
 
+def texts(s: SparkSession, d: str) -> DataFrame:
+    return text.spread(table(s, d, "documents")).filter("text is not null").select(F.col("doc_id").alias("id"), "text")
+
+
 def weights(s: SparkSession, d: str) -> DataFrame:
-    docs = text.spread(table(s, d, "documents")).filter("text is not null").select(F.col("doc_id").alias("id"), words().alias("words"))
+    docs = texts(s, d).select("id", words().alias("words"))
     return text.tf_idf(text.row_counts(docs, F.col("words"), ["id"]), table(s, d, "documents").count())
 
 
@@ -40,9 +44,9 @@ def tfidf(s: SparkSession, d: str) -> DataFrame:
 @query("q_centroid", f"WITH {WEIGHTS}, y AS (SELECT doc_id AS id, min(toxic) AS label FROM labels WHERE toxic IS NOT NULL GROUP BY 1), a AS (SELECT label, term, sum(weight) AS weight FROM t JOIN y ON t.id = y.id GROUP BY 1, 2), l AS (SELECT label, sqrt(sum(weight * weight)) AS length FROM a GROUP BY 1), k AS (SELECT a.label, term, weight / length AS w FROM a JOIN l ON a.label = l.label), n AS (SELECT id, sqrt(sum(weight * weight)) AS length FROM t GROUP BY 1) SELECT t.id, label, round(sum(weight * w) / any_value(n.length), 6) AS score FROM t JOIN k ON t.term = k.term JOIN n ON t.id = n.id GROUP BY 1, 2")
 def centroid(s: SparkSession, d: str) -> DataFrame:
     """All documents against the centroids of the labelled ones."""
-    w = weights(s, d)
     labels = table(s, d, "labels").filter("toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("toxic").alias("label"))
-    return text.cosine(w, text.centroids(w, labels)).select("id", "label", *r6("score"))
+    docs = text.with_labels(texts(s, d), labels, "id")
+    return text.centroid_scores(text.word_counts(docs, F.col("text"), ["id", "label"]), table(s, d, "documents").count()).select("id", "label", *r6("score"))
 
 
 RGRAMS = " UNION ALL ".join(f"SELECT id, label, unnest(list_transform(range(1, length(t) - {n} + 2), lambda i: substr(t, i, {n}))) AS g FROM x WHERE length(t) >= {n}" for n in (2, 3, 4))

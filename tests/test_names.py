@@ -208,3 +208,49 @@ def test_names_with_the_same_features_are_looked_at_once(spark, monkeypatch, hot
     for name in ["TE_7", *others[:3]]:
         alone = sorted((r["rank"], r["label"], r["score"]) for r in names.match_names(asked([name]), "h", *models, k=2).collect())
         assert [(x, n) for x, _, n in got[name]] == [(x, n) for n, x, _ in alone] and [s for _, s, _ in got[name]] == pytest.approx([s for *_, s in alone])
+
+
+def test_words_are_found_in_bytes(spark):
+    texts = ["", None, "ab", "cd AB'cd", "éaéKb ſx\n1a2", "中", "z", "Zz zZ-zz", "x" * 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").coalesce(1)
+    for rows in (1, 3, 256):
+        got = sorted((r["id"], r["term"], r["tf"], r["most"]) for r in text.word_counts(df, F.col("t"), ["id"], rows).collect())
+        want = []
+        for i, t in enumerate(texts):
+            found = collections.Counter(re.findall("[a-z]+", re.sub("[^A-Za-z]+", " ", t or "").lower()))
+            want += [(i, w, n, max(found.values())) for w, n in found.items()]
+        assert got == sorted(want)
+
+
+@pytest.mark.parametrize(("hot", "labelled"), [(50_000, 500_000), (3, 2)])
+def test_centroid_scores_count_the_texts_once(spark, monkeypatch, hot, labelled):
+    """Against plain Python, with both sides of the broadcasts; the texts are taken apart once."""
+    monkeypatch.setattr(text, "HOT_TERMS", hot)
+    monkeypatch.setattr(text, "LABELLED", labelled)
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 9)))) for i in range(60)] + [(90, "zz zz"), (91, None), (None, "a b")]
+    labels = {i: rng.choice("PQR") for i in range(0, 60, 3)}
+    seen = spark.sparkContext.accumulator(0)
+    real = text._letter_words
+    monkeypatch.setattr(text, "_letter_words", lambda x: seen.add(len(x)) or real(x))
+    df = text.with_labels(spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(list(labels.items()), "id long, label string"), "id")
+    rows = text.centroid_scores(text.word_counts(df, F.col("t"), ["id", "label"]), len(docs)).collect()
+    assert seen.value == len(docs)
+    counts = [(i, collections.Counter((t or "").split())) for i, t in docs]
+    often = collections.Counter(w for _, c in counts for w in c)
+    vectors = [(i, {w: (0.5 + 0.5 * n / max(c.values())) * (math.log((1 + len(docs)) / (1 + often[w])) + 1) for w, n in c.items()}) for i, c in counts]
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for label in "PQR":
+        mean = collections.Counter()
+        for i, v in vectors:
+            if labels.get(i) == label:
+                mean.update(v)
+        want |= {(i, label): sum(x * mean[w] for w, x in v.items()) / size(v) / size(mean) for i, v in vectors if i is not None and any(w in mean for w in v)}
+    assert len(rows) == len(want) and {(r["id"], r["label"]): r["score"] for r in rows} == pytest.approx(want)
+
+
+def test_centroids_without_labels(spark):
+    df = spark.createDataFrame([(1, "a b", None)], "id long, t string, label int")
+    found = text.centroid_scores(text.word_counts(df, F.col("t"), ["id", "label"]), 1)
+    assert found.count() == 0 and found.columns == ["id", "label", "score"]
