@@ -50,11 +50,17 @@ def word_counts(docs: DataFrame, text: Column, keep: Sequence[str], batch_rows:
 LETTERS = np.array([ord(chr(b).lower()) if chr(b).isascii() and chr(b).isalpha() else 0 for b in range(256)], np.uint8)
 
 
-def _letter_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where texts end, after a zero, and their bytes; nulls are empty."""
     texts = pc.fill_null(texts, "")
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    low = LETTERS[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
-    ends, letter = ends - ends[0], low > 0
+    return ends - ends[0], np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def _letter_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    ends, data = _bytes(texts)
+    low = LETTERS[data]
+    letter = low > 0
     begin = letter.copy()
     begin[1:] &= ~letter[:-1]
     first = ends[:-1][ends[:-1] < len(low)]
@@ -193,15 +199,61 @@ def softmax_gate(scores: DataFrame, key: str, label: str = "label", score: str =
 VOCABULARY = 20_000
 
 
-def router_text(text: Column) -> Column:
-    """Lower case, with runs of white space as one blank and none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-
-
-def router_grams(docs: DataFrame, text: Column, keep: Sequence[str]) -> DataFrame:
-    """keep, most, term, tf of the runs of two to four characters of each row."""
-    rows = docs.select(*keep, router_text(text).alias("_text"))
-    return row_counts(rows, F.flatten(F.array(*[char_ngrams(F.col("_text"), n) for n in (2, 3, 4)])), keep)
+#: Rows and bytes of texts whose grams are counted at a time; a longer text is counted by itself.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 21
+#: Bytes that are white space.
+WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches by the texts in their last column."""
+    for batch in batches:
+        size, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < batch.num_rows:
+            end = np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, "right")
+            end = int(max(at + 1, min(at + BLOCK_ROWS, end)))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of texts and the text of each; runs of white space are one blank, and none stand at the ends."""
+    ends, data = _bytes(texts)
+    full = np.flatnonzero(~WHITE[data])
+    row = np.repeat(np.arange(len(texts)), np.diff(ends))[full]
+    gap = np.zeros(len(full), bool)
+    gap[1:] = (np.diff(full) > 1) & (np.diff(row) == 0)
+    at = np.arange(len(full)) + np.cumsum(gap)
+    out, of = np.full(len(full) + gap.sum(), 32, np.uint8), np.empty(len(full) + gap.sum(), np.int64)
+    out[at], of[at] = data[full], row
+    of[at[gap] - 1] = row[gap]
+    return np.frombuffer(out.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64), of[(out & 0xC0) != 0x80]
+
+
+def _router_grams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """n, row, code, tf and terms of the runs of n = 2, 3 and 4 characters of texts: a row and a code once each, with how often. terms are by code."""
+    one, row = _points(texts)
+
+    def dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = pa.array(keys).dictionary_encode()
+        return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+
+    def counted(n: int, rows: np.ndarray, codes: np.ndarray, letters: np.ndarray):
+        keys = np.sort(rows * max(1, len(letters)) + codes)
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        of, whole = keys[first] // max(1, len(letters)), letters.astype("<u4").tobytes().decode("utf-32-le")
+        return n, of, keys[first] - of * len(letters), np.diff(np.append(first, len(keys))), pa.array([whole[i : i + n] for i in range(0, len(whole), n)], pa.string())
+
+    two, keys = dense(one[:-1] << 21 | one[1:])
+    pairs = np.stack([keys >> 21, keys & (1 << 21) - 1], 1)
+    inside = row[1:] == row[:-1]  # not from a text into the next
+    yield counted(2, row[1:][inside], two[inside], pairs)
+    inside = row[2:] == row[:-2]
+    three, keys = dense((two[:-1] << 21 | one[2:])[inside])
+    yield counted(3, row[2:][inside], three, np.concatenate([pairs[keys >> 21], (keys & (1 << 21) - 1)[:, None]], 1))
+    inside = row[3:] == row[:-3]
+    four, keys = dense((two[:-2] << 31 | two[2:])[inside])
+    yield counted(4, row[3:][inside], four, np.concatenate([pairs[keys >> 31], pairs[keys & (1 << 31) - 1]], 1))
 
 
 def fit_router(docs: DataFrame, text: str, label: str, least: int = 3, vocabulary: int = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -209,17 +261,28 @@ def fit_router(docs: DataFrame, text: str, label: str, least: int = 3, vocabular
 
     The vocabulary holds the grams of the most rows, `least` at least and `vocabulary` at most. weights has for each label,
     in order, the logarithm of the gram's smoothed share of the label's grams; the intercept is that of the label's share
-    of rows. Labels are few: they are columns of one aggregate.
+    of rows. Labels are few: they are columns of one aggregate. A block of texts gives a row for each different gram.
     """
-    rows = spread(docs).filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    rows = docs.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.lower(text).alias("text"))
     classes = [(r["label"], r["n"]) for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()]
     total = sum(n for _, n in classes)
-    grams = router_grams(rows, F.col("text"), ["label"])
-    of = lambda name: F.sum(F.when(F.col("label") == name, F.col("tf")).otherwise(0))
-    terms = grams.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *[of(name).alias(f"_c{i}") for i, (name, _) in enumerate(classes)])
-    kept = terms.filter(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(vocabulary)
-    sums = kept.agg(F.count(F.lit(1)), *[F.sum(f"_c{i}") for i in range(len(classes))]).first()
-    weights = [F.ln((F.col(f"_c{i}") + 1.0) / float((sums[1 + i] or 0) + max(sums[0], 1))) for i in range(len(classes))]
+    sums = ["df", *[f"_c{i}" for i in range(len(classes))]]
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            place = block.column(0).to_numpy()
+            for _, row, code, tf, terms in _router_grams(block.column(1)):
+                df = np.bincount(code, minlength=len(terms))
+                by = [np.bincount(code, np.where(place[row] == i, tf, 0), len(terms)).astype(np.int64) for i in range(len(sums) - 1)]
+                table = pa.RecordBatch.from_arrays([terms, *[pa.array(x) for x in (df, *by)]], names=["term", *sums])
+                yield table.filter(pa.array(df > 0))
+
+    place = F.coalesce(*[F.when(F.col("label") == name, i) for i, (name, _) in enumerate(classes)], F.lit(-1)).cast("long")
+    grams = rows.select(place.alias("place"), "text").mapInArrow(count, StructType([StructField("term", StringType()), *[StructField(c, LongType()) for c in sums]]))
+    terms = grams.groupBy("term").agg(*[F.sum(c).alias(c) for c in sums])
+    kept = written(terms.filter(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(vocabulary), "vocabulary")
+    of = kept.agg(F.count(F.lit(1)), *[F.sum(c) for c in sums[1:]]).first()
+    weights = [F.ln((F.col(c) + 1.0) / float((of[1 + i] or 0) + max(of[0], 1))) for i, c in enumerate(sums[1:])]
     model = kept.select("term", (F.ln((F.lit(1.0) + total) / (1 + F.col("df"))) + 1).alias("idf"), F.array(*weights).alias("weights"))
     labels = [(name, i, math.log(n / total)) for i, (name, n) in enumerate(classes)]
     return written(model, "router"), docs.sparkSession.createDataFrame(labels, StructType([StructField("label", docs.schema[label].dataType), StructField("place", IntegerType()), StructField("intercept", DoubleType())]))
@@ -231,18 +294,31 @@ def route(docs: DataFrame, id_col: str, text: str, model: DataFrame, labels: Dat
     A row's vector is (1 + ln tf) times idf over the grams that the vocabulary holds, of unit length; logits are
     intercepts plus `scale` times its product with the weights. Three gates: the best label's probability, its lead over
     the next, and the share of the row's different bigrams that the vocabulary knows. Ties go to the smaller label. Rows
-    without grams are scored by the intercepts alone and have no coverage. The vocabulary is broadcast; a row's grams are
-    summed up in the task that made them.
+    without grams are scored by the intercepts alone and have no coverage. The vocabulary, which has a bound, is broadcast;
+    a row's grams are counted and summed up in the task that has the row, and nothing is shuffled.
     """
     names = [(r["label"], r["intercept"]) for r in labels.orderBy("place").collect()]
-    rows = spread(docs).select(F.col(id_col).alias("id"), F.col(text).alias("_t"), F.monotonically_increasing_id().alias("_row"))
-    grams = router_grams(rows, F.col("_t"), ["_row", "id"])
-    hit = grams.join(F.broadcast(model), "term", "left")
-    x = (1 + F.ln("tf")) * F.col("idf")
-    pair = F.char_length("term") == 2
-    known = hit.groupBy("_row", "id").agg(F.sum(x * x).alias("_xx"), *[F.sum(x * F.get("weights", F.lit(i))).alias(f"_x{i}") for i in range(len(names))], (F.sum(F.when(pair & F.col("idf").isNotNull(), 1).otherwise(0)) / F.nullif(F.sum(F.when(pair, 1).otherwise(0)), F.lit(0))).alias("coverage"))
-    bare = rows.filter(F.char_length(router_text(F.coalesce(F.col("_t"), F.lit("")))) < 2).select("_row", "id")
-    scored = known.unionByName(bare, allowMissingColumns=True)
+    rows = spread(docs).select(F.col(id_col).alias("id"), F.lower(text).alias("_t"))
+    known = model.select("term", "idf", "weights").collect()  # the vocabulary
+    shared = rows.sparkSession.sparkContext.broadcast((pa.array([r["term"] for r in known], pa.string()), np.array([r["idf"] for r in known]), np.array([r["weights"] for r in known]).reshape(len(known), len(names))))
+    sums = ["_xx", *[f"_x{i}" for i in range(len(names))], "coverage"]
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf, weights = shared.value
+        for block in _blocks(batches):
+            found, covered = np.zeros((len(sums) - 1, block.num_rows)), None
+            for n, row, code, tf, said in _router_grams(block.column(1)):
+                at = pc.fill_null(pc.index_in(said, terms), -1).to_numpy(zero_copy_only=False)[code]
+                if n == 2:
+                    of, most = (np.bincount(r, minlength=block.num_rows) for r in (row[at >= 0], row))
+                    covered = pa.array(of / np.maximum(most, 1), mask=most == 0)
+                row, tf, at = row[at >= 0], tf[at >= 0], at[at >= 0]
+                x = (1 + np.log(tf)) * idf[at]
+                for i, y in enumerate([x, *weights[at].T]):
+                    found[i] += np.bincount(row, x * y, block.num_rows)
+            yield pa.RecordBatch.from_arrays([block.column(0), *[pa.array(x) for x in found], covered], names=["id", *sums])
+
+    scored = rows.mapInArrow(score, StructType([rows.schema["id"], *[StructField(c, DoubleType()) for c in sums]]))
     length = F.coalesce(F.nullif(F.sqrt("_xx"), F.lit(0.0)), F.lit(1.0))
     logits = [F.lit(float(b)) + scale * F.coalesce(F.col(f"_x{i}"), F.lit(0.0)) / length for i, (_, b) in enumerate(names)]
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]

@@ -70,7 +70,8 @@ def linear_router(s: SparkSession, d: str) -> DataFrame:
     """All documents by a scorer learnt from the labelled ones; a class is a quality and a toxicity."""
     labels = table(s, d, "labels").filter("quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(F.concat_ws("-", "quality", "toxic")).alias("label"))
     docs = table(s, d, "documents")
-    model, classes = text.fit_router(docs.join(labels, "doc_id").select("doc_id", "text", F.col("label").alias("class")), "text", "class")
+    learnt = text.with_labels(text.spread(docs), labels, "doc_id", "inner").select("doc_id", "text", F.col("label").alias("class"))
+    model, classes = text.fit_router(learnt, "text", "class")
     return text.route(docs, "doc_id", "text", model, classes, scale=40).select("id", "label", *r6("probability", "margin", "coverage"), "accepted", "reason")
 
 

@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,52 @@ def test_centroids_without_labels(spark):
     df = spark.createDataFrame([(1, "a b", None)], "id long, t string, label int")
     found = text.centroid_scores(text.word_counts(df, F.col("t"), ["id", "label"]), 1)
     assert found.count() == 0 and found.columns == ["id", "label", "score"]
+
+
+def plain_grams(t):
+    t = re.sub("[ \t\n\x0b\f\r]+", " ", t or "").strip(" ")
+    return collections.Counter(t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1))
+
+
+def test_grams_of_a_router(monkeypatch):
+    """However texts are cut into blocks, and characters of any length; grams do not reach from a text into the next."""
+    rng = random.Random(9)
+    texts = [None, "", " ", "a", "\t ab\x0b\r\n c  ", "😀a😀a😀", "é   x", "漢" * 9] + ["".join(rng.choice("ab é漢😀\n") for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "t": pa.array(texts, pa.string())})
+    for rows, size in ((1024, 1 << 21), (5, 60), (3, 1)):
+        monkeypatch.setattr(text, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(text, "BLOCK_BYTES", size)
+        got = collections.defaultdict(collections.Counter)
+        for block in text._blocks([batch.slice(0, 30), batch.slice(30)]):
+            assert block.num_rows <= rows
+            for n, row, code, tf, terms in text._router_grams(block.column(1)):
+                for r, c, x in zip(row.tolist(), code.tolist(), tf.tolist()):
+                    assert len(terms[c].as_py()) == n
+                    got[block.column(0)[r].as_py()][terms[c].as_py()] += x
+        assert [got[i] for i in range(len(texts))] == [plain_grams(t) for t in texts]
+
+
+def test_router_scores_rows_where_they_are(spark):
+    """Scores against plain Python; rows of one id stay apart, and no gram is shuffled."""
+    rng = random.Random(12)
+    rows = [(i % 70, "".join(rng.choice("abc É\n") for _ in range(rng.randint(0, 30))), rng.choice(["P", "Q", None])) for i in range(90)] + [(None, None, None), (1, "zzzz", None)]
+    df = spark.createDataFrame(rows, "id long, t string, y string")
+    model, labels = text.fit_router(df, "t", "y", vocabulary=60)
+    learnt = [(plain_grams(t.lower()), y) for _, t, y in rows if y]
+    often = collections.Counter(g for c, _ in learnt for g in c)
+    kept = [g for g, n in sorted(often.items(), key=lambda x: (-x[1], x[0].encode())) if n >= 3][:60]
+    of = {y: {g: sum(c[g] for c, z in learnt if z == y) for g in kept} for y in "PQ"}
+    idf = {g: math.log((1 + len(learnt)) / (1 + often[g])) + 1 for g in kept}
+    want = []
+    for i, t, _ in rows:
+        c = plain_grams((t or "").lower())
+        x = {g: (1 + math.log(n)) * idf[g] for g, n in c.items() if g in idf}
+        size = math.sqrt(sum(v * v for v in x.values())) or 1
+        z = {y: math.log(sum(a == y for _, a in learnt) / len(learnt)) + 3 * sum(v * math.log((of[y][g] + 1) / (sum(of[y].values()) + len(kept))) for g, v in x.items()) / size for y in "PQ"}
+        pairs = [g for g in c if len(g) == 2]
+        want.append((i or -1, max(z, key=z.get), 1 / (1 + math.exp(-abs(z["P"] - z["Q"]))), sum(g in idf for g in pairs) / max(1, len(pairs))))
+    found = text.route(df, "id", "t", model, labels, scale=3)
+    got = [(r["id"] if r["id"] else -1, r["label"], r["probability"], r["coverage"]) for r in found.collect()]
+    flat = lambda x: [v for r in sorted((i or 0, y, round(p, 6), round(c, 6)) for i, y, p, c in x) for v in r]
+    assert flat(got) == flat(want)
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
